@@ -40,7 +40,8 @@ def tfidf(docs: DataFrame, row_id: str, tokens: str, idf: DataFrame, max_feature
     scored = join_counted_keys(counts, idf, "term", "df").select(
         row_id, "term", (F.col("tf") / F.col("n_tokens") * F.col("idf")).alias("tfidf")
     )
-    return top_n_per_key(scored, [row_id], [F.desc("tfidf"), F.asc("term")], max_features)
+    by_score = [F.desc(F.round("tfidf", 12)), F.asc("term")]
+    return top_n_per_key(scored, [row_id], by_score, max_features)
 
 
 def tfidf_vectors(long: DataFrame, row_id: str) -> DataFrame:
