@@ -259,11 +259,19 @@ def best_epoch(history: DataFrame, job: str, epoch: str, score: str, patience: i
     marked = cut.join(before, [job, "__chunk"]).withColumn(
         "__best", F.greatest(F.col("__before"), F.max(score).over(inside))
     )
-    improved = marked.where(F.col("__best").isNull() | (F.col(score) > F.col("__best"))).select(job, epoch, score)
+    improved = marked.where(F.col("__best").isNull() | (F.col(score) > F.col("__best"))).select(job, "__chunk", epoch, score)
     # The next improvement (or the end of the log) tells whether patience ran out after this one.
-    by_job = Window.partitionBy(job).orderBy(epoch)
+    firsts = improved.groupBy(job, "__chunk").agg(F.min(epoch).alias("__first"))
+    later = firsts.select(
+        job, "__chunk", F.lead("__first").over(Window.partitionBy(job).orderBy("__chunk")).alias("__later")
+    )
+    in_chunk = Window.partitionBy(job, "__chunk").orderBy(epoch)
     ends = history.groupBy(job).agg(F.max(epoch).alias("__last"))
-    steps = improved.withColumn("__next", F.lead(epoch).over(by_job)).join(ends, job)
+    steps = (
+        improved.join(later, [job, "__chunk"])
+        .withColumn("__next", F.coalesce(F.lead(epoch).over(in_chunk), F.col("__later")))
+        .join(ends, job)
+    )
     idle_until = F.coalesce(F.col("__next") - 1, F.col("__last"))
     stopped = idle_until - F.col(epoch) >= patience
     first_stop = F.min(F.when(stopped, F.struct(F.col(epoch).alias("e"), F.col(score).alias("s"))))

@@ -144,23 +144,14 @@ def average_text_shape(df: DataFrame, content: str, tokens: str, dimension: str)
 
 
 def preprocessing_statistics(df: DataFrame, content: str, tokens: str, features: str, label: str, source: str) -> DataFrame:
-    """One row: totals, averages and the per-source counts as a map."""
-    per_source = df.groupBy(source).agg(
-        F.count("*").alias("n"),
-        F.sum(F.octet_length(content)).alias("bytes"),
-        F.count(content).alias("texts"),
-        F.sum(F.size(tokens)).alias("tokens"),
-        F.count(tokens).alias("tokenized"),
-        F.count(features).alias("featured"),
-        F.count(label).alias("labeled"),
-    )
-    return per_source.agg(
-        F.sum("n").alias("total"),
-        (F.sum("bytes") / F.sum("texts")).alias("avg_text_length"),
-        (F.sum("tokens") / F.sum("tokenized")).alias("avg_token_count"),
-        F.sum("featured").alias("with_features"),
-        F.sum("labeled").alias("with_label"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(source), F.col("n"))))).alias("by_source"),
+    """Counts and averages per source, plus one row over all sources (source is null, is_total true)."""
+    return df.rollup(source).agg(
+        (F.grouping(source) == 1).alias("is_total"),
+        F.count("*").alias("total"),
+        F.avg(F.octet_length(content)).alias("avg_text_length"),
+        F.avg(F.size(tokens)).alias("avg_token_count"),
+        F.count(features).alias("with_features"),
+        F.count(label).alias("with_label"),
     )
 
 

@@ -158,15 +158,17 @@ def _(t):
 
 @query(
     "a5_preprocessing_statistics",
-    f"""WITH {fx.LABELED_SQL}, s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
-      SELECT count(*) AS total, round(avg(strlen(text)), 6) AS avg_text_length, round(avg(len({fx.tok('text')})), 6) AS avg_token_count,
-      count(label) AS with_label, (SELECT string_agg(source || '=' || n, '|' ORDER BY source) FROM s) AS by_source FROM labeled""",
+    f"""WITH {fx.LABELED_SQL} SELECT coalesce(source, 'all') AS source, grouping(source) = 1 AS is_total, count(*) AS total, round(avg(strlen(text)), 6) AS avg_text_length,
+      round(avg(len({fx.tok('text')})), 6) AS avg_token_count, count(n_chars) AS with_features, count(label) AS with_label FROM labeled GROUP BY ROLLUP (source)""",
 )
 def _(t):
     d = fx.labeled_texts(t).withColumn("tk", T.tokenize("text", lower=True))
     r = R.preprocessing_statistics(d, "text", "tk", "n_chars", "label", "source")
-    flat = F.array_join(F.array_sort(F.transform(F.map_entries("by_source"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
-    return r.select("total", F.round("avg_text_length", 6).alias("avg_text_length"), F.round("avg_token_count", 6).alias("avg_token_count"), "with_label", flat.alias("by_source"))
+    return (
+        r.withColumn("source", F.coalesce("source", F.lit("all")))
+        .withColumn("avg_text_length", F.round("avg_text_length", 6))
+        .withColumn("avg_token_count", F.round("avg_token_count", 6))
+    )
 
 
 @query("a6_job_averages", f"WITH {fx.JOBS_SQL} SELECT round(avg(duration), 4) AS avg_duration, round(avg(accuracy), 6) AS avg_accuracy FROM jobs")
