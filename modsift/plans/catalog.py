@@ -3,6 +3,7 @@
 from modsift.plans import (
     dataset_queries,
     feature_queries,
+    ml_queries,
     relational_queries,
     source_queries,
     text_queries,
