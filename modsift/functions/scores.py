@@ -86,7 +86,7 @@ def training_record_valid(q: Column | str, a: Column | str, quality: Column | st
 # --- quality ----------------------------------------------------------------------------
 def assess_readability(content: Column | str) -> Column:
     content = as_col(content)
-    sentences = T.java_split_count(content, V.FULL_WIDTH_SENTENCE_END)
+    sentences = T.count_pieces(content, V.FULL_WIDTH_SENTENCE_CHARS, runs=False)
     marks = content.rlike(f"[{V.READABLE_PUNCTUATION}]")
     return F.when(sentences.between(3, 20), 0.1).otherwise(0.0) + F.when(marks, 0.1).otherwise(0.0)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -19,6 +20,12 @@ _WIDE_BLANK_CHARS = (
 _CONTROL_CHARS = "".join(map(chr, range(0x21)))
 
 
+# The special-character class with \\w and \\s written out as single ASCII characters: the
+# regex engine then tests one bit set per character instead of a chain of classes.
+_WORD = string.digits + string.ascii_uppercase + "_" + string.ascii_lowercase
+_SPECIAL = V.SPECIAL_CHARS.replace("\\w", _WORD).replace("\\s", " \\t\\n\\x0B\\f\\r")
+
+
 def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -43,15 +50,50 @@ def count_class(c: Column | str, char_class: str) -> Column:
     return F.length(c) - F.length(F.regexp_replace(c, f"[{char_class}]+", ""))
 
 
-def java_split_count(c: Column | str, delimiter: str) -> Column:
-    """Pieces after splitting, trailing empty pieces dropped; the empty text is one piece."""
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``.
+
+    For expressions that mention a costly value several times, above all inside
+    lambdas and CASE branches, where Spark does not share it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def count_pieces(c: Column | str, delimiters: str, runs: bool) -> Column:
+    """Pieces left by splitting at delimiter characters (or runs of them).
+
+    Leading and inner empty pieces count, trailing ones do not; the empty text is one piece.
+    All delimiters are mapped to one character, so counting is plain string search.
+    """
+    mark = delimiters[0]
+
+    def count(text: Column) -> Column:
+        for other in delimiters[1:]:
+            text = F.replace(text, F.lit(other), F.lit(mark))
+        text = F.rtrim(text, F.lit(mark))
+        if runs:
+            text = F.regexp_replace(text, f"[{mark}]{{2,}}", mark)
+        return let(
+            text, lambda t: F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit(""))) + 1)
+        )
+
     c = as_col(c)
-    body = F.regexp_replace(c, f"(?:{delimiter})+$", "")
-    return (
-        F.when(c == "", F.lit(1))
-        .when(body == "", F.lit(0))
-        .otherwise(F.size(F.split(body, delimiter, -1)))
-    )
+    return F.when(c == "", 1).otherwise(count(c))
+
+
+def sentence_count(c: Column | str) -> Column:
+    return count_pieces(c, V.SENTENCE_END_CHARS, runs=True)
+
+
+def paragraph_count(c: Column | str) -> Column:
+    """Pieces between runs of two or more newlines, trailing empty pieces dropped."""
+    pair = F.lit("\n\n")
+
+    def count(t: Column) -> Column:
+        runs = ((F.length(t) - F.length(F.replace(t, pair, F.lit("")))) / 2).cast("int")
+        return F.when(t == pair, 0).otherwise(runs + 1 - F.endswith(t, pair).cast("int"))
+
+    return let(F.regexp_replace(as_col(c), V.PARAGRAPH_BREAK, "\n\n"), count)
 
 
 # --- blanks ----------------------------------------------------------------------
@@ -79,11 +121,11 @@ def strip_html(c: Column | str) -> Column:
 
 
 def remove_urls(c: Column | str) -> Column:
-    return F.regexp_replace(as_col(c), V.URL, "")
+    return let(as_col(c), lambda t: F.when(t.contains("://"), F.regexp_replace(t, V.URL, "")).otherwise(t))
 
 
 def remove_emails(c: Column | str) -> Column:
-    return F.regexp_replace(as_col(c), V.EMAIL, "")
+    return let(as_col(c), lambda t: F.when(t.contains("@"), F.regexp_replace(t, V.EMAIL, "")).otherwise(t))
 
 
 def remove_phones(c: Column | str) -> Column:
@@ -91,7 +133,7 @@ def remove_phones(c: Column | str) -> Column:
 
 
 def remove_special_chars(c: Column | str) -> Column:
-    return F.regexp_replace(as_col(c), V.SPECIAL_CHARS, " ")
+    return F.regexp_replace(as_col(c), _SPECIAL, " ")
 
 
 def normalize_whitespace(c: Column | str) -> Column:
@@ -124,13 +166,15 @@ def unescape_html4(c: Column | str) -> Column:
             F.coalesce(F.try_element_at(named, ref), ref)
         )
 
-    pieces = F.split(c, reference, -1)
-    refs = F.regexp_extract_all(c, F.lit(f"({reference})"), 1)
-    joined = F.array_join(
-        F.zip_with(pieces, F.transform(refs, decode_one), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))),
-        "",
-    )
-    return F.when(c.contains("&"), joined).otherwise(c)
+    def decode(text: Column) -> Column:
+        refs = F.regexp_extract_all(text, F.lit(f"({reference})"), 1)
+        joined = F.zip_with(
+            F.split(text, reference, -1), F.transform(refs, decode_one),
+            lambda piece, ref: F.concat(piece, F.coalesce(ref, F.lit(""))),
+        )
+        return F.when(text.contains("&"), F.array_join(joined, "")).otherwise(text)
+
+    return let(c, decode)
 
 
 CLEANING_STEPS = ("html", "urls", "emails", "phones", "special", "whitespace", "lower")
@@ -191,24 +235,26 @@ def collection_filter(c: Column | str, mode: str = "file", rules: list[str] | No
     if not rules:
         return F.lit(True)
     low, high, short, long_ = V.COLLECTION_LIMITS[mode]
-    text = trim_wide(c)
-    if mode == "api":
-        text = F.lower(text)
-    size = byte_length(text)
-    keep = (size >= low) & (size <= high)
-    if mode == "web":
-        keep = keep & ~is_only_numbers_or_symbols(text)
-    checks = {
-        "no_empty": text != "",
-        "no_short": size >= short,
-        "no_long": size <= long_,
-        "no_url": ~(text.contains("http://") | text.contains("https://")),
-        "no_email": ~(text.contains("@") & text.contains(".")),
-        "chinese_only": F.lit(True) if mode == "api" else contains_chinese(text),
-    }
-    for rule in rules:
-        keep = keep & checks.get(rule, F.lit(True))
-    return F.coalesce(keep, F.lit(False))
+    trimmed = F.lower(trim_wide(c)) if mode == "api" else trim_wide(c)
+
+    def keep(text: Column) -> Column:
+        size = byte_length(text)
+        checks = {
+            "no_empty": text != "",
+            "no_short": size >= short,
+            "no_long": size <= long_,
+            "no_url": ~(text.contains("http://") | text.contains("https://")),
+            "no_email": ~(text.contains("@") & text.contains(".")),
+            "chinese_only": F.lit(True) if mode == "api" else contains_chinese(text),
+        }
+        out = (size >= low) & (size <= high)
+        if mode == "web":
+            out = out & ~is_only_numbers_or_symbols(text)
+        for rule in rules:
+            out = out & checks.get(rule, F.lit(True))
+        return F.coalesce(out, F.lit(False))
+
+    return let(trimmed, keep)
 
 
 # --- language, domains, extraction -----------------------------------------------------------

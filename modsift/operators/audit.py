@@ -37,7 +37,7 @@ def audit_texts(df: DataFrame, scores: dict[str, tuple[Column, str]], threshold:
     values = F.transform("model_results", lambda r: r["score"])
     combined = F.array_max(values) if combine == "max" else F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
     # Highest score first, model name breaks ties.
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform("model_results", lambda r: F.struct((-r["score"]).alias("s"), r["model_name"].alias("m"), r["violation_type"].alias("v")))
     )
     out = out.withColumn("confidence", F.round(combined, 4).cast("decimal(5,4)")).withColumn("is_violation", combined >= threshold)

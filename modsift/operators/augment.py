@@ -34,15 +34,14 @@ def _picks(tokens: Column, rate: float) -> Column:
     return F.greatest(F.lit(1), F.floor(F.size(tokens) * rate)).cast("int")
 
 
-def _positions(tokens: Column) -> Column:
-    """1..n, or an empty array when there are no tokens."""
-    return F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens))).otherwise(F.array().cast("array<int>"))
+def _shuffled(tokens: Column, seed: Column, tag: str) -> Column:
+    """Structs (h, i, w) of the tokens in a random order; i is the 0-based place."""
+    keyed = F.transform(tokens, lambda w, i: F.struct(_draw(seed, tag, i).alias("h"), i.alias("i"), w.alias("w")))
+    return F.sort_array(keyed)
 
 
-def _by_hash(tokens: Column, seed: Column, tag: str) -> Column:
-    """Token positions in a random order."""
-    keyed = F.transform(_positions(tokens), lambda i: F.struct(_draw(seed, tag, i).alias("h"), i.alias("i")))
-    return F.transform(F.array_sort(keyed), lambda s: s["i"])
+def _words_in_place(structs: Column) -> Column:
+    return F.transform(F.sort_array(structs), lambda s: s["w"])
 
 
 # --- strategies over token arrays ---------------------------------------------------
@@ -50,14 +49,21 @@ def synonym_replace(tokens: Column, seed: Column, synonyms: dict[str, list[str]]
     """Pick max(1, n * rate) words; those with an entry become one of their synonyms."""
     synonyms = V.SYNONYMS if synonyms is None else synonyms
     table = F.create_map(*[x for w, s in synonyms.items() for x in (F.lit(w.lower()), F.array(*map(F.lit, s)))])
-    chosen = F.array_sort(F.slice(_by_hash(tokens, seed, "syn"), F.lit(1), _picks(tokens, rate)))
 
     def replace(word: Column, i: Column) -> Column:
         options = F.try_element_at(table, F.lower(word))
         pick = F.element_at(options, _below(F.size(options), seed, "which", i) + 1)
-        return F.when(options.isNotNull() & F.array_contains(chosen, i + 1), pick).otherwise(word)
+        return F.when(options.isNotNull(), pick).otherwise(word)
 
-    return F.transform(tokens, replace)
+    def body(bound: Column) -> Column:
+        k = bound["k"]
+        marked = F.transform(
+            bound["s"],
+            lambda s, r: F.struct(s["i"].alias("i"), F.when(r < k, replace(s["w"], s["i"])).otherwise(s["w"]).alias("w")),
+        )
+        return _words_in_place(marked)
+
+    return T.let(F.struct(_shuffled(tokens, seed, "syn").alias("s"), _picks(tokens, rate).alias("k")), body)
 
 
 def random_insert(tokens: Column, seed: Column, words: list[str] | None = None, rate: float = 0.1) -> Column:
@@ -72,32 +78,38 @@ def random_insert(tokens: Column, seed: Column, words: list[str] | None = None,
         ),
     )
     old = F.transform(tokens, lambda w, i: F.struct((i * 2 + 1).alias("at"), F.lit(0).alias("j"), w.alias("w")))
-    return F.transform(F.array_sort(F.concat(new, old)), lambda s: s["w"])
+    return _words_in_place(F.concat(new, old))
 
 
 def random_swap(tokens: Column, seed: Column, rate: float = 0.1) -> Column:
-    """Exchange max(1, n * rate) disjoint random pairs; fewer than two tokens stay as they are."""
-    order = _by_hash(tokens, seed, "swap")
-    limit = F.least(_picks(tokens, rate), F.floor(F.size(tokens) / 2).cast("int")) * 2
-    paired = F.transform(order, lambda i, r: F.struct(i.alias("i"), r.alias("r")))
-    heads = F.filter(paired, lambda p: (p["r"] % 2 == 0) & (p["r"] < limit))
-    tails = F.filter(paired, lambda p: (p["r"] % 2 == 1) & (p["r"] < limit))
-    rest = F.filter(paired, lambda p: p["r"] >= limit)
-    word = lambda i: F.element_at(tokens, i)
-    moved = F.concat(
-        F.zip_with(heads, tails, lambda a, b: F.struct(a["i"].alias("at"), word(b["i"]).alias("w"))),
-        F.zip_with(heads, tails, lambda a, b: F.struct(b["i"].alias("at"), word(a["i"]).alias("w"))),
-        F.transform(rest, lambda p: F.struct(p["i"].alias("at"), word(p["i"]).alias("w"))),
-    )
-    return F.when(F.size(tokens) < 2, tokens).otherwise(F.transform(F.array_sort(moved), lambda s: s["w"]))
+    """Exchange max(1, n * rate) disjoint random pairs; fewer than two tokens stay as they are.
+
+    In the shuffled order, the first k words trade places with the next k.
+    """
+    half = F.floor(F.size(tokens) / 2).cast("int")
+    bound = F.struct(_shuffled(tokens, seed, "swap").alias("s"), F.least(_picks(tokens, rate), half).alias("k"))
+
+    def body(b: Column) -> Column:
+        first, second = F.slice(b["s"], F.lit(1), b["k"]), F.slice(b["s"], b["k"] + 1, b["k"])
+        rest = F.slice(b["s"], b["k"] * 2 + 1, F.size(b["s"]))
+        placed = lambda at, w: F.struct(at["i"].alias("i"), w["w"].alias("w"))
+        return _words_in_place(
+            F.concat(
+                F.zip_with(first, second, placed),
+                F.zip_with(second, first, placed),
+                F.transform(rest, lambda s: placed(s, s)),
+            )
+        )
+
+    return F.when(F.size(tokens) < 2, tokens).otherwise(T.let(bound, body))
 
 
 def random_delete(tokens: Column, seed: Column, rate: float = 0.1) -> Column:
     """Drop max(1, n * rate) random words, always keeping at least one."""
     n = F.size(tokens)
-    kept = F.greatest(F.lit(1), n - _picks(tokens, rate))
-    places = F.array_sort(F.slice(_by_hash(tokens, seed, "del"), F.lit(1), F.greatest(kept, F.lit(1))))
-    return F.when(n <= 1, tokens).otherwise(F.transform(places, lambda i: F.element_at(tokens, i)))
+    kept = F.slice(_shuffled(tokens, seed, "del"), F.lit(1), F.greatest(F.lit(1), n - _picks(tokens, rate)))
+    in_place = F.transform(kept, lambda s: F.struct(s["i"].alias("i"), s["w"].alias("w")))
+    return F.when(n <= 1, tokens).otherwise(_words_in_place(in_place))
 
 
 def pseudo_back_translation(tokens: Column, seed: Column, synonyms: dict[str, list[str]] | None = None) -> Column:
@@ -109,7 +121,8 @@ def pseudo_back_translation(tokens: Column, seed: Column, synonyms: dict[str, li
         lambda w, i: F.when(i == at, F.get(tokens, at + 1)).when(i == at + 1, F.get(tokens, at)).otherwise(w),
     )
     first = F.when((n >= 2) & _chance(0.3, seed, "bt-swap"), swapped).otherwise(tokens)
-    return F.when((n >= 2) & _chance(0.2, seed, "bt-syn"), synonym_replace(first, seed, synonyms)).otherwise(first)
+    replaced = T.let(first, lambda words: synonym_replace(words, seed, synonyms))
+    return F.when((n >= 2) & _chance(0.2, seed, "bt-syn"), replaced).otherwise(first)
 
 
 def noise_injection(text: Column, seed: Column) -> Column:
@@ -179,7 +192,7 @@ def noise_augment(df: DataFrame, row_id: str, text: str, n: int = 1, seed: int =
 def batch_augment(df: DataFrame, row_id: str, text: str, n: int = 3, seed: int = 42, **options) -> DataFrame:
     """(key 'text_<id>', list of copies); texts that gave no copy have an empty list."""
     made = augment(df, row_id, text, n, seed=seed, **options)
-    lists = made.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("copy", "augmented"))).alias("__l"))
+    lists = made.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("copy", "augmented"))).alias("__l"))
     texts = F.transform("__l", lambda x: x["augmented"])
     return df.select(row_id).join(lists, row_id, "left").select(
         F.concat(F.lit("text_"), row_id).alias("key"), F.coalesce(texts, F.array().cast("array<string>")).alias("augmented")

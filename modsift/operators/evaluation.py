@@ -110,7 +110,7 @@ def _cluster_parts(df: DataFrame, features: str, label: str) -> DataFrame:
     )
     return dims.groupBy("cluster").agg(
         F.max("n").alias("size"),
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda e: e["mean"]).alias("centroid"),
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "mean"))), lambda e: e["mean"]).alias("centroid"),
         F.sum("sq").alias("sq_norms"),
     )
 
@@ -174,7 +174,7 @@ def cluster_indices(df: DataFrame, features: str, label: str) -> DataFrame:
     )
     whole = (
         parts.join(spread, "cluster")
-        .agg(F.array_sort(F.collect_list(F.struct("cluster", "size", "centroid", "sq_norms", "scatter"))).alias("c"))
+        .agg(F.sort_array(F.collect_list(F.struct("cluster", "size", "centroid", "sq_norms", "scatter"))).alias("c"))
         .withColumn("n", F.aggregate("c", F.lit(0).cast("long"), lambda acc, x: acc + x["size"]))
         .withColumn("k", F.size("c"))
         .withColumn(

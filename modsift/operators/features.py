@@ -58,7 +58,7 @@ def remove_stop_words(df: DataFrame, tokens: str, stop_words: DataFrame, out: st
         keyed.select("__row", F.posexplode(tokens).alias("__p", "__t"))
         .join(lowered, F.lower("__t") == F.col("__w"), "left_anti")
         .groupBy("__row")
-        .agg(F.array_sort(F.collect_list(F.struct("__p", "__t"))).alias("__kept"))
+        .agg(F.sort_array(F.collect_list(F.struct("__p", "__t"))).alias("__kept"))
     )
     return (
         keyed.join(kept, "__row", "left")
@@ -98,35 +98,57 @@ def token_quality(df: DataFrame, tokens: str) -> DataFrame:
 
 
 # --- feature groups ------------------------------------------------------------------------
-def statistical_struct(text: Column | str, tokens: Column | str) -> Column:
-    text, tokens = as_col(text), as_col(tokens)
-    n = T.utf16_length(text)
-    words = F.size(tokens)
-    sentences = T.java_split_count(text, V.SENTENCE_END)
-    upper = T.count_class(text, "\\p{IsUppercase}")
-    lower = T.count_class(text, "\\p{IsLowercase}")
-    digits = T.count_class(text, "\\d")
-    blanks = T.count_class(text, "\\s")
+def text_counts(text: Column | str) -> Column:
+    """Character and piece counts every feature group starts from.
+
+    Lower-case ASCII letters are taken out first; all other classes are counted on the
+    much shorter rest.  Cased letters outside the basic plane do not count as cased.
+    """
+    text = as_col(text)
+    basic = "&&[^\\x{10000}-\\x{10FFFF}]"
+
+    def counts(rest: Column) -> Column:
+        removed = F.length(text) - F.length(rest)
+        return F.struct(
+            T.utf16_length(text).alias("chars"),
+            T.sentence_count(text).alias("sentences"),
+            T.paragraph_count(text).alias("paragraphs"),
+            T.count_class(rest, "\\p{Punct}").alias("punctuation"),
+            T.count_class(rest, "\\d").alias("digits"),
+            T.count_class(rest, "\\p{IsUppercase}" + basic).alias("upper"),
+            (removed + T.count_class(rest, "\\p{IsLowercase}" + basic)).alias("lower"),
+            T.count_class(rest, "\\s").alias("blanks"),
+            T.count_class(rest, V.HAN_NARROW).alias("han"),
+            (removed + T.count_class(rest, "A-Z")).alias("latin"),
+        )
+
+    return T.let(F.regexp_replace(text, "[a-z]+", ""), counts)
+
+
+def statistical_from(counts: Column, tokens: Column | str) -> Column:
+    tokens = as_col(tokens)
+    n, words = counts["chars"], F.size(tokens)
     return F.struct(
         n.alias("text_length"),
         words.alias("word_count"),
-        sentences.alias("sentence_count"),
-        T.java_split_count(text, V.PARAGRAPH_BREAK).alias("paragraph_count"),
+        counts["sentences"].alias("sentence_count"),
+        counts["paragraphs"].alias("paragraph_count"),
         T.mean_length(tokens).alias("avg_word_length"),
-        S.ratio(n, sentences).alias("avg_sentence_length"),
-        T.count_class(text, "\\p{Punct}").alias("punctuation_count"),
-        digits.alias("digit_count"),
-        upper.alias("uppercase_count"),
-        lower.alias("lowercase_count"),
-        blanks.alias("whitespace_count"),
-        (n - upper - lower - digits - blanks).alias("special_char_count"),
+        S.ratio(n, counts["sentences"]).alias("avg_sentence_length"),
+        counts["punctuation"].alias("punctuation_count"),
+        counts["digits"].alias("digit_count"),
+        counts["upper"].alias("uppercase_count"),
+        counts["lower"].alias("lowercase_count"),
+        counts["blanks"].alias("whitespace_count"),
+        (n - counts["upper"] - counts["lower"] - counts["digits"] - counts["blanks"]).alias("special_char_count"),
         S.ratio(words, n).alias("lexical_density"),
         S.ratio(F.size(F.array_distinct(tokens)), words).alias("type_token_ratio"),
     )
 
 
 def statistical_features(df: DataFrame, text: str, tokens: str) -> DataFrame:
-    return df.withColumn("statistical", statistical_struct(text, tokens))
+    counted = df.withColumn("__counts", text_counts(text))
+    return counted.withColumn("statistical", statistical_from(F.col("__counts"), tokens)).drop("__counts")
 
 
 def _sentiment_from_counts(positive: Column, negative: Column, total_tokens: Column) -> Column:
@@ -209,9 +231,8 @@ def complexity_score(filtered: Column | str) -> Column:
     ).otherwise(F.lit(0.0))
 
 
-def readability_score(text: Column | str, filtered: Column | str) -> Column:
+def readability_from(sentences: Column, filtered: Column | str) -> Column:
     filtered = as_col(filtered)
-    sentences = T.java_split_count(text, V.SENTENCE_END)
     n = F.size(filtered)
     raw = 1.0 / (1.0 + 0.1 * (n / sentences) + 0.05 * T.mean_length(filtered))
     return F.when((sentences > 0) & (n > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))).otherwise(
@@ -219,29 +240,33 @@ def readability_score(text: Column | str, filtered: Column | str) -> Column:
     )
 
 
-def language_struct(text: Column | str, filtered: Column | str, sensitive: list[str] | None = None) -> Column:
-    text, filtered = as_col(text), as_col(filtered)
+def readability_score(text: Column | str, filtered: Column | str) -> Column:
+    return T.let(T.sentence_count(text), lambda sentences: readability_from(sentences, filtered))
+
+
+def language_from(counts: Column, filtered: Column | str, sensitive: list[str] | None = None) -> Column:
+    filtered = as_col(filtered)
     sensitive = V.SENSITIVE_WORDS if sensitive is None else sensitive
-    n = T.utf16_length(text)
-    zh = S.ratio(T.count_class(text, V.HAN_NARROW), n)
-    en = S.ratio(T.count_class(text, "a-zA-Z"), n)
+    n = counts["chars"]
+    zh, en = S.ratio(counts["han"], n), S.ratio(counts["latin"], n)
     hits = T.count_words(filtered, sensitive)
     return F.struct(
         zh.alias("chinese_ratio"),
         en.alias("english_ratio"),
-        S.ratio(T.count_class(text, "\\d"), n).alias("digit_ratio"),
-        S.ratio(T.count_class(text, "\\p{Punct}"), n).alias("punctuation_ratio"),
+        S.ratio(counts["digits"], n).alias("digit_ratio"),
+        S.ratio(counts["punctuation"], n).alias("punctuation_ratio"),
         F.when(zh > en, "zh").otherwise("en").alias("language"),
         F.greatest(zh, en).alias("language_confidence"),
         complexity_score(filtered).alias("complexity"),
-        readability_score(text, filtered).alias("readability"),
+        readability_from(counts["sentences"], filtered).alias("readability"),
         (hits > 0).alias("has_sensitive_words"),
         hits.alias("sensitive_words"),
     )
 
 
 def language_features(df: DataFrame, text: str, filtered: str, sensitive: list[str] | None = None) -> DataFrame:
-    return df.withColumn("language", language_struct(text, filtered, sensitive))
+    counted = df.withColumn("__counts", text_counts(text))
+    return counted.withColumn("language", language_from(F.col("__counts"), filtered, sensitive)).drop("__counts")
 
 
 def ngram_features(df: DataFrame, row_id: str, tokens: str, n: int = 2, max_features: int = 1000) -> DataFrame:
@@ -288,10 +313,13 @@ def process_texts(
     ok = F.col("success")
     out = out.withColumn("tokens", F.when(ok, T.tokenize("cleaned", lower=lower)))
     out = out.withColumn("filtered_tokens", F.when(ok, T.drop_words("tokens", stop_words)))
+    # Counted once; the feature groups below only combine numbers.
+    out = out.withColumn("__counts", F.when(ok, text_counts("cleaned")))
+    counts = F.col("__counts")
     return (
-        out.withColumn("statistical", F.when(ok, statistical_struct("cleaned", "tokens")))
+        out.withColumn("statistical", F.when(ok, statistical_from(counts, "tokens")))
         .withColumn("sentiment", F.when(ok, sentiment_struct("filtered_tokens", positive, negative)))
-        .withColumn("language", F.when(ok, language_struct("cleaned", "filtered_tokens", sensitive)))
+        .withColumn("language", F.when(ok, language_from(counts, "filtered_tokens", sensitive)))
         .withColumn(
             "processing_metadata",
             F.struct(
@@ -302,6 +330,7 @@ def process_texts(
                 S.reduction_ratio(text, "cleaned").alias("reduction_ratio"),
             ),
         )
+        .drop("__counts")
     )
 
 

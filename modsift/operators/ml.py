@@ -21,6 +21,7 @@ from pyspark.ml.feature import PCA, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
+from pyspark.storagelevel import StorageLevel
 from pyspark.sql import functions as F
 
 from modsift.operators.evaluation import classification_metrics
@@ -103,7 +104,12 @@ def train(algorithm: str, train_rows: DataFrame, **parameters) -> PipelineModel:
     name = algorithm.upper()
     if name not in makers:
         raise ValueError(f"unknown algorithm {algorithm}; known: {sorted(makers)}")
-    return Pipeline(stages=[makers[name](**parameters)]).fit(train_rows)
+    # Fitting passes over its input many times; keep just the two columns it reads, spilling to disk.
+    data = train_rows.select(*[c for c in (FEATURES, LABEL) if c in train_rows.columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=[makers[name](**parameters)]).fit(data)
+    finally:
+        data.unpersist()
 
 
 def train_job(df: DataFrame, columns: list[str], label: str, split: str, algorithm: str, job: str, model_path: str | None = None, **parameters) -> tuple[PipelineModel, DataFrame]:
@@ -138,7 +144,7 @@ def reconstruction_error(df: DataFrame, keep: list[str], k: int = 64) -> DataFra
     """
     model = PCA(k=k, inputCol=FEATURES, outputCol="__pc").fit(df)
     values = df.select(F.posexplode(vector_to_array(FEATURES)).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
-    mean = values.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("mean")).scalar()
+    mean = values.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("mean")).scalar()
     centred = df.withColumn("__mean", mean).withColumn(
         "__c", F.zip_with(vector_to_array(FEATURES), "__mean", lambda x, m: x - m)
     )
@@ -166,6 +172,7 @@ def doc_embedding(df: DataFrame, tokens: str, dim: int = 100, window: int = 5, m
 def cross_validate(rows: DataFrame, row_id: str, algorithm: str, folds: int = 5, seed: int = SEED, **parameters) -> DataFrame:
     """One metric row per fold; folds come from a hash of the id, so they never change with partitioning."""
     cut = rows.withColumn("fold", F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(folds)).cast("int"))
+    cut = cut.select(FEATURES, LABEL, "fold").persist(StorageLevel.MEMORY_AND_DISK)  # read by every fold
     results = []
     for fold in range(folds):
         model = train(algorithm, cut.where(F.col("fold") != fold), **parameters)
@@ -185,7 +192,11 @@ def hyperparameter_grid(rows: DataFrame, estimator: Estimator, grid: dict[str, l
         else MulticlassClassificationEvaluator(labelCol=LABEL, metricName=metric)
     )
     search = TrainValidationSplit(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, trainRatio=train_ratio, parallelism=parallelism, seed=SEED)
-    fitted = search.fit(rows)
+    data = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = search.fit(data)
+    finally:
+        data.unpersist()
     scores = [
         ({p.name: str(v) for p, v in m.items()}, float(score)) for m, score in zip(maps, fitted.validationMetrics)
     ]

@@ -73,8 +73,8 @@ def _(t):
 def _(t):
     return t.documents.select(
         "doc_id",
-        T.java_split_count("text", X.V.SENTENCE_END).alias("sentences"),
-        T.java_split_count("text", X.V.PARAGRAPH_BREAK).alias("paragraphs"),
+        T.sentence_count("text").alias("sentences"),
+        T.paragraph_count("text").alias("paragraphs"),
     )
 
 
@@ -282,7 +282,7 @@ def _(t):
 def _(t):
     d = kept_tokens(t)
     top = C.tfidf(d, "doc_id", "k", C.idf_table(d, "k"), 5).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("ranked")
+        F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("ranked")
     )
     keywords = F.array_join(F.transform("ranked", lambda x: x["term"]), " ")
     return t.documents.join(top, "doc_id", "left").select(

@@ -322,7 +322,7 @@ def _(t):
     d = d.withColumn("k", T.drop_words("tk", STOP))
     return X.token_counts(d, "tk", "k").select(
         "doc_id", "total_tokens", "filtered_token_count", "unique_tokens", "unique_filtered_tokens",
-        F.array_join(F.array_sort("removed_tokens"), " ").alias("removed"),
+        F.array_join(F.sort_array("removed_tokens"), " ").alias("removed"),
     )
 
 

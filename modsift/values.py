@@ -12,8 +12,8 @@ WHITESPACE = r"\s+"
 # --- fixed values: character classes -----------------------------------------
 HAN_NARROW = "一-龥"   # features and cleaning
 HAN_WIDE = "一-鿿"     # filters and language detection
-SENTENCE_END = "[.!?。！？]+"
-FULL_WIDTH_SENTENCE_END = "[。！？]"
+SENTENCE_END_CHARS = ".!?。！？"
+FULL_WIDTH_SENTENCE_CHARS = "。！？"
 PARAGRAPH_BREAK = "\n\n+"
 READABLE_PUNCTUATION = "，。！？；：\"\"''（）【】"
 MENTION = "@[一-龥\\w]+"
