@@ -379,6 +379,34 @@ def mean_length(tokens: Column | str) -> Column:
     return F.when(F.size(tokens) > 0, total_length(tokens) / F.size(tokens)).otherwise(F.lit(0.0))
 
 
+def run_lengths(tokens: Column | str) -> Column:
+    """Distinct tokens of one row with their counts: array of (term, n), terms ascending.
+
+    Sorting inside the row replaces a shuffle by (row, term).
+    """
+
+    def runs(t: Column) -> Column:
+        n = F.size(t)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        return let(
+            F.struct(t.alias("t"), starts.alias("s")),
+            lambda b: F.zip_with(
+                b["s"],
+                F.concat(F.slice(b["s"], F.lit(2), F.size(b["s"])), F.array(F.size(b["t"]))),
+                lambda x, y: F.struct(F.get(b["t"], x).alias("term"), (y - x).alias("n")),
+            ),
+        )
+
+    tokens = as_col(tokens)
+    empty = F.array().cast("array<struct<term:string,n:int>>")
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs)).otherwise(empty)
+
+
+def top_counts(counts: Column, n: int) -> Column:
+    """The n most frequent of ``run_lengths``, ties by term: array of (neg, term), neg the negated count."""
+    return F.slice(F.sort_array(F.transform(counts, lambda c: F.struct((-c["n"]).alias("neg"), c["term"].alias("term")))), 1, n)
+
+
 def ngrams(tokens: Column | str, n: int, sep: str = "_") -> Column:
     """All 1..n-grams of a token array as joined keys, in order of length then place."""
     tokens = as_col(tokens)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from modsift import values as V
 from modsift.functions import text as T
+from modsift.operators.scale import compute_once
 
 STRATEGIES = ("synonym_replace", "random_insert", "random_swap", "random_delete")
 MAX_COPIES = 5
@@ -158,7 +159,7 @@ def augment(
     if unknown:
         raise ValueError(f"unknown strategies: {sorted(unknown)}")
     n = min(n, MAX_COPIES)
-    tokens = df.withColumn("__tokens", T.simple_tokenize(text)).where(F.size("__tokens") > 0)
+    tokens = compute_once(df.select(row_id, text), "__tokens", T.simple_tokenize(text)).where(F.size("__tokens") > 0)
     rows = _copies(tokens.select(row_id, text, "__tokens"), row_id, n, seed)
     names = F.array(*map(F.lit, strategies)) if strategies else F.array(F.lit("none"))
     rows = rows.withColumn("strategy", F.element_at(names, _below(max(len(strategies), 1), F.col("__seed"), "strategy") + 1))
@@ -172,20 +173,20 @@ def augment(
     out = w
     for name in strategies:
         out = F.when(F.col("strategy") == name, made[name]).otherwise(out)
-    rows = rows.withColumn("augmented", F.array_join(out, " "))
+    rows = compute_once(rows, "augmented", F.array_join(out, " "))
     return rows.where(F.col("augmented") != F.col(text)).select(row_id, "copy", "strategy", "augmented")
 
 
 def back_translation_augment(df: DataFrame, row_id: str, text: str, n: int = 1, seed: int = 42, synonyms=None) -> DataFrame:
-    rows = _copies(df.withColumn("__tokens", T.simple_tokenize(text)).select(row_id, text, "__tokens"), row_id, n, seed)
+    rows = _copies(compute_once(df.select(row_id, text), "__tokens", T.simple_tokenize(text)), row_id, n, seed)
     made = F.array_join(pseudo_back_translation(F.col("__tokens"), F.col("__seed"), synonyms), " ")
     made = F.when(F.size("__tokens") < 2, F.col(text)).otherwise(made)
-    return rows.withColumn("augmented", made).where(F.col("augmented") != F.col(text)).select(row_id, "copy", "augmented")
+    return compute_once(rows, "augmented", made).where(F.col("augmented") != F.col(text)).select(row_id, "copy", "augmented")
 
 
 def noise_augment(df: DataFrame, row_id: str, text: str, n: int = 1, seed: int = 42) -> DataFrame:
     rows = _copies(df.select(row_id, text), row_id, n, seed)
-    rows = rows.withColumn("augmented", noise_injection(F.col(text), F.col("__seed")))
+    rows = compute_once(rows, "augmented", noise_injection(F.col(text), F.col("__seed")))
     return rows.where(F.col("augmented") != F.col(text)).select(row_id, "copy", "augmented")
 
 

@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modsift.functions import text as T
-from modsift.operators.scale import join_counted_keys, top_n_per_key
+from modsift.operators.scale import compute_once, join_counted_keys, top_n_per_key
 
 
-def term_counts(docs: DataFrame, row_id: str, tokens: str) -> DataFrame:
-    """(row, term, tf): counted inside each task before the shuffle."""
-    return (
-        docs.select(row_id, F.explode(tokens).alias("term")).groupBy(row_id, "term").agg(F.count("*").alias("tf"))
+def term_counts(docs: DataFrame, row_id: str, tokens: str, *keep: str) -> DataFrame:
+    """(row, term, tf): counted inside the row, so nothing is shuffled yet."""
+    counted = compute_once(docs.select(row_id, *keep, F.size(tokens).alias("n_tokens"), tokens), "__tf", T.run_lengths(tokens))
+    return counted.select(row_id, *keep, "n_tokens", F.explode("__tf").alias("t")).select(
+        row_id, *keep, "n_tokens", F.col("t.term").alias("term"), F.col("t.n").cast("long").alias("tf")
     )
 
 
 def idf_table(docs: DataFrame, tokens: str) -> DataFrame:
     """(term, df, idf) with idf = ln(N / df) over all documents."""
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
+    distinct = compute_once(docs.select(tokens), "__d", F.array_distinct(tokens))
     return (
-        docs.select(F.explode(F.array_distinct(tokens)).alias("term"))
+        distinct.select(F.explode("__d").alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("df"))
         .withColumn("idf", F.log(n_docs / F.col("df")))
@@ -30,14 +32,10 @@ def idf_table(docs: DataFrame, tokens: str) -> DataFrame:
 def tfidf(docs: DataFrame, row_id: str, tokens: str, idf: DataFrame, max_features: int = 1000) -> DataFrame:
     """Top terms per row by tf-idf, long form (row, term, tfidf, rank); ties by term.
 
-    The term join is skewed by nature (common words are in most rows), so frequent
-    terms join through a broadcast whose size is bounded by counting and the
-    rest shuffles; see ``join_counted_keys``.
+    The term join is skewed by nature (common words are in most rows); see
+    ``join_counted_keys``.  The texts are read twice in all: for the idf table and here.
     """
-    counts = docs.select(
-        row_id, F.size(tokens).alias("n_tokens"), F.explode(tokens).alias("term")
-    ).groupBy(row_id, "n_tokens", "term").agg(F.count("*").alias("tf"))
-    scored = join_counted_keys(counts, idf, "term", "df").select(
+    scored = join_counted_keys(term_counts(docs, row_id, tokens), idf, "term", "df").select(
         row_id, "term", (F.col("tf") / F.col("n_tokens") * F.col("idf")).alias("tfidf")
     )
     by_score = [F.desc(F.round("tfidf", 12)), F.asc("term")]
@@ -75,13 +73,9 @@ def vocabulary_build(docs: DataFrame, row_id: str, tokens: str, language: str) -
     Words are counted per document first, so one word costs one row per document.
     """
     n_docs = docs.groupBy(F.col(language).alias("language")).agg(F.count("*").alias("__n"))
-    per_doc = (
-        docs.select(F.col(language).alias("language"), F.col(row_id).alias("__d"), F.explode(tokens).alias("word"))
-        .groupBy("language", "__d", "word")
-        .agg(F.count("*").alias("__c"))
-    )
-    words = per_doc.groupBy("word", "language").agg(
-        F.sum("__c").alias("frequency"), F.count("*").alias("doc_count")
+    per_doc = term_counts(docs.withColumn("language", F.col(language)), row_id, tokens, "language")
+    words = per_doc.groupBy(F.col("term").alias("word"), "language").agg(
+        F.sum("tf").alias("frequency"), F.count("*").alias("doc_count")
     )
     return words.join(n_docs, "language").select(
         "word",
@@ -117,7 +111,7 @@ def vocabulary_index(
     if ngram_max > 1:
         tokens = T.ngrams(tokens, ngram_max)
     top = (
-        docs.select(F.explode(tokens).alias("term"))
+        compute_once(docs.select(text), "__t", tokens).select(F.explode("__t").alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("frequency"))
         .where(F.col("frequency") >= min_word_freq)
@@ -130,7 +124,8 @@ def vocabulary_index(
 
 def first_seen_words(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     """(word, first_row, first_pos): where each lower-case blank-separated word appears first."""
-    words = docs.select(row_id, F.posexplode(F.split(F.lower(T.trim_control(text)), "\\s+")).alias("pos", "word"))
+    split = compute_once(docs.select(row_id, text), "__w", F.split(F.lower(T.trim_control(text)), "\\s+"))
+    words = split.select(row_id, F.posexplode("__w").alias("pos", "word"))
     return (
         words.where(F.col("word") != "")
         .groupBy("word")

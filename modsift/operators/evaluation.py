@@ -83,7 +83,7 @@ def auc_roc(df: DataFrame, score: str, label: str) -> DataFrame:
     )
     ran = cumulative(per_score, [], "s", {"neg_below": "neg", "pos_below": "pos"})
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
-    return ran.agg((wins / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return ran.agg(F.try_divide(wins, F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, by: list[str] | None = None) -> DataFrame:
@@ -93,7 +93,7 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: list[str]
         mse.alias("mse"),
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(mse).alias("rmse"),
-        (1 - F.sum(err * err) / (F.var_pop(actual) * F.count(actual))).alias("r2"),
+        (1 - F.try_divide(F.sum(err * err), F.var_pop(actual) * F.count(actual))).alias("r2"),
         F.pow(F.corr(actual, predicted), 2).alias("squared_correlation"),
     )
 
@@ -199,7 +199,7 @@ def cluster_indices(df: DataFrame, features: str, label: str) -> DataFrame:
                 lambda x: F.array_max(
                     F.transform(
                         F.filter("c", lambda y: y["cluster"] != x["cluster"]),
-                        lambda y: (x["scatter"] + y["scatter"]) / F.sqrt(_sq_distance(x["centroid"], y["centroid"])),
+                        lambda y: F.try_divide(x["scatter"] + y["scatter"], F.sqrt(_sq_distance(x["centroid"], y["centroid"]))),
                     )
                 ),
             ),
@@ -210,7 +210,7 @@ def cluster_indices(df: DataFrame, features: str, label: str) -> DataFrame:
         "n",
         "k",
         "wcss",
-        ((F.col("between") / (k - 1)) / (F.col("wcss") / (n - k))).alias("calinski_harabasz"),
+        F.try_divide(F.col("between") * (n - k), F.col("wcss") * (k - 1)).alias("calinski_harabasz"),
         (F.aggregate("worst", F.lit(0.0), lambda acc, x: acc + x) / k).alias("davies_bouldin"),
     )
 

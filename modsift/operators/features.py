@@ -9,7 +9,7 @@ from modsift import values as V
 from modsift.functions import scores as S
 from modsift.functions import text as T
 from modsift.functions.text import as_col
-from modsift.operators.scale import bounded_values
+from modsift.operators.scale import bounded_values, compute_once
 
 LEXICON_LITERAL_LIMIT = 5000
 
@@ -270,15 +270,15 @@ def language_features(df: DataFrame, text: str, filtered: str, sensitive: list[s
 
 
 def ngram_features(df: DataFrame, row_id: str, tokens: str, n: int = 2, max_features: int = 1000) -> DataFrame:
-    """Top n-gram counts per row in long form (row, ngram, count, rank); ties by ngram."""
-    from modsift.operators.scale import top_n_per_key
+    """Top n-gram counts per row in long form (row, ngram, count, rank); ties by ngram.
 
-    counted = (
-        df.select(row_id, F.explode(T.ngrams(tokens, n)).alias("ngram"))
-        .groupBy(row_id, "ngram")
-        .agg(F.count("*").alias("ngram_count"))
+    Counting and ranking stay inside the row: no shuffle.
+    """
+    top = T.top_counts(T.run_lengths(T.ngrams(tokens, n)), max_features)
+    rows = compute_once(df.select(row_id, tokens), "__top", top).select(row_id, F.posexplode("__top").alias("p", "g"))
+    return rows.select(
+        row_id, F.col("g.term").alias("ngram"), (-F.col("g.neg")).cast("long").alias("ngram_count"), (F.col("p") + 1).alias("rank")
     )
-    return top_n_per_key(counted, [row_id], [F.desc("ngram_count"), F.asc("ngram")], max_features)
 
 
 def feature_dimension(tfidf: Column | str, embedding: Column | str, grams: Column | str) -> Column:
@@ -308,13 +308,13 @@ def process_texts(
     Rows that fail the gate keep success=false and null features.
     """
     stop_words = V.STOP_WORDS if stop_words is None else stop_words
-    out = df.withColumn("cleaned", T.clean_text(text, steps))
+    out = compute_once(df, "cleaned", T.clean_text(text, steps))
     out = processed_length_gate(out, "cleaned")
     ok = F.col("success")
-    out = out.withColumn("tokens", F.when(ok, T.tokenize("cleaned", lower=lower)))
-    out = out.withColumn("filtered_tokens", F.when(ok, T.drop_words("tokens", stop_words)))
+    out = compute_once(out, "tokens", F.when(ok, T.tokenize("cleaned", lower=lower)))
+    out = compute_once(out, "filtered_tokens", F.when(ok, T.drop_words("tokens", stop_words)))
     # Counted once; the feature groups below only combine numbers.
-    out = out.withColumn("__counts", F.when(ok, text_counts("cleaned")))
+    out = compute_once(out, "__counts", F.when(ok, text_counts("cleaned")))
     counts = F.col("__counts")
     return (
         out.withColumn("statistical", F.when(ok, statistical_from(counts, "tokens")))

@@ -101,7 +101,7 @@ def parse_training_log(lines: DataFrame, line: str = "line") -> DataFrame:
 
     number = r"([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
     return (
-        lines.withColumn("epoch", after("Epoch", r"(\d+)/\S*").cast("int"))
-        .withColumn("loss", after("loss", number).cast("double"))
-        .withColumn("learning_rate", after("learning_rate", number).cast("double"))
+        lines.withColumn("epoch", after("Epoch", r"(\d+)/\S*").try_cast("int"))
+        .withColumn("loss", after("loss", number).try_cast("double"))
+        .withColumn("learning_rate", after("learning_rate", number).try_cast("double"))
     )

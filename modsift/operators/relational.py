@@ -290,7 +290,7 @@ def page_after(df: DataFrame, ts: str, row_id: str, last_ts, last_id, limit: int
 
 
 def slowest_processing(df: DataFrame, metadata: str, path: str, row_id: str, k: int) -> DataFrame:
-    took = F.get_json_object(metadata, path).cast("decimal(20,4)")
+    took = F.get_json_object(metadata, path).try_cast("decimal(20,4)")
     return df.withColumn("processing_time", took).where("processing_time IS NOT NULL").orderBy(
         F.desc("processing_time"), F.asc(row_id)
     ).limit(k)

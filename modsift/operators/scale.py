@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modsift.session import ensure_checkpoint_dir
+
 PIECES = 64
 HOT_KEYS = 2000
 
@@ -18,6 +20,35 @@ def row_hash_pieces(columns: list[str], pieces: int = PIECES) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(pieces)).cast("int")
 
 
+# --- small inputs ---------------------------------------------------------------------
+def spread_small(df: DataFrame, *keys: str, per_core: int = 64 << 20) -> DataFrame:
+    """Hash a small scan over all cores before per-row text work.
+
+    A file with a single row group is one task, whatever the cluster.  Only scans
+    estimated below ``per_core`` bytes per core are moved; larger ones have splits
+    enough and stay where they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, *keys) if size < cores * per_core else df
+
+
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and explodes reuse instead of recomputing.
+
+    Catalyst moves a filter on a computed column below the projection and repeats the
+    expression there; a one-element generator is a boundary it does not cross.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.explode_outer(F.array(value)).alias(name))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Materialize a summary table that several later steps read (reliable checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 # --- one row per key ---------------------------------------------------------------
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of every key.
@@ -195,20 +226,30 @@ def join_counted_keys(
 ) -> DataFrame:
     """Join many facts to one row per key when a few keys carry most facts.
 
-    ``frequency`` in ``keyed`` bounds how many facts each key has.  Keys above
+    ``frequency`` in ``keyed`` says how many facts each key has.  Keys above
     total/hot_keys are at most ``hot_keys`` in number by counting, so that part is
-    safe to broadcast whatever the data size; every other key is light and shuffles.
+    safe to broadcast whatever the data size.  The facts are read once: those that
+    found their key in the broadcast get a salt instead of the key and spread evenly
+    over the shuffle that serves all other, light keys.
     """
     if how not in ("inner", "left"):
         raise ValueError("how is 'inner' or 'left'")
+    keyed = stored(keyed)
     total = keyed.agg(F.sum(frequency).alias("t")).scalar()
-    marked = keyed.withColumn("__hot", F.col(frequency) * hot_keys > total)
-    hot = marked.where("__hot").drop("__hot")
-    cold = marked.where(~F.col("__hot")).drop("__hot")
-    hot_side = facts.join(F.broadcast(hot), key, "inner")
-    cold_facts = facts.join(F.broadcast(hot.select(key)), key, "left_anti")
-    cold_side = cold_facts.join(cold, key, how)
-    return hot_side.unionByName(cold_side)
+    payload = [c for c in keyed.columns if c != key]
+    is_hot = F.col(frequency) * hot_keys > total
+    hot = keyed.where(is_hot).select(key, F.struct(*payload).alias("__hot"))
+    cold = keyed.where(~is_hot).select(F.col(key).alias("__key"), F.lit(0).alias("__salt"), F.struct(*payload).alias("__cold"))
+    found = facts.join(F.broadcast(hot), key, "left")
+    spread = F.hash(*[c for c, t in facts.dtypes if not t.startswith("map")])
+    routed = found.withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key))).withColumn(
+        "__salt", F.when(F.col("__hot").isNull(), 0).otherwise(spread)
+    )
+    joined = routed.join(cold, ["__key", "__salt"], "left")
+    result = joined.withColumn("__found", F.coalesce("__hot", "__cold"))
+    if how == "inner":
+        result = result.where(F.col("__found").isNotNull())
+    return result.select(*facts.columns, "__found.*")
 
 
 def bounded_values(df: DataFrame, column: str, limit: int) -> list | None:

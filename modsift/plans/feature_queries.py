@@ -9,7 +9,7 @@ from modsift.functions import text as T
 from modsift.operators import corpus as C
 from modsift.operators import features as X
 from modsift.operators import relational as R
-from modsift.operators.scale import top_n_per_key
+from modsift.operators.scale import compute_once, top_n_per_key
 from modsift.plans import fixtures as fx
 from modsift.plans.registry import query
 from modsift.plans.text_queries import NEG, POS, SENSITIVE, STOP, STOP_SQL
@@ -22,13 +22,13 @@ words AS (SELECT doc_id, lang, unnest(k) AS term FROM kept)"""
 
 
 def mixed_tokens(t):
-    d = fx.mixed_docs(t).withColumn("tk", T.tokenize("text", lower=True))
-    return d.withColumn("k", T.drop_words("tk", STOP))
+    d = compute_once(fx.mixed_docs(t), "tk", T.tokenize("text", lower=True))
+    return compute_once(d, "k", T.drop_words("tk", STOP))
 
 
 def kept_tokens(t):
-    d = t.documents.select("doc_id", "lang", "source", T.tokenize("text", lower=True).alias("tk"))
-    return d.select("doc_id", "lang", "source", T.drop_words("tk", STOP).alias("k"))
+    kept = T.drop_words(T.tokenize("text", lower=True), STOP)
+    return compute_once(t.documents.select("doc_id", "lang", "source", "text"), "k", kept).drop("text")
 
 
 def _words(words):

@@ -9,15 +9,17 @@ from modsift.functions import scores as S
 from modsift.functions import text as T
 from modsift.operators.features import readability_score
 from modsift.operators.relational import dedup_exact
+from modsift.operators.scale import compute_once
 
 
 def source_quality(docs: DataFrame, row_id: str, text: str, source: str, stop_words: list[str]) -> DataFrame:
     """Two shuffles: one by content hash (a row per hash and task), one by source (partial sums)."""
-    cleaned = docs.select(row_id, source, T.clean_text(text).alias("cleaned"))
+    cleaned = compute_once(docs.select(row_id, source, text), "cleaned", T.clean_text(text)).drop(text)
     valid = cleaned.where(S.processed_length_ok("cleaned"))
     distinct = dedup_exact(valid, "cleaned", [row_id])
-    tokens = distinct.select(source, "cleaned", T.drop_words(T.tokenize("cleaned", lower=True), stop_words).alias("k"))
-    scored = tokens.select(source, readability_score("cleaned", "k").alias("readability"))
+    kept = T.drop_words(T.tokenize("cleaned", lower=True), stop_words)
+    tokens = compute_once(distinct.select(source, "cleaned"), "k", kept)
+    scored = compute_once(tokens, "readability", readability_score("cleaned", "k"))
     return scored.groupBy(source).agg(
         F.count("*").alias("distinct_docs"),
         F.count_if(F.col("readability") >= 0.4).alias("readable_docs"),

@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from modsift.operators.scale import spread_small
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+# Tables whose rows are whole texts: per-row work dominates, so small ones are spread over all cores.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 class Tables:
     """The parquet tables of one data folder, read on demand."""
 
@@ -17,7 +23,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread_small(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def query(name: str, sql: str | None = None):

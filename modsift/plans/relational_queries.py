@@ -8,6 +8,7 @@ from modsift.functions import scores as S
 from modsift.functions import text as T
 from modsift.operators import relational as R
 from modsift.operators import evaluation as E
+from modsift.operators.corpus import term_counts
 from modsift.operators.features import remove_stop_words
 from modsift.plans import fixtures as fx
 from modsift.plans.registry import query
@@ -57,17 +58,17 @@ def _(t):
 
 @query(
     "f14_keyword_search",
-    f"""SELECT doc_id, contains(text, 'thanedble') AS in_text FROM (SELECT doc_id, text, {fx.tok('text')} AS tk FROM documents)
-      WHERE contains(text, 'thanedble') OR len(list_filter(tk, lambda x: contains(x, 'tionoutre'))) > 0 OR list_contains(tk, 'reaulion')""",
+    f"""SELECT doc_id FROM (SELECT doc_id, text, {fx.tok('text')} AS tk FROM documents)
+      WHERE contains(text, 'thanedble') OR len(list_filter(tk, lambda x: contains(x, 'tionoutre'))) > 0 OR contains(lower(text), 'tionoutre') OR list_contains(tk, 'reaulion')""",
 )
 def _(t):
     d = t.documents.select("doc_id", "text", T.tokenize("text", lower=True).alias("tk"))
     found = R.union_sources(
         R.search_keyword(d, "thanedble", "text"),
-        R.search_keyword(d, "tionoutre", "tk_text", "tk") if "tk_text" in d.columns else d.where(F.exists("tk", lambda x: x.contains("tionoutre"))),
+        R.search_keyword(d.withColumn("text", F.lower("text")), "tionoutre", "text", "tk"),
         R.tokens_containing(d, "reaulion", "tk"),
     )
-    return found.select("doc_id", F.col("text").contains("thanedble").alias("in_text")).distinct()
+    return found.select("doc_id").distinct()
 
 
 @query(
@@ -495,9 +496,10 @@ def _(t):
       SELECT word, lang AS language, count(*) FILTER (doc_id % 2 = 0) + count(*) FILTER (doc_id % 2 = 1) AS frequency FROM w GROUP BY 1, 2""",
 )
 def _(t):
-    w = t.documents.select("doc_id", F.col("lang").alias("language"), F.explode(T.tokenize("text", lower=True)).alias("word"))
-    known = w.where("doc_id % 2 = 0").groupBy("word", "language").agg(F.count("*").alias("frequency"))
-    return R.upsert_vocabulary(known, w.where("doc_id % 2 = 1").select("word", "language", F.lit(1).cast("long").alias("frequency")))
+    d = t.documents.select("doc_id", F.col("lang").alias("language"), T.tokenize("text", lower=True).alias("tk"))
+    w = term_counts(d, "doc_id", "tk", "language").select("doc_id", F.col("term").alias("word"), "language", F.col("tf").alias("frequency"))
+    known = w.where("doc_id % 2 = 0").groupBy("word", "language").agg(F.sum("frequency").alias("frequency"))
+    return R.upsert_vocabulary(known, w.where("doc_id % 2 = 1"))
 
 
 @query(

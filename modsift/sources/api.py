@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modsift.operators.scale import compute_once
+
 ITEM = "STRUCT<id: STRING, content: STRING, source: STRING, meta: MAP<STRING,STRING>>"
 PAYLOAD = f"data ARRAY<{ITEM}>, has_more BOOLEAN, next_url STRING"
 
@@ -30,7 +32,8 @@ def flatten_api_payloads(df: DataFrame, body: str, keep: list[str] | None = None
     """One row per text: item_id, content, source ('api:' + item source), metadata."""
     keep = keep or []
     return (
-        df.select(*keep, F.explode(_items(F.col(body))).alias("i"))
+        compute_once(df.select(*keep, body), "__items", _items(F.col(body)))
+        .select(*keep, F.explode("__items").alias("i"))
         .select(
             *keep,
             F.col("i.id").alias("item_id"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from modsift import values as V
 from modsift.functions import text as T
 from modsift.operators.relational import union_sources
+from modsift.operators.scale import compute_once
 
 ITEM_SCHEMA = "content STRING, source STRING, meta MAP<STRING,STRING>"
 
@@ -86,9 +87,8 @@ def parse_json_lines(lines: DataFrame, line: str) -> DataFrame:
     body = T.trim_wide(line)
     schema = ITEM_SCHEMA + ", bad_line STRING"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad_line"}
-    return lines.where(body != "").withColumn("item", F.from_json(body, schema, options)).select(
-        *lines.columns, "item.*"
-    )
+    parsed = compute_once(lines.where(body != ""), "__item", F.from_json(body, schema, options))
+    return parsed.select(*lines.columns, "__item.*")
 
 
 def split_good_bad(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -97,9 +97,9 @@ def split_good_bad(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def explode_json_array(files: DataFrame, body: str) -> DataFrame:
     """A JSON array of items in one column to one row per item."""
-    return files.withColumn("item", F.explode(F.from_json(body, f"ARRAY<STRUCT<{ITEM_SCHEMA}>>"))).select(
-        *[c for c in files.columns if c != body], "item.*"
-    )
+    parsed = compute_once(files, "__items", F.from_json(body, f"ARRAY<STRUCT<{ITEM_SCHEMA}>>"))
+    keep = [c for c in files.columns if c != body]
+    return parsed.select(*keep, F.explode("__items").alias("item")).select(*keep, "item.*")
 
 
 # --- reading ----------------------------------------------------------------------------

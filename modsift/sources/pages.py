@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from modsift import values as V
 from modsift.functions import text as T
+from modsift.operators.scale import compute_once
 
 ELEMENT_SCHEMA = "ARRAY<STRUCT<kind: STRING, selector: STRING, tag: STRING, text: STRING, children: ARRAY<STRING>, page: ARRAY<ARRAY<STRING>>>>"
 
@@ -70,7 +71,8 @@ def extract_paragraphs(pages: DataFrame, html: str, keep: list[str]) -> DataFram
     """Built-in-only variant for closed <p> elements: no Python worker involved."""
     body = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", "")
     raw = F.regexp_extract_all(body, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), 1)
-    return pages.select(*keep, F.posexplode(raw).alias("ordinal", "p")).select(
+    found = compute_once(pages.select(*keep, html), "__p", raw)
+    return found.select(*keep, F.posexplode("__p").alias("ordinal", "p")).select(
         *keep, "ordinal", T.clean_fragment(T.unescape_html4("p")).alias("content")
     )
 
@@ -78,7 +80,8 @@ def extract_paragraphs(pages: DataFrame, html: str, keep: list[str]) -> DataFram
 def extract_links(pages: DataFrame, url: str, html: str, keep: list[str]) -> DataFrame:
     """Followable href values of <a> elements."""
     hrefs = F.regexp_extract_all(html, F.lit(r"""<a\b[^>]*?\bhref=["']([^"']*)["']"""), 1)
-    links = pages.select(*keep, url, F.explode(hrefs).alias("link"))
+    found = compute_once(pages.select(*keep, url, html), "__l", hrefs)
+    links = found.select(*keep, url, F.explode("__l").alias("link"))
     return links.where(T.is_followable_link("link", url)).select(*keep, "link")
 
 
@@ -108,7 +111,7 @@ def extract_forum_records(pages: DataFrame, url: str, html: str, kind: str = "ge
     page_texts = F.transform(F.coalesce(F.get("page", F.lit(0)), F.array().cast("array<string>")), lambda x: T.trim_wide(x))
     last_text = F.coalesce(F.try_element_at(page_texts, F.lit(-1)), F.lit(""))
     votes = F.filter(page_texts, lambda x: x.rlike(r"^[+-]?\d+\z"))
-    vote_count = F.coalesce(F.try_element_at(votes, F.lit(-1)).cast("int"), F.lit(0))
+    vote_count = F.coalesce(F.try_element_at(votes, F.lit(-1)).try_cast("int"), F.lit(0))
     content = (
         F.when(k == "question", F.concat(F.lit("问题: "), trimmed, F.lit("\n详情: "), last_text))
         .when(k == "answer", trimmed)
