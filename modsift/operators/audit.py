@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modsift import values as V
 from modsift.functions import text as T
-from modsift.operators.scale import order_statistics
+from modsift.operators.scale import join_salted, order_statistics
 
 
 def rule_score(tokens: Column | str, words: list[str], weight: float = 10.0) -> Column:
@@ -77,7 +77,10 @@ def rule_labels(tokens: Column | str, rules: list[tuple[str, list[str]]]) -> Col
 def detect_anomaly(df: DataFrame, by: list[str], value: str, factor: float = 1.5) -> DataFrame:
     """Flag values outside the IQR fences of their group; score is the distance in IQRs."""
     q = order_statistics(df, by, value, {"q25": 0.25, "q75": 0.75}, "linear")
-    joined = df.join(q, by) if by else df.crossJoin(F.broadcast(q))
+    if by:
+        joined = join_salted(df, q, by)
+    else:
+        joined = df.withColumn("__q", q.select(F.struct("*")).scalar()).select("*", "__q.*").drop("__q")
     iqr = F.col("q75") - F.col("q25")
     low, high = F.col("q25") - factor * iqr, F.col("q75") + factor * iqr
     v = F.col(value)

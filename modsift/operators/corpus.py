@@ -12,8 +12,8 @@ from modsift.operators.scale import compute_once, join_counted_keys, top_n_per_k
 def term_counts(docs: DataFrame, row_id: str, tokens: str, *keep: str) -> DataFrame:
     """(row, term, tf): counted inside the row, so nothing is shuffled yet."""
     counted = compute_once(docs.select(row_id, *keep, F.size(tokens).alias("n_tokens"), tokens), "__tf", T.run_lengths(tokens))
-    return counted.select(row_id, *keep, "n_tokens", F.explode("__tf").alias("t")).select(
-        row_id, *keep, "n_tokens", F.col("t.term").alias("term"), F.col("t.n").cast("long").alias("tf")
+    return counted.select(row_id, *keep, "n_tokens", F.explode("__tf").alias("__t")).select(
+        row_id, *keep, "n_tokens", F.col("__t.term").alias("term"), F.col("__t.n").cast("long").alias("tf")
     )
 
 

@@ -23,7 +23,9 @@ def latency_profile(df: DataFrame, by: list[str], latency: str, failed: Column,
         aggs.append((F.count("*") / F.lit(seconds)).alias("throughput"))
     plain = known.groupBy(*by).agg(*aggs)
     tails = order_statistics(known, by, latency, {"p95_ms": 0.95, "p99_ms": 0.99})
-    return plain.join(tails, by) if by else plain.crossJoin(F.broadcast(tails))
+    if by:
+        return plain.join(tails, by)
+    return plain.withColumn("__t", tails.select(F.struct("*")).scalar()).select("*", "__t.*").drop("__t")
 
 
 # --- classification ------------------------------------------------------------------

@@ -275,9 +275,9 @@ def ngram_features(df: DataFrame, row_id: str, tokens: str, n: int = 2, max_feat
     Counting and ranking stay inside the row: no shuffle.
     """
     top = T.top_counts(T.run_lengths(T.ngrams(tokens, n)), max_features)
-    rows = compute_once(df.select(row_id, tokens), "__top", top).select(row_id, F.posexplode("__top").alias("p", "g"))
+    rows = compute_once(df.select(row_id, tokens), "__top", top).select(row_id, F.posexplode("__top").alias("__p", "__g"))
     return rows.select(
-        row_id, F.col("g.term").alias("ngram"), (-F.col("g.neg")).cast("long").alias("ngram_count"), (F.col("p") + 1).alias("rank")
+        row_id, F.col("__g.term").alias("ngram"), (-F.col("__g.neg")).cast("long").alias("ngram_count"), (F.col("__p") + 1).alias("rank")
     )
 
 

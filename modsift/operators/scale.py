@@ -141,7 +141,7 @@ def range_pieces(df: DataFrame, by: list[str], value: str, pieces: int = PIECES)
         F.percentile_approx(F.col(value).cast("double"), probabilities, F.lit(10000)).alias("__cuts")
     )
     if by:
-        with_cuts = _null_safe_join(df, cuts, by, "left")
+        with_cuts = join_salted(df, cuts, by)
     else:
         with_cuts = df.withColumn("__cuts", cuts.scalar())
     v = F.col(value).cast("double")
@@ -252,6 +252,16 @@ def join_counted_keys(
     return result.select(*facts.columns, "__found.*")
 
 
+def join_salted(facts: DataFrame, keyed: DataFrame, keys: list[str], salts: int = 32) -> DataFrame:
+    """Left join to one row per key group, nulls matching; every group of facts is cut into ``salts`` parts.
+
+    The keyed side is copied once per salt, which is cheap: it has one row per group.
+    """
+    spread = F.pmod(F.xxhash64(*[c for c, t in facts.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int")
+    copies = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return _null_safe_join(facts.withColumn("__salt", spread), copies, [*keys, "__salt"], "left").drop("__salt")
+
+
 def bounded_values(df: DataFrame, column: str, limit: int) -> list | None:
     """The column as a driver list when it has at most ``limit`` rows, else None."""
     rows = df.select(column).limit(limit + 1).collect()

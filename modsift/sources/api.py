@@ -33,13 +33,13 @@ def flatten_api_payloads(df: DataFrame, body: str, keep: list[str] | None = None
     keep = keep or []
     return (
         compute_once(df.select(*keep, body), "__items", _items(F.col(body)))
-        .select(*keep, F.explode("__items").alias("i"))
+        .select(*keep, F.explode("__items").alias("__i"))
         .select(
             *keep,
-            F.col("i.id").alias("item_id"),
-            F.coalesce("i.content", F.lit("")).alias("content"),
-            F.concat(F.lit("api:"), F.coalesce("i.source", F.lit(""))).alias("source"),
-            F.col("i.meta").alias("metadata"),
+            F.col("__i.id").alias("item_id"),
+            F.coalesce("__i.content", F.lit("")).alias("content"),
+            F.concat(F.lit("api:"), F.coalesce("__i.source", F.lit(""))).alias("source"),
+            F.col("__i.meta").alias("metadata"),
         )
     )
 

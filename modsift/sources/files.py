@@ -99,7 +99,7 @@ def explode_json_array(files: DataFrame, body: str) -> DataFrame:
     """A JSON array of items in one column to one row per item."""
     parsed = compute_once(files, "__items", F.from_json(body, f"ARRAY<STRUCT<{ITEM_SCHEMA}>>"))
     keep = [c for c in files.columns if c != body]
-    return parsed.select(*keep, F.explode("__items").alias("item")).select(*keep, "item.*")
+    return parsed.select(*keep, F.explode("__items").alias("__item")).select(*keep, "__item.*")
 
 
 # --- reading ----------------------------------------------------------------------------
@@ -136,25 +136,25 @@ def count_bad_json_lines(spark: SparkSession, paths) -> DataFrame:
 
 def read_texts_by_extension(spark: SparkSession, folder: str, rules=None) -> DataFrame:
     """Every file of a folder by its extension; unknown extensions are read as text."""
-    listed = (
-        spark.read.format("binaryFile").load(folder).select(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).alias("ext"))
-        .distinct().collect()  # one row per extension in use
-    )
+    known = ["csv", "json", "jsonl"]
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    listed = spark.read.format("binaryFile").load(folder).select(F.when(ext.isin(known), ext).otherwise("txt").alias("kind"))
+    kinds = {r.kind for r in listed.distinct().collect()}  # at most four names
     frames = []
-    for (ext,) in listed:
-        glob = f"*{ext}" if ext else "*"
-        scoped = spark.read.option("pathGlobFilter", glob)
-        if ext == ".csv":
-            rows = scoped.csv(folder, header=True, mode="DROPMALFORMED", escape='"')
-            frames.append(table_to_texts(rows.select("*", _path()), "__path", None, rules))
-        elif ext == ".json":
-            items = scoped.schema(ITEM_SCHEMA).json(folder, multiLine=True).select("*", _path())
-            frames.append(items_to_texts(items, "__path", "json", rules))
-        elif ext == ".jsonl":
-            good, _ = split_good_bad(parse_json_lines(scoped.text(folder).select("value", _path()), "value"))
-            frames.append(items_to_texts(good, "__path", "jsonl", rules))
-        else:
-            frames.append(lines_to_texts(scoped.text(folder).select("value", _path()), "value", "__path", rules))
+    if "csv" in kinds:
+        rows = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").csv(folder, header=True, mode="DROPMALFORMED", escape='"')
+        frames.append(table_to_texts(rows.select("*", _path()), "__path", None, rules))
+    if "json" in kinds:
+        items = spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN]").schema(ITEM_SCHEMA).json(folder, multiLine=True)
+        frames.append(items_to_texts(items.select("*", _path()), "__path", "json", rules))
+    if "jsonl" in kinds:
+        lines = spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").text(folder).select("value", _path())
+        good, _ = split_good_bad(parse_json_lines(lines, "value"))
+        frames.append(items_to_texts(good, "__path", "jsonl", rules))
+    if "txt" in kinds:
+        lines = spark.read.text(folder).select("value", _path())
+        lines = lines.where(~F.lower("__path").rlike(r"\.(csv|json|jsonl)$"))
+        frames.append(lines_to_texts(lines, "value", "__path", rules))
     return union_sources(*frames)
 
 
