@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from modsift.session import ensure_checkpoint_dir
 
 PIECES = 64
+RANGES = 1024
 HOT_KEYS = 2000
 
 
@@ -93,7 +94,7 @@ def top_n_per_key(
 
 
 # --- global rank by a uniform hash --------------------------------------------------------
-def hash_rank(df: DataFrame, key: Column, seed: str, by: list[str] | None = None, hex_digits: int = 3) -> DataFrame:
+def hash_rank(df: DataFrame, key: Column, seed: str, by: list[str] | None = None, hex_digits: int = 4) -> DataFrame:
     """Add ``rank`` (0-based) and ``total`` under the order of sha2(seed || key), per ``by`` group.
 
     The hash is uniform, so its leading hex digits cut every group into even
@@ -130,27 +131,36 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 # --- ordered cuts of a numeric column --------------------------------------------------------
-def range_pieces(df: DataFrame, by: list[str], value: str, pieces: int = PIECES) -> DataFrame:
+def range_pieces(df: DataFrame, by: list[str], value: str, pieces: int = RANGES) -> DataFrame:
     """Add ``__piece``: the value range a row falls in, cut by quantiles of the column itself.
 
     ``df`` should hold one row per (by, value); ties then cannot pile up in one piece.
-    The cut points are a quantile sketch of ``pieces`` numbers per group.
+    Only groups with more than total/HOT_KEYS rows are cut.  By counting there are at
+    most HOT_KEYS of them, so their cut points (``pieces`` numbers each) are safe to
+    broadcast; every other group is small enough to stay whole, as piece 0.
     """
-    probabilities = [i / pieces for i in range(1, pieces)]
-    cuts = df.groupBy(*by).agg(
-        F.percentile_approx(F.col(value).cast("double"), probabilities, F.lit(10000)).alias("__cuts")
-    )
+    v = F.col(value).cast("double")
+    cut_points = F.percentile_approx(v, [i / pieces for i in range(1, pieces)], F.lit(10000)).alias("__cuts")
     if by:
-        with_cuts = join_salted(df, cuts, by)
+        total = df.agg(F.count("*").alias("t")).scalar()
+        hot = df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") * HOT_KEYS > total).drop("__n")
+        big_groups = _null_safe_join(df, F.broadcast(hot), by, "left_semi")
+        cuts = big_groups.groupBy(*by).agg(cut_points)
+        with_cuts = _null_safe_join(df, F.broadcast(cuts), by, "left")
     else:
-        with_cuts = df.withColumn("__cuts", cuts.scalar())
-    v = F.col(value).cast("double")
-    piece = F.size(F.filter("__cuts", lambda c: c < v))
-    return with_cuts.withColumn("__piece", piece).drop("__cuts")
+        with_cuts = df.withColumn("__cuts", df.agg(cut_points).scalar())
+    # Number of cut points below the value, by binary search.
+    steps = [1 << i for i in range((pieces - 1).bit_length() - 1, -1, -1)]
+    below = F.aggregate(
+        F.array(*map(F.lit, steps)),
+        F.lit(0),
+        lambda at, step: at + F.when(F.get("__cuts", at + step - 1) < v, step).otherwise(0),
+    )
+    return with_cuts.withColumn("__piece", below).drop("__cuts")
 
 
 def cumulative(
-    df: DataFrame, by: list[str], order: str, sums: dict[str, str], pieces: int = PIECES
+    df: DataFrame, by: list[str], order: str, sums: dict[str, str], pieces: int = RANGES
 ) -> DataFrame:
     """Running totals *before* each row in ascending ``order``, one row per (by, order).
 

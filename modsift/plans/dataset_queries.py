@@ -178,7 +178,7 @@ def _(t):
     "e1_classification_metrics",
     f"""WITH {PREDICTED_SQL}, c AS ({_CM.format(v='', g='')}), m AS (SELECT *, tp / (tp + fp)::DOUBLE AS p1, tp / (tp + fn)::DOUBLE AS r1, tn / (tn + fn)::DOUBLE AS p0, tn / (tn + fp)::DOUBLE AS r0 FROM c)
       SELECT samples, round(hit / samples::DOUBLE, 6) AS accuracy, round(p1, 6) AS precision, round(r1, 6) AS recall, round(2 * p1 * r1 / (p1 + r1), 6) AS f1,
-      round((p1 * (tp + fn) + p0 * (tn + fp)) / samples, 6) AS weighted_precision, round((2 * p1 * r1 / (p1 + r1) * (tp + fn) + 2 * p0 * r0 / (p0 + r0) * (tn + fp)) / samples, 6) AS weighted_f1 FROM m""",
+      round((p1 * (tp + fn) + p0 * (tn + fp)) / samples, 6) AS weighted_precision, round((2 * p1 * r1 / (p1 + r1) * (tp + fn) + CASE WHEN p0 + r0 > 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0 END * (tn + fp)) / samples, 6) AS weighted_f1 FROM m""",
 )
 def _(t):
     m = E.classification_metrics(predicted(t), "actual", "predicted")

@@ -196,3 +196,8 @@ def _(t):
 )
 def _(t):
     return ingest.collect_progress(t.documents, "source", 1000)
+
+
+@query("j3_dedup_messages", "SELECT DISTINCT sha256(text) AS content_hash FROM documents")
+def _(t):
+    return ingest.dedup_stream(t.documents.select("text"), "text", "ts").select("content_hash")
