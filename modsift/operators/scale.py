@@ -14,6 +14,7 @@ from modsift.session import ensure_checkpoint_dir
 
 PIECES = 64
 RANGES = 1024
+WHOLE_ROWS = 4_000_000
 HOT_KEYS = 2000
 
 
@@ -165,8 +166,19 @@ def cumulative(
     """Running totals *before* each row in ascending ``order``, one row per (by, order).
 
     ``sums`` maps new column -> summed column; ``<new>_all`` carries the group total.
-    Piece totals are accumulated first, then each piece runs its own window.
+    The table is stored, since it is read several times.  Up to WHOLE_ROWS rows in all are
+    accumulated per group at once; beyond that piece totals are accumulated first and each
+    piece runs its own window.
     """
+    df = stored(df)
+    if df.count() <= WHOLE_ROWS:
+        groups = Window.partitionBy(*(by or [F.lit(0)]))
+        before = groups.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(
+            "*",
+            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in sums.items()],
+            *[F.sum(c).over(groups).alias(f"{n}_all") for n, c in sums.items()],
+        )
     cut = range_pieces(df, by, order, pieces)
     totals = cut.groupBy(*by, "__piece").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     w = Window.partitionBy(*by).orderBy("__piece")
