@@ -367,10 +367,10 @@ def _(t):
 
 @query(
     "t2_simple_format",
-    f"""WITH {fx.QA_SQL} SELECT conv_id, turn, '请根据以下问题生成高质量的回答：' AS instruction, ('问题：' || question)[1:256] AS input, ('回答：' || answer)[1:512] AS output FROM qa""",
+    f"""WITH {fx.QA_SQL} SELECT conv_id, turn, '请根据以下问题生成高质量的回答：' AS instruction, '问题：' || question AS input, '回答：' || answer AS output FROM qa""",
 )
 def _(t):
-    return I.to_simple_format(fx.qa_pairs(t), input_cap=256, output_cap=512).select("conv_id", "turn", "record.*")
+    return I.to_simple_format(fx.qa_pairs(t)).select("conv_id", "turn", "record.*")
 
 
 @query(

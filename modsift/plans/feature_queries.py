@@ -396,7 +396,7 @@ def _(t):
     "SELECT page_id, CASE WHEN len(regexp_extract_all(html, 'href=\"([^\"]*)\"')) > 6 THEN 1 ELSE 0 END AS tag_label FROM pages",
 )
 def _(t):
-    tags = F.slice(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1), 7, 1000)
+    tags = F.filter(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1), lambda x, i: i >= 6)
     return t.pages.select("page_id", S.label_from_tags(tags).alias("tag_label"))
 
 

@@ -206,12 +206,11 @@ def _(t):
     "c8_detect_language_ratio",
     f"""WITH {fx.MIXED_SQL} SELECT doc_id, CASE WHEN NOT regexp_matches(text, '\\S') THEN 'unknown'
       WHEN length(regexp_replace(text, '[^\\x{{4e00}}-\\x{{9fff}}]', '', 'g')) / {fx.u16('text')}::DOUBLE > 0.3 THEN 'zh'
-      ELSE 'en' END AS language FROM (SELECT doc_id, text[1:20] || repeat('的', (doc_id % 20)::INT) AS text FROM mixed)""",
+      ELSE 'en' END AS language FROM (SELECT doc_id, text || repeat('的', (length(text) * (doc_id % 3) // 4)::INT) AS text FROM mixed)""",
 )
 def _(t):
-    d = fx.mixed_docs(t).select(
-        "doc_id", F.concat(F.substring("text", 1, 20), F.repeat(F.lit("的"), (F.col("doc_id") % 20).cast("int"))).alias("text")
-    )
+    more = F.repeat(F.lit("的"), F.floor(F.length("text") * (F.col("doc_id") % 3) / 4).cast("int"))
+    d = fx.mixed_docs(t).select("doc_id", F.concat("text", more).alias("text"))
     return d.select("doc_id", T.detect_language_ratio("text").alias("language"))
 
 

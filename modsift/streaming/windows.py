@@ -12,35 +12,44 @@ def _timed(df: DataFrame, ts: str) -> DataFrame:
     return df.withWatermark(ts, LATENESS) if df.isStreaming else df
 
 
+_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
+def _seconds(text: str) -> int:
+    amount, unit = text.split()
+    return int(amount) * _UNITS[unit.rstrip("s")]
+
+
+def _window_counts(df: DataFrame, ts: str, by: list[str], counts: dict[str, Column], size: str, step: str) -> DataFrame:
+    """Named counts per window and group, with window_start and window_end.
+
+    On a table with sliding windows, events are counted per step first: each event is
+    aggregated once and only step counts are copied into the windows that cover them.
+    """
+    aggs = [c.alias(n) for n, c in counts.items()]
+    if size == step:
+        out = _timed(df, ts).groupBy(F.window(ts, size).alias("w"), *by).agg(*aggs)
+    elif df.isStreaming or _seconds(size) % _seconds(step):
+        out = _timed(df, ts).groupBy(F.window(ts, size, step).alias("w"), *by).agg(*aggs)
+    else:
+        steps = df.groupBy(F.window(ts, step).alias("__s"), *by).agg(*aggs)
+        flat = steps.select(F.col("__s.start").alias("__t"), *by, *counts)
+        out = flat.groupBy(F.window("__t", size, step).alias("w"), *by).agg(*[F.sum(n).alias(n) for n in counts])
+    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, *counts)
+
+
 def windowed_count(df: DataFrame, ts: str, by: list[str], size: str, step: str) -> DataFrame:
-    w = F.window(ts, size, step) if size != step else F.window(ts, size)
-    out = _timed(df, ts).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"))
-    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n")
+    return _window_counts(df, ts, by, {"n": F.count("*")}, size, step)
 
 
 def windowed_rate(
     df: DataFrame, ts: str, hit: Column, size: str = "5 minutes", step: str = "1 minute",
     seconds: float = 300.0, limit: float = 0.1, by: list[str] | None = None,
 ) -> DataFrame:
-    """Hits per second in sliding windows and whether the rate breaches the limit.
-
-    On a table, events are first counted per step, so each event is aggregated once
-    and only step counts are copied into the windows that cover them.
-    """
-    by = by or []
-    if df.isStreaming:
-        w = F.window(ts, size, step) if size != step else F.window(ts, size)
-        counted = _timed(df, ts).groupBy(w.alias("w"), *by).agg(F.count_if(hit).alias("errors"))
-    else:
-        steps = df.groupBy(F.window(ts, step).alias("s"), *by).agg(F.count_if(hit).alias("e"))
-        flat = steps.select(F.col("s.start").alias("t"), *by, "e")
-        w = F.window("t", size, step) if size != step else F.window("t", size)
-        counted = flat.groupBy(w.alias("w"), *by).agg(F.sum("e").alias("errors"))
+    """Hits per second in sliding windows and whether the rate breaches the limit."""
+    counted = _window_counts(df, ts, by or [], {"errors": F.count_if(hit)}, size, step)
     rate = F.col("errors") / F.lit(float(seconds))
-    return counted.select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "errors",
-        rate.alias("rate"), (rate > limit).alias("breach"),
-    )
+    return counted.withColumn("rate", rate).withColumn("breach", rate > limit)
 
 
 def bucket_of(value: str, edges: list[float]) -> Column:
@@ -61,9 +70,8 @@ def windowed_quantile(
     """
     by = by or []
     b = bucket_of(value, edges)
-    w = F.window(ts, size, step) if size != step else F.window(ts, size)
-    counts = [F.count_if(b == float(e)).alias(f"b{i}") for i, e in enumerate(edges)]
-    rows = _timed(df, ts).groupBy(w.alias("w"), *by).agg(*counts, F.count("*").alias("n"))
+    counts = {f"b{i}": F.count_if(b == float(e)) for i, e in enumerate(edges)} | {"n": F.count("*")}
+    rows = _window_counts(df, ts, by, counts, size, step)
     rank = F.lit(q) * F.col("n")
     below = F.lit(0)
     result = F.lit(None).cast("double")
@@ -75,7 +83,7 @@ def windowed_quantile(
         below, lower = below + here, float(e)
     for reached, estimate, filled in reversed(pieces):
         result = F.when(reached & filled, estimate).otherwise(result)
-    return rows.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, result.alias("quantile")).withColumn(
+    return rows.select("window_start", "window_end", *by, result.alias("quantile")).withColumn(
         "breach", F.col("quantile") > limit
     )
 
