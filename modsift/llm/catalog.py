@@ -1,6 +1,8 @@
 """All registered queries of the subpackage with their SQL forms."""
 
-from modsift.llm import queries_exact
+from modsift.llm import queries_exact, queries_near
 
-QUERIES = {**queries_exact.QUERIES}
-SQL = {**queries_exact.SQL}
+QUERIES, SQL = {}, {}
+for part in (queries_exact, queries_near):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
