@@ -121,23 +121,24 @@ def plan_windows(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return plan
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_task: int = 500_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_task: int = 20_000) -> DataFrame:
     """Placed pieces: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     ``pieces`` is a stored table (it is read twice).  Ranks inside a length are counted by hash bucket
     first, so a length that most pieces share is not one task.  An empty table gives no rows.
     """
     spark = pieces.sparkSession
-    total = pieces.count()
-    buckets = max(1, total // rows_per_task)
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets))
-    sizes = checkpointed(pieces.groupBy("length", bucket.alias("bucket")).agg(F.count("*").alias("n")))
-    histogram = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("n")).collect()}  # capacity rows at most
+    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
+    # Every length has as many buckets as its pieces need.
+    buckets = spark.createDataFrame([(k, max(1, n // rows_per_task)) for k, n in histogram.items()], "length long, buckets long")
+    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.col("buckets"))
+    pieces = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", bucket)
+    sizes = checkpointed(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     plan = spark.createDataFrame(plan_windows(histogram, capacity) or [], PLAN_COLUMNS)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start")
-    rows = pieces.select("doc_id", "start", "length", "doc_tokens", "ids", bucket.alias("bucket"))
+    rows = pieces.select("doc_id", "start", "length", "doc_tokens", "ids", "bucket")
     ranked = rows.withColumn("r", F.row_number().over(inside) - 1).join(offsets, ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("r"))
     # The plan has a row per length of a pattern: bounded by the capacity, whatever the data.
