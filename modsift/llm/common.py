@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from modsift.session import ensure_checkpoint_dir
 
 HOT_KEYS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark, folder: str, name: str) -> DataFrame:

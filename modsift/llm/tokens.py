@@ -27,7 +27,7 @@ class WordTokenizer:
     special, go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 120_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
