@@ -14,7 +14,7 @@ from modsift.functions import text as T
 from modsift.operators.scale import compute_once
 
 STRATEGIES = ("synonym_replace", "random_insert", "random_swap", "random_delete")
-MAX_COPIES = 5
+MOST_COPIES = 5
 
 
 # --- hash draws ------------------------------------------------------------------
@@ -149,16 +149,17 @@ def _copies(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
 
 def augment(
     df: DataFrame, row_id: str, text: str, n: int = 3, strategies: tuple[str, ...] = STRATEGIES, seed: int = 42,
-    synonyms: dict[str, list[str]] | None = None, rate: float = 0.1,
+    synonyms: dict[str, list[str]] | None = None, rate: float = 0.1, most: int = MOST_COPIES,
 ) -> DataFrame:
-    """Up to n (at most 5) augmented copies per text: row id, copy, strategy, augmented.
+    """Up to n augmented copies per text: row id, copy, strategy, augmented; n beyond ``most`` is an error.
 
     One enabled strategy per copy; copies equal to the original are dropped.
     """
     unknown = set(strategies) - set(STRATEGIES)
     if unknown:
         raise ValueError(f"unknown strategies: {sorted(unknown)}")
-    n = min(n, MAX_COPIES)
+    if n > most:
+        raise ValueError(f"{n} copies asked for, at most {most} are configured")
     tokens = compute_once(df.select(row_id, text), "__tokens", T.simple_tokenize(text)).where(F.size("__tokens") > 0)
     rows = _copies(tokens.select(row_id, text, "__tokens"), row_id, n, seed)
     names = F.array(*map(F.lit, strategies)) if strategies else F.array(F.lit("none"))

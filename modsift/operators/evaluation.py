@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modsift.operators.scale import cumulative, order_statistics, row_hash_pieces
+from modsift.operators.scale import cumulative, null_safe_join, order_statistics, row_hash_pieces
 
 
 # --- latency ---------------------------------------------------------------------
 def latency_profile(df: DataFrame, by: list[str], latency: str, failed: Column, seconds: float | None = None) -> DataFrame:
-    """Count, mean, extremes, exact p95/p99 (element floor(n*p/100)), error rate per group."""
-    known = df.where(F.col(latency).isNotNull())
+    """Count, mean, extremes, exact p95/p99 (element floor(n*p/100)), error rate per group.
+
+    All rows count, also those without a latency (failed requests often have none); mean, extremes and
+    percentiles are over the known latencies.  Null groups are a group.
+    """
     aggs = [
         F.count("*").alias("n"),
         F.avg(latency).alias("avg_ms"),
@@ -21,10 +24,10 @@ def latency_profile(df: DataFrame, by: list[str], latency: str, failed: Column,
     ]
     if seconds:
         aggs.append((F.count("*") / F.lit(seconds)).alias("throughput"))
-    plain = known.groupBy(*by).agg(*aggs)
-    tails = order_statistics(known, by, latency, {"p95_ms": 0.95, "p99_ms": 0.99})
+    plain = df.groupBy(*by).agg(*aggs)
+    tails = order_statistics(df, by, latency, {"p95_ms": 0.95, "p99_ms": 0.99})
     if by:
-        return plain.join(tails, by)
+        return null_safe_join(plain, tails, by, "left")
     return plain.withColumn("__t", tails.select(F.struct("*")).scalar()).select("*", "__t.*").drop("__t")
 
 

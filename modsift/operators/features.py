@@ -9,9 +9,7 @@ from modsift import values as V
 from modsift.functions import scores as S
 from modsift.functions import text as T
 from modsift.functions.text import as_col
-from modsift.operators.scale import bounded_values, compute_once
-
-LEXICON_LITERAL_LIMIT = 5000
+from modsift.operators.scale import compute_once, join_counted_keys
 
 
 # --- cleaning ----------------------------------------------------------------------
@@ -43,30 +41,34 @@ def processed_length_gate(df: DataFrame, cleaned: str, low: int = 10, high: int
 
 
 # --- tokens ----------------------------------------------------------------------------
-def remove_stop_words(df: DataFrame, tokens: str, stop_words: DataFrame, out: str = "filtered_tokens") -> DataFrame:
+def _lexicon_hits(df: DataFrame, row_id: str, tokens: str, lexicon: DataFrame) -> DataFrame:
+    """(row id, word, columns of the lexicon) for the distinct lower-case tokens of each row that are in the lexicon.
+
+    The words' row counts tell which of them most rows have; those are joined without a shuffle of
+    their rows to one task.
+    """
+    words = df.select(F.col(row_id).alias("__row"), F.explode(F.array_distinct(F.transform(tokens, F.lower))).alias("__w"))
+    counted = words.groupBy("__w").agg(F.count("*").alias("__rows")).join(lexicon, "__w")
+    return join_counted_keys(words, counted, "__w", "__rows").drop("__rows")
+
+
+def remove_stop_words(
+    df: DataFrame, tokens: str, stop_words: list[str] | DataFrame, row_id: str | None = None, out: str = "filtered_tokens"
+) -> DataFrame:
     """Drop stop words, repeats and order kept.
 
-    A list of known small size becomes a literal set inside the expression; a larger
-    one is matched by an anti join on exploded tokens, put back in order per row.
+    A list is a literal set inside the expression.  A DataFrame (column ``word``) of any size is joined to the
+    distinct tokens of each row; ``row_id`` then names a unique column without nulls.
     """
-    words = bounded_values(stop_words, "word", LEXICON_LITERAL_LIMIT)
-    if words is not None:
-        return df.withColumn(out, T.drop_words(tokens, words))
-    keyed = df.withColumn("__row", F.expr("uuid()") if "id" not in df.columns else F.col("id"))
-    lowered = stop_words.select(F.lower("word").alias("__w")).distinct()
-    kept = (
-        keyed.select("__row", F.posexplode(tokens).alias("__p", "__t"))
-        .join(lowered, F.lower("__t") == F.col("__w"), "left_anti")
-        .groupBy("__row")
-        .agg(F.sort_array(F.collect_list(F.struct("__p", "__t"))).alias("__kept"))
-    )
-    return (
-        keyed.join(kept, "__row", "left")
-        .withColumn(
-            out, F.coalesce(F.transform("__kept", lambda x: x["__t"]), F.array().cast("array<string>"))
-        )
-        .drop("__row", "__kept")
-    )
+    if not isinstance(stop_words, DataFrame):
+        return df.withColumn(out, T.drop_words(tokens, stop_words))
+    if row_id is None:
+        raise ValueError("a stop word table needs row_id")
+    lexicon = stop_words.select(F.lower("word").alias("__w")).distinct()
+    hits = _lexicon_hits(df, row_id, tokens, lexicon).groupBy("__row").agg(F.collect_set("__w").alias("__gone"))
+    gone = F.coalesce("__gone", F.array().cast("array<string>"))
+    joined = df.join(hits, df[row_id] == F.col("__row"), "left").withColumn("__gone", gone)
+    return joined.withColumn(out, F.filter(tokens, lambda t: ~F.array_contains("__gone", F.lower(t)))).drop("__row", "__gone")
 
 
 def load_stop_word_file(spark, path: str) -> DataFrame:
@@ -178,48 +180,34 @@ def sentiment_struct(
     )
 
 
-def sentiment_features(df: DataFrame, tokens: str, lexicon: DataFrame | None = None) -> DataFrame:
-    """Sentiment struct from filtered tokens; ``lexicon`` has columns word, polarity (+1/-1)."""
+def sentiment_features(
+    df: DataFrame, tokens: str, lexicon: list[tuple[str, int]] | DataFrame | None = None, row_id: str | None = None
+) -> DataFrame:
+    """Sentiment struct from filtered tokens.
+
+    ``lexicon``: a list of (word, +1 or -1) becomes literals; a DataFrame (word, polarity) is joined by ``row_id``.
+    """
     if lexicon is None:
         return df.withColumn("sentiment", sentiment_struct(tokens))
-    words = bounded_values(
-        lexicon.select(F.struct("word", "polarity").alias("entry")), "entry", LEXICON_LITERAL_LIMIT
-    )
-    if words is None:
-        raise ValueError("use sentiment_by_join for a lexicon of this size")
-    return df.withColumn(
-        "sentiment",
-        sentiment_struct(
-            tokens, [w.word for w in words if w.polarity > 0], [w.word for w in words if w.polarity < 0]
-        ),
-    )
+    if isinstance(lexicon, DataFrame):
+        if row_id is None:
+            raise ValueError("a lexicon table needs row_id")
+        return sentiment_by_join(df, row_id, tokens, lexicon)
+    positive, negative = ([w for w, p in lexicon if (p > 0) == up and p] for up in (True, False))
+    return df.withColumn("sentiment", sentiment_struct(tokens, positive, negative))
 
 
 def sentiment_by_join(df: DataFrame, row_id: str, tokens: str, lexicon: DataFrame) -> DataFrame:
-    """Sentiment with a lexicon of any size: tokens are counted per row, then joined by word."""
+    """Sentiment with a lexicon of any size, joined to the distinct tokens of each row; ``row_id`` is unique."""
     keyed = lexicon.groupBy(F.lower("word").alias("__w")).agg(F.max("polarity").alias("__pol"))
-    counted = (
-        df.select(row_id, F.explode(tokens).alias("__t"))
-        .groupBy(row_id, F.lower("__t").alias("__w"))
-        .agg(F.count("*").alias("__n"))
-        .join(keyed, "__w")
-        .groupBy(row_id)
-        .agg(
-            F.sum(F.when(F.col("__pol") > 0, F.col("__n")).otherwise(0)).alias("__p"),
-            F.sum(F.when(F.col("__pol") < 0, F.col("__n")).otherwise(0)).alias("__q"),
-        )
-    )
-    zero = F.lit(0)
-    return (
-        df.join(counted, row_id, "left")
-        .withColumn(
-            "sentiment",
-            _sentiment_from_counts(
-                F.coalesce("__p", zero).cast("int"), F.coalesce("__q", zero).cast("int"), F.size(tokens)
-            ),
-        )
-        .drop("__p", "__q")
+    hits = _lexicon_hits(df, row_id, tokens, keyed).groupBy("__row").agg(
+        F.collect_set(F.when(F.col("__pol") > 0, F.col("__w"))).alias("__up"),
+        F.collect_set(F.when(F.col("__pol") < 0, F.col("__w"))).alias("__down"),
     )
+    none = F.array().cast("array<string>")
+    joined = df.join(hits, df[row_id] == F.col("__row"), "left").withColumns({c: F.coalesce(c, none) for c in ("__up", "__down")})
+    count = lambda words: F.size(F.filter(tokens, lambda t: F.array_contains(words, F.lower(t))))
+    return joined.withColumn("sentiment", _sentiment_from_counts(count("__up"), count("__down"), F.size(tokens))).drop("__row", "__up", "__down")
 
 
 def complexity_score(filtered: Column | str) -> Column:

@@ -19,13 +19,14 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.storagelevel import StorageLevel
 from pyspark.sql import functions as F
 
 from modsift.operators.evaluation import classification_metrics
 from modsift.operators.relational import union_sources
+from modsift.operators.scale import stored
 
 SEED = 42
 FEATURES, LABEL = "features", "label"
@@ -36,8 +37,8 @@ def random_forest(trees: int = 100, depth: int = 20, min_leaf: int = 1) -> Estim
     return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=min_leaf, seed=SEED)
 
 
-def svm(c: float = 1.0, rows: int = 1000, iterations: int = 100, classes: int = 2) -> Estimator:
-    """Linear SVM; the regularisation matches penalty c on a table of ``rows`` rows."""
+def svm(c: float = 1.0, rows: int = 1, iterations: int = 100, classes: int = 2) -> Estimator:
+    """Linear SVM; the regularisation matches penalty c on a table of ``rows`` rows (``train`` counts them)."""
     base = LinearSVC(featuresCol=FEATURES, labelCol=LABEL, regParam=1.0 / (c * rows), maxIter=iterations)
     return base if classes == 2 else OneVsRest(classifier=base, featuresCol=FEATURES, labelCol=LABEL)
 
@@ -106,6 +107,8 @@ def train(algorithm: str, train_rows: DataFrame, **parameters) -> PipelineModel:
         raise ValueError(f"unknown algorithm {algorithm}; known: {sorted(makers)}")
     # Fitting passes over its input many times; keep just the two columns it reads, spilling to disk.
     data = train_rows.select(*[c for c in (FEATURES, LABEL) if c in train_rows.columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    if name == "SVM":
+        parameters.setdefault("rows", max(1, data.count()))
     try:
         return Pipeline(stages=[makers[name](**parameters)]).fit(data)
     finally:
@@ -154,17 +157,17 @@ def reconstruction_error(df: DataFrame, keep: list[str], k: int = 64) -> DataFra
     return projected.select(*keep, F.greatest(F.lit(0.0), error).alias("reconstruction_error"))
 
 
-def doc_embedding(df: DataFrame, tokens: str, dim: int = 100, window: int = 5, min_count: int = 5, epochs: int = 10, max_vocabulary: int = 50000) -> DataFrame:
+def doc_embedding(df: DataFrame, tokens: str, dim: int = 100, window: int = 5, min_count: int = 5, epochs: int = 10, most_words: int = 2_000_000) -> DataFrame:
     """Mean word vector per document, column ``embedding``.
 
-    The trained vocabulary lives on the driver, so its size is bounded: the count
-    threshold rises until at most ``max_vocabulary`` words pass it.
+    Word2Vec keeps the vectors of all words with at least ``min_count`` occurrences on the driver; a corpus with
+    more than ``most_words`` of them is an error, so that no word is lost unseen.  Raise ``min_count`` then.
     """
     counts = df.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    # One row: the count of the word just past the limit, if there is one.
-    beyond = counts.orderBy(F.desc("n"), F.asc("w")).offset(max_vocabulary).limit(1).collect()
-    threshold = max(min_count, beyond[0]["n"] + 1) if beyond else min_count
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=threshold, maxIter=epochs, seed=SEED, inputCol=tokens, outputCol="__vec").fit(df)
+    words = counts.where(F.col("n") >= min_count).count()
+    if words > most_words:
+        raise ValueError(f"{words} words occur {min_count} times or more; the limit is {most_words}")
+    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=SEED, inputCol=tokens, outputCol="__vec").fit(df)
     return model.transform(df).withColumn("embedding", vector_to_array("__vec")).drop("__vec")
 
 
@@ -172,7 +175,7 @@ def doc_embedding(df: DataFrame, tokens: str, dim: int = 100, window: int = 5, m
 def cross_validate(rows: DataFrame, row_id: str, algorithm: str, folds: int = 5, seed: int = SEED, **parameters) -> DataFrame:
     """One metric row per fold; folds come from a hash of the id, so they never change with partitioning."""
     cut = rows.withColumn("fold", F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(folds)).cast("int"))
-    cut = cut.select(FEATURES, LABEL, "fold").persist(StorageLevel.MEMORY_AND_DISK)  # read by every fold
+    cut = stored(cut.select(FEATURES, LABEL, "fold"))  # read by every fold
     results = []
     for fold in range(folds):
         model = train(algorithm, cut.where(F.col("fold") != fold), **parameters)
@@ -181,8 +184,11 @@ def cross_validate(rows: DataFrame, row_id: str, algorithm: str, folds: int = 5,
     return union_sources(*results)
 
 
-def hyperparameter_grid(rows: DataFrame, estimator: Estimator, grid: dict[str, list], parallelism: int = 2, train_ratio: float = 0.8, metric: str = "f1") -> tuple[object, DataFrame]:
-    """Try every combination on one train/validation split; returns the best model and the scores."""
+def hyperparameter_grid(rows: DataFrame, row_id: str, estimator: Estimator, grid: dict[str, list], train_ratio: float = 0.8, metric: str = "f1") -> tuple[object, DataFrame]:
+    """Try every combination on one train/validation split; returns the best model and the scores.
+
+    The split follows a hash of the id, so it never changes with partitioning; the first of equal scores wins.
+    """
     builder = ParamGridBuilder()
     for name, options in grid.items():
         builder = builder.addGrid(estimator.getParam(name), options)
@@ -191,14 +197,16 @@ def hyperparameter_grid(rows: DataFrame, estimator: Estimator, grid: dict[str, l
         BinaryClassificationEvaluator(labelCol=LABEL) if metric == "auc"
         else MulticlassClassificationEvaluator(labelCol=LABEL, metricName=metric)
     )
-    search = TrainValidationSplit(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, trainRatio=train_ratio, parallelism=parallelism, seed=SEED)
-    data = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    part = F.pmod(F.xxhash64(F.col(row_id), F.lit(SEED)), F.lit(1_000_000)) < int(train_ratio * 1_000_000)
+    data = rows.select(FEATURES, LABEL, part.alias("__train")).persist(StorageLevel.MEMORY_AND_DISK)
+    best, scores = None, []
     try:
-        fitted = search.fit(data)
+        for chosen in maps:
+            model = estimator.fit(data.where("__train"), chosen)
+            score = float(evaluator.evaluate(model.transform(data.where("NOT __train"))))
+            if best is None or score > best[0]:
+                best = (score, model)
+            scores.append(({p.name: str(v) for p, v in chosen.items()}, score))
     finally:
         data.unpersist()
-    scores = [
-        ({p.name: str(v) for p, v in m.items()}, float(score)) for m, score in zip(maps, fitted.validationMetrics)
-    ]
-    table = rows.sparkSession.createDataFrame(scores, "parameters MAP<STRING,STRING>, score DOUBLE")
-    return fitted.bestModel, table
+    return best[1], rows.sparkSession.createDataFrame(scores, "parameters MAP<STRING,STRING>, score DOUBLE")

@@ -315,9 +315,19 @@ def keep_after_delete(df: DataFrame, condition: Column) -> DataFrame:
 
 # --- deduplication and similarity ----------------------------------------------------------------
 def dedup_exact(df: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """Keep the first row of every distinct content, by SHA-256."""
+    """Keep the first row of every distinct content, by SHA-256; rows without content are no copies of each other.
+
+    ``order`` is a total order.  Only hash and order are aggregated and shuffled; the rows that stay are then
+    found by them, and Spark reads and moves just the columns asked for.
+    """
     keyed = df.withColumn("content_hash", F.sha2(F.col(text), 256))
-    return first_per_key(keyed, ["content_hash"], [F.col(c) for c in order]).select(*df.columns, "content_hash")
+    firsts = keyed.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min(F.struct(*order)).alias("__first"))
+    firsts = firsts.select(F.col("content_hash").alias("__hash"), *[F.col(f"__first.`{c}`").alias(f"__{i}") for i, c in enumerate(order)])
+    same = F.col("content_hash") == F.col("__hash")
+    for i, c in enumerate(order):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{i}"))
+    kept = keyed.where(F.col("content_hash").isNotNull()).join(firsts, same, "left_semi")
+    return kept.unionByName(keyed.where(F.col("content_hash").isNull())).select(*df.columns, "content_hash")
 
 
 def dedup_report(df: DataFrame, cleaned: str) -> DataFrame:
@@ -384,27 +394,36 @@ def upsert_latest(current: DataFrame, changes: DataFrame, keys: list[str], versi
     return last_per_key(union_sources(current, changes), keys, [F.col(v) for v in version])
 
 
-def apply_status_events(events: DataFrame, job: str, ts: str, tie: str, status: str, error: str) -> DataFrame:
+def apply_status_events(
+    events: DataFrame, job: str, ts: str, tie: str, status: str, error: str, jobs: DataFrame | None = None
+) -> DataFrame:
     """Fold a status event log into one row per job.
 
-    The first 'running' sets the start, the last terminal event the end; an error
-    message counts only when non-empty.  One aggregate, reduced before the shuffle.
+    Every 'running' sets the start anew, the last terminal event the end; an error message counts only
+    when non-empty.  One aggregate, reduced before the shuffle.  ``jobs`` (job, status, started_at, ended_at,
+    error) are the stored rows: jobs without events stay as they are, and what no event sets keeps its stored value.
     """
     order = F.struct(ts, tie)
     terminal = F.col(status).isin("completed", "failed")
-    return events.groupBy(job).agg(
+    folded = events.groupBy(job).agg(
         F.max_by(status, order).alias("status"),
-        F.min(F.when(F.col(status) == "running", F.col(ts))).alias("started_at"),
+        F.max(F.when(F.col(status) == "running", F.col(ts))).alias("started_at"),
         F.max(F.when(terminal, F.col(ts))).alias("ended_at"),
         F.max_by(F.when(F.col(error) != "", F.col(error)), F.when(F.col(error) != "", order)).alias("error"),
     )
+    if jobs is None:
+        return folded
+    names = ["status", "started_at", "ended_at", "error"]
+    new = folded.select(F.col(job).alias("__job"), *[F.col(c).alias(f"__{c}") for c in names])
+    joined = jobs.join(new, jobs[job] == F.col("__job"), "left")
+    return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in names}).drop("__job", *[f"__{c}" for c in names])
 
 
-def apply_metric_updates(jobs: DataFrame, updates: DataFrame, job: str, metrics: list[str], ts: str) -> DataFrame:
-    """Partial updates: the latest non-null value of each metric wins, null leaves the old value."""
+def apply_metric_updates(jobs: DataFrame, updates: DataFrame, job: str, metrics: list[str], ts: str, tie: str) -> DataFrame:
+    """Partial updates: the latest non-null value of each metric wins, null leaves the old value; ``tie`` orders equal times."""
     latest = updates.groupBy(job).agg(
         *[
-            F.max_by(F.col(m), F.when(F.col(m).isNotNull(), F.col(ts))).alias(f"__new_{m}")
+            F.max_by(F.col(m), F.when(F.col(m).isNotNull(), F.struct(ts, tie))).alias(f"__new_{m}")
             for m in metrics
         ]
     )

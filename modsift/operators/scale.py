@@ -14,7 +14,7 @@ from modsift.session import ensure_checkpoint_dir
 
 PIECES = 64
 RANGES = 1024
-WHOLE_ROWS = 4_000_000
+PIECE_ROWS = 1_000_000
 HOT_KEYS = 2000
 
 
@@ -22,19 +22,7 @@ def row_hash_pieces(columns: list[str], pieces: int = PIECES) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(pieces)).cast("int")
 
 
-# --- small inputs ---------------------------------------------------------------------
-def spread_small(df: DataFrame, *keys: str, per_core: int = 64 << 20) -> DataFrame:
-    """Hash a small scan over all cores before per-row text work.
-
-    A file with a single row group is one task, whatever the cluster.  Only scans
-    estimated below ``per_core`` bytes per core are moved; larger ones have splits
-    enough and stay where they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, *keys) if size < cores * per_core else df
-
-
+# --- single evaluation ------------------------------------------------------------------
 def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column that later filters and explodes reuse instead of recomputing.
 
@@ -117,13 +105,13 @@ def hash_rank(df: DataFrame, key: Column, seed: str, by: list[str] | None = None
     )
     inside = Window.partitionBy(*by, "__b").orderBy("__h", *by)
     ranked = hashed.withColumn("__r", F.row_number().over(inside))
-    joined = ranked.join(offsets, [*by, "__b"]) if not by else _null_safe_join(ranked, offsets, [*by, "__b"])
+    joined = ranked.join(offsets, [*by, "__b"]) if not by else null_safe_join(ranked, offsets, [*by, "__b"])
     return joined.withColumn("rank", (F.col("__before") + F.col("__r") - 1).cast("long")).drop(
         "__h", "__b", "__r", "__before"
     )
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     renamed = right.select(*[F.col(c).alias(f"__k_{c}") if c in keys else F.col(c) for c in right.columns])
     condition = F.lit(True)
     for k in keys:
@@ -140,14 +128,16 @@ def range_pieces(df: DataFrame, by: list[str], value: str, pieces: int = RANGES)
     most HOT_KEYS of them, so their cut points (``pieces`` numbers each) are safe to
     broadcast; every other group is small enough to stay whole, as piece 0.
     """
+    if pieces <= 1:
+        return df.withColumn("__piece", F.lit(0))
     v = F.col(value).cast("double")
     cut_points = F.percentile_approx(v, [i / pieces for i in range(1, pieces)], F.lit(10000)).alias("__cuts")
     if by:
         total = df.agg(F.count("*").alias("t")).scalar()
         hot = df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") * HOT_KEYS > total).drop("__n")
-        big_groups = _null_safe_join(df, F.broadcast(hot), by, "left_semi")
+        big_groups = null_safe_join(df, F.broadcast(hot), by, "left_semi")
         cuts = big_groups.groupBy(*by).agg(cut_points)
-        with_cuts = _null_safe_join(df, F.broadcast(cuts), by, "left")
+        with_cuts = null_safe_join(df, F.broadcast(cuts), by, "left")
     else:
         with_cuts = df.withColumn("__cuts", df.agg(cut_points).scalar())
     # Number of cut points below the value, by binary search.
@@ -160,37 +150,30 @@ def range_pieces(df: DataFrame, by: list[str], value: str, pieces: int = RANGES)
     return with_cuts.withColumn("__piece", below).drop("__cuts")
 
 
-def cumulative(
-    df: DataFrame, by: list[str], order: str, sums: dict[str, str], pieces: int = RANGES
-) -> DataFrame:
+def cumulative(df: DataFrame, by: list[str], order: str, sums: dict[str, str], pieces: int | None = None) -> DataFrame:
     """Running totals *before* each row in ascending ``order``, one row per (by, order).
 
     ``sums`` maps new column -> summed column; ``<new>_all`` carries the group total.
-    The table is stored, since it is read several times.  Up to WHOLE_ROWS rows in all are
-    accumulated per group at once; beyond that piece totals are accumulated first and each
-    piece runs its own window.
+    The table is stored, since it is read several times.  Its rows are cut into value ranges, one per
+    PIECE_ROWS rows (at most RANGES per group); range totals are accumulated first and each range runs
+    its own window.
     """
     df = stored(df)
-    if df.count() <= WHOLE_ROWS:
-        groups = Window.partitionBy(*(by or [F.lit(0)]))
-        before = groups.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select(
-            "*",
-            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in sums.items()],
-            *[F.sum(c).over(groups).alias(f"{n}_all") for n, c in sums.items()],
-        )
+    if pieces is None:
+        pieces = min(RANGES, 1 + df.count() // PIECE_ROWS)
     cut = range_pieces(df, by, order, pieces)
     totals = cut.groupBy(*by, "__piece").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    w = Window.partitionBy(*by).orderBy("__piece")
+    groups = by or [F.lit(0)]  # without groups: one row per range
+    w = Window.partitionBy(*groups).orderBy("__piece")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *by,
         "__piece",
         *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
-        *[F.sum(f"__t_{n}").over(Window.partitionBy(*by)).alias(f"{n}_all") for n in sums],
+        *[F.sum(f"__t_{n}").over(Window.partitionBy(*groups)).alias(f"{n}_all") for n in sums],
     )
     inner = Window.partitionBy(*by, "__piece").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = _null_safe_join(cut, offsets, [*by, "__piece"])
+    out = null_safe_join(cut, offsets, [*by, "__piece"])
     for n, c in sums.items():
         out = out.withColumn(n, F.col(f"__o_{n}") + F.coalesce(F.sum(c).over(inner), F.lit(0)))
     return out.drop("__piece", *[f"__o_{n}" for n in sums])
@@ -281,10 +264,4 @@ def join_salted(facts: DataFrame, keyed: DataFrame, keys: list[str], salts: int
     """
     spread = F.pmod(F.xxhash64(*[c for c, t in facts.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int")
     copies = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return _null_safe_join(facts.withColumn("__salt", spread), copies, [*keys, "__salt"], "left").drop("__salt")
-
-
-def bounded_values(df: DataFrame, column: str, limit: int) -> list | None:
-    """The column as a driver list when it has at most ``limit`` rows, else None."""
-    rows = df.select(column).limit(limit + 1).collect()
-    return None if len(rows) > limit else [r[0] for r in rows]
+    return null_safe_join(facts.withColumn("__salt", spread), copies, [*keys, "__salt"], "left").drop("__salt")

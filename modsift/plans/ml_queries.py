@@ -32,13 +32,13 @@ def _trained(t, algorithm, **parameters):
 
 
 for _name, _algorithm, _parameters in [
-    ("m1_random_forest", "RANDOM_FOREST", {"trees": 20, "depth": 8}),
-    ("m2_svm", "SVM", {"iterations": 20}),
-    ("m3_logistic_regression", "LOGISTIC_REGRESSION", {"iterations": 50}),
+    ("m1_random_forest", "RANDOM_FOREST", {}),
+    ("m2_svm", "SVM", {}),
+    ("m3_logistic_regression", "LOGISTIC_REGRESSION", {}),
     ("m4_naive_bayes", "NAIVE_BAYES", {}),
-    ("m5_decision_tree", "DECISION_TREE", {"depth": 8}),
-    ("m6_gradient_boosting", "GRADIENT_BOOSTING", {"rounds": 10, "depth": 4}),
-    ("m10_dense_network", "DENSE_NETWORK", {"layers": [len(COLUMNS), 8, 2], "iterations": 40}),
+    ("m5_decision_tree", "DECISION_TREE", {}),
+    ("m6_gradient_boosting", "GRADIENT_BOOSTING", {}),
+    ("m10_dense_network", "DENSE_NETWORK", {"layers": [len(COLUMNS), 8, 2]}),
 ]:
     query(_name)(lambda t, a=_algorithm, p=_parameters: _trained(t, a, **p))
 
@@ -87,35 +87,35 @@ def _(t):
 
 @query("m12_train_job")
 def _(t):
-    _, metrics = M.train_job(labeled_features(t), COLUMNS, "quality", "split", "DECISION_TREE", "job-1", depth=5)
+    _, metrics = M.train_job(labeled_features(t), COLUMNS, "quality", "split", "DECISION_TREE", "job-1")
     return metrics.select("job_id", "algorithm", "samples", F.round("accuracy", 6).alias("accuracy"), F.round("f1", 6).alias("f1"))
 
 
 @query("i1_predict")
 def _(t):
     rows = M.assemble(labeled_features(t), COLUMNS, "toxic")
-    out = M.predict(rows, M.train("LOGISTIC_REGRESSION", rows.where("split = 'train'"), iterations=50), ["doc_id"])
+    out = M.predict(rows, M.train("LOGISTIC_REGRESSION", rows.where("split = 'train'")), ["doc_id"])
     return out.select("doc_id", "prediction", F.round("confidence", 4).alias("confidence"), F.size("scores").alias("n_scores"))
 
 
 @query("e6_cross_validate")
 def _(t):
     rows = M.assemble(labeled_features(t), COLUMNS, "quality").select("doc_id", "features", "label")
-    return M.cross_validate(rows, "doc_id", "NAIVE_BAYES", 3).select("fold", "samples", F.round("accuracy", 6).alias("accuracy"))
+    return M.cross_validate(rows, "doc_id", "NAIVE_BAYES").select("fold", "samples", F.round("accuracy", 6).alias("accuracy"))
 
 
 @query("e11_hyperparameter_grid")
 def _(t):
-    rows = M.assemble(labeled_features(t), COLUMNS, "quality").select("features", "label")
-    base = LogisticRegression(maxIter=20)
-    _, scores = M.hyperparameter_grid(rows, base, {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5]})
+    rows = M.assemble(labeled_features(t), COLUMNS, "quality").select("doc_id", "features", "label")
+    base = LogisticRegression()
+    _, scores = M.hyperparameter_grid(rows, "doc_id", base, {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5]})
     return scores.select(F.to_json("parameters").alias("parameters"), F.round("score", 4).alias("score"))
 
 
 @query("x12_doc_embedding")
 def _(t):
     d = t.documents.select("doc_id", T.tokenize("text", lower=True).alias("tk"))
-    e = M.doc_embedding(d, "tk", dim=16, epochs=1)
+    e = M.doc_embedding(d, "tk")
     return e.select("doc_id", F.size("embedding").alias("dim"))
 
 
@@ -170,6 +170,7 @@ def _(t):
     return G.noise_augment(t.documents, "doc_id", "text", 2).select("doc_id", "copy", F.md5("augmented").alias("digest"))
 
 
-@query("g8_batch_augment", "SELECT 'text_' || doc_id AS key FROM documents")
+@query("g8_batch_augment")
 def _(t):
-    return G.batch_augment(t.documents, "doc_id", "text", 2, synonyms=SYNONYMS).select("key")
+    out = G.batch_augment(t.documents, "doc_id", "text", 2, synonyms=SYNONYMS)
+    return out.select("key", F.size("augmented").alias("n_copies"), F.md5(F.array_join("augmented", "\n")).alias("digest"))

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modsift.operators.scale import spread_small
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-# Tables whose rows are whole texts: per-row work dominates, so small ones are spread over all cores.
+# Tables whose rows are whole texts.  A session may set this to the number of partitions they are dealt to, for
+# files with fewer row groups than the machine has cores; by default the scan's splits stay.
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+SPREAD = "spark.modsift.text.partitions"
 
 
 class Tables:
@@ -24,7 +24,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread_small(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+        spread = self.spark.conf.get(SPREAD, None) if name in TEXT_TABLES else None
+        return df.repartition(int(spread), TEXT_TABLES[name]) if spread else df
 
 
 def query(name: str, sql: str | None = None):

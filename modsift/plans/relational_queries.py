@@ -243,6 +243,25 @@ def _(t):
     return r.select(F.col("model_name").alias("grp"), "n", F.round("avg_ms", 6).alias("avg_ms"), "min_ms", "max_ms", "p95_ms", "p99_ms", F.round("error_rate", 6).alias("error_rate"))
 
 
+@query(
+    "a12_latency_profile_with_nulls",
+    """WITH r AS (SELECT CASE WHEN user_id % 3 <> 2 THEN 'model_' || (user_id % 3) END AS grp,
+        CASE WHEN event_type <> 'error' OR event_id % 2 = 1 THEN value END AS ms, event_type = 'error' AS failed FROM events),
+      s AS (SELECT grp, count(*) AS n, round(avg(ms), 6) AS avg_ms, min(ms) AS min_ms, max(ms) AS max_ms, count(*) FILTER (failed) / count(*)::DOUBLE AS rate,
+        list_sort(list(ms) FILTER (ms IS NOT NULL)) AS v FROM r GROUP BY 1)
+      SELECT grp, n, avg_ms, min_ms, max_ms, v[least(len(v) * 95 // 100, len(v) - 1) + 1] AS p95_ms, v[least(len(v) * 99 // 100, len(v) - 1) + 1] AS p99_ms,
+        round(rate, 6) AS error_rate FROM s""",
+)
+def _(t):
+    kind = F.col("event_type")
+    r = t.events.select(
+        F.when(F.col("user_id") % 3 != 2, F.concat(F.lit("model_"), F.col("user_id") % 3)).alias("grp"),
+        F.when((kind != "error") | (F.col("event_id") % 2 == 1), F.col("value")).alias("ms"), kind,
+    )
+    r = E.latency_profile(r, ["grp"], "ms", kind == "error")
+    return r.select("grp", "n", F.round("avg_ms", 6).alias("avg_ms"), "min_ms", "max_ms", "p95_ms", "p99_ms", F.round("error_rate", 6).alias("error_rate"))
+
+
 @query(
     "a13_today_count",
     "SELECT count(*) FILTER (event_type = 'click') AS total_processed, count(*) FILTER (ts::DATE = DATE '2024-01-15') AS today_processed FROM events",
@@ -421,6 +440,16 @@ def _(t):
     return R.dedup_exact(t.documents, "text", ["doc_id"]).select("doc_id", "source", "content_hash")
 
 
+@query(
+    "j1_dedup_exact_with_nulls",
+    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 17 <> 0 THEN text END AS text FROM documents)
+      SELECT doc_id, sha256(text) AS content_hash FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM d) WHERE rn = 1 OR text IS NULL""",
+)
+def _(t):
+    d = t.documents.select("doc_id", F.when(F.col("doc_id") % 17 != 0, F.col("text")).alias("text"))
+    return R.dedup_exact(d, "text", ["doc_id"]).select("doc_id", "content_hash")
+
+
 @query(
     "j2_dedup_cleaned_report",
     f"""SELECT count(*) AS total, count(DISTINCT c) AS unique_texts, count(*) - count(DISTINCT c) AS duplicates,
@@ -484,7 +513,7 @@ def _(t):
 def _(t):
     d = t.documents.select("doc_id", T.tokenize("text", lower=True).alias("tk"))
     lexicon = d.select(F.explode("tk").alias("word")).where(F.col("word").isin(STOP)).distinct()
-    return remove_stop_words(d, "tk", lexicon).select(
+    return remove_stop_words(d, "tk", lexicon, "doc_id").select(
         "doc_id", F.size("filtered_tokens").alias("n"), (F.size("tk") - F.size("filtered_tokens")).alias("removed")
     )
 
@@ -504,11 +533,17 @@ def _(t):
 
 @query(
     "u2_apply_status_events",
-    f"""WITH {fx.JOB_EVENTS_SQL} SELECT job_id, arg_max(status, ts) AS status, strftime(min(ts) FILTER (status = 'running'), '{TS}') AS started_at,
-      strftime(max(ts) FILTER (status IN ('completed', 'failed')), '{TS}') AS ended_at, arg_max(error, ts) FILTER (error <> '') AS error FROM job_events GROUP BY 1""",
+    f"""WITH {fx.JOB_EVENTS_SQL}, f AS (SELECT job_id, arg_max(status, (ts, event_id)) AS status, max(ts) FILTER (status = 'running') AS started_at,
+      max(ts) FILTER (status IN ('completed', 'failed')) AS ended_at, arg_max(error, (ts, event_id)) FILTER (error <> '') AS error FROM job_events GROUP BY 1)
+      SELECT c_custkey AS job_id, coalesce(f.status, 'stored') AS status, strftime(coalesce(f.started_at, TIMESTAMP '2020-01-01'), '{TS}') AS started_at,
+      strftime(f.ended_at, '{TS}') AS ended_at, f.error FROM customer LEFT JOIN f ON f.job_id = c_custkey""",
 )
 def _(t):
-    r = R.apply_status_events(fx.job_events(t), "job_id", "ts", "event_id", "status", "error")
+    jobs = t.customer.select(
+        F.col("c_custkey").alias("job_id"), F.lit("stored").alias("status"), F.lit("2020-01-01").cast("timestamp_ntz").alias("started_at"),
+        F.lit(None).cast("timestamp_ntz").alias("ended_at"), F.lit(None).cast("string").alias("error"),
+    )
+    r = R.apply_status_events(fx.job_events(t), "job_id", "ts", "event_id", "status", "error", jobs)
     return r.select("job_id", "status", stamp("started_at"), stamp("ended_at"), "error")
 
 
@@ -540,15 +575,15 @@ def _(t):
 @query(
     "u6_apply_metric_updates",
     """WITH j AS (SELECT c_custkey AS job_id, c_acctbal AS loss, 0.5::DOUBLE AS accuracy FROM customer),
-      u AS (SELECT user_id AS job_id, ts, CASE WHEN event_type = 'click' THEN value END AS loss, CASE WHEN event_type = 'view' THEN value / 1000 END AS accuracy FROM events),
+      u AS (SELECT user_id AS job_id, (ts::DATE, event_id) AS ts, CASE WHEN event_type = 'click' THEN value END AS loss, CASE WHEN event_type = 'view' THEN value / 1000 END AS accuracy FROM events),
       n AS (SELECT job_id, arg_max(loss, ts) FILTER (loss IS NOT NULL) AS loss, arg_max(accuracy, ts) FILTER (accuracy IS NOT NULL) AS accuracy FROM u GROUP BY 1)
       SELECT j.job_id, coalesce(n.loss, j.loss) AS loss, round(coalesce(n.accuracy, j.accuracy), 8) AS accuracy FROM j LEFT JOIN n ON n.job_id = j.job_id""",
 )
 def _(t):
     j = t.customer.select(F.col("c_custkey").alias("job_id"), F.col("c_acctbal").alias("loss"), F.lit(0.5).alias("accuracy"))
     u = t.events.select(
-        F.col("user_id").alias("job_id"), "ts", F.when(F.col("event_type") == "click", F.col("value")).alias("loss"),
+        F.col("user_id").alias("job_id"), "event_id", F.col("ts").cast("date").alias("ts"), F.when(F.col("event_type") == "click", F.col("value")).alias("loss"),
         F.when(F.col("event_type") == "view", F.col("value") / 1000).alias("accuracy"),
     )
-    r = R.apply_metric_updates(j, u, "job_id", ["loss", "accuracy"], "ts")
+    r = R.apply_metric_updates(j, u, "job_id", ["loss", "accuracy"], "ts", "event_id")
     return r.select("job_id", "loss", F.round("accuracy", 8).alias("accuracy"))

@@ -304,7 +304,7 @@ def _(t):
 def _(t):
     d = t.documents.select("doc_id", T.tokenize("text").alias("tk"))
     stop = t.documents.select(F.col("lang").alias("word")).distinct()
-    return X.remove_stop_words(d, "tk", stop).select(
+    return X.remove_stop_words(d, "tk", stop, "doc_id").select(
         "doc_id", F.size("filtered_tokens").alias("n"), F.md5(F.array_join("filtered_tokens", " ")).alias("digest")
     )
 

@@ -112,10 +112,24 @@ def read_text_lines(spark: SparkSession, paths, rules=None, max_count=None) -> D
     return lines_to_texts(lines, "value", "__path", rules, max_count)
 
 
+def _csv_by_header(spark: SparkSession, paths, delimiter: str, **options: str) -> list[DataFrame]:
+    """One table per distinct header line: files with other columns are other tables.
+
+    The first line of every file is found with its place in the file, so the files are listed, not read by the driver.
+    """
+    lines = spark.read.options(**options).text(paths, wholetext=False).select("value", F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("at"))
+    heads = lines.where(F.col("at") == 0).withColumn("n", F.monotonically_increasing_id()).groupBy("p").agg(F.min_by("value", "n").alias("head"))
+    groups = heads.groupBy("head").agg(F.collect_list("p").alias("files")).collect()  # file names
+    return [
+        spark.read.csv(g.files, header=True, sep=delimiter, mode="DROPMALFORMED", multiLine=True, escape='"').select("*", _path())
+        for g in sorted(groups, key=lambda g: g["head"])
+    ]
+
+
 def read_csv_texts(spark: SparkSession, paths, delimiter: str = ",", text_column: str | None = None, rules=None, max_count=None) -> DataFrame:
-    """CSV with header; records of the wrong width are dropped."""
-    rows = spark.read.csv(paths, header=True, sep=delimiter, mode="DROPMALFORMED", multiLine=False, escape='"')
-    return table_to_texts(rows.select("*", _path()), "__path", text_column, rules, max_count)
+    """CSV files, each with its own header and perhaps line breaks inside quotes; records of the wrong width are dropped."""
+    parts = [table_to_texts(rows, "__path", text_column, rules, max_count) for rows in _csv_by_header(spark, paths, delimiter)]
+    return union_sources(*parts)
 
 
 def read_json_array_texts(spark: SparkSession, paths, rules=None, max_count=None) -> DataFrame:
@@ -142,8 +156,7 @@ def read_texts_by_extension(spark: SparkSession, folder: str, rules=None) -> Dat
     kinds = {r.kind for r in listed.distinct().collect()}  # at most four names
     frames = []
     if "csv" in kinds:
-        rows = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").csv(folder, header=True, mode="DROPMALFORMED", escape='"')
-        frames.append(table_to_texts(rows.select("*", _path()), "__path", None, rules))
+        frames += [table_to_texts(rows, "__path", None, rules) for rows in _csv_by_header(spark, folder, ",", pathGlobFilter="*.[cC][sS][vV]")]
     if "json" in kinds:
         items = spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN]").schema(ITEM_SCHEMA).json(folder, multiLine=True)
         frames.append(items_to_texts(items.select("*", _path()), "__path", "json", rules))

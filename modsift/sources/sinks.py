@@ -68,13 +68,24 @@ def write_training_jsonl(records: DataFrame, path: str, record: str = "record")
 
 
 def rewrite_keeping(df: DataFrame, path: str, partition: str) -> None:
-    """Replace only the partitions present in ``df`` (dynamic overwrite)."""
+    """Replace the table by ``df``, partition by partition; partitions that ``df`` no longer has are removed.
+
+    ``df`` may be read from ``path`` itself: partitions are overwritten one by one (dynamic overwrite), and the
+    emptied ones are deleted last.
+    """
+    spark = df.sparkSession
+    named = lambda d: d.select(F.col(partition).cast("string").alias("p")).distinct()
+    emptied = named(spark.read.parquet(path)).exceptAll(named(df)).collect() if _exists(spark, path) else []  # folder names
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)
     )
+    for row in emptied:
+        name = "__HIVE_DEFAULT_PARTITION__" if row.p is None else spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(row.p)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def append_jdbc(df: DataFrame, url: str, table: str, batch_size: int = 500, **options: str) -> None:

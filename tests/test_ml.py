@@ -53,11 +53,12 @@ def test_selection(rows):
     data = M.assemble(rows, ["a", "b"], "y")
     folds = M.cross_validate(data, "id", "NAIVE_BAYES", 3).collect()
     assert len(folds) == 3 and sum(r.samples for r in folds) == 240 and min(r.accuracy for r in folds) > 0.8
-    _, scores = M.hyperparameter_grid(data, LogisticRegression(maxIter=10), {"regParam": [0.01, 1.0]})
+    _, scores = M.hyperparameter_grid(data, "id", LogisticRegression(maxIter=10), {"regParam": [0.01, 1.0]})
     assert scores.count() == 2
 
 
 def test_embedding_vocabulary_is_bounded(spark):
     docs = spark.createDataFrame([(i, ["the", "cat", f"w{i % 7}", "the"]) for i in range(40)], "id INT, tk ARRAY<STRING>")
-    out = M.doc_embedding(docs, "tk", dim=4, min_count=1, epochs=1, max_vocabulary=2).first()
-    assert len(out.embedding) == 4
+    assert len(M.doc_embedding(docs, "tk", dim=4, min_count=1, epochs=1).first().embedding) == 4
+    with pytest.raises(ValueError):
+        M.doc_embedding(docs, "tk", dim=4, min_count=1, epochs=1, most_words=2)

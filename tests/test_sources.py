@@ -161,3 +161,19 @@ def test_training_jsonl_and_batches(spark, tmp_path):
 def test_training_log(spark, line, epoch, loss, rate):
     r = parse_training_log(spark.createDataFrame([(line,)], "line STRING")).first()
     assert (r.epoch, r.loss, r.learning_rate) == (epoch, loss, rate)
+
+
+def test_csv_files_with_own_headers_and_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,text\n1,first text here\n2,"two\nlines, quoted"\n')
+    (tmp_path / "b.csv").write_text("comment,id,lang\nother text here,3,en\n")
+    got = {r.content for r in files.read_csv_texts(spark, str(tmp_path)).collect()}
+    assert got == {"first text here", "two\nlines, quoted", "other text here"}
+    assert {r.content for r in files.read_texts_by_extension(spark, str(tmp_path)).collect()} == got
+
+
+def test_rewrite_removes_emptied_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a"), (2, "b b"), (3, None)], "v INT, p STRING").write.partitionBy("p").parquet(path)
+    kept = spark.read.parquet(path).where("v = 1")
+    sinks.rewrite_keeping(kept, path, "p")
+    assert [r.v for r in spark.read.parquet(path).collect()] == [1]

@@ -150,18 +150,20 @@ def test_process_texts_separates_failures(spark):
 
 def test_sentiment_forms_agree(spark):
     df = spark.createDataFrame([(1, ["good", "BAD", "good", "x"]), (2, []), (3, ["bad"])], "id INT, tk ARRAY<STRING>")
-    lexicon = spark.createDataFrame([("good", 1), ("bad", -1)], "word STRING, polarity INT")
-    a = {r.id: r.sentiment for r in X.sentiment_features(df, "tk", lexicon).collect()}
-    b = {r.id: r.sentiment for r in X.sentiment_by_join(df, "id", "tk", lexicon).collect()}
+    words = [("good", 1), ("bad", -1)]
+    lexicon = spark.createDataFrame(words, "word STRING, polarity INT")
+    a = {r.id: r.sentiment for r in X.sentiment_features(df, "tk", words).collect()}
+    b = {r.id: r.sentiment for r in X.sentiment_features(df.repartition(3), "tk", lexicon, "id").collect()}
     assert a == b
     assert a[1].sentiment_class == "positive" and round(a[1].polarity, 6) == round(1 / 3, 6)
     assert a[2].sentiment_class == "neutral" and a[3].polarity == -1.0
 
 
-def test_stop_words_join_path_matches_literal_path(spark, monkeypatch):
-    df = spark.createDataFrame([(1, ["The", "cat", "the", "dog"]), (2, ["the"]), (3, [])], "id INT, tk ARRAY<STRING>")
+def test_stop_words_table_matches_list(spark):
+    df = spark.createDataFrame([(1, ["The", "cat", "the", "dog"]), (2, ["the"]), (3, []), (4, None)], "id INT, tk ARRAY<STRING>")
     stop = spark.createDataFrame([("the",)], "word STRING")
-    small = {r.id: r.filtered_tokens for r in X.remove_stop_words(df, "tk", stop).collect()}
-    monkeypatch.setattr(X, "LEXICON_LITERAL_LIMIT", 0)
-    large = {r.id: r.filtered_tokens for r in X.remove_stop_words(df, "tk", stop).collect()}
-    assert small == large == {1: ["cat", "dog"], 2: [], 3: []}
+    by_list = {r.id: r.filtered_tokens for r in X.remove_stop_words(df, "tk", ["the"]).collect()}
+    by_table = {r.id: r.filtered_tokens for r in X.remove_stop_words(df.repartition(3), "tk", stop, "id").collect()}
+    assert by_list == by_table and by_table[1] == ["cat", "dog"] and by_table[2] == by_table[3] == []
+    with pytest.raises(ValueError):
+        X.remove_stop_words(df, "tk", stop)
