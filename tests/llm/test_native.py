@@ -1,0 +1,112 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from modsift.llm import fingerprint, licenses, secrets
+
+
+def shingles(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0d]+", text) if x]
+    n = min(5, len(w))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_every_bin_is_probed(spark):
+    probes = spark.range(3).select(F.transform(F.sequence(F.lit(0), F.lit(fingerprint.BINS - 1)), lambda t: fingerprint._probe(F.col("id").cast("int"), t)).alias("p")).collect()
+    assert all(sorted(r.p) == list(range(fingerprint.BINS)) for r in probes)
+
+
+def test_edited_fingerprints_match_texts(documents):
+    texts = [(r.doc_id, r.text) for r in documents.orderBy("doc_id").collect()]
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(documents).collect()}
+    errors, prints = [], {}
+    for k, (i, t) in enumerate(texts):
+        after = texts[(k + 1) % len(texts)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        r = got[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        errors += [r.near_edited - jaccard(t, edited), r.near_next - jaccard(t, after)]
+        assert prints.setdefault(t, r.fingerprint) == r.fingerprint
+    assert len(set(prints.values())) == len({frozenset(shingles(t)) for t in prints})
+    assert max(map(abs, errors)) < 0.2 and abs(sum(errors) / len(errors)) < 0.01
+
+
+def test_fingerprints_of_odd_rows(odd, docs_of):
+    df, texts = odd
+    rows = fingerprint.edited_fingerprints(df).collect()
+    assert sorted((r.doc_id or -1, r.n_chars) for r in rows) == sorted((i or -1, len(t or "")) for i, t in texts)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+    assert {r.fingerprint for r in rows if r.doc_id in (1, 2, 3)} == {""}
+    one = fingerprint.edited_fingerprints(docs_of([(1, "abcdef")])).first()
+    assert one.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and one.near_next == 1.0
+    assert fingerprint.edited_fingerprints(df.limit(0)).count() == fingerprint.fingerprints(df.limit(0)).count() == 0
+    plain = {r.text: r.fingerprint for r in fingerprint.fingerprints(df).collect()}
+    assert plain[None] == plain[""] == "" and all(plain[r[1]] for r in texts if (r[1] or "").split())
+
+
+def brute_licenses(texts, templates):
+    words = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    found = {}
+    for i, t in texts:
+        g = grams(words(t or ""))
+        for name, template in templates:
+            own = grams(words(template))
+            n, step = len(own), max(1, len(own) // 10)
+            for at in range(0, len(g), step):
+                share = len(set(g[at : at + n]) & set(own)) / len(set(own))
+                if share >= 0.8:
+                    best = found.get((i, name), (0, at, 0))
+                    found[(i, name)] = (max(best[0], share), min(best[1], at), best[2] + 1)
+    return found
+
+
+def test_licenses_match_brute_force(spark, docs_of, odd):
+    templates = spark.createDataFrame(licenses.TEMPLATES, "license_id STRING, text STRING")
+    filler = "some words before the notice "
+    grant = dict(licenses.TEMPLATES)["MIT-grant"]
+    texts = [(100 + k, filler * k + t + " " + filler * (5 - k)) for k, (_, t) in enumerate(licenses.TEMPLATES[:5])]
+    texts += [(120, grant.replace("charge", "cost")), (121, filler + grant.upper() + filler), (122, grant[:60]), (123, "Released under the MIT License. " * 40), *odd[1]]
+    got = {(r.doc_id, r.license_id): (r.containment, r.first_word, r.n_windows) for r in licenses.scan_licenses(docs_of(texts), templates).collect()}
+    want = brute_licenses(texts, licenses.TEMPLATES)
+    assert got.keys() == want.keys() and len(want) >= 7
+    for k in want:  # a window below full likeness may miss all bands with a probability below 0.0003
+        assert abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1]
+
+
+def test_licenses_of_empty_tables(spark, odd):
+    templates = spark.createDataFrame(licenses.TEMPLATES, "license_id STRING, text STRING")
+    assert licenses.scan_licenses(odd[0].limit(0), templates).count() == 0
+    assert licenses.scan_licenses(odd[0], templates.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(odd[0], spark.createDataFrame([("x", "too short")], "license_id STRING, text STRING"))
+
+
+def test_secret_candidates(docs_of, odd):
+    digest = hashlib.sha1(b"1").hexdigest()
+    rows = {(r.doc_id, r.candidate, r.before, r.after) for r in secrets.candidates(docs_of([(1, f'my token = "{digest}" then'), (2, "short words"), (3, None), (4, "aaaaaaaaaaaaaaaaaaaa")])).collect()}
+    assert rows == {(1, digest, "token =", "then"), (4, "a" * 20, " ", "")}
+    assert secrets.candidates(odd[0].limit(0)).count() == 0
+
+
+def test_secrets_found_and_words_left(docs_of):
+    texts = []
+    for i in range(200):
+        digest = hashlib.sha1(str(i).encode()).hexdigest()
+        texts.append((i, f'the text and the words token = "{digest}" in it' if i % 2 else f"the text and theandthewordsintext{'the' * (i % 5)} card {10**15 + i * 977}"))
+    out = secrets.scan_secrets(docs_of(texts)).collect()
+    assert {r.doc_id for r in out if r.is_secret} == set(range(1, 200, 2))
+    assert secrets.scan_secrets(docs_of(texts).limit(0)).count() == 0
+    reviewed = [(r.doc_id, r.place, r.word, r.candidate, r.before, r.after, int(r.is_secret)) for r in out]
+    spark = docs_of(texts).sparkSession
+    findings = spark.createDataFrame(reviewed, "doc_id LONG, place INT, word STRING, candidate STRING, before STRING, after STRING, label INT")
+    again = secrets.scan_secrets(docs_of(texts), findings).collect()
+    assert {r.doc_id for r in again if r.is_secret} == set(range(1, 200, 2))
