@@ -55,10 +55,21 @@ targets AS (
 ),
 rated AS (
   SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-    CAST(('0x' || substr(md5('mix-1:' || COALESCE(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
+    CAST(('0x' || substr(md5('mix-1:' || COALESCE(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) AS drawn
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ),
-mixed AS (SELECT *, CAST(floor(rate) AS INTEGER) + CAST(draw < rate - floor(rate) AS INTEGER) AS copies FROM rated)
+offsets AS (SELECT unnest(range(32)) AS k),
+trials AS (
+  SELECT source, k, ABS(CAST(SUM(CASE WHEN CAST((drawn + k * 140737488355328) % 4503599627370496 AS DOUBLE) < (rate - floor(rate)) * 4503599627370496.0::DOUBLE THEN size ELSE 0 END) AS BIGINT)
+    - (ANY_VALUE(target) - floor(ANY_VALUE(rate)) * ANY_VALUE(source_size))) AS off
+  FROM rated CROSS JOIN offsets GROUP BY source, k
+),
+chosen AS (SELECT source, CAST(ARG_MIN(k, (off, k)) AS BIGINT) AS k FROM trials GROUP BY source),
+mixed AS (
+  SELECT r.*, CAST(floor(rate) AS INTEGER)
+    + CAST(CAST((drawn + k * 140737488355328) % 4503599627370496 AS DOUBLE) < (rate - floor(rate)) * 4503599627370496.0::DOUBLE AS INTEGER) AS copies
+  FROM rated r JOIN chosen c ON r.source IS NOT DISTINCT FROM c.source
+)
 """
 
 OP6_SQL = "WITH " + MIX_SQL.format(documents="documents") + (
