@@ -407,11 +407,11 @@ def _(t):
 
 @query(
     "k5_training_json",
-    f"""WITH {fx.QA_SQL} SELECT conv_id, turn, length('{{"instruction":"请根据以下问题生成高质量的回答：","input":' || to_json('问题：' || question) || ',"output":' || to_json('回答：' || answer) || '}}') AS json_length FROM qa""",
+    f"""WITH {fx.QA_SQL} SELECT conv_id, turn, sha256('{{"instruction":"请根据以下问题生成高质量的回答：","input":' || to_json('问题：' || question) || ',"output":' || to_json('回答：' || answer) || '}}') AS json_hash FROM qa""",
 )
 def _(t):
     rec = I.to_simple_format(fx.qa_pairs(t))
-    return rec.select("conv_id", "turn", F.length(F.to_json("record")).alias("json_length"))
+    return rec.select("conv_id", "turn", F.sha2(F.to_json("record"), 256).alias("json_hash"))
 
 
 @query(

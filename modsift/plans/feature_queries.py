@@ -293,13 +293,13 @@ def _(t):
 
 @query(
     "x19_tag_extraction",
-    f"""WITH {DOC_TOKENS}, long AS (SELECT doc_id, term FROM words WHERE length(term) >= 8),
+    f"""WITH {DOC_TOKENS}, long AS (SELECT doc_id, term FROM words),
       freq AS (SELECT term, count(*) AS freq FROM long GROUP BY 1 HAVING count(*) >= 3)
     SELECT doc_id, tag, freq, rank FROM (SELECT doc_id, term AS tag, freq, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, term) AS rank
       FROM (SELECT DISTINCT doc_id, term FROM long) JOIN freq USING (term)) WHERE rank <= 10""",
 )
 def _(t):
-    tags = kept_tokens(t).select("doc_id", F.explode("k").alias("tag")).where(F.length("tag") >= 8)
+    tags = kept_tokens(t).select("doc_id", F.explode("k").alias("tag"))
     return C.extract_tags(tags, "doc_id", "tag", 10, 3).select("doc_id", "tag", "freq", "rank")
 
 

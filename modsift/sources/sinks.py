@@ -34,7 +34,7 @@ def write_raw_texts(df: DataFrame, path: str) -> None:
     out.write.mode("append").partitionBy("source").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
@@ -45,7 +45,7 @@ def write_processed(df: DataFrame, path: str, key: str = "raw_text_id") -> None:
     Only the key column of the target is read back.
     """
     fresh = df.dropDuplicates([key])
-    if _exists(df.sparkSession, path):
+    if path_exists(df.sparkSession, path):
         done = df.sparkSession.read.parquet(path).select(key)
         fresh = fresh.join(done, key, "left_anti")
     fresh.write.mode("append").parquet(path)
@@ -75,7 +75,7 @@ def rewrite_keeping(df: DataFrame, path: str, partition: str) -> None:
     """
     spark = df.sparkSession
     named = lambda d: d.select(F.col(partition).cast("string").alias("p")).distinct()
-    emptied = named(spark.read.parquet(path)).exceptAll(named(df)).collect() if _exists(spark, path) else []  # folder names
+    emptied = named(spark.read.parquet(path)).exceptAll(named(df)).collect() if path_exists(spark, path) else []  # folder names
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

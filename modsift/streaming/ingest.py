@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from modsift.functions import scores as S
 from modsift.operators.features import forum_features, process_texts
-from modsift.sources.sinks import error_rows
+from modsift.sources.sinks import error_rows, path_exists
 from modsift.streaming.windows import LATENESS
 
 RAW_MESSAGE = (
@@ -82,9 +83,22 @@ def with_retries(fn: Callable[[], None], attempts: int = 3, backoff: float = 1.0
             time.sleep(backoff * attempt)
 
 
-def write_batch_folder(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one micro-batch to its own folder; a replayed batch replaces itself."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def write_batch_folder(df: DataFrame, path: str, run: str, batch_id: int) -> None:
+    """Write one micro-batch to its own folder; a replayed batch replaces itself, another run's batches stay."""
+    df.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
+
+
+def skip_processed(batch: DataFrame, path: str, run: str, batch_id: int, key: str = "id", target_key: str = "raw_text_id") -> DataFrame:
+    """The rows of a micro-batch whose id is not in the target yet, each id once.
+
+    The batch's own folder does not count, so that a replayed batch writes the same rows again.  Only the key
+    column of the target is read; Spark joins it to the small batch without moving it where it can.
+    """
+    fresh = batch.dropDuplicates([key])
+    if not path_exists(batch.sparkSession, path):
+        return fresh
+    done = batch.sparkSession.read.parquet(path).where((F.col("run") != run) | (F.col("batch_id") != batch_id))
+    return fresh.join(done.select(F.col(target_key).alias(key)), key, "left_anti")
 
 
 def processed_columns(df: DataFrame) -> DataFrame:
@@ -102,30 +116,32 @@ def feature_messages(df: DataFrame) -> DataFrame:
 
 
 def process_stream(
-    messages: DataFrame, out: str, checkpoint: str, stop_words: list[str] | None = None, ts: str = "createdAt",
+    messages: DataFrame, out: str, checkpoint: str, stop_words: list[str] | None = None,
     attempts: int = 3, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Parse errors and failures to ``errors``, the rest to ``processed`` and ``features``.
+    """Failures to ``errors``, the rest to ``processed`` and ``features``; ids that are processed already are skipped.
 
-    Offsets are committed after the sinks return (checkpoint), every sink folder is
-    keyed by batch id, so a lost executor or a restart never doubles a row.
+    Offsets are committed after the sinks return (checkpoint) and every sink folder is keyed by checkpoint
+    and batch id, so neither a lost executor nor a restart, also with a fresh checkpoint, doubles a row.
+    Equal contents with different ids are different texts.
     """
-    unique = dedup_stream(messages.where(F.col("parse_error").isNull()), "content", ts)
-    processed = process_messages(unique, stop_words)
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    readable = messages.where(F.col("parse_error").isNull())
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+    def sink(arrived: DataFrame, batch_id: int) -> None:
+        fresh = skip_processed(arrived, f"{out}/processed", run, batch_id)
+        batch = process_messages(fresh, stop_words).persist()
         try:
             good = batch.where("success")
-            with_retries(lambda: write_batch_folder(processed_columns(good), f"{out}/processed", batch_id), attempts)
-            with_retries(lambda: write_batch_folder(feature_messages(good), f"{out}/features", batch_id), attempts)
+            with_retries(lambda: write_batch_folder(processed_columns(good), f"{out}/processed", run, batch_id), attempts)
+            with_retries(lambda: write_batch_folder(feature_messages(good), f"{out}/features", run, batch_id), attempts)
             bad = error_rows(batch.where("NOT success"), "id", "dataSource", "error")
-            with_retries(lambda: write_batch_folder(bad, f"{out}/errors", batch_id), attempts)
+            with_retries(lambda: write_batch_folder(bad, f"{out}/errors", run, batch_id), attempts)
         finally:
             batch.unpersist()
 
     return (
-        processed.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+        readable.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 

@@ -162,3 +162,27 @@ def test_other_augmentations(spark, texts):
     assert back and all(len(r.augmented.split()) == len(original[r.id].split()) for r in back)
     lists = {r.key: r.augmented for r in G.batch_augment(texts, "id", "t", 3).collect()}
     assert len(lists) == 63 and lists["text_90"] == []
+
+
+def test_near_duplicate_clusters_against_all_pairs(spark):
+    import random
+
+    from modsift.operators.similarity import near_duplicate_clusters
+
+    rng = random.Random(4)
+    rows = []
+    for group in range(30):
+        base = [f"w{rng.randrange(3000)}" for _ in range(60)]
+        for copy in range(4):
+            rows.append((len(rows), [w if rng.random() > 0.03 * copy else "x" + w for w in base]))
+    rows += [(120, []), (121, rows[5][1])]
+    got = {r.id: r.cluster for r in near_duplicate_clusters(spark.createDataFrame(rows, "id INT, tk ARRAY<STRING>"), "id", "tk").collect()}
+    found = linked = 0
+    for i, a in rows:
+        for j, b in rows[:i]:
+            a_set, b_set = set(a), set(b)
+            if a_set and len(a_set & b_set) >= 0.85 * len(a_set | b_set):
+                linked += 1
+                found += got[i] == got[j]
+    assert linked > 40 and found >= 0.9 * linked
+    assert got[120] == 120 and got[121] == got[5]

@@ -31,9 +31,12 @@ def test_stream_equals_batch_and_survives_restart(spark, tmp_path):
     run()
     got = spark.read.parquet(f"{out}/processed").collect()
     batch = ingest.parse_messages(spark.read.text(str(src)).select("value"), "value")
-    batch = ingest.process_messages(ingest.dedup_stream(batch.where("parse_error IS NULL"), "content", "createdAt"))
+    batch = ingest.process_messages(batch.where("parse_error IS NULL").dropDuplicates(["id"]))
     assert sorted(r.content for r in got) == sorted(r.cleaned for r in batch.where("success").collect())
     assert spark.read.parquet(f"{out}/features").count() == len(got)
+    stream = ingest.read_raw_text_stream(spark, str(src), per_trigger=1)
+    ingest.process_stream(stream, out, str(tmp_path / "fresh")).awaitTermination(120)
+    assert spark.read.parquet(f"{out}/processed").count() == len(got), "a fresh checkpoint doubles nothing"
 
 
 def test_parse_errors_go_to_dead_letters(spark, tmp_path):
