@@ -23,7 +23,7 @@ HEADLINE = [
     "j1_dedup_exact", "j2_dedup_cleaned_report", "j7_similarity_of_pairs", "j9_similar_by_feature_overlap",
     "a9_request_statistics", "a12_latency_profile", "a18_metric_summary", "l5_retain_latest", "u2_apply_status_events",
     "d1_split_dataset_exact", "d2_feature_statistics", "e2_auc_roc", "e4_silhouette", "e10_best_epoch",
-    "i4_detect_anomaly", "i5_audit_texts", "w5_windowed_error_rate", "w6_windowed_p95", "s7_page_texts", "g1_augment",
+    "q9_collection_rules", "m8_dbscan", "i1_predict", "j8_near_duplicate_clusters", "i4_detect_anomaly", "i5_audit_texts", "w5_windowed_error_rate", "w6_windowed_p95", "s7_page_texts", "g1_augment",
 ]
 
 
@@ -33,7 +33,8 @@ def main() -> None:
     repeats = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, "bench")
-    docs = spark.read.parquet(f"{folder}/documents.parquet").count()
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    docs, text_mb = documents.selectExpr("count(*)", "sum(octet_length(text)) / 1e6").first()
     times: dict[str, float] = {}
     for name in names:
         taken = []
@@ -54,6 +55,7 @@ def main() -> None:
             n: round(docs / times[n], 1) for n in ("x14_process_texts", "c1_clean_text", "flagship_source_quality") if n in times
         },
     }
+    result["text_mb_per_second"] = {n: round(float(text_mb) / times[n], 2) for n in result["records_per_second"] | {"x8_tfidf": 0, "x11_ngrams": 0, "j1_dedup_exact": 0} if n in times}
     print(json.dumps(result))
     spark.stop()
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modsift.functions import text as T
-from modsift.operators.scale import compute_once, join_counted_keys, top_n_per_key
+from modsift.operators.scale import compute_once, join_counted_keys, top_n_per_key, with_position
 
 
 def term_counts(docs: DataFrame, row_id: str, tokens: str, *keep: str) -> DataFrame:
@@ -123,15 +123,16 @@ def vocabulary_index(
 
 
 def first_seen_words(docs: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(word, first_row, first_pos): where each lower-case blank-separated word appears first."""
+    """(word, first_row, first_pos, index): where each lower-case blank-separated word appears first, numbered in that order."""
     split = compute_once(docs.select(row_id, text), "__w", F.split(F.lower(T.trim_control(text)), "\\s+"))
     words = split.select(row_id, F.posexplode("__w").alias("pos", "word"))
-    return (
+    firsts = (
         words.where(F.col("word") != "")
         .groupBy("word")
         .agg(F.min(F.struct(F.col(row_id).alias("r"), F.col("pos").alias("p"))).alias("__first"))
         .select("word", F.col("__first.r").alias("first_row"), F.col("__first.p").alias("first_pos"))
     )
+    return with_position(firsts, [F.col("first_row"), F.col("first_pos")], "index")
 
 
 def extract_tags(tagged: DataFrame, row_id: str, tag: str, max_tags: int = 10, min_freq: int = 3) -> DataFrame:

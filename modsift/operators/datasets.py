@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modsift.operators.scale import hash_rank, order_statistics
+from modsift.operators.scale import hash_rank, order_statistics, top_n_per_key
 
 
 def _check_ratios(val: float, test: float) -> None:
@@ -174,9 +174,11 @@ def validate_dataset(df: DataFrame, target: str | None, task: str, max_missing:
 
 def balance_classes(df: DataFrame, row_id: str, target: str, size: int, seed: int = 42) -> DataFrame:
     """An evenly distributed sample: floor(size / classes) rows of each class by hash rank."""
-    classes = df.agg(F.count_distinct(target).alias("k")).scalar()
-    ranked = hash_rank(df, F.col(row_id), f"{seed}|", by=[target])
-    return ranked.where(F.col("rank") < F.floor(F.lit(size) / classes)).drop("rank", "total")
+    each = size // max(1, df.agg(F.count_distinct(target)).first()[0])
+    if each == 0:
+        return df.where(F.lit(False))
+    hashed = df.withColumn("__h", F.sha2(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string")), 256))
+    return top_n_per_key(hashed, [target], [F.asc("__h"), F.asc(row_id)], each).select(*df.columns)
 
 
 def dataset_summary(df: DataFrame, split: str, target: str, n_features: int) -> DataFrame:

@@ -224,13 +224,13 @@ def cluster_indices(df: DataFrame, features: str, label: str) -> DataFrame:
 def ab_compare(df: DataFrame, variant: str, actual: str, predicted: str, latency: str, failed: Column) -> DataFrame:
     quality = classification_metrics(df, actual, predicted, by=[variant])
     speed = latency_profile(df, [variant], latency, failed)
-    return quality.join(speed, variant)
+    return null_safe_join(quality, speed, [variant])
 
 
-def bootstrap_ci(df: DataFrame, row_id: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Bootstrap interval of a mean by Poisson(1) weights drawn from a row hash.
+def block_bootstrap_ci(df: DataFrame, row_id: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Block bootstrap interval of a mean: Poisson(1) weights (0 to 7) for blocks of rows, drawn from a hash.
 
-    Rows are first summed into 4096 hash blocks, and blocks are resampled, so the
+    Blocks are groups of rows by a hash of the id, not single rows.  Rows are first summed into 4096 hash blocks, and blocks are resampled, so the
     replicate fan-out touches a fixed number of rows however large the table is.
     """
     blocks = df.where(F.col(value).isNotNull()).groupBy(row_hash_pieces([row_id], 4096).alias("b")).agg(

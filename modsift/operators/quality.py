@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modsift import values as V
-from modsift.operators.relational import union_sources
 from modsift.operators.scale import top_n_per_key
 
 
@@ -20,10 +19,13 @@ def source_target_rules(
     for word in V.FORUM_TARGET_EXCLUDES:
         clean = clean & ~F.lower(content).contains(word)
     valid = df.where(F.length(content).between(low, high) & clean)
-    parts = []
+    if not targets:
+        return top_n_per_key(valid.where(F.lit(False)), [kind], [F.asc(order)], 1)
+    # One scan for all kinds: the largest count bounds the ranking, each kind's own count cuts it.
+    enough, limit = F.lit(False), F.lit(0)
     for name, (max_count, min_votes) in targets.items():
-        mine = valid.where(F.col(kind) == name)
-        if min_votes > 0:
-            mine = mine.where(F.coalesce(F.col(votes), F.lit(0)) >= min_votes)
-        parts.append(top_n_per_key(mine, [kind], [F.asc(order)], max_count))
-    return union_sources(*parts)
+        mine = F.col(kind) == name
+        enough = enough | (mine & (F.coalesce(F.col(votes), F.lit(0)) >= min_votes if min_votes > 0 else F.lit(True)))
+        limit = F.when(mine, max_count).otherwise(limit)
+    ranked = top_n_per_key(valid.where(enough), [kind], [F.asc(order)], max(n for n, _ in targets.values()))
+    return ranked.where(F.col("rank") <= limit)

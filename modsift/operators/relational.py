@@ -61,12 +61,14 @@ def created_between(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
     )
 
 
+def keyword_hit(keyword: str, text: Column | str, tokens: Column | str | None = None) -> Column:
+    """Whether the text or any token contains the keyword, wildcards taken literally."""
+    hit = as_col(text).contains(keyword)
+    return hit if tokens is None else hit | F.exists(as_col(tokens), lambda t: t.contains(keyword))
+
+
 def search_keyword(df: DataFrame, keyword: str, text: str, tokens: str | None = None) -> DataFrame:
-    """Rows whose text or any token contains the keyword, wildcards taken literally."""
-    hit = F.col(text).contains(keyword)
-    if tokens:
-        hit = hit | F.exists(tokens, lambda t: t.contains(keyword))
-    return df.where(hit)
+    return df.where(keyword_hit(keyword, text, tokens))
 
 
 def tokens_containing(df: DataFrame, token: str, tokens: str) -> DataFrame:

@@ -119,6 +119,21 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, condition, how).drop(*[f"__k_{k}" for k in keys])
 
 
+# --- global position in any order ------------------------------------------------------------
+def with_position(df: DataFrame, order: list[Column], name: str, rows_per_piece: int = PIECE_ROWS) -> DataFrame:
+    """Number the rows of a narrow table from 0 in a total order of any type.
+
+    The rows are cut into value ranges, sorted inside them and stored, which fixes each row's place; the ranges'
+    row counts (one row per ``rows_per_piece`` rows) then give the offsets.
+    """
+    pieces = max(1, -(-df.count() // rows_per_piece))
+    placed = df.repartitionByRange(pieces, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = stored(placed.withColumn("__piece", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND((1 << 33) - 1)))
+    before = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("__piece").agg(F.count("*").alias("__n")).select("__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return placed.join(offsets, "__piece").withColumn(name, F.col("__before") + F.col("__at")).drop("__piece", "__at", "__before")
+
+
 # --- ordered cuts of a numeric column --------------------------------------------------------
 def range_pieces(df: DataFrame, by: list[str], value: str, pieces: int = RANGES) -> DataFrame:
     """Add ``__piece``: the value range a row falls in, cut by quantiles of the column itself.

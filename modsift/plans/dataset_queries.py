@@ -239,7 +239,7 @@ def _(t):
 
 @query("e7_bootstrap_ci")
 def _(t):
-    r = E.bootstrap_ci(t.events, "event_id", "value", replicates=200)
+    r = E.block_bootstrap_ci(t.events, "event_id", "value")
     return r.select("replicates", F.round("mean", 2).alias("mean"), F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
 
 

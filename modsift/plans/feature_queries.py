@@ -317,7 +317,7 @@ def _(t):
     "s11_first_seen_words",
     """WITH w AS (SELECT doc_id, unnest(toks) AS word, generate_subscripts(toks, 1) - 1 AS pos FROM
       (SELECT doc_id, regexp_split_to_array(lower(text), '\\s+') AS toks FROM documents))
-    SELECT word, m.d AS first_row, m.p AS first_pos FROM (SELECT word, min({'d': doc_id, 'p': pos}) AS m FROM w WHERE word <> '' GROUP BY 1)""",
+    SELECT word, m.d AS first_row, m.p AS first_pos, row_number() OVER (ORDER BY m.d, m.p) - 1 AS index FROM (SELECT word, min({'d': doc_id, 'p': pos}) AS m FROM w WHERE word <> '' GROUP BY 1)""",
 )
 def _(t):
     return C.first_seen_words(t.documents, "doc_id", "text")

@@ -64,12 +64,8 @@ def _(t):
 )
 def _(t):
     d = t.documents.select("doc_id", "text", T.tokenize("text", lower=True).alias("tk"))
-    found = R.union_sources(
-        R.search_keyword(d, "thanedble", "text"),
-        R.search_keyword(d.withColumn("text", F.lower("text")), "tionoutre", "text", "tk"),
-        R.tokens_containing(d, "reaulion", "tk"),
-    )
-    return found.select("doc_id").distinct()
+    hit = R.keyword_hit("thanedble", "text") | R.keyword_hit("tionoutre", F.lower("text"), "tk") | F.array_contains("tk", "reaulion")
+    return d.where(hit).select("doc_id")
 
 
 @query(

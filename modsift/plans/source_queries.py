@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from modsift.functions import text as T
 from modsift.operators import relational as R
 from modsift.plans import fixtures as fx
 from modsift.plans.registry import query
+from modsift.session import ensure_checkpoint_dir
 from modsift.sources import api, files, pages
 from modsift.sources import sinks as K
 from modsift.streaming import ingest
@@ -198,6 +201,47 @@ def _(t):
     return ingest.collect_progress(t.documents, "source", 1000)
 
 
+def _scratch(t, name: str) -> str:
+    """A new folder below the shared checkpoint folder, for queries that write and read back."""
+    return f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("k1_write_raw_texts", """SELECT doc_id AS id, source, sha256(text) AS digest, '{"lang":"' || lang || '"}' AS metadata FROM documents""")
+def _(t):
+    path = _scratch(t, "k1")
+    d = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", F.create_map(F.lit("lang"), "lang").alias("metadata"))
+    K.write_raw_texts(d, path)
+    back = t.spark.read.parquet(path)
+    return back.select("id", F.col("source").cast("string").alias("source"), F.sha2("content", 256).alias("digest"), "metadata")
+
+
+@query("k2_write_processed", "SELECT doc_id AS raw_text_id, sha256(text) AS digest, 1::BIGINT AS copies FROM documents")
+def _(t):
+    path = _scratch(t, "k2")
+    d = t.documents.select(F.col("doc_id").alias("raw_text_id"), F.col("text").alias("content"))
+    K.write_processed(d.where("raw_text_id % 3 = 0"), path)
+    K.write_processed(d.union(d.where("raw_text_id % 5 = 0")), path)
+    back = t.spark.read.parquet(path).groupBy("raw_text_id").agg(F.count("*").alias("copies"), F.first("content").alias("content"))
+    return back.select("raw_text_id", F.sha2("content", 256).alias("digest"), "copies")
+
+
+@query(
+    "k3_processed_stream",
+    f"""WITH m AS (SELECT doc_id::VARCHAR AS raw_text_id, source, {fx.clean_sql('text')} AS c FROM documents WHERE doc_id % 17 <> 0)
+      SELECT raw_text_id, source, sha256(c) AS digest, 1::BIGINT AS copies FROM m WHERE {fx.u16('c')} BETWEEN 10 AND 10000""",
+)
+def _(t):
+    """Messages in files, read as a stream (S12), processed into the sinks (W1, K3), then once more with a fresh checkpoint."""
+    folder, d = _scratch(t, "k3"), F.col("doc_id")
+    message = F.to_json(F.struct(d.cast("string").alias("id"), F.col("text").alias("content"), F.col("source").alias("dataSource")))
+    t.documents.select(F.when(d % 17 == 0, F.lit("not json")).otherwise(message).alias("value")).write.text(f"{folder}/in")
+    for checkpoint in ("first", "second"):
+        stream = ingest.read_raw_text_stream(t.spark, f"{folder}/in")
+        ingest.process_stream(stream, f"{folder}/out", f"{folder}/{checkpoint}").awaitTermination()
+    back = t.spark.read.parquet(f"{folder}/out/processed").groupBy("raw_text_id", "source").agg(F.count("*").alias("copies"), F.first("content").alias("content"))
+    return back.select("raw_text_id", "source", F.sha2("content", 256).alias("digest"), "copies")
+
+
 @query("j3_dedup_messages", "SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 def _(t):
     return ingest.dedup_stream(t.documents.select("text"), "text", "ts").select("content_hash")

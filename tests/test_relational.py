@@ -7,7 +7,7 @@ from modsift.operators import augment as G
 from modsift.operators import datasets as D
 from modsift.operators import relational as R
 from modsift.operators import audit as A
-from modsift.operators.evaluation import bootstrap_ci, classification_metrics, latency_profile, silhouette
+from modsift.operators.evaluation import block_bootstrap_ci, classification_metrics, latency_profile, silhouette
 from modsift.operators.quality import source_target_rules
 
 
@@ -102,7 +102,7 @@ def test_silhouette_edge_cases(spark):
 
 def test_bootstrap_covers_mean(spark):
     df = spark.range(20000).withColumn("v", (F.col("id") % 100).cast("double"))
-    r = bootstrap_ci(df, "id", "v", replicates=100).first()
+    r = block_bootstrap_ci(df, "id", "v", replicates=100).first()
     assert r.low < 49.5 < r.high and r.high - r.low < 3
 
 
