@@ -5,8 +5,9 @@ only through the number of pieces of each length, at most ``capacity`` numbers.
 longest length left and then, by a bitset subset-sum over the lengths left, the multiset that fills
 the rest closest to capacity; backtracking gives how often each length is used, and the window is
 repeated while the counts last.  Every round uses up a length, so the plan has at most one pattern per
-length.  Windows that no multiset can fill are laid end to end and cut freely, the last part into powers
-of two, so that nothing is padded.
+length.  A length of which no multiset fills a window goes, with all its pieces left, into one run: the pieces of
+all runs lie end to end and are cut freely at the windows' borders, the last part into powers of two, so that nothing is
+padded.  Plan and runs have a row per length or pattern, however many pieces there are.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from modsift.llm.tokens import tokenizer
 
 CAPACITY = 2048
 PIECE_COLUMNS = "doc_id long, start long, length long, doc_tokens long, ids binary"
-PLAN_COLUMNS = "length long, rank_from long, rank_to long, part_start long, part_length long, sequence long, per_window long, base long, stride long"
+PLAN_COLUMNS = "length long, rank_from long, rank_to long, run boolean, sequence long, per_window long, base long"
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
@@ -76,12 +77,15 @@ def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
     return used
 
 
-def plan_windows(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple]:
-    """Rows of PLAN_COLUMNS: pieces rank_from <= rank < rank_to of a length go, from part_start on, to
-    sequence + (rank - rank_from) // per_window, at offset base + stride * ((rank - rank_from) % per_window)."""
+def plan_windows(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple], int, int]:
+    """Rows of PLAN_COLUMNS, the number of windows filled by patterns, and the length of all runs together.
+
+    Pattern: the pieces rank_from <= rank < rank_to of a length go to window sequence + (rank - rank_from) // per_window,
+    at base + length * ((rank - rank_from) % per_window).  Run: they lie end to end from ``base`` on.
+    """
     counts = {k: n for k, n in counts.items() if n}
     used: dict[int, int] = dict.fromkeys(counts, 0)
-    plan, sequence, rest = [], 0, []
+    plan, sequence, laid = [], 0, 0
     while counts:
         longest = max(counts)
         window = {longest: 1}
@@ -89,36 +93,31 @@ def plan_windows(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
         for length, n in best_fill({k: n for k, n in counts.items() if n}, capacity - longest).items():
             window[length] = window.get(length, 0) + n
         counts[longest] += 1
-        times = min(counts[k] // n for k, n in window.items())
         if sum(k * n for k, n in window.items()) == capacity:
-            base = 0
+            times, base = min(counts[k] // n for k, n in window.items()), 0
             for length, n in sorted(window.items(), reverse=True):
-                plan.append((length, used[length], used[length] + n * times, 0, length, sequence, n, base, length))
+                plan.append((length, used[length], used[length] + n * times, False, sequence, n, base))
                 base += n * length
             sequence += times
-        else:  # no multiset fills this window: its longest piece is laid out below
-            times, window = 1, {longest: 1}
-            rest.append((longest, used[longest]))
+        else:  # fewer pieces will not fill it later either: all of this length go into a run
+            times, window = counts[longest], {longest: 1}
+            plan.append((longest, used[longest], used[longest] + times, True, 0, 1, laid))
+            laid += longest * times
         for length, n in window.items():
             used[length] += n * times
             counts[length] -= n * times
             if not counts[length]:
                 del counts[length]
-    total = sum(length for length, _ in rest)
-    ends, at = [], 0
-    while at < total:
-        step = capacity if total - at >= capacity else 1 << (total - at).bit_length() - 1
-        ends.append(at := at + step)
-    at, window, begin = 0, 0, 0
-    for length, rank in rest:
-        start = 0
-        while start < length:
-            part = min(length - start, ends[window] - at)
-            plan.append((length, rank, rank + 1, start, part, sequence + window, 1, at - begin, 0))
-            start, at = start + part, at + part
-            if at == ends[window]:
-                begin, window = at, window + 1
-    return plan
+    return plan, sequence, laid
+
+
+def run_borders(laid: int, capacity: int = CAPACITY) -> list[int]:
+    """Where the last windows of the runs begin: what is left after whole windows, in powers of two."""
+    at, borders = laid - laid % capacity, []
+    while at < laid:
+        borders.append(at)
+        at += 1 << (laid - at).bit_length() - 1
+    return borders
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_task: int = 20_000) -> DataFrame:
@@ -134,7 +133,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_task: int = 20_00
     bucket = F.pmod(F.xxhash64("doc_id", "start"), F.col("buckets"))
     pieces = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", bucket)
     sizes = checkpointed(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")))
-    plan = spark.createDataFrame(plan_windows(histogram, capacity) or [], PLAN_COLUMNS)
+    rows, filled, laid = plan_windows(histogram, capacity)
+    plan = spark.createDataFrame(rows, PLAN_COLUMNS)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start")
@@ -145,14 +145,34 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_task: int = 20_00
     p, q = ranked.alias("p"), F.broadcast(plan).alias("q")
     met = p.join(q, (F.col("p.length") == F.col("q.length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
     step = F.col("rank") - F.col("rank_from")
+    length = F.col("p.length")
+    at = F.when(F.col("run"), F.col("base") + step * length)  # place in the runs
+    first, tail = laid // capacity, run_borders(laid, capacity)
+    # Where a piece of a run is cut: at a border of whole windows (one at most) and at those of the last ones.
+    borders = F.array((F.floor(at / capacity) + 1) * capacity, *[F.lit(x).cast("long") for x in tail])
+    cuts = F.array_sort(F.array_distinct(F.filter(borders, lambda x: (x > at) & (x < at + length))))
+    ends = F.concat(cuts, F.array(at + length))
+    parts = F.transform(ends, lambda end, i: F.struct(F.coalesce(F.get(cuts, i - 1), at).alias("a"), end.alias("b")))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), length.alias("b")))
+    part = F.explode(F.when(F.col("run"), parts).otherwise(whole)).alias("part")
+    met = met.select("doc_id", "start", length.alias("piece"), "ids", "doc_tokens", "run", step.alias("step"), "sequence", "per_window", "base", at.alias("at"), part)
+    a = F.col("part.a")
+    begun = F.lit(0)  # last windows that begin at or before the part
+    begin = F.floor(a / capacity) * capacity
+    for x in tail:
+        begun = begun + (a >= x).cast("int")
+        begin = F.when(a >= x, F.lit(x).cast("long")).otherwise(begin)
+    window = F.when(begun > 0, first + begun - 1).otherwise(F.floor(a / capacity))
+    from_piece = F.when(F.col("run"), a - F.col("at")).otherwise(a)
+    size = F.col("part.b") - a
     return met.select(
         "doc_id",
-        (F.col("start") + F.col("part_start")).alias("start"),
-        F.col("part_length").alias("length"),
-        F.substring("ids", (2 * F.col("part_start") + 1).cast("int"), (2 * F.col("part_length")).cast("int")).alias("ids"),
+        (F.col("start") + from_piece).alias("start"),
+        size.alias("length"),
+        F.substring("ids", (2 * from_piece + 1).cast("int"), (2 * size).cast("int")).alias("ids"),
         "doc_tokens",
-        (F.col("sequence") + F.floor(step / F.col("per_window"))).cast("long").alias("sequence_id"),
-        (F.col("base") + F.col("stride") * (step % F.col("per_window"))).cast("long").alias("offset"),
+        F.when(F.col("run"), filled + window).otherwise(F.col("sequence") + F.floor(F.col("step") / F.col("per_window"))).cast("long").alias("sequence_id"),
+        F.when(F.col("run"), a - begin).otherwise(F.col("base") + F.col("piece") * (F.col("step") % F.col("per_window"))).cast("long").alias("offset"),
     )
 
 

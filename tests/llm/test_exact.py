@@ -117,10 +117,21 @@ def test_word_cache_gives_the_tokenizers_ids(documents, odd):
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_plan_places_every_piece_without_padding(counts):
     capacity, spans, parts = 64, {}, {}
-    for length, a, b, start, size, sequence, per, base, stride in packing.plan_windows(dict(counts), capacity):
+    plan, filled, laid = packing.plan_windows(dict(counts), capacity)
+    borders = sorted({*range(0, laid - laid % capacity, capacity), *packing.run_borders(laid, capacity), laid})
+    assert len(plan) <= 31 * len(counts)
+    for length, a, b, run, sequence, per, base in plan:
         for rank in range(a, b):
-            spans.setdefault(sequence + (rank - a) // per, []).append((base + stride * ((rank - a) % per), size))
-            parts.setdefault((length, rank), []).append((start, size))
+            if not run:
+                spans.setdefault(sequence + (rank - a) // per, []).append((base + length * ((rank - a) % per), length))
+                parts.setdefault((length, rank), []).append((0, length))
+                continue
+            begin = base + (rank - a) * length
+            inside = [begin, *[x for x in borders if begin < x < begin + length], begin + length]
+            for x, y in zip(inside, inside[1:]):
+                window = max(i for i, at in enumerate(borders) if at <= x)
+                spans.setdefault(filled + window, []).append((x - borders[window], y - x))
+                parts.setdefault((length, rank), []).append((x - begin, y - x))
     assert set(parts) == {(k, r) for k, n in counts.items() for r in range(n)}
     for (length, _), pieces in parts.items():
         pieces.sort()
@@ -140,7 +151,8 @@ def test_best_fill_matches_all_multisets():
 
 
 def test_packing_round_trip(spark, documents, odd):
-    for df in (documents.limit(80), odd[0]):
+    alike = spark.createDataFrame([(i, "one two three " * (230 + i % 2)) for i in range(61)], "doc_id LONG, text STRING")
+    for df in (documents.limit(80), odd[0], alike):
         texts = Counter((r.doc_id, r.text or "") for r in df.collect())
         whole = WordTokenizer(PATH).whole
         rows = packing.with_ids_crc32(packing.pack_documents(df, PATH)).collect()
