@@ -14,7 +14,7 @@ def op3_fingerprint(spark, folder):
 
 def op4_secrets(spark, folder):
     found = secrets.scan_secrets(table(spark, folder, "documents"))
-    return found.select("doc_id", "place", F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), "n_chars", "probability", "is_secret")
+    return found.select("doc_id", "place", "nth", F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), "n_chars", "probability", "is_secret")
 
 
 def op9_licenses(spark, folder):

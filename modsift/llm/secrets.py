@@ -1,6 +1,6 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are runs of at least 16 characters of keys and encodings in any word of a text.  The forest
+Candidates are all runs of at least 16 characters of keys and encodings in any word of a text.  The forest
 judges them by length, character transitions and classes, how much of them dictionary words cover, whether
 they stand in a path, and by the words beside them.  It is trained on labelled findings.
 """
@@ -19,6 +19,7 @@ from modsift.operators.scale import compute_once
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 SPACE = r"[\x20\x09-\x0D]+"
 DICTIONARY = 300  # most frequent words of 2 to 7 letters
+CONTEXT = 200  # characters of text beside a candidate that it is judged by
 SAMPLE = 5000  # labelled findings per class
 TREES, DEPTH = 30, 8
 FEATURES = ["n_chars", "transitions", "digits", "uppers", "marks", "hex", "coverage", "path", "assigned", "quoted", "named", "before_chars", "after_chars"]
@@ -34,22 +35,38 @@ def dictionary_words(docs: DataFrame, n: int = DICTIONARY) -> list[str]:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, place (word number from 0), word, candidate, before (two words), after; null texts have none.
+    """doc_id, place (word number from 0), nth (run number in the word from 0), word, candidate, before, after.
 
-    A word holds one candidate, its first.  Rows that repeat an id give repeated candidates.
+    Every run of a word is a candidate.  ``word`` is the candidate with what stands around it up to the runs
+    beside it; ``before`` are the two words before, or the run before inside the word; ``after`` is the next
+    word, or the next run inside the word.  Each of these texts is context of at most CONTEXT characters to a
+    side, so that a long line without spaces is not repeated for each of its runs; candidates are whole.
+    Null texts have none; rows that repeat an id give repeated candidates.
     """
     rows = docs.select("doc_id", whole_text().alias("text")).where(F.col("text").rlike(CANDIDATE))
     rows = compute_once(rows, "words", F.filter(F.split("text", SPACE), lambda w: w != "")).drop("text")
     found = F.filter(F.transform("words", lambda w, i: F.when(w.rlike(CANDIDATE), i)), lambda i: i.isNotNull())
     near = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    tail, head = lambda t: F.right(t, F.lit(CONTEXT)), lambda t: F.left(t, F.lit(CONTEXT))
     each = F.transform(
         found,
         lambda i: F.struct(
-            i.alias("place"), near(i).alias("word"), F.regexp_extract(near(i), CANDIDATE, 0).alias("candidate"),
-            F.concat_ws(" ", near(i - 2), near(i - 1)).alias("before"), near(i + 1).alias("after"),
+            i.alias("place"), near(i).alias("whole"),
+            tail(F.concat_ws(" ", tail(near(i - 2)), tail(near(i - 1)))).alias("left"), head(near(i + 1)).alias("right"),
         ),
     )
-    return rows.select("doc_id", F.inline(each))
+    words = rows.select("doc_id", F.inline(each))
+    words = compute_once(words, "runs", F.regexp_extract_all("whole", F.lit(CANDIDATE), F.lit(0)))
+    words = compute_once(words, "gaps", F.split("whole", CANDIDATE)).drop("whole")  # one more than runs
+    inside = F.transform(
+        "runs",
+        lambda c, k: F.struct(
+            k.alias("nth"), F.concat(tail(F.get("gaps", k)), c, head(F.get("gaps", k + 1))).alias("word"), c.alias("candidate"),
+            F.when(k == 0, F.col("left")).otherwise(tail(F.get("runs", k - 1))).alias("before"),
+            F.coalesce(head(F.get("runs", k + 1)), F.col("right")).alias("after"),
+        ),
+    )
+    return words.select("doc_id", "place", F.inline(inside))
 
 
 def _share(text: Column, pattern: str, of: Column) -> Column:
@@ -58,6 +75,7 @@ def _share(text: Column, pattern: str, of: Column) -> Column:
 
 def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
     c, word, before = F.col("candidate"), F.col("word"), F.lower("before")
+    head = F.left(word, F.position(c, word) - 1)  # what stands in front of the candidate, after the run before it
     n = F.length(c)
     changes = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
     known = "|".join(sorted((w for w in dictionary if w.isascii()), key=lambda w: (-len(w), w))) or "$^"
@@ -70,7 +88,7 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
         "hex": c.rlike("^[0-9a-f]+$|^[0-9A-F]+$").cast("double"),
         "coverage": 1 - F.length(F.regexp_replace(F.lower(c), known, "")) / n,
         "path": (word.rlike(r"[/\\].*[/\\]|\.[a-z]{1,5}\b") | word.contains("://")).cast("double"),
-        "assigned": (before.rlike("[=:]$") | word.rlike("^[^=:]*[=:]")).cast("double"),
+        "assigned": ((before.rlike("[=:]$") & head.rlike("^[\"'`({\\[]*$")) | head.rlike("[=:][\"'`({\\[]*$") | c.rlike("=[^=]")).cast("double"),
         "quoted": word.rlike("[\"'`]").cast("double"),
         "named": (before.rlike(NAMES) | F.lower(word).rlike(NAMES)).cast("double"),
         "before_chars": F.length("before").cast("double"),

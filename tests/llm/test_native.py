@@ -110,3 +110,26 @@ def test_secrets_found_and_words_left(docs_of):
     findings = spark.createDataFrame(reviewed, "doc_id LONG, place INT, word STRING, candidate STRING, before STRING, after STRING, label INT")
     again = secrets.scan_secrets(docs_of(texts), findings).collect()
     assert {r.doc_id for r in again if r.is_secret} == set(range(1, 200, 2))
+
+
+def test_every_run_of_a_word_is_a_candidate(docs_of):
+    first, second = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY00", hashlib.sha1(b"2").hexdigest()
+    line = f'{{"secret_access_key":"{first}","n":1,"token":"{second}","ok":true}}'
+    long = ",".join(f'"k{i}":"{hashlib.sha1(str(i).encode()).hexdigest()}"' for i in range(2000))
+    got = secrets.candidates(docs_of([(1, "see " + line + " end"), (2, long), (3, f"https://h.io/?a={first}&b={second}")]))
+    rows = sorted((r.place, r.nth, r.candidate, r.before, r.after, r.word) for r in got.where("doc_id = 1").collect())
+    assert [r[:3] for r in rows] == [(1, 0, "secret_access_key"), (1, 1, first), (1, 2, second)]
+    assert [r[3:5] for r in rows] == [(" see", first), ("secret_access_key", second), (first, "end")]
+    assert rows[2][5] == f'","n":1,"token":"{second}","ok":true}}'
+    assert [r.candidate for r in got.where("doc_id = 2").orderBy("nth").collect()] == [hashlib.sha1(str(i).encode()).hexdigest() for i in range(2000)]
+    assert [r.candidate for r in got.where("doc_id = 3").orderBy("nth").collect()] == ["a=" + first, "b=" + second]
+    judged = {r.candidate: (r.assigned, r.named) for r in secrets.with_features(got.where("doc_id = 1"), []).collect()}
+    assert judged[first] == judged[second] == (1.0, 1.0) and judged["secret_access_key"][0] == 0.0
+
+
+def test_secrets_in_unspaced_lines_are_found(docs_of):
+    digest = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    texts = [(i, f'the text token = "{digest(i)}" in it' if i % 2 else f"theandthewordsintext{'the' * (i % 5)} the text") for i in range(100)]
+    lines = [(1000 + i, f'{{"secret_access_key":"{digest(5000 + i)}","token":"{digest(9000 + i)}"}}') for i in range(10)]
+    out = secrets.scan_secrets(docs_of(texts + lines)).where("doc_id >= 1000 AND is_secret").collect()
+    assert {r.candidate for r in out} == {digest(k + i) for k in (5000, 9000) for i in range(10)}
