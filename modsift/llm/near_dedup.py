@@ -1,12 +1,13 @@
 """Near-duplicate documents by ProbMinHash.
 
-The shingles of a document, weighted by how often they occur, arrive in Poisson processes whose rates are
-the weights; each arrival picks one of m registers, which keeps its earliest arrival.  A shingle stops
-as soon as its next arrival is later than every register's.  Two documents agree in a register
-with the probability Jaccard similarity of their weighted shingles.  Bands of registers find
-candidates, families of candidates are verified exactly, and links become classes.
-
-* Equal weighted shingle sets are one representative first, so copies never meet pairwise.
+The shingles of a document arrive in Poisson processes whose rates are the weights; each arrival picks one
+of m registers, which keeps its earliest arrival.  A shingle stops as soon as its next arrival is later than
+every register's.  Two documents agree in a register with the probability Jaccard similarity of their
+weighted shingles.  The link is the plain Jaccard similarity of shingle sets, so every distinct shingle has
+weight 1 here, however often it occurs: then both similarities are nearly the same.  Bands of registers
+find candidates, families of candidates are verified exactly, and links become classes.
+
+* Equal shingle sets are one representative first, so copies never meet pairwise.
 * Members of a bucket are linked to its smallest id only; families are the components of these links.
 * A family is verified in one task if it has at most ``block`` members; larger ones are cut into blocks
   that also hold the family's most central members, and what these leave apart is compared in blocks.
@@ -32,8 +33,8 @@ BLOCK = 4096
 PIVOTS = 32
 
 
-def weighted_shingles(text: bytes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(shingle_hashes(text, words), return_counts=True)
+def distinct_shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
 
 
 def prob_minhash(values: np.ndarray, weights: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
@@ -79,16 +80,16 @@ def _sketch(words: int, bands: int, rows: int):
     names = ["doc_id", "key_a", "key_b", "n_shingles", "bands"]
 
     def flush(ids, sets):
-        filled = [i for i, (v, _) in enumerate(sets) if len(v)]
+        filled = [i for i, v in enumerate(sets) if len(v)]
         hashes = [None] * len(ids)
         if filled:
-            values, weights = (np.concatenate([sets[i][j] for i in filled]) for j in (0, 1))
-            offsets = np.concatenate([[0], np.cumsum([len(sets[i][0]) for i in filled])])
-            for i, row in zip(filled, band_hashes(prob_minhash(values, weights, offsets, bands * rows), bands, rows)):
+            values = np.concatenate([sets[i] for i in filled])
+            offsets = np.concatenate([[0], np.cumsum([len(sets[i]) for i in filled])])
+            for i, row in zip(filled, band_hashes(prob_minhash(values, np.ones(len(values)), offsets, bands * rows), bands, rows)):
                 hashes[i] = row
-        keys = [[int(mix(mix(v, k) * w.astype(np.uint64), k).sum(dtype=np.uint64).astype(np.int64)) if len(v) else None for v, w in sets] for k in (5, 6)]
+        keys = [[int(mix(mix(v, k), k).sum(dtype=np.uint64).astype(np.int64)) if len(v) else None for v in sets] for k in (5, 6)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), *[pa.array(k, pa.int64()) for k in keys], pa.array([len(v) for v, _ in sets], pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
+            [pa.array(ids, pa.int64()), *[pa.array(k, pa.int64()) for k in keys], pa.array([len(v) for v in sets], pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
             names=names,
         )
 
@@ -97,8 +98,8 @@ def _sketch(words: int, bands: int, rows: int):
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids.append(doc_id)
-                sets.append(weighted_shingles(bytes(text.as_buffer()), words))
-                size += len(sets[-1][0]) + 200
+                sets.append(distinct_shingles(bytes(text.as_buffer()), words))
+                size += len(sets[-1]) + 200
                 if size > 400_000:
                     yield flush(ids, sets)
                     ids, sets, size = [], [], 0
@@ -217,7 +218,7 @@ def _shingles_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [weighted_shingles(bytes(x.as_buffer()), words)[0].tobytes() for x in batch.column(at)]
+            sets = [distinct_shingles(bytes(x.as_buffer()), words).tobytes() for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(sets, pa.binary())], names=names)
 
     return joined.mapInArrow(run, ", ".join([*[f"{c} {t}" for c, t in members.dtypes], "shingles binary"]))

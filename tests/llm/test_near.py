@@ -78,6 +78,21 @@ def test_classes_match_brute_force(docs_of, odd, block):
     assert got == brute_classes(rows)
 
 
+def test_uneven_repetition_does_not_part_a_class(docs_of):
+    """The same shingle set with some parts repeated often, and one with a few words changed besides."""
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(12):
+        words = [f"{w}v{k}" for w in base]
+        cycle = words[:60]
+        rows.append((10 * k, " ".join(words + cycle)))  # the seam from last to first word
+        rows.append((10 * k + 1, " ".join(words + cycle + words[60:] + cycle)))  # equal set, twice as often in part
+        rows.append((10 * k + 2, " ".join(words + cycle + (cycle[5:20] + ["x"]) * 60)))
+    sets = brute_classes(rows)
+    got = sorted((r.doc_id, r.class_id) for r in near_dedup.near_classes(docs_of(rows)).collect())
+    assert got == sets and len({c for _, c in got}) == 12
+
+
 def test_keep_one_and_empty(docs_of, odd):
     df = docs_of([(3, "a b c d e f"), (1, "a b c d e f"), (2, "x y"), (4, None), (5, "")])
     kept = near_dedup.keep_one(df)
