@@ -96,6 +96,10 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", budget: int = TRIE_BYT
     )
 
 
+# Timestamps travel with all their six fraction digits; the default JSON format keeps three.
+JSON_TIMES = {"timeZone": "UTC", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def drop_exact(docs: DataFrame, keep: str = "smallest", budget: int = TRIE_BYTES) -> DataFrame:
     """The documents that stay: one whole row per distinct text, in the columns of ``docs``.
 
@@ -104,10 +108,10 @@ def drop_exact(docs: DataFrame, keep: str = "smallest", budget: int = TRIE_BYTES
     """
     others = [c for c in docs.columns if c.lower() != "text"]
     flag = free_name("__no_text", docs.columns)
-    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in others], F.col("text").isNull().alias(flag)), {"ignoreNullFields": "false"})
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in others], F.col("text").isNull().alias(flag)), {"ignoreNullFields": "false", **JSON_TIMES})
     texts = docs.select(whole_text().cast("binary").alias("text"), F.col("doc_id").cast("long").alias("id"), rest.cast("binary").alias("rest"))
     schema = T.StructType([docs.schema[c] for c in others] + [T.StructField(flag, T.BooleanType())])
-    kept = owner_table(texts, keep, budget).select(F.from_json(F.col("rest").cast("string"), schema).alias("__row"), F.col("text").cast("string").alias("text"))
+    kept = owner_table(texts, keep, budget).select(F.from_json(F.col("rest").cast("string"), schema, JSON_TIMES).alias("__row"), F.col("text").cast("string").alias("text"))
     return kept.select(*[
         F.when(~F.col(f"__row.`{flag}`"), F.col("text")).alias(c) if c.lower() == "text" else F.col(f"__row.`{c}`").alias(c)
         for c in docs.columns

@@ -172,3 +172,10 @@ def test_packing_round_trip(spark, documents, odd):
             total = sum(n for _, n in spans)
             assert total == 2048 or total & (total - 1) == 0
     assert packing.pack_documents(documents.limit(0), PATH).count() == 0
+
+
+def test_other_columns_come_back_unchanged(spark):
+    df = spark.sql("""SELECT 1L AS doc_id, 'some text' AS text, TIMESTAMP '2024-05-06 03:04:05.123456' AS t, TIMESTAMP_NTZ '2024-05-06 03:04:05.654321' AS n,
+        TIMESTAMP '1850-01-01 00:00:00.000001' AS old, DATE '1999-12-31' AS d, 1.25BD AS dec, X'00FF10' AS b, double('NaN') AS nan, 0.1D AS x, array(1, NULL) AS a, map('k', 2) AS m,
+        named_struct('t', TIMESTAMP '2024-05-06 03:04:05.000007') AS s""")
+    assert repr(exact_dedup.drop_exact(df).collect()) == repr(df.collect())
