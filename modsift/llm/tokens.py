@@ -18,6 +18,25 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class _Cache(dict):
+    """Values made on demand, in two generations of at most ``entries`` each; long keys are not kept."""
+
+    def __init__(self, make, entries: int):
+        super().__init__()
+        self.make, self.entries, self.old = make, entries, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.entries:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class WordTokenizer:
     """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False)``, as little-endian uint16 bytes.
 
@@ -27,49 +46,33 @@ class WordTokenizer:
     special, go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, entries: int = 120_000):
+    def __init__(self, path: str, entries: int = 300_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.alphabet = byte_alphabet()
-        self.entries, self.young, self.old = entries, {}, {}
+        self.cache = _Cache(self._chunk, entries)
 
     def _word(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin1").translate(self.alphabet)
-        return b"".join(t.id.to_bytes(2, "little") for t in self.model.tokenize(mapped))
-
-    def _missing(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
-        if found is None:
-            parts = PATTERN.findall(chunk)
-            if len(parts) == 1 and parts[0] == chunk:
-                found = self._word(chunk)
-            else:
-                found = b"".join(self.young.get(p) or self.old.get(p) or self._keep(p, self._word(p)) for p in parts)
-        return self._keep(chunk, found)
-
-    def _keep(self, key: str, value: bytes) -> bytes:
-        if len(key) <= 64:
-            if len(self.young) >= self.entries:
-                self.old, self.young = self.young, {}
-            self.young[key] = value
-        return value
+        plain = word.isascii() and word.isprintable()  # these bytes stand for themselves
+        mapped = word if plain else word.encode().decode("latin1").translate(self.alphabet)
+        return b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(mapped)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self._word(chunk)
+        parts = PATTERN.findall(chunk)
+        if len(parts) == 1:
+            return self._word(chunk)
+        return b"".join([self.cache[p] for p in parts])
 
     def ids(self, text: str) -> bytes:
         if ODD.search(text):
             return b"".join(i.to_bytes(2, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        get, missing = self.young.get, self._missing
-        out = []
-        for chunk in text.lower().split():
-            found = get(chunk)
-            if found is None:
-                found = missing(chunk)
-                get = self.young.get
-            out.append(found)
-        return b"".join(out)
+        return b"".join(map(self.cache.__getitem__, text.lower().split()))
 
 
 _loaded: dict[str, WordTokenizer] = {}
