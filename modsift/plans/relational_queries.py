@@ -10,7 +10,7 @@ from modsift.operators import relational as R
 from modsift.operators import evaluation as E
 from modsift.operators.corpus import term_counts
 from modsift.operators.features import remove_stop_words
-from modsift.operators.similarity import near_duplicate_clusters
+from modsift.operators.similarity import near_duplicate_clusters, similar_sets
 from modsift.plans import fixtures as fx
 from modsift.plans.registry import query
 from modsift.plans.text_queries import STOP, STOP_SQL
@@ -457,22 +457,20 @@ def _(t):
     return r.withColumn("duplicate_rate", F.round("duplicate_rate", 6))
 
 
-_SLOTS = ", ".join(f"min(substr(h, {j + 1}, 12))" for j in range(32))
+# All pairs of texts that share a token, counted; links between equal and different sets alike.
+_LINKED = f"""WITH RECURSIVE tk AS (SELECT doc_id, list_sort(list_distinct(list_filter({fx.tok('text')}, lambda x: x NOT IN {STOP_SQL}))) AS s FROM documents),
+      keyed AS (SELECT doc_id, s, array_to_string(s, chr(10)) AS k FROM tk WHERE len(s) > 0),
+      reps AS (SELECT k, min(doc_id) AS rep, count(*) AS copies, len(any_value(s)) AS n, any_value(s) AS s FROM keyed GROUP BY k),
+      words AS (SELECT rep, n, unnest(s) AS w FROM reps),
+      met AS (SELECT a.rep AS x, b.rep AS y, a.n AS nx, b.n AS ny, count(*) AS shared FROM words a JOIN words b
+        ON a.w = b.w AND a.rep < b.rep AND a.n >= 0.85 * b.n AND b.n >= 0.85 * a.n GROUP BY ALL),
+      links AS (SELECT x, y FROM met WHERE shared >= 0.85 * (nx + ny - shared)),
+      both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links)"""
 
 
 @query(
     "j8_near_duplicate_clusters",
-    f"""WITH RECURSIVE tk AS (SELECT doc_id, list_sort(list_distinct(list_filter({fx.tok('text')}, lambda x: x NOT IN {STOP_SQL}))) AS s FROM documents),
-      keyed AS (SELECT doc_id, s, array_to_string(s, chr(10)) AS k FROM tk WHERE len(s) > 0),
-      reps AS (SELECT k, min(doc_id) AS rep, any_value(s) AS s FROM keyed GROUP BY k),
-      h AS (SELECT rep, md5(u) || md5(u) AS h FROM (SELECT rep, unnest(s) AS u FROM reps)),
-      sig AS (SELECT rep, [{_SLOTS}] AS m FROM h GROUP BY rep),
-      b AS (SELECT rep, band, array_to_string(m[band * 4 + 1:band * 4 + 4], '') AS v FROM sig CROSS JOIN (SELECT unnest(range(8)) AS band)),
-      low AS (SELECT band, v, min(rep) AS lo FROM b GROUP BY 1, 2),
-      e AS (SELECT DISTINCT b.rep, lo FROM b JOIN low ON b.band = low.band AND b.v = low.v WHERE b.rep <> lo),
-      links AS (SELECT e.rep AS x, e.lo AS y FROM e JOIN reps p ON p.rep = e.rep JOIN reps q ON q.rep = e.lo
-        WHERE len(list_intersect(p.s, q.s)) >= 0.85 * (len(p.s) + len(q.s) - len(list_intersect(p.s, q.s)))),
-      both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+    f"""{_LINKED},
       r(n, root) AS (SELECT rep, rep FROM reps UNION SELECT y, root FROM r JOIN both_ways ON x = n),
       c AS (SELECT n, min(root) AS cluster FROM r GROUP BY 1)
       SELECT tk.doc_id, coalesce(c.cluster, tk.doc_id) AS cluster FROM tk LEFT JOIN keyed USING (doc_id) LEFT JOIN reps ON reps.k = keyed.k LEFT JOIN c ON c.n = reps.rep""",
@@ -482,6 +480,18 @@ def _(t):
     return near_duplicate_clusters(d, "doc_id", "tk")
 
 
+@query(
+    "j7_similarity_join",
+    f"""{_LINKED},
+      others AS (SELECT x AS rep, sum(copies) AS n FROM both_ways JOIN reps ON reps.rep = y GROUP BY 1)
+      SELECT tk.doc_id, CAST(coalesce(reps.copies - 1, 0) + coalesce(others.n, 0) AS BIGINT) AS n_links
+      FROM tk LEFT JOIN keyed USING (doc_id) LEFT JOIN reps ON reps.k = keyed.k LEFT JOIN others ON others.rep = reps.rep""",
+)
+def _(t):
+    d = t.documents.select("doc_id", T.drop_words(T.tokenize("text", lower=True), STOP).alias("tk"))
+    return similar_sets(d, "doc_id", "tk").select("doc_id", "n_links")
+
+
 @query("j4_anti_join_processed", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(t):
     return R.anti_join_processed(t.documents.select("doc_id"), t.labels, "doc_id", "doc_id")
@@ -510,11 +520,13 @@ def _(t):
 
 @query(
     "j7_similarity_of_pairs",
-    f"""WITH {fx.QA_SQL}, s AS (SELECT conv_id, turn, list_distinct({fx.tok('question')}) AS a, list_distinct({fx.tok('answer')}) AS b FROM qa)
+    f"""WITH {fx.QA_SQL}, f AS (SELECT conv_id, turn, {fx.tok('question')} AS a, {fx.tok('answer')} AS b FROM qa),
+      s AS (SELECT conv_id, turn, list_distinct(list_filter(a, lambda x: x NOT IN {STOP_SQL})) AS a, list_distinct(list_filter(b, lambda x: x NOT IN {STOP_SQL})) AS b FROM f)
     SELECT conv_id, turn, round(CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END, 6) AS similarity FROM s""",
 )
 def _(t):
-    pairs = fx.qa_pairs(t).select("conv_id", "turn", T.tokenize("question", lower=True).alias("a"), T.tokenize("answer", lower=True).alias("b"))
+    tokens = lambda c: T.drop_words(T.tokenize(c, lower=True), STOP)
+    pairs = fx.qa_pairs(t).select("conv_id", "turn", tokens("question").alias("a"), tokens("answer").alias("b"))
     return R.similarity_of_pairs(pairs, "a", "b").select("conv_id", "turn", F.round("similarity", 6).alias("similarity"))
 
 

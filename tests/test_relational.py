@@ -164,10 +164,42 @@ def test_other_augmentations(spark, texts):
     assert len(lists) == 63 and lists["text_90"] == []
 
 
-def test_near_duplicate_clusters_against_all_pairs(spark):
+def all_links(rows, threshold):
+    """Links of every row and clusters, over all pairs."""
+    sets = [set(tokens or ()) for _, tokens in rows]
+    links, root = [0] * len(rows), list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and len(a & b) >= threshold * len(a | b):
+                links[i] += 1
+                links[j] += 1
+                root[find(i)] = find(j)
+    groups = {}
+    for i, (row, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(row)
+    return sorted((row, min(groups[find(i)]), links[i]) for i, (row, _) in enumerate(rows))
+
+
+def family_with_loose_low_ids(rng, rows):
+    """Many lower ids at 0.72 to a base, and two higher ones at 0.89 to each other."""
+    for _ in range(6):
+        base = [f"b{rng.randrange(10**9)}" for _ in range(60)]
+        for _ in range(30):
+            kept = rng.sample(base, 50)
+            rows.append((len(rows), kept + [f"y{rng.randrange(10**9)}" for _ in range(10)]))
+        rows += [(len(rows), base), (len(rows) + 1, base[:-3] + ["p1", "p2", "p3"])]
+
+
+def test_similarity_join_against_all_pairs(spark):
     import random
 
-    from modsift.operators.similarity import near_duplicate_clusters
+    from modsift.operators.similarity import near_duplicate_clusters, similar_sets
 
     rng = random.Random(4)
     rows = []
@@ -175,14 +207,39 @@ def test_near_duplicate_clusters_against_all_pairs(spark):
         base = [f"w{rng.randrange(3000)}" for _ in range(60)]
         for copy in range(4):
             rows.append((len(rows), [w if rng.random() > 0.03 * copy else "x" + w for w in base]))
-    rows += [(120, []), (121, rows[5][1])]
-    got = {r.id: r.cluster for r in near_duplicate_clusters(spark.createDataFrame(rows, "id INT, tk ARRAY<STRING>"), "id", "tk").collect()}
-    found = linked = 0
-    for i, a in rows:
-        for j, b in rows[:i]:
-            a_set, b_set = set(a), set(b)
-            if a_set and len(a_set & b_set) >= 0.85 * len(a_set | b_set):
-                linked += 1
-                found += got[i] == got[j]
-    assert linked > 40 and found >= 0.9 * linked
-    assert got[120] == 120 and got[121] == got[5]
+    family_with_loose_low_ids(rng, rows)
+    common = [f"c{i}" for i in range(12)]
+    for _ in range(150):  # short sets of few common words
+        rows.append((len(rows), rng.sample(common, rng.randrange(1, 9))))
+    n = len(rows)
+    rows += [(n, []), (n + 1, rows[5][1]), (n + 2, None), (n + 3, rows[5][1] * 2), (5, ["other", "words"])]
+    df = spark.createDataFrame(rows, "id INT, tk ARRAY<STRING>").repartition(5)
+    for threshold, block in ((0.85, 2048), (0.85, 7), (0.6, 2048), (0.6, 16)):
+        got = sorted(tuple(r) for r in similar_sets(df, "id", "tk", threshold, block).collect())
+        want = all_links(rows, threshold)
+        assert got == want, (threshold, block)
+    assert sum(w[2] for w in want) > 1000
+    assert similar_sets(df.limit(0), "id", "tk").count() == 0
+    named = df.selectExpr("concat('id', lpad(id, 4, '0')) AS id", "tk")
+    assert {r.id: r.cluster for r in near_duplicate_clusters(named, "id", "tk").collect()}["id0001"] == "id0000"
+
+
+def test_bounds_of_the_prefix_index():
+    import numpy as np
+
+    from modsift.operators import similarity as S
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a = rng.choice(10**9, rng.integers(1, 200), replace=False).astype(np.int64) << 18
+        b = np.unique(np.concatenate([a[: rng.integers(0, len(a) + 1)], rng.choice(10**9, rng.integers(1, 60)).astype(np.int64) << 18]))
+        x, y = S.parity_bitmap(a), S.parity_bitmap(b)
+        width = 8 * min(len(x), len(y))
+        folded = [S._folded(int.from_bytes(m, "little"), 8 * len(m), width) for m in (x, y)]
+        assert (folded[0] ^ folded[1]).bit_count() <= len(np.setxor1d(a, b))
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))) for _ in range(50)]
+    sets += [np.unique(rng.integers(0, 4000, 30)) for _ in range(50)]
+    common = S.overlaps(sets, chunk=8)
+    assert all(common[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(100) for j in range(100) if i != j)
+    assert [S.prefix_length(n, 0.85) for n in (1, 7, 20, 100)] == [1, 2, 4, 16]
+    assert S.required_overlap(7, 8, 0.85) == 7
