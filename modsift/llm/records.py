@@ -43,68 +43,103 @@ FRAME = 8 + 4 + 4
 
 # --- checksums ------------------------------------------------------------------------------
 class Crc32c:
-    """CRC-32C of byte strings, whole blocks at a time.
+    """CRC-32C of byte strings, whole blocks of many strings at a time.
 
-    The checksum is linear: ``tables[i][b]`` is what byte b at place i of a block adds to the state after the
+    The checksum is linear: row i of the table holds what a byte at place i of a block adds to the state after the
     block, so a block is one table look-up per byte and an exclusive or over them.
     """
 
-    def __init__(self, block: int = 512):
+    def __init__(self, block: int = 512, at_once: int = 1 << 18):
         one = np.arange(256, dtype=np.uint32)
         for _ in range(8):
             one = np.where(one & 1, (one >> 1) ^ np.uint32(POLYNOMIAL), one >> 1).astype(np.uint32)
         tables = [one]
         for _ in range(block - 1):
             tables.append((tables[-1] >> np.uint32(8)) ^ one[tables[-1] & np.uint32(255)])
-        self.one, self.block = one.tolist(), block
+        self.block, self.rows = block, at_once // block
         self.flat = np.concatenate(tables[::-1])
-        self.places = np.arange(block, dtype=np.int32) * 256
+        self.places = np.arange(block, dtype=np.intp) * 256
         # The state passes a block as if its bytes were added to the block's first four.
         self.passing = [tables[block - 1 - i].tolist() for i in range(4)]
+        self.one = one.tolist()
+
+    def _blocks(self, data: np.ndarray) -> list[int]:
+        out = []
+        for at in range(0, len(data), self.rows):
+            looked_up = np.take(self.flat, data[at : at + self.rows] + self.places, mode="clip")
+            out += np.bitwise_xor.reduce(looked_up, axis=1).tolist()
+        return out
 
     def of(self, data: bytes) -> int:
-        state, n = 0xFFFFFFFF, len(data)
-        if n < 64:
-            for b in data:
-                state = (state >> 8) ^ self.one[(state ^ b) & 255]
-            return state ^ 0xFFFFFFFF
-        # Leading zeros change nothing once the start state is folded into the first four bytes.
-        padded = np.zeros(-(-n // self.block) * self.block, np.uint8)
-        padded[len(padded) - n :] = np.frombuffer(data, np.uint8)
-        padded[len(padded) - n : len(padded) - n + 4] ^= 255
-        added = np.bitwise_xor.reduce(self.flat[padded.reshape(-1, self.block) + self.places], axis=1)
-        state = 0
-        a, b, c, d = self.passing
-        for x in added.tolist():
-            state = a[state & 255] ^ b[state >> 8 & 255] ^ c[state >> 16 & 255] ^ d[state >> 24] ^ x
+        return self.of_many([data])[0]
+
+    def short(self, data: bytes) -> int:
+        state = 0xFFFFFFFF
+        for b in data:
+            state = (state >> 8) ^ self.one[(state ^ b) & 255]
         return state ^ 0xFFFFFFFF
 
+    def of_many(self, strings: list[bytes]) -> list[int]:
+        block = self.block
+        counts = [-(-len(s) // block) if len(s) >= 4 else 0 for s in strings]
+        padded = np.zeros(sum(counts) * block, np.uint8)
+        end = 0
+        for s, n in zip(strings, counts):
+            if n:  # leading zeros change nothing once the start state is folded into the first four bytes
+                end += n * block
+                start = end - len(s)
+                padded[start:end] = np.frombuffer(s, np.uint8)
+                padded[start : start + 4] ^= 255
+        added, at, out = self._blocks(padded.reshape(-1, block)), 0, []
+        a, b, c, d = self.passing
+        for s, n in zip(strings, counts):
+            if not n:
+                out.append(self.short(s))
+                continue
+            state = 0
+            for x in added[at : at + n]:
+                state = a[state & 255] ^ b[state >> 8 & 255] ^ c[state >> 16 & 255] ^ d[state >> 24] ^ x
+            out.append(state ^ 0xFFFFFFFF)
+            at += n
+        return out
+
 
 _crc = Crc32c()
 
 
-def masked_checksum(data: bytes) -> int:
-    crc = _crc.of(data)
+def masked(crc: int) -> int:
     return ((crc >> 15 | crc << 17) + MASK_DELTA) & 0xFFFFFFFF
 
 
-# --- frames ---------------------------------------------------------------------------------
-def frame(data: bytes) -> bytes:
-    length = struct.pack("<Q", len(data))
-    return b"".join([length, struct.pack("<I", masked_checksum(length)), data, struct.pack("<I", masked_checksum(data))])
+def masked_checksum(data: bytes) -> int:
+    return masked(_crc.short(data) if len(data) < 16 else _crc.of(data))
 
 
-def unframed(raw: bytes, where: str) -> bytes:
-    """The data of one frame; an error if lengths or checksums do not agree."""
-    if len(raw) < FRAME or struct.unpack_from("<I", raw, 8)[0] != masked_checksum(raw[:8]):
-        raise ValueError(f"damaged record length at {where}")
-    (n,) = struct.unpack_from("<Q", raw)
-    if n != len(raw) - FRAME:
-        raise ValueError(f"record length differs from the index at {where}")
-    data = raw[12 : 12 + n]
-    if struct.unpack_from("<I", raw, 12 + n)[0] != masked_checksum(data):
-        raise ValueError(f"damaged record at {where}")
-    return data
+# --- frames ---------------------------------------------------------------------------------
+def framed(records: list[bytes]) -> bytes:
+    """Frames of records, one after another."""
+    parts = []
+    for data, crc in zip(records, _crc.of_many(records)):
+        length = struct.pack("<Q", len(data))
+        parts += [length, struct.pack("<I", masked_checksum(length)), data, struct.pack("<I", masked(crc))]
+    return b"".join(parts)
+
+
+def unframed(frames: list[bytes], where: list[str]) -> list[bytes]:
+    """The data of frames; an error if a length or checksum does not agree."""
+    out, sums = [], []
+    for raw, at in zip(frames, where):
+        if len(raw) < FRAME or struct.unpack_from("<I", raw, 8)[0] != masked_checksum(raw[:8]):
+            raise ValueError(f"damaged record length at {at}")
+        (n,) = struct.unpack_from("<Q", raw)
+        if n != len(raw) - FRAME:
+            raise ValueError(f"record length differs from the index at {at}")
+        out.append(raw[12 : 12 + n])
+        sums.append(struct.unpack_from("<I", raw, 12 + n)[0])
+    for crc, stored, at in zip(_crc.of_many(out), sums, where):
+        if masked(crc) != stored:
+            raise ValueError(f"damaged record at {at}")
+    return out
 
 
 def file_system(folder: str) -> tuple[pa.fs.FileSystem, str]:
@@ -122,11 +157,11 @@ def _write(folder: str, path: str, end_id: int):
         out, row, offset, first = None, 0, 0, 0
         try:
             for batch in batches:
-                rows, frames = [], []
+                rows, data_of = [], []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     ids = encode(text.as_py()) + end
                     data = struct.pack(HEADER, doc_id or 0, doc_id is not None, WIDTH) + ids
-                    frames.append(frame(data))
+                    data_of.append(data)
                     n = len(ids) // WIDTH
                     rows.append((number, name, row, doc_id, offset, len(data), n, first))
                     row, offset, first = row + 1, offset + len(data) + FRAME, first + n
@@ -134,7 +169,7 @@ def _write(folder: str, path: str, end_id: int):
                     system, root = file_system(folder)
                     system.create_dir(root, recursive=True)
                     out = system.open_output_stream(f"{root}/{name}")
-                out.write(b"".join(frames))
+                out.write(framed(data_of))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), INDEX)], schema=INDEX)
         finally:
             if out is not None:
@@ -177,13 +212,23 @@ RECORD_COLUMNS = "doc_id long, start long, n_tokens long, ids binary"
 
 
 def _read(folder: str, ahead: int):
-    names = ["doc_id", "start", "n_tokens", "ids"]
+    names, types = ["doc_id", "start", "n_tokens", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def decoded(found: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
+        rows = []
+        where = [at for at, _, _, _ in found]
+        for data, (at, n_tokens, start, _) in zip(unframed([raw for _, _, _, raw in found], where), found):
+            doc_id, has_id, width = struct.unpack_from(HEADER, data)
+            ids = np.frombuffer(data, f"<u{width}", offset=HEADER_BYTES)
+            if len(ids) != n_tokens:
+                raise ValueError(f"number of ids differs from the index at {at}")
+            rows.append((doc_id if has_id else None, start, n_tokens, ids.astype("<u4").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = file_system(folder)
-        opened, held, at = None, b"", 0
-        name_open = None
-        rows, size = [], 0
+        opened, name_open, held, at = None, None, b"", 0
+        found, size = [], 0
         for batch in batches:
             for name, offset, n_bytes, n_tokens, start in zip(*(c.to_pylist() for c in batch.columns)):
                 need = n_bytes + FRAME
@@ -193,18 +238,13 @@ def _read(folder: str, ahead: int):
                     opened, name_open, held = system.open_input_file(f"{root}/{name}"), name, b""
                 if not at <= offset <= offset + need <= at + len(held):
                     held, at = opened.read_at(max(need, ahead), offset), offset
-                data = unframed(held[offset - at : offset - at + need], f"{name}:{offset}")
-                doc_id, has_id, width = struct.unpack_from(HEADER, data)
-                ids = np.frombuffer(data, f"<u{width}", offset=HEADER_BYTES)
-                if len(ids) != n_tokens:
-                    raise ValueError(f"number of ids differs from the index at {name}:{offset}")
-                rows.append((doc_id if has_id else None, start, len(ids), ids.astype("<u4").tobytes()))
-                size += 4 * len(ids)
-                if size > READ_BYTES or len(rows) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names)
-                    rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names)
+                found.append((f"{name}:{offset}", n_tokens, start, held[offset - at : offset - at + need]))
+                size += need
+                if size > READ_BYTES or len(found) >= 4096:
+                    yield decoded(found)
+                    found, size = [], 0
+        if found:
+            yield decoded(found)
         if opened is not None:
             opened.close()
 

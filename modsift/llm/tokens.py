@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import regex
@@ -9,8 +10,10 @@ import regex
 # Fixed values of the tokenizer file: its split pattern and the byte alphabet of byte-level BPE.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+# The usual chunk, lower case already: Latin letters, then ASCII marks or none (one part each to the split pattern).
+SIMPLE = re.compile(r"([a-z\xdf-\xf6\xf8-\u024f]+)([!-/:-@\[-`{-~]*)")
 # White space to Python but not to the tokenizer, special tokens, a letter lowered by context.
-ODD = regex.compile("[\x1c-\x1fΣ]|<\\|")
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ", "<|")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -52,23 +55,27 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.alphabet = byte_alphabet()
+        self.packed = [i.to_bytes(2, "little") for i in range(self.whole.get_vocab_size())]
         self.cache = _Cache(self._chunk, entries)
 
     def _word(self, word: str) -> bytes:
         plain = word.isascii() and word.isprintable()  # these bytes stand for themselves
         mapped = word if plain else word.encode().decode("latin1").translate(self.alphabet)
-        return b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(mapped)])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(mapped)])
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
-            return self._word(chunk)
+        simple = SIMPLE.fullmatch(chunk)
+        if simple:
+            letters, marks = simple.groups()
+            return self.cache[letters] + self.cache[marks] if marks else self._word(letters)
         parts = PATTERN.findall(chunk)
         if len(parts) == 1:
             return self._word(chunk)
         return b"".join([self.cache[p] for p in parts])
 
     def ids(self, text: str) -> bytes:
-        if ODD.search(text):
+        if any(odd in text for odd in ODD):
             return b"".join(i.to_bytes(2, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)

@@ -30,22 +30,26 @@ def test_checksum_matches_the_definition():
     assert records._crc.of(b"123456789") == 0xE3069283  # the published check value
     for n in (0, 1, 8, 63, 64, 511, 512, 513, 1024, 3001):
         data = os.urandom(n)
-        assert records._crc.of(data) == plain_crc32c(data)
+        assert records._crc.of(data) == records._crc.short(data) == plain_crc32c(data)
+    many = [os.urandom(n) for n in (0, 3, 4, 700, 512, 5000, 1)]
+    assert records.Crc32c(64, 256).of_many(many) == [plain_crc32c(m) for m in many]
     crc = plain_crc32c(b"abc")
     assert records.masked_checksum(b"abc") == ((crc >> 15) + (crc << 17) + 0xA282EAD8) % 2**32
 
 
 def test_damage_is_found():
-    raw = records.frame(b"some data " * 30)
-    assert records.unframed(raw, "x") == b"some data " * 30
+    texts = [b"some data " * 30, b"", b"abc", os.urandom(700)]
+    raw = records.framed(texts[:1])
+    assert records.framed(texts) == b"".join(records.framed([t]) for t in texts)
+    assert records.unframed([records.framed([t]) for t in texts], list("abcd")) == texts
     for at in (0, 9, 12, 100, len(raw) - 1):
         bad = bytearray(raw)
         bad[at] ^= 4
         with pytest.raises(ValueError, match="x"):
-            records.unframed(bytes(bad), "x")
+            records.unframed([raw, bytes(bad)], ["good", "x"])
     for cut in (raw[:5], raw[:-1], raw + b"0"):
         with pytest.raises(ValueError):
-            records.unframed(cut, "x")
+            records.unframed([cut], ["x"])
 
 
 def expected(texts):
@@ -79,7 +83,7 @@ def test_round_trip_of_odd_documents(spark, odd, tmp_path, file_bytes):
     at, seen = 0, []
     while at < len(raw):
         (n,) = struct.unpack_from("<Q", raw, at)
-        data = records.unframed(raw[at : at + n + records.FRAME], "file")
+        data = records.unframed([raw[at : at + n + records.FRAME]], ["file"])[0]
         seen.append(np.frombuffer(data, "<u2", offset=records.HEADER_BYTES).tolist())
         at += n + records.FRAME
     assert seen == ids
