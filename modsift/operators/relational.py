@@ -367,6 +367,34 @@ def similar_by_feature_overlap(df: DataFrame, row_id: str, features: str, target
     )
 
 
+def similar_to_targets(df: DataFrame, row_id: str, features: str, is_target: Column, threshold: float, k: int) -> DataFrame:
+    """(target, row id, overlap, rank): for every target row the k other rows with the most value pairs (i, j) closer than ``threshold``.
+
+    A range join on numbers: a value lies in a cell as wide as the threshold, so values closer than the threshold lie in one
+    cell or in neighbours.  Entries of targets go to their cell and both neighbours, entries of rows to their own;
+    an equality join on cells and an exact check give the pairs, which are counted per target and row.  Null
+    and non-finite values meet nothing.  Ties go to the smaller id; rows without a pair rank last, with overlap 0.
+    Ids are unique and not null.
+    """
+    value = lambda: F.explode(F.transform(features, lambda x: x.cast("double")))
+    finite = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))
+    cell = F.floor(F.col("v") / (threshold * (1 + 1e-6)))  # a little wider, so that rounding skips no neighbour
+    known = df.where(F.col(row_id).isNotNull())
+    rows = known.select(F.col(row_id).alias("__row"), value().alias("v")).where(finite).select("__row", "v", cell.alias("cell"))
+    near = F.explode(F.array(cell - 1, cell, cell + 1))
+    sought = known.where(is_target).select(F.col(row_id).alias("__target"), value().alias("v")).where(finite).select("__target", F.col("v").alias("b"), near.alias("cell"))
+    met = rows.join(sought, "cell").where((F.abs(F.col("v") - F.col("b")) < threshold) & (F.col("__row") != F.col("__target")))
+    counted = met.groupBy("__target", "__row").agg(F.count("*").alias("overlap"))
+    # Rows without a pair: at most k of the smallest ids that are not the target and have none; 2 * k + 1 ids are enough.
+    smallest = [r[0] for r in known.select(row_id).orderBy(row_id).limit(2 * k + 1).collect()]
+    fill = F.explode(F.array(*[F.lit(i).cast(df.schema[row_id].dataType) for i in smallest])) if smallest else None
+    if fill is not None:
+        alone = known.where(is_target).select(F.col(row_id).alias("__target"), fill.alias("__row"), F.lit(0).cast("long").alias("overlap"))
+        counted = counted.union(alone.where(F.col("__row") != F.col("__target"))).groupBy("__target", "__row").agg(F.max("overlap").alias("overlap"))
+    best = top_n_per_key(counted, ["__target"], [F.desc("overlap"), F.asc("__row")], k)
+    return best.select(F.col("__target").alias("target"), F.col("__row").alias(row_id), "overlap", "rank")
+
+
 def anti_join_processed(raw: DataFrame, processed: DataFrame, raw_id: str, processed_raw_id: str) -> DataFrame:
     done = processed.select(F.col(processed_raw_id).alias(raw_id)).distinct()
     return raw.join(done, raw_id, "left_anti")

@@ -10,7 +10,9 @@ from modsift.operators import augment as G
 from modsift.operators import datasets as D
 from modsift.operators import features as X
 from modsift.operators import ml as M
+from modsift.operators import word_vectors as WV
 from modsift.operators.density import dbscan
+from modsift.operators.scale import stored
 from modsift.plans.registry import query
 
 COLUMNS = ["text_length", "word_count", "sentence_count", "avg_word_length", "punctuation_count", "digit_count", "lexical_density", "type_token_ratio"]
@@ -114,9 +116,13 @@ def _(t):
 
 @query("x12_doc_embedding")
 def _(t):
+    """Cosine of every document to the one with the next id."""
     d = t.documents.select("doc_id", T.tokenize("text", lower=True).alias("tk"))
-    e = M.doc_embedding(d, "tk")
-    return e.select("doc_id", F.size("embedding").alias("dim"))
+    e = stored(WV.doc_embedding(d, "doc_id", "tk", dim=32, iterations=5).select("doc_id", "embedding"))
+    after = e.select((F.col("doc_id") - 1).alias("doc_id"), F.col("embedding").alias("other"))
+    return e.join(after, "doc_id").select(
+        "doc_id", F.size("embedding").alias("dim"), F.round(WV.cosine(F.col("embedding"), F.col("other")), 4).alias("cosine_to_next")
+    )
 
 
 # --- augmentation ------------------------------------------------------------------------

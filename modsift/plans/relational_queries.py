@@ -540,6 +540,18 @@ def _(t):
     return r.select("vec_id", F.col("overlap").cast("long").alias("overlap"))
 
 
+@query(
+    "j9_similar_to_targets",
+    """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS a FROM embeddings),
+      g AS (SELECT vec_id AS target, unnest(embedding)::DOUBLE AS b FROM embeddings WHERE vec_id % 100 = 0),
+      s AS (SELECT target, vec_id, count(*) FILTER (abs(a - b) < 0.01::DOUBLE) AS overlap FROM g JOIN x ON vec_id <> target GROUP BY 1, 2)
+      SELECT target, vec_id, overlap, CAST(row_number() OVER (PARTITION BY target ORDER BY overlap DESC, vec_id) AS INTEGER) AS rank FROM s
+      QUALIFY row_number() OVER (PARTITION BY target ORDER BY overlap DESC, vec_id) <= 10""",
+)
+def _(t):
+    return R.similar_to_targets(t.embeddings, "vec_id", "embedding", F.col("vec_id") % 100 == 0, 0.01, 10)
+
+
 @query(
     "j10_lexicon_join",
     f"""SELECT doc_id, len(k) AS n, len(tk) - len(k) AS removed FROM (SELECT doc_id, tk, list_filter(tk, lambda x: x NOT IN {STOP_SQL}) AS k FROM (SELECT doc_id, {fx.tok('text')} AS tk FROM documents))""",

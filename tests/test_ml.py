@@ -6,6 +6,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from modsift.operators import ml as M
+from modsift.operators import word_vectors as WV
 
 
 @pytest.fixture(scope="module")
@@ -57,8 +58,52 @@ def test_selection(rows):
     assert scores.count() == 2
 
 
-def test_embedding_vocabulary_is_bounded(spark):
-    docs = spark.createDataFrame([(i, ["the", "cat", f"w{i % 7}", "the"]) for i in range(40)], "id INT, tk ARRAY<STRING>")
-    assert len(M.doc_embedding(docs, "tk", dim=4, min_count=1, epochs=1).first().embedding) == 4
-    with pytest.raises(ValueError):
-        M.doc_embedding(docs, "tk", dim=4, min_count=1, epochs=1, most_words=2)
+def test_cooccurrence_counts_and_ppmi_against_plain_python(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(8)
+    texts = [(i, [f"w{int(rng.paretovariate(1))}" for _ in range(rng.randrange(0, 60))]) for i in range(40)] + [(90, None), (91, [])]
+    df = spark.createDataFrame(texts, "id INT, tk ARRAY<STRING>").repartition(3)
+    words = WV.vocabulary(df, "tk", 3)
+    counts = Counter(w for _, tk in texts for w in tk or [])
+    kept = {w for w, n in counts.items() if n >= 3}
+    ids = {r.word: r.word_id for r in words.collect()}
+    assert ids == {w: i for i, w in enumerate(sorted(kept))}
+    placed = WV.token_ids(df, "id", "tk", words)
+    want = Counter()
+    for _, tk in texts:
+        for i, a in enumerate(tk or []):
+            for b in (tk or [])[i + 1 : i + 6]:
+                if a in kept and b in kept:
+                    want[tuple(sorted((ids[a], ids[b])))] += 1
+    got = {(r.a, r.b): r.n for r in WV.cooccurrences(placed, 5).collect()}
+    assert got == want
+    both = Counter()
+    for (a, b), n in want.items():
+        both[a, b] = both[b, a] = n
+    margin, total = Counter(), sum(both.values())
+    for (a, _), n in both.items():
+        margin[a] += n
+    ppmi = {k: math.log(n * total / (margin[k[0]] * margin[k[1]])) for k, n in both.items()}
+    found = {(r.a, r.b): r.ppmi for r in WV.positive_pmi(WV.cooccurrences(placed, 5)).collect()}
+    assert found.keys() == {k for k, v in ppmi.items() if v > 0} and all(abs(v - ppmi[k]) < 1e-9 for k, v in found.items())
+
+
+def test_doc_embedding_groups_topics(spark):
+    rng = random.Random(5)
+    topics = [[f"t{k}w{i}" for i in range(40)] for k in range(3)]
+    texts = [(i, rng.choices(topics[i % 3], k=60) + rng.choices(["and", "the", "of"], k=20)) for i in range(60)]
+    for _, tk in texts:
+        rng.shuffle(tk)
+    texts += [(100, texts[4][1]), (101, ["unseen"]), (102, None)]
+    df = spark.createDataFrame(texts, "id INT, tk ARRAY<STRING>").repartition(3)
+    got = {r.id: r.embedding for r in WV.doc_embedding(df, "id", "tk", dim=8, min_count=2, iterations=4).collect()}
+    assert got[101] is None and got[102] is None and len(got[0]) == 8 and abs(sum(x * x for x in got[0]) - 1) < 1e-9
+    dot = lambda a, b: sum(x * y for x, y in zip(got[a], got[b]))
+    assert abs(dot(4, 100) - 1) < 1e-9
+    same = [dot(a, b) for a in range(60) for b in range(a) if a % 3 == b % 3]
+    other = [dot(a, b) for a in range(60) for b in range(a) if a % 3 != b % 3]
+    assert min(same) > max(other)
+    lonely = spark.createDataFrame([(1, ["a"]), (2, ["b"])], "id INT, tk ARRAY<STRING>")
+    assert [r.embedding for r in WV.doc_embedding(lonely, "id", "tk", dim=4).collect()] == [None, None]

@@ -243,3 +243,24 @@ def test_bounds_of_the_prefix_index():
     assert all(common[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(100) for j in range(100) if i != j)
     assert [S.prefix_length(n, 0.85) for n in (1, 7, 20, 100)] == [1, 2, 4, 16]
     assert S.required_overlap(7, 8, 0.85) == 7
+
+
+def test_similar_to_targets_against_all_pairs(spark):
+    import random
+
+    from modsift.operators import relational as R
+
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(8)]) for i in range(120)]
+    rows += [(200, [50.0, 60.0]), (201, []), (202, None), (203, [float("nan"), float("inf"), None, 0.1]), (204, [0.5, 0.25, 0.75])]
+    df = spark.createDataFrame(rows, "id LONG, x ARRAY<DOUBLE>").repartition(4)
+    targets = F.col("id").isin(0, 40, 200, 201, 202, 204)
+    for threshold in (0.05, 0.25):
+        got = sorted(tuple(r) for r in R.similar_to_targets(df, "id", "x", targets, threshold, 7).collect())
+        want = []
+        for t, b in rows:
+            if t in (0, 40, 200, 201, 202, 204):
+                scored = [(-sum(abs(v - w) < threshold for v in a or [] if v is not None for w in b or []), i) for i, a in rows if i != t]
+                want += [(t, i, -s, r) for r, (s, i) in enumerate(sorted(scored)[:7], 1)]
+        assert got == sorted(want)
+    assert R.similar_to_targets(df.limit(0), "id", "x", targets, 0.1, 3).count() == 0
