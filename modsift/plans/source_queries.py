@@ -30,6 +30,23 @@ def _(t):
     return files.lines_to_texts(lines, "line", "path", ["no_empty", "no_short"], keep=["doc_id"]).select("doc_id", "content", "source")
 
 
+@query(
+    "s1_line_numbers",
+    """WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13), ' '), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13), ' '), chr(10)), 1) AS i FROM documents),
+      k AS (SELECT doc_id, i, trim(line) AS content FROM l WHERE strlen(trim(line)) BETWEEN 10 AND 2000)
+      SELECT 'g' || (doc_id // 100) AS file_group, CAST(row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id, i) AS INTEGER) AS line_num, content FROM k""",
+)
+def _(t):
+    """Lines of documents written to text files, a hundred documents each in the order of their ids, and read back."""
+    folder = _scratch(t, "s1")
+    d = t.documents.select("doc_id", F.replace("text", F.lit("\r"), F.lit(" ")).alias("value"), F.concat(F.lit("g"), F.floor(F.col("doc_id") / 100)).alias("grp"))
+    groups = d.repartition("grp").sortWithinPartitions("grp", "doc_id").select("grp", "value")
+    groups.write.partitionBy("grp").text(folder)
+    texts = files.read_text_lines(t.spark, f"{folder}/*/*.txt", ["no_short"])
+    group = F.regexp_extract(F.col("metadata")["file_path"], "/grp=(g[0-9]+)/", 1)
+    return texts.select(group.alias("file_group"), F.col("metadata")["line_num"].cast("int").alias("line_num"), "content")
+
+
 @query(
     "s2_csv_texts",
     """SELECT doc_id, 'csv:docs.csv' AS source, text AS content, lang || '/' || n_chars AS meta FROM documents""",

@@ -7,15 +7,20 @@ everything is read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modsift import values as V
 from modsift.functions import text as T
 from modsift.operators.relational import union_sources
-from modsift.operators.scale import compute_once
+from modsift.operators.scale import compute_once, stored
 
 ITEM_SCHEMA = "content STRING, source STRING, meta MAP<STRING,STRING>"
+FEW_BLOCKS = 50_000  # rows of a block table that is broadcast, some hundred bytes each
 
 
 def _file_name(path: Column) -> Column:
@@ -34,11 +39,16 @@ def _filtered(df: DataFrame, rules: list[str] | None, max_count: int | None) ->
 
 
 # --- shaping -------------------------------------------------------------------------
-def lines_to_texts(lines: DataFrame, line: str, path: str, rules: list[str] | None = None, max_count: int | None = None, keep: list[str] | None = None) -> DataFrame:
-    rows = _raw(
-        lines, T.trim_wide(line), F.concat(F.lit("file:"), _file_name(F.col(path))),
-        F.create_map(F.lit("file_path"), F.col(path)), keep or [],
-    )
+def _place(path: str, number: str | None) -> Column:
+    """Metadata that say where a text stands: file_path and, if known, line_num."""
+    entries = [F.lit("file_path"), F.col(path)]
+    return F.create_map(*entries, F.lit("line_num"), F.col(number).cast("string")) if number else F.create_map(*entries)
+
+
+def lines_to_texts(
+    lines: DataFrame, line: str, path: str, rules: list[str] | None = None, max_count: int | None = None, keep: list[str] | None = None, number: str | None = None
+) -> DataFrame:
+    rows = _raw(lines, T.trim_wide(line), F.concat(F.lit("file:"), _file_name(F.col(path))), _place(path, number), keep or [])
     return _filtered(rows, rules, max_count)
 
 
@@ -68,10 +78,12 @@ def table_to_texts(rows: DataFrame, path: str, text_column: str | None = None, r
     return _filtered(shaped, rules, max_count)
 
 
-def items_to_texts(items: DataFrame, path: str, kind: str, rules: list[str] | None = None, max_count: int | None = None, keep: list[str] | None = None) -> DataFrame:
+def items_to_texts(
+    items: DataFrame, path: str, kind: str, rules: list[str] | None = None, max_count: int | None = None, keep: list[str] | None = None, number: str | None = None
+) -> DataFrame:
     """Rows of {content, source, meta}; item metadata wins over file metadata."""
     meta = F.coalesce(F.col("meta"), F.create_map().cast("map<string,string>"))
-    base = F.map_filter(F.create_map(F.lit("file_path"), F.col(path)), lambda k, v: ~F.map_contains_key(meta, k))
+    base = F.map_filter(_place(path, number), lambda k, v: ~F.map_contains_key(meta, k))
     source = F.when(F.coalesce(F.col("source"), F.lit("")) != "", F.col("source")).otherwise(
         F.concat(F.lit(f"{kind}:"), _file_name(F.col(path)))
     )
@@ -107,9 +119,53 @@ def _path() -> Column:
     return F.col("_metadata.file_path").alias("__path")
 
 
+def _block() -> Column:
+    return F.col("_metadata.file_block_start").alias("__at")
+
+
+def _numbered(columns: list[str]):
+    """Rows of a scan with their number inside their block, in the order of the scan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, seen = None, 0
+        for batch in batches:
+            path, at = batch.column(columns.index("__path")).dictionary_encode(), batch.column(columns.index("__at")).to_numpy()
+            names, codes = path.dictionary.to_pylist(), path.indices.to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (at[1:] != at[:-1])])) if len(at) else []
+            number = np.empty(len(at), np.int64)
+            for a, b in zip(first, [*first[1:], len(at)]):
+                now = (names[codes[a]], int(at[a]))
+                seen = seen if now == block else 0
+                number[a:b] = np.arange(seen + 1, seen + 1 + b - a)
+                block, seen = now, seen + b - a
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], names=[*columns, "__in_block"])
+
+    return run
+
+
+def with_line_numbers(lines: DataFrame, name: str = "line_num") -> DataFrame:
+    """Rows of splittable files with their number in the file, from 1.
+
+    ``lines`` are rows as a scan gives them, with __path and __at (where the scanned block begins); filters may
+    have gone before, then the number counts what they left.  Rows are counted per block first; the sums of
+    the blocks before a block and the place inside it give the number, so no file is one task's work and
+    no row is moved.
+    """
+    counts = stored(lines.groupBy("__path", "__at").agg(F.count("*").alias("__n")))
+    before = Window.partitionBy("__path").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__path", "__at", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    few = counts.count() <= FEW_BLOCKS
+    types = ", ".join([f"`{c}` {t}" for c, t in lines.dtypes])
+    numbered = lines.mapInArrow(_numbered(lines.columns), f"{types}, __in_block long")
+    joined = numbered.join(F.broadcast(offsets) if few else offsets, ["__path", "__at"])
+    return joined.withColumn(name, F.col("__before") + F.col("__in_block")).drop("__before", "__in_block")
+
+
 def read_text_lines(spark: SparkSession, paths, rules=None, max_count=None) -> DataFrame:
-    lines = spark.read.text(paths).select("value", _path())
-    return lines_to_texts(lines, "value", "__path", rules, max_count)
+    """Lines of text files; ``line_num`` counts the collected lines of a file, as the collector does."""
+    lines = spark.read.text(paths).select("value", _path(), _block())
+    kept = lines.where(T.collection_filter(T.trim_wide("value"), "file", rules))
+    return lines_to_texts(with_line_numbers(kept), "value", "__path", rules, max_count, number="line_num")
 
 
 def _csv_by_header(spark: SparkSession, paths, delimiter: str, **options: str) -> list[DataFrame]:
@@ -139,8 +195,10 @@ def read_json_array_texts(spark: SparkSession, paths, rules=None, max_count=None
 
 
 def read_jsonl_texts(spark: SparkSession, paths, rules=None, max_count=None) -> DataFrame:
-    good, _ = split_good_bad(parse_json_lines(spark.read.text(paths).select("value", _path()), "value"))
-    return items_to_texts(good, "__path", "jsonl", rules, max_count)
+    """One JSON object per line; ``line_num`` is the line of the file."""
+    lines = with_line_numbers(spark.read.text(paths).select("value", _path(), _block()))
+    good, _ = split_good_bad(parse_json_lines(lines, "value"))
+    return items_to_texts(good, "__path", "jsonl", rules, max_count, number="line_num")
 
 
 def count_bad_json_lines(spark: SparkSession, paths) -> DataFrame:
@@ -161,13 +219,13 @@ def read_texts_by_extension(spark: SparkSession, folder: str, rules=None) -> Dat
         items = spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN]").schema(ITEM_SCHEMA).json(folder, multiLine=True)
         frames.append(items_to_texts(items.select("*", _path()), "__path", "json", rules))
     if "jsonl" in kinds:
-        lines = spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").text(folder).select("value", _path())
+        lines = with_line_numbers(spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").text(folder).select("value", _path(), _block()))
         good, _ = split_good_bad(parse_json_lines(lines, "value"))
-        frames.append(items_to_texts(good, "__path", "jsonl", rules))
+        frames.append(items_to_texts(good, "__path", "jsonl", rules, number="line_num"))
     if "txt" in kinds:
-        lines = spark.read.text(folder).select("value", _path())
-        lines = lines.where(~F.lower("__path").rlike(r"\.(csv|json|jsonl)$"))
-        frames.append(lines_to_texts(lines, "value", "__path", rules))
+        lines = spark.read.text(folder).select("value", _path(), _block())
+        lines = lines.where(~F.lower("__path").rlike(r"\.(csv|json|jsonl)$") & T.collection_filter(T.trim_wide("value"), "file", rules))
+        frames.append(lines_to_texts(with_line_numbers(lines), "value", "__path", rules, number="line_num"))
     return union_sources(*frames)
 
 

@@ -23,6 +23,42 @@ def test_text_lines(spark, tmp_path):
     assert ids == {r.id for r in files.read_text_lines(spark, p).collect()}
 
 
+def test_line_numbers_over_splits(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    want, items = {}, set()
+    for name in ("a.txt", "b.txt", "c d.txt"):
+        lines = [rng.choice(["", "  ", "x", f"line {i} " + "y" * rng.randrange(200)]) for i in range(rng.choice([1, 400, 700]))]
+        (folder / name).write_text("\n".join(lines) + rng.choice(["", "\n"]))
+        kept = [x.strip() for x in lines if 5 <= len(x.strip()) <= 2000]
+        want |= {(name, str(i)): t for i, t in enumerate(kept, 1)}
+        rows = [json.dumps({"content": f"item {i}", "meta": {"k": "v"} if i % 2 else {"line_num": "own"}}) if i % 5 else "{bad" for i in range(300)]
+        (folder / name.replace(".txt", ".jsonl")).write_text("\n\n".join(rows))
+        items |= {(name.replace(".txt", ".jsonl"), str(2 * i + 1) if i % 2 else "own", f"item {i}") for i in range(300) if i % 5}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        lines = files.read_text_lines(spark, f"{folder}/*.txt", ["no_empty"])
+        splits = spark.read.text(f"{folder}/*.txt").select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+        assert splits > 6, "files are cut"
+        got = {(r.source.removeprefix("file:"), r.metadata["line_num"]): r.content for r in lines.collect()}
+        assert got == want
+        found = {(r.source.removeprefix("jsonl:"), r.metadata["line_num"], r.content) for r in files.read_jsonl_texts(spark, f"{folder}/*.jsonl").collect()}
+        assert found == items
+        both = {(r.source.partition(":")[2], r.metadata["line_num"]) for r in files.read_texts_by_extension(spark, str(folder), ["no_empty"]).collect()}
+        assert both == set(want) | {(a, b) for a, b, _ in items}
+        files.FEW_BLOCKS, few = 0, files.FEW_BLOCKS
+        try:
+            assert len(files.read_text_lines(spark, f"{folder}/*.txt", ["no_empty"]).collect()) == len(want)
+        finally:
+            files.FEW_BLOCKS = few
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_csv_texts(spark, tmp_path):
     p = write(tmp_path / "in.csv", 'id,Message,Text\n1,"hello, world",a\n2,only two\n3,third one,b\n')
     rows = {r.metadata["id"]: r for r in files.read_csv_texts(spark, p).collect()}
@@ -138,7 +174,7 @@ def test_sinks(spark, tmp_path):
     parts = str(tmp_path / "parts")
     spark.createDataFrame([(1, "a"), (2, "b")], "v INT, p STRING").write.partitionBy("p").parquet(parts)
     sinks.rewrite_keeping(spark.createDataFrame([(9, "a")], "v INT, p STRING"), parts, "p")
-    assert sorted((r.v, r.p) for r in spark.read.parquet(parts).collect()) == [(2, "b"), (9, "a")]
+    assert sorted((r.v, r.p) for r in spark.read.parquet(parts).collect()) == [(9, "a")], "partitions that the rows no longer have go"
 
 
 def test_training_jsonl_and_batches(spark, tmp_path):
