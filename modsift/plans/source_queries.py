@@ -13,7 +13,8 @@ from modsift.plans.registry import query
 from modsift.session import ensure_checkpoint_dir
 from modsift.sources import api, files, pages
 from modsift.sources import sinks as K
-from modsift.streaming import ingest
+from modsift.streaming import ingest, state
+from modsift.streaming import windows as W
 
 
 def _path(t, df):
@@ -262,3 +263,65 @@ def _(t):
 @query("j3_dedup_messages", "SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 def _(t):
     return ingest.dedup_stream(t.documents.select("text"), "text", "ts").select("content_hash")
+
+
+def _streamed(t, name: str, table, make):
+    """Write a table as files, read them as a stream, run ``make`` on it until the input is used up, and read the sink back."""
+    folder = _scratch(t, name)
+    table.write.parquet(f"{folder}/in")
+    stream = make(t.spark.readStream.schema(table.schema).parquet(f"{folder}/in"))
+    sink = lambda batch, batch_id: ingest.write_batch_folder(batch, f"{folder}/out", "r", batch_id)
+    ingest.micro_batches(stream, sink, f"{folder}/checkpoint").awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{folder}/out/run=r")
+
+
+@query("j3_dedup_stream", "SELECT sha256(text) AS content_hash, count(DISTINCT sha256(text)) AS copies FROM documents GROUP BY 1")
+def _(t):
+    """Repeats inside the watermark's delay are dropped by keyed state; all messages carry times of ten minutes."""
+    messages = t.documents.select("text", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 600).alias("ts"))
+    kept = _streamed(t, "j3", messages, lambda s: ingest.dedup_stream(s, "text", "ts").select("content_hash"))
+    return kept.groupBy("content_hash").agg(F.count("*").alias("copies"))
+
+
+@query(
+    "w4_progress_flushes",
+    """WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
+      SELECT source, k * 10 AS collected, (k * 1000 // 1000)::INT AS progress FROM c, (SELECT unnest(range(1, (SELECT max(n) // 10 + 1 FROM c))) AS k) WHERE k * 10 <= n""",
+)
+def _(t):
+    told = _streamed(t, "w4", t.documents.select("source"), lambda s: state.progress_flushes(s, "source", 1000))
+    return told.select("source", "collected", "progress")
+
+
+@query(
+    "t4_training_buffer_stream",
+    f"""WITH {fx.QA_SQL}, n AS (SELECT count(*) // 50 AS batches FROM qa)
+      SELECT k AS batch_no, 50::BIGINT AS samples, 0::BIGINT AS foreign_samples FROM n, (SELECT unnest(range(0, (SELECT batches FROM n))) AS k)""",
+)
+def _(t):
+    """Whole batches of 50 from a stream; which samples they hold is a matter of arrival, so they are counted and looked up."""
+    qa = fx.qa_pairs(t).select(F.concat_ws(":", "conv_id", "turn").alias("sample_id"), "question", "answer")
+    out = _streamed(t, "t4", qa, lambda s: state.training_batches_stream(s, "sample_id", 50))
+    known = qa.select("sample_id", F.lit(True).alias("known")).distinct()
+    once = out.dropDuplicates(["sample_id"]).join(known, "sample_id", "left")
+    return once.groupBy("batch_no").agg(F.count("*").alias("samples"), F.count_if(F.col("known").isNull()).alias("foreign_samples"))
+
+
+@query(
+    "w7_breach_alert_stream",
+    """WITH r AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1),
+      closed AS (SELECT * FROM r WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)),
+      b AS (SELECT start, start - row_number() OVER (ORDER BY start) * INTERVAL 1 HOUR AS island FROM closed WHERE errors >= 3)
+      SELECT strftime(min(start), '%Y-%m-%d %H:%M:%S') AS breach_start, strftime(min(start) + INTERVAL 3 HOUR, '%Y-%m-%d %H:%M:%S') AS alert_at FROM b GROUP BY island HAVING count(*) >= 3""",
+)
+def _(t):
+    """One alert for every hourly error rate that stays too high for three hours, as far as the watermark has come."""
+    events = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+
+    def alerts(s):
+        rate = W.windowed_rate(s, "ts", F.col("event_type") == "error", "1 hour", "1 hour", 3600, 2.5 / 3600)
+        return state.sustained_breach_alerts(rate, [], 3600, 3 * 3600)
+
+    found = _streamed(t, "w7", events, alerts)
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return found.select(stamp("breach_start"), stamp("alert_at"))

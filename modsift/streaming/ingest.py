@@ -119,7 +119,7 @@ def process_stream(
     messages: DataFrame, out: str, checkpoint: str, stop_words: list[str] | None = None,
     attempts: int = 3, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Failures to ``errors``, the rest to ``processed`` and ``features``; ids that are processed already are skipped.
+    """Failures to ``errors``, the rest to ``processed`` and ``features``; ids that are in either already are skipped.
 
     Offsets are committed after the sinks return (checkpoint) and every sink folder is keyed by checkpoint
     and batch id, so neither a lost executor nor a restart, also with a fresh checkpoint, doubles a row.
@@ -130,6 +130,7 @@ def process_stream(
 
     def sink(arrived: DataFrame, batch_id: int) -> None:
         fresh = skip_processed(arrived, f"{out}/processed", run, batch_id)
+        fresh = skip_processed(fresh, f"{out}/errors", run, batch_id)
         batch = process_messages(fresh, stop_words).persist()
         try:
             good = batch.where("success")

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from modsift.streaming import ingest
+from modsift.streaming import ingest, state
 from modsift.streaming import windows as W
 
 
@@ -39,6 +39,18 @@ def test_stream_equals_batch_and_survives_restart(spark, tmp_path):
     assert spark.read.parquet(f"{out}/processed").count() == len(got), "a fresh checkpoint doubles nothing"
 
 
+def test_errors_are_not_doubled_by_a_fresh_checkpoint(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    bodies = [{"id": str(i), "content": "short" if i % 3 else "a text that is long enough", "dataSource": "s"} for i in range(12)]
+    (src / "a.txt").write_text("\n".join(map(json.dumps, bodies)))
+    for checkpoint in ("first", "second"):
+        ingest.process_stream(ingest.read_raw_text_stream(spark, str(src)), out, str(tmp_path / checkpoint)).awaitTermination(120)
+        failed = [r.raw_text_id for r in spark.read.parquet(f"{out}/errors").collect()]
+        assert sorted(failed) == sorted(str(i) for i in range(12) if i % 3)
+        assert spark.read.parquet(f"{out}/processed").count() == 4
+
+
 def test_parse_errors_go_to_dead_letters(spark, tmp_path):
     src = tmp_path / "in"
     messages(src, 0, 30, "a.txt")
@@ -106,3 +118,92 @@ def test_forum_chain(spark):
     df = spark.createDataFrame(rows, "id STRING, content STRING, vote_count INT, comment_count INT, type STRING")
     got = ingest.process_forum_records(df).collect()
     assert [r.id for r in got] == ["1"] and got[0].quality_label == 1 and got[0].is_answer
+
+
+def run_folder(spark, df, folder, checkpoint):
+    """Run a stream into a parquet folder, micro-batch after micro-batch, until its input is used up."""
+    def sink(batch, batch_id):
+        ingest.write_batch_folder(batch, folder, "r", batch_id)
+
+    df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination(200)
+
+
+def test_sustained_breach_alerts_equal_the_batch_islands(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    events = []
+    for minute in range(240):
+        for host in ("a", "b"):
+            bad = (minute // (17 if host == "a" else 29)) % 2 == 0
+            if rng.random() > 0.1:  # some windows have no event
+                events += [(host, minute * 60 + rng.randrange(60), bad and rng.random() > 0.05) for _ in range(3)]
+    schema = "host STRING, seconds LONG, bad BOOLEAN"
+    timed = lambda df: df.select("host", F.timestamp_seconds("seconds").alias("ts"), "bad")
+    rate = lambda df: W.windowed_rate(df, "ts", F.col("bad"), "1 minute", "1 minute", 60, 1.5 / 60, ["host"])
+    src = tmp_path / "in"
+    for n in range(4):  # in the order of time, but not inside a file; with rows that come up to 5 minutes late
+        part = [e for e in events if min(3, (e[1] + e[1] * 7919 % 300) // 3600) == n]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+    late = [("a", 60 * 60, True)] * 5 + [("a", 100_000, False), ("b", 100_000, False)]  # too late, and what moves the watermark on
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    out = str(tmp_path / "out")
+    run_folder(spark, state.sustained_breach_alerts(rate(timed(stream)), ["host"], 60, 300), out, str(tmp_path / "c"))
+    got = sorted((r.host, r.breach_start) for r in spark.read.parquet(out).collect())
+    table = rate(timed(spark.createDataFrame(events, schema)))
+    islands = W.sustained_breach(table, ["host"], 60, 300).collect()
+    assert got == sorted((r.host, r.breach_start) for r in islands) and len(got) > 6
+    at = {(r.host, r.breach_start): (r.alert_at - r.breach_start).total_seconds() for r in spark.read.parquet(out).collect()}
+    assert set(at.values()) == {300.0}
+
+
+def test_training_buffer_carries_over_batches_and_restarts(spark, tmp_path):
+    src, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "c")
+    schema = "id LONG, text STRING, score DOUBLE"
+
+    def add(start, stop):
+        rows = [(i, None if i % 7 == 0 else f"text {i}", None if i % 5 == 0 else i / 2) for i in range(start, stop)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+        run_folder(spark, state.training_batches_stream(stream, "id", 25, 2), out, ckpt)
+
+    for start, stop in ((0, 40), (40, 95), (95, 130)):
+        add(start, stop)
+    run()
+    run()  # nothing new
+    first = spark.read.parquet(out).collect()
+    add(130, 260)
+    run()
+    rows = spark.read.parquet(out).collect()
+    ids = [r.id for r in rows]
+    assert len(ids) == len(set(ids)) and len(first) < len(rows) and {r.id for r in first} < set(ids)
+    sizes = {}
+    for r in rows:
+        assert r.text == (None if r.id % 7 == 0 else f"text {r.id}") and r.score == (None if r.id % 5 == 0 else r.id / 2)
+        sizes[r.buffer, r.batch_no] = sizes.get((r.buffer, r.batch_no), 0) + 1
+    assert set(sizes.values()) == {25} and 260 - len(ids) < 50
+    for buffer in (0, 1):
+        assert sorted(b for k, b in sizes if k == buffer) == list(range(sum(k == buffer for k, _ in sizes)))
+
+
+def test_progress_is_flushed_at_every_tenth_text(spark, tmp_path):
+    src, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "c")
+
+    def add(counts):
+        spark.createDataFrame([(t, f"x{i}") for t, n in counts.items() for i in range(n)], "task STRING, content STRING").coalesce(1).write.mode("append").parquet(str(src))
+
+    def run():
+        stream = spark.readStream.schema("task STRING, content STRING").option("maxFilesPerTrigger", 1).parquet(str(src))
+        run_folder(spark, state.progress_flushes(stream, "task", 200), out, ckpt)
+
+    for counts in ({"a": 7, "b": 31}, {"a": 7}, {"a": 2, "b": 9}):
+        add(counts)
+    run()
+    add({"a": 5, "c": 3})
+    run()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("task", "collected", "progress").collect())
+    assert got == [("a", 10, 5), ("a", 20, 10), ("b", 10, 5), ("b", 20, 10), ("b", 30, 15), ("b", 40, 20)]
