@@ -137,7 +137,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_task: int = 20_00
     plan = spark.createDataFrame(rows, PLAN_COLUMNS)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start")
+    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", F.xxhash64("ids"))  # ids may repeat with other texts
     rows = pieces.select("doc_id", "start", "length", "doc_tokens", "ids", "bucket")
     ranked = rows.withColumn("r", F.row_number().over(inside) - 1).join(offsets, ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("r"))
