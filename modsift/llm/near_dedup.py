@@ -7,7 +7,8 @@ weighted shingles.  The link is the plain Jaccard similarity of shingle sets, so
 weight 1 here, however often it occurs: then both similarities are nearly the same.  Bands of registers
 find candidates, families of candidates are verified exactly, and links become classes.
 
-* Equal shingle sets are one representative first, so copies never meet pairwise.
+* Equal shingle sets are one representative first, so copies never meet pairwise.  A representative is a set, not an
+  id: ids that stand on several texts are as many members.
 * Members of a bucket are linked to its smallest id only; families are the components of these links.
 * A family is verified in one task if it has at most ``block`` members; larger ones are cut into blocks
   that also hold the family's most central members, and what these leave apart is compared in blocks.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modsift.llm.common import bounded_batches, checkpointed, whole_text, written
+from modsift.llm.common import bounded_batches, checkpointed, free_name, whole_text, written
 from modsift.llm.shingles import WORDS, mix, shingle_hashes
 from modsift.operators.density import connected_components
 
@@ -77,9 +78,9 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketch(words: int, bands: int, rows: int):
-    names = ["doc_id", "key_a", "key_b", "n_shingles", "bands"]
+    names = ["doc_id", "h", "key_a", "key_b", "n_shingles", "bands"]
 
-    def flush(ids, sets):
+    def flush(ids, marks, sets):
         filled = [i for i, v in enumerate(sets) if len(v)]
         hashes = [None] * len(ids)
         if filled:
@@ -89,22 +90,23 @@ def _sketch(words: int, bands: int, rows: int):
                 hashes[i] = row
         keys = [[int(mix(mix(v, k), k).sum(dtype=np.uint64).astype(np.int64)) if len(v) else None for v in sets] for k in (5, 6)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), *[pa.array(k, pa.int64()) for k in keys], pa.array([len(v) for v in sets], pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
+            [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), *[pa.array(k, pa.int64()) for k in keys], pa.array([len(v) for v in sets], pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
             names=names,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, size = [], [], 0
+        ids, marks, sets, size = [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 ids.append(doc_id)
+                marks.append(mark)
                 sets.append(distinct_shingles(bytes(text.as_buffer()), words))
                 size += len(sets[-1]) + 200
                 if size > 400_000:
-                    yield flush(ids, sets)
-                    ids, sets, size = [], [], 0
+                    yield flush(ids, marks, sets)
+                    ids, marks, sets, size = [], [], [], 0
         if ids:
-            yield flush(ids, sets)
+            yield flush(ids, marks, sets)
 
     return run
 
@@ -209,11 +211,16 @@ def _verify_across(threshold: float):
     return run
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, hash of the text, text: the first two tell rows apart, but for those that repeat both."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("h"), whole_text().alias("text"))
+
+
 def _shingles_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """members (rep, ...) with the sorted distinct shingles of their texts."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), whole_text().alias("text"))
-    joined = members.join(texts, "rep").select(*members.columns, "text")
-    names = [*members.columns, "shingles"]
+    """members (doc_id, h, rep, ...) with the sorted distinct shingles of their texts in place of doc_id and h."""
+    kept = [c for c in members.columns if c not in ("doc_id", "h")]
+    joined = members.join(_texts(docs), ["doc_id", "h"]).select(*kept, "text")
+    names = [*kept, "shingles"]
     at = len(names) - 1
 
     def run(batches):
@@ -221,7 +228,7 @@ def _shingles_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
             sets = [distinct_shingles(bytes(x.as_buffer()), words).tobytes() for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(sets, pa.binary())], names=names)
 
-    return joined.mapInArrow(run, ", ".join([*[f"{c} {t}" for c, t in members.dtypes], "shingles binary"]))
+    return joined.mapInArrow(run, ", ".join([*[f"{c} {t}" for c, t in members.select(*kept).dtypes], "shingles binary"]))
 
 
 def _sorted_groups(df: DataFrame, *keys: str) -> DataFrame:
@@ -229,12 +236,12 @@ def _sorted_groups(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys).sortWithinPartitions(*keys)
 
 
-def _links(docs: DataFrame, edges: DataFrame, degrees: DataFrame, threshold: float, words: int, block: int) -> DataFrame:
+def _links(docs: DataFrame, reps: DataFrame, edges: DataFrame, degrees: DataFrame, threshold: float, words: int, block: int) -> DataFrame:
     """Verified links (a, b) that join what is similar inside the families of candidate edges."""
     ends = edges.select(F.col("a").alias("rep")).union(edges.select("b"))
     families = checkpointed(connected_components(edges, ends, "rep").withColumnRenamed("component", "fam"))
     sizes = families.groupBy("fam").agg(F.count("*").alias("size"))
-    members = families.join(sizes, "fam").select("rep", "fam", "size")
+    members = families.join(sizes, "fam").join(reps, "rep").select("doc_id", "h", "rep", "fam", "size")
     parts = F.ceil(F.col("size") / block)
     place = F.pmod(F.xxhash64("rep"), parts).cast("long")
     sets = _shingles_of(docs, members.withColumn("part", place), words)
@@ -268,42 +275,60 @@ def _links(docs: DataFrame, edges: DataFrame, degrees: DataFrame, threshold: flo
     return inside.union(across)
 
 
-def near_classes(
-    docs: DataFrame, threshold: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
-) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, class_id, class_size, n_shingles.
-
-    class_id is the smallest doc_id of the class: documents joined by chains of links, a link being a
-    Jaccard similarity of at least ``threshold`` between sets of five-word shingles.  Texts without words
-    (and null texts) have no shingles and are classes of their own, as are rows without an id
-    (class_id null).  Repeated rows count as copies.  An empty table gives no rows.
-    """
+def _classified(docs: DataFrame, threshold: float, words: int, bands: int, rows: int, block: int) -> DataFrame:
+    """Per row: doc_id, h, class_id, class_size, n_shingles, stays (whether it is the first of its class by doc_id and h)."""
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    types = "doc_id long, key_a long, key_b long, n_shingles long, bands array<long>"
-    sketch = written(texts.mapInArrow(_sketch(words, bands, rows), types), "sketches")
+    types = "doc_id long, h long, key_a long, key_b long, n_shingles long, bands array<long>"
+    sketch = written(_texts(docs).mapInArrow(_sketch(words, bands, rows), types), "sketches")
     known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    same = sketch.where(known).groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    # A representative's own row has its bands; repeated rows of one id give equal ones.
-    own = sketch.where(known).join(same.select(F.col("key_a").alias("ka"), F.col("key_b").alias("kb"), "rep"), (F.col("key_a") == F.col("ka")) & (F.col("key_b") == F.col("kb")) & (F.col("doc_id") == F.col("rep")))
+    same = sketch.where(known).groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("copies"))
+    same = checkpointed(same.select("key_a", "key_b", "first.doc_id", "first.h", "copies", F.monotonically_increasing_id().alias("rep")))
+    # A representative's own row has its bands; rows that repeat id and text give equal ones.
+    first = same.select(*[F.col(c).alias(f"{c}_") for c in ("key_a", "key_b", "doc_id", "h")], "rep")
+    own = sketch.where(known).join(first, [F.col(c) == F.col(f"{c}_") for c in ("key_a", "key_b", "doc_id", "h")])
     banded = own.select("rep", F.posexplode("bands").alias("band", "hash"))
     buckets = banded.groupBy("band", "hash").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n"))
     met = checkpointed(banded.join(buckets.where(F.col("low") < F.col("high")), ["band", "hash"]).select("rep", "low", "n"))
     edges = met.where(F.col("rep") != F.col("low")).select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     degrees = met.groupBy("rep").agg(F.sum("n").alias("degree"))
-    links = checkpointed(_links(docs, checkpointed(edges), degrees, threshold, words, block))
+    reps = same.select("rep", "doc_id", "h")
+    links = checkpointed(_links(docs, reps, checkpointed(edges), degrees, threshold, words, block))
     nodes = links.select(F.col("a").alias("rep")).union(links.select("b"))
     classes = connected_components(links, nodes, "rep").withColumnRenamed("component", "class")
-    per_key = same.join(classes, "rep", "left").select("key_a", "key_b", F.coalesce("class", "rep").alias("class_id"), "copies")
-    sizes = per_key.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    per_key = per_key.drop("copies").join(sizes, "class_id")
-    found = sketch.where(known).join(per_key, ["key_a", "key_b"]).select("doc_id", "class_id", "class_size", "n_shingles")
-    alone = sketch.where(~known).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n_shingles")
+    per_set = same.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    sizes = per_set.groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.sum("copies").alias("class_size"))
+    per_set = per_set.select("key_a", "key_b", "class").join(sizes, "class").drop("class")
+    named = sketch.where(known).select("doc_id", "h", "key_a", "key_b", "n_shingles").join(per_set, ["key_a", "key_b"])
+    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    found = named.select("doc_id", "h", F.col("first.doc_id").alias("class_id"), "class_size", "n_shingles", stays.alias("stays"))
+    alone = sketch.where(~known).select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n_shingles", F.lit(True).alias("stays"))
     return found.union(alone)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class: the one whose id is the class id, in the columns of ``docs``."""
-    classes = near_classes(docs, **options)
-    dropped = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
+def near_classes(
+    docs: DataFrame, threshold: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
+) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, class_id, class_size, n_shingles.
+
+    class_id is the smallest doc_id of the class: rows joined by chains of links, a link being a
+    Jaccard similarity of at least ``threshold`` between sets of five-word shingles.  Texts without words
+    (and null texts) have no shingles and are classes of their own, as are rows without an id
+    (class_id null).  Repeated rows count as copies; an id that stands on several texts is a row for each.  An empty
+    table gives no rows.
+    """
+    return _classified(docs, threshold, words, bands, rows, block).drop("h", "stays")
+
+
+def keep_one(
+    docs: DataFrame, threshold: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
+) -> DataFrame:
+    """One text of each class of ``near_classes``, in the columns of ``docs``: that of the smallest id, then of the smallest hash.
+
+    Rows are dropped by id and text, so a text whose id also stands on a copy of another stays.  Rows that repeat
+    both id and text of the one that stays all stay (exact deduplication drops them).
+    """
+    judged = _classified(docs, threshold, words, bands, rows, block)
+    id_, mark = free_name("dropped_id", docs.columns), free_name("dropped_text", docs.columns)
+    dropped = judged.where(~F.col("stays")).select(F.col("doc_id").alias(id_), F.col("h").alias(mark)).distinct()
+    same = (docs["doc_id"].cast("long") == dropped[id_]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == dropped[mark])
+    return docs.join(dropped, same, "left_anti")

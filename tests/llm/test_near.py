@@ -73,11 +73,22 @@ def family(rng, size, words=120, edits=6):
 def test_classes_match_brute_force(docs_of, odd, block):
     rng = random.Random(5)
     texts = [t for n in (2, 3, 25) for t in family(rng, n)] + ["unrelated words only here " + str(i) for i in range(5)] + ["k " * 30] * 4
-    rows = [(100 + i, t) for i, t in enumerate(texts)] + [r for r in odd[1] if r[0] not in (5,)]
+    rows = [(100 + i, t) for i, t in enumerate(texts)] + odd[1]
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.class_id if r.class_id is not None else -1) for r in near_dedup.near_classes(docs_of(rows), block=block).collect())
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("block", [4096, 2])
+def test_texts_under_one_id_are_members_of_their_own(docs_of, block):
+    """An id on a copy of a smaller id's text and on a text of its own, and one on two texts with equal shingles."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(4, a), (5, a), (5, b), (6, b + " more"), (7, c), (7, c.replace(" ", "  ")), (8, d), (9, d + " x"), (9, a + " y"), (5, b)]
+    got = sorted((r.doc_id, r.class_id, r.class_size) for r in near_dedup.near_classes(docs_of(rows), block=block).collect())
+    assert got == sorted([(4, 4, 3), (5, 4, 3), (9, 4, 3), (5, 5, 3), (5, 5, 3), (6, 5, 3), (7, 7, 2), (7, 7, 2), (8, 8, 2), (9, 8, 2)])
+    kept = sorted((r.doc_id, " ".join(r.text.split())) for r in near_dedup.keep_one(docs_of(rows), block=block).collect())
+    assert kept == [(4, a), (5, b), (5, b), (7, c), (8, d)]
+
+
 def test_uneven_repetition_does_not_part_a_class(docs_of):
     """The same shingle set with some parts repeated often, and one with a few words changed besides."""
     base = [f"w{i}" for i in range(200)]
