@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from modsift.llm import fingerprint, licenses, secrets
+from modsift.llm import fingerprint, license_texts, licenses, secrets
 from modsift.llm.common import table
 
 
@@ -18,7 +18,7 @@ def op4_secrets(spark, folder):
 
 
 def op9_licenses(spark, folder):
-    templates = spark.createDataFrame(licenses.TEMPLATES, "license_id string, text string")
+    templates = spark.createDataFrame(license_texts.TEMPLATES, "license_id string, text string")
     return licenses.scan_licenses(table(spark, folder, "documents"), templates)
 
 

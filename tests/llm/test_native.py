@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from modsift.llm import fingerprint, licenses, secrets
+from modsift.llm import fingerprint, license_texts, licenses, secrets
 
 
 def shingles(text):
@@ -52,38 +52,72 @@ def test_fingerprints_of_odd_rows(odd, docs_of):
     assert plain[None] == plain[""] == "" and all(plain[r[1]] for r in texts if (r[1] or "").split())
 
 
+def grams_of(text):
+    w = [w for w in re.split(r"[^\w]+|_", (text or "").lower()) if w]
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+
 def brute_licenses(texts, templates):
-    words = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
-    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    """Every start of a window is tried."""
     found = {}
     for i, t in texts:
-        g = grams(words(t or ""))
+        g = grams_of(t)
         for name, template in templates:
-            own = grams(words(template))
-            n, step = len(own), max(1, len(own) // 10)
-            for at in range(0, len(g), step):
-                share = len(set(g[at : at + n]) & set(own)) / len(set(own))
+            own = grams_of(template)
+            for at in range(len(g)):
+                share = len(set(g[at : at + len(own)]) & set(own)) / len(set(own))
                 if share >= 0.8:
                     best = found.get((i, name), (0, at, 0))
                     found[(i, name)] = (max(best[0], share), min(best[1], at), best[2] + 1)
     return found
 
 
+def same_licenses(got, want):
+    assert got.keys() == want.keys()
+    for k in want:
+        assert abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1:] == want[k][1:], k
+
+
+def scanned(docs, templates):
+    return {(r.doc_id, r.license_id): (r.containment, r.first_word, r.n_windows) for r in licenses.scan_licenses(docs, templates).collect()}
+
+
 def test_licenses_match_brute_force(spark, docs_of, odd):
-    templates = spark.createDataFrame(licenses.TEMPLATES, "license_id STRING, text STRING")
+    templates = spark.createDataFrame(license_texts.TEMPLATES, "license_id STRING, text STRING")
     filler = "some words before the notice "
-    grant = dict(licenses.TEMPLATES)["MIT-grant"]
-    texts = [(100 + k, filler * k + t + " " + filler * (5 - k)) for k, (_, t) in enumerate(licenses.TEMPLATES[:5])]
-    texts += [(120, grant.replace("charge", "cost")), (121, filler + grant.upper() + filler), (122, grant[:60]), (123, "Released under the MIT License. " * 40), *odd[1]]
-    got = {(r.doc_id, r.license_id): (r.containment, r.first_word, r.n_windows) for r in licenses.scan_licenses(docs_of(texts), templates).collect()}
-    want = brute_licenses(texts, licenses.TEMPLATES)
-    assert got.keys() == want.keys() and len(want) >= 7
-    for k in want:  # a window below full likeness may miss all bands with a probability below 0.0003
-        assert abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1]
+    grant = dict(license_texts.TEMPLATES)["MIT-grant"]
+    texts = [(100 + k, filler * k + t + " " + filler * (5 - k % 5)) for k, (_, t) in enumerate(license_texts.TEMPLATES)]
+    texts += [(220, grant.replace("charge", "cost")), (221, filler + grant.upper() + filler), (222, grant[:60]), (223, "Released under the MIT License. " * 40)]
+    texts += [r for r in odd[1] if r[0] not in (5, None)]
+    want = brute_licenses(texts, license_texts.TEMPLATES)
+    same_licenses(scanned(docs_of(texts), templates), want)
+    assert {name for _, name in want} == {name for name, _ in license_texts.TEMPLATES}, "every template is found in its own text"
+
+
+def test_licenses_at_every_offset(spark, docs_of):
+    """A template of 64 words with two words changed, and one of 300 words, at all offsets over a few strides."""
+    short = [f"s{i}" for i in range(64)]
+    long = [f"l{i}" for i in range(300)]
+    changed = [*short[:20], "x", *short[21:45], "y", *short[46:]]
+    cut = [*long[:60], *(f"z{i}" for i in range(8)), *long[75:]]
+    texts = [(k, " ".join(["filler"] * k + changed + ["after"] * (k % 7))) for k in range(60)]
+    texts += [(100 + k, " ".join(["filler"] * k + cut + ["after"] * k)) for k in range(0, 70, 3)]
+    made = [("short", " ".join(short)), ("long", " ".join(long))]
+    want = brute_licenses(texts, made)
+    assert len(want) == len(texts)
+    same_licenses(scanned(docs_of(texts), spark.createDataFrame(made, "license_id STRING, text STRING")), want)
+
+
+def test_licenses_under_one_id(spark, docs_of):
+    templates = spark.createDataFrame(license_texts.TEMPLATES, "license_id STRING, text STRING")
+    mit, by = "Released under the MIT License.", "This work is licensed under a Creative Commons Attribution 4.0 International License."
+    rows = [(1, mit), (1, mit), (1, by), (None, mit), (None, by), (2, None)]
+    got = sorted((str(r.doc_id), r.license_id) for r in licenses.scan_licenses(docs_of(rows), templates).collect())
+    assert got == [("1", "CC-BY-4.0"), ("1", "MIT"), ("None", "CC-BY-4.0"), ("None", "MIT")]
 
 
 def test_licenses_of_empty_tables(spark, odd):
-    templates = spark.createDataFrame(licenses.TEMPLATES, "license_id STRING, text STRING")
+    templates = spark.createDataFrame(license_texts.TEMPLATES, "license_id STRING, text STRING")
     assert licenses.scan_licenses(odd[0].limit(0), templates).count() == 0
     assert licenses.scan_licenses(odd[0], templates.limit(0)).count() == 0
     with pytest.raises(ValueError):
