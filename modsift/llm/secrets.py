@@ -1,8 +1,10 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are all runs of at least 16 characters of keys and encodings in any word of a text.  The forest
+Candidates are all runs of at least 16 characters of keys and encodings in any word of a text, and of at least 8
+where a word that names a secret and an assignment stand before them.  The forest
 judges them by length, character transitions and classes, how much of them dictionary words cover, whether
-they stand in a path, and by the words beside them.  It is trained on labelled findings.
+they stand in a path, and by the words beside them.  It is trained on labelled findings: given ones, or the lines
+of ``secret_findings``, whose forms say what is a secret.
 """
 
 from __future__ import annotations
@@ -13,10 +15,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modsift.llm.common import checkpointed, crc_mod5, whole_text
+from modsift.llm.common import checkpointed, whole_text
+from modsift.llm.secret_findings import PER_FORM, labelled_lines
 from modsift.operators.scale import compute_once
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+SHORT = r"[A-Za-z0-9+/_=-]{8,}"
 SPACE = r"[\x20\x09-\x0D]+"
 DICTIONARY = 300  # most frequent words of 2 to 7 letters
 CONTEXT = 200  # characters of text beside a candidate that it is judged by
@@ -25,6 +29,8 @@ TREES, DEPTH = 30, 8
 FEATURES = ["n_chars", "transitions", "digits", "uppers", "marks", "hex", "coverage", "path", "assigned", "quoted", "named", "before_chars", "after_chars"]
 # Words that name a secret.
 NAMES = "token|secret|passw|pwd|api|key|auth|bearer|credential|private"
+# A name of a secret with an assignment behind it, perhaps in the next word.
+ASSIGNED = rf"(?i)(?:{NAMES})[A-Za-z0-9_]*[\"']?[\x20\x09-\x0D]*[=:]"
 
 
 def dictionary_words(docs: DataFrame, n: int = DICTIONARY) -> list[str]:
@@ -37,27 +43,33 @@ def dictionary_words(docs: DataFrame, n: int = DICTIONARY) -> list[str]:
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, place (word number from 0), nth (run number in the word from 0), word, candidate, before, after.
 
-    Every run of a word is a candidate.  ``word`` is the candidate with what stands around it up to the runs
+    Every run of a word is a candidate; a word that a name and an assignment go before, or that holds both, has its
+    shorter runs too.  ``word`` is the candidate with what stands around it up to the runs
     beside it; ``before`` are the two words before, or the run before inside the word; ``after`` is the next
     word, or the next run inside the word.  Each of these texts is context of at most CONTEXT characters to a
     side, so that a long line without spaces is not repeated for each of its runs; candidates are whole.
-    Null texts have none; rows that repeat an id give repeated candidates.
+    Null and empty texts have none; rows that repeat an id, or have none, give candidates of their own; other columns
+    are ignored.
     """
-    rows = docs.select("doc_id", whole_text().alias("text")).where(F.col("text").rlike(CANDIDATE))
+    rows = docs.select("doc_id", whole_text().alias("text")).where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(ASSIGNED))
     rows = compute_once(rows, "words", F.filter(F.split("text", SPACE), lambda w: w != "")).drop("text")
-    found = F.filter(F.transform("words", lambda w, i: F.when(w.rlike(CANDIDATE), i)), lambda i: i.isNotNull())
     near = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    sign = lambda w: w.contains("=") | w.contains(":")
+    told = lambda w, i: (sign(w) | sign(near(i - 1))) & F.concat_ws(" ", near(i - 2), near(i - 1), w).rlike(ASSIGNED)
+    found = F.filter(F.transform("words", lambda w, i: F.when(w.rlike(CANDIDATE) | (w.rlike(SHORT) & told(w, i)), i)), lambda i: i.isNotNull())
     tail, head = lambda t: F.right(t, F.lit(CONTEXT)), lambda t: F.left(t, F.lit(CONTEXT))
     each = F.transform(
         found,
         lambda i: F.struct(
-            i.alias("place"), near(i).alias("whole"),
+            i.alias("place"), near(i).alias("whole"), told(near(i), i).alias("short"),
             tail(F.concat_ws(" ", tail(near(i - 2)), tail(near(i - 1)))).alias("left"), head(near(i + 1)).alias("right"),
         ),
     )
     words = rows.select("doc_id", F.inline(each))
-    words = compute_once(words, "runs", F.regexp_extract_all("whole", F.lit(CANDIDATE), F.lit(0)))
-    words = compute_once(words, "gaps", F.split("whole", CANDIDATE)).drop("whole")  # one more than runs
+    runs = F.when(F.col("short"), F.regexp_extract_all("whole", F.lit(SHORT), F.lit(0))).otherwise(F.regexp_extract_all("whole", F.lit(CANDIDATE), F.lit(0)))
+    words = compute_once(words, "runs", runs)
+    gaps = F.when(F.col("short"), F.split("whole", SHORT)).otherwise(F.split("whole", CANDIDATE))
+    words = compute_once(words, "gaps", gaps).drop("whole", "short")  # one more than runs
     inside = F.transform(
         "runs",
         lambda c, k: F.struct(
@@ -124,25 +136,21 @@ def judged(found: DataFrame, forest) -> DataFrame:
     return forest.transform(ready).withColumn("probability", vector_to_array("__p")[1]).withColumn("is_secret", F.col("probability") >= 0.5).drop("__features", "__p")
 
 
-def seed_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings from the corpus itself, where no reviewed ones are given: candidates whose form
-    tells.  1: a digest or key of 32 or more characters with digits behind an assignment or a naming word; 0: words and numbers.
-    Candidates in between carry no label.  Learnt from ids whose crc32 modulo 5 is not 0."""
-    n = F.length("candidate")
-    digits = F.col("digits").between(0.1, 0.9)
-    yes = (n >= 32) & digits & ((F.col("assigned") == 1) | (F.col("named") == 1))
-    no = (F.col("digits") == 0) | F.col("candidate").rlike("^[0-9]+$") | (F.col("coverage") > 0.8)
-    labelled = found.withColumn("label", F.when(yes, 1).when(no, 0))
-    return labelled.where((crc_mod5() != 0) & F.col("label").isNotNull())
+def form_findings(spark, dictionary: list[str], per_form: int = PER_FORM) -> DataFrame:
+    """Labelled findings of the forms: the columns of ``candidates``, form and label (1: a secret of its line)."""
+    lines = spark.createDataFrame(labelled_lines(dictionary, per_form), "doc_id long, form string, text string, secrets array<string>")
+    found = candidates(lines).join(F.broadcast(lines.select("doc_id", "form", "secrets")), "doc_id")  # PER_FORM lines a form
+    held = F.exists("secrets", lambda s: F.contains(F.col("candidate"), s) | F.contains(s, F.col("candidate")))
+    return found.withColumn("label", held.cast("int")).drop("secrets")
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """Candidates of all whole texts with their probability of being a secret.
 
-    ``findings``: labelled findings with the columns of ``candidates`` and label; by default ``seed_labels``.
-    An empty table gives no rows.
+    ``findings``: labelled findings with the columns of ``candidates`` and label; by default ``form_findings``.
+    Words that tie for the last place of the dictionary go by the alphabet.  An empty table gives no rows.
     """
     words = dictionary_words(docs)
     found = with_features(candidates(docs), words)
-    train = seed_labels(found) if findings is None else with_features(findings, words)
-    return judged(found, train_forest(train))
+    train = form_findings(docs.sparkSession, words) if findings is None else findings
+    return judged(found, train_forest(with_features(train, words)))
