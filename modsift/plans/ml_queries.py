@@ -12,6 +12,7 @@ from modsift.operators import features as X
 from modsift.operators import ml as M
 from modsift.operators import word_vectors as WV
 from modsift.operators.density import dbscan
+from modsift.operators.density_vectors import dbscan_vectors
 from modsift.operators.scale import stored
 from modsift.plans.registry import query
 
@@ -75,6 +76,22 @@ def _(t):
     )
 
 
+@query(
+    "m8_dbscan_vectors",
+    """WITH RECURSIVE p AS (SELECT vec_id AS id, list_transform(embedding, lambda c: c::DOUBLE) AS v FROM embeddings),
+      n AS (SELECT a.id AS i, b.id AS j FROM p a JOIN p b ON list_distance(a.v, b.v) <= 1.15::DOUBLE),
+      core AS (SELECT i AS id FROM n GROUP BY 1 HAVING count(*) >= 5),
+      e AS (SELECT n.i, n.j FROM n JOIN core a ON a.id = n.i JOIN core b ON b.id = n.j),
+      r(id, root) AS (SELECT id, id FROM core UNION SELECT e.j, r.root FROM r JOIN e ON e.i = r.id),
+      c AS (SELECT id, min(root) AS cluster FROM r GROUP BY 1),
+      border AS (SELECT n.i AS id, min(c.cluster) AS cluster FROM n JOIN c ON c.id = n.j WHERE n.i NOT IN (SELECT id FROM core) GROUP BY 1)
+      SELECT p.id AS vec_id, c.id IS NOT NULL AS is_core, coalesce(c.cluster, border.cluster) AS cluster FROM p LEFT JOIN c ON c.id = p.id LEFT JOIN border ON border.id = p.id""",
+)
+def _(t):
+    """All 64 dimensions."""
+    return dbscan_vectors(t.embeddings, "vec_id", "embedding", 1.15, 5)
+
+
 @query("m9_hierarchical")
 def _(t):
     rows = M.assemble_array(t.embeddings, "embedding")

@@ -166,3 +166,31 @@ def test_dbscan_matches_brute_force(spark):
     for i in np.where(~core)[0]:
         touching = {names[label[k]] for k in np.where(near[i] & core)[0]}
         assert got[i][0] in touching if touching else got[i][0] == "-1"
+
+
+@pytest.mark.parametrize("dims,block", [(1, 2048), (2, 7), (5, 2048), (12, 20)])
+def test_dbscan_of_vectors_matches_brute_force(spark, dims, block):
+    from modsift.operators.density_vectors import dbscan_vectors
+
+    rng = np.random.default_rng(dims)
+    x = np.concatenate([rng.normal(0, 0.4, (90, dims)), rng.normal(3, 0.5, (80, dims)), rng.uniform(-3, 6, (40, dims)), np.repeat(rng.uniform(-4, -3, (1, dims)), 30, 0)])
+    eps, need = 0.45 * dims**0.5, 6
+    near = ((x[:, None] - x[None]) ** 2).sum(-1) <= eps * eps
+    core = near.sum(1) >= need
+    label = np.arange(len(x))
+    while True:
+        new = np.where(near & core[None] & core[:, None], label[None], len(x)).min(1, initial=len(x))
+        new = np.where(core, np.minimum(label, new), label)
+        if (new == label).all():
+            break
+        label = new
+    want = {}
+    for i in range(len(x)):
+        touched = label[near[i] & core]
+        want[i] = (bool(core[i]), int(label[i]) if core[i] else int(touched.min()) if len(touched) else None)
+    odd = [(900, None), (901, []), (902, [0.1] * (dims + 1)), (903, [float("nan")] * dims), (904, [None] * dims)]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + odd
+    df = spark.createDataFrame(rows, "id LONG, x ARRAY<DOUBLE>").repartition(5)
+    got = {r.id: (r.is_core, r.cluster) for r in dbscan_vectors(df, "id", "x", eps, need, block).collect()}
+    assert got == want | {i: (False, None) for i, _ in odd} and len(set(want.values())) > 3
+    assert dbscan_vectors(df.limit(0), "id", "x", eps, need).count() == 0
