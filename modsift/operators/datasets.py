@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modsift.operators.relational import union_sources
 from modsift.operators.scale import hash_rank, order_statistics, top_n_per_key
 
 
@@ -135,6 +136,50 @@ def select_by_variance(df: DataFrame, columns: list[str], threshold: float = 0.0
     return row.select(F.inline(cells)).where(F.col("variance") > threshold)
 
 
+def univariate_scores(df: DataFrame, label: str, numeric: list[str] = (), categorical: list[str] = ()) -> DataFrame:
+    """(column, test, score, freedom): how much each column tells of the classes of ``label``.
+
+    Numeric columns: ANOVA F of the class means, from count, mean and variance per column and class.  Categorical ones:
+    chi-squared of independence, from counts per value and class.  Each kind takes one pass; what is shuffled is a row
+    per column and class (and value).  Null values and labels take no part.  With fewer than two classes, or nothing
+    left to vary inside them, the score is null.
+    """
+    known = df.where(F.col(label).isNotNull()).withColumn("__y", F.col(label))
+    parts = []
+    if numeric:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in numeric])
+        each = known.select("__y", F.inline(cells)).where(F.col("x").isNotNull() & ~F.isnan("x"))
+        groups = each.groupBy("column", "__y").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+        whole = groups.groupBy("column").agg(
+            F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("v")).alias("within"),
+            F.collect_list(F.struct("n", "m")).alias("g"),  # one entry per class
+        )
+        mean = F.col("s") / F.col("n")
+        between = F.aggregate("g", F.lit(0.0), lambda acc, e: acc + e["n"] * (e["m"] - mean) * (e["m"] - mean))
+        f = F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(F.col("within"), F.col("n") - F.col("k")))
+        parts.append(whole.select("column", F.lit("anova_f").alias("test"), f.alias("score"), (F.col("k") - 1).alias("freedom")))
+    if categorical:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("x")) for c in categorical])
+        counts = known.select("__y", F.inline(cells)).where(F.col("x").isNotNull()).groupBy("column", "x", "__y").agg(F.count("*").alias("o"))
+        rows = counts.groupBy("column", "x").agg(F.sum("o").alias("r"))
+        classes = counts.groupBy("column", "__y").agg(F.sum("o").alias("c"))
+        shares = counts.join(rows, ["column", "x"]).join(classes, ["column", "__y"])
+        share = shares.groupBy("column").agg(F.sum(F.col("o") * F.col("o") / (F.col("r").cast("double") * F.col("c"))).alias("q"), F.sum("o").alias("n"))
+        freedom = rows.groupBy("column").agg((F.count("*") - 1).alias("a")).join(classes.groupBy("column").agg((F.count("*") - 1).alias("b")), "column")
+        found = share.join(freedom, "column").withColumn("freedom", F.col("a") * F.col("b"))
+        score = F.when(F.col("freedom") > 0, F.col("n") * (F.col("q") - 1))
+        parts.append(found.select("column", F.lit("chi_squared").alias("test"), score.alias("score"), "freedom"))
+    return union_sources(*parts)
+
+
+def select_univariate(df: DataFrame, label: str, k: int, numeric: list[str] = (), categorical: list[str] = ()) -> DataFrame:
+    """The label and the ``k`` columns of each kind that tell most of it; ties by name, columns without a score last."""
+    scores = univariate_scores(df, label, numeric, categorical)
+    best = top_n_per_key(scores, ["test"], [F.desc_nulls_last("score"), F.asc("column")], k)
+    chosen = {r["column"] for r in best.collect()}  # 2 * k names at most
+    return df.select(label, *[c for c in df.columns if c in chosen and c != label])
+
+
 def reduce_dimensions(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     """First k principal components of the given columns, as an array column."""
     from pyspark.ml.feature import PCA, VectorAssembler

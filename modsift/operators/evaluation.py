@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modsift.operators.scale import cumulative, null_safe_join, order_statistics, row_hash_pieces
+from modsift.operators.scale import cumulative, null_safe_join, order_statistics
 
 
 # --- latency ---------------------------------------------------------------------
@@ -227,26 +232,62 @@ def ab_compare(df: DataFrame, variant: str, actual: str, predicted: str, latency
     return null_safe_join(quality, speed, [variant])
 
 
-def block_bootstrap_ci(df: DataFrame, row_id: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Block bootstrap interval of a mean: Poisson(1) weights (0 to 7) for blocks of rows, drawn from a hash.
+PRIME = (1 << 31) - 1  # draws are whole numbers below it
+
+
+def poisson_bounds() -> list[int]:
+    """Where a draw below PRIME passes 0, 1, 2, ...: the distribution of Poisson(1) weights, as far as draws can tell."""
+    bounds, term, total, k = [], math.exp(-1), 0.0, 0
+    while int((total + term) * PRIME) < PRIME - 1 and k < 20:
+        total += term
+        bounds.append(int(total * PRIME))
+        k += 1
+        term /= k
+    return bounds
+
+
+def replicate_constants(replicates: int, seed: int) -> list[tuple[int, int]]:
+    """(a, b) per replicate from md5, so that other engines can repeat the draws."""
+    digest = lambda r: hashlib.md5(f"{seed}:{r}".encode()).hexdigest()
+    return [(int(digest(r)[:7], 16) * 2 + 1, int(digest(r)[7:14], 16)) for r in range(1, replicates + 1)]
+
 
-    Blocks are groups of rows by a hash of the id, not single rows.  Rows are first summed into 4096 hash blocks, and blocks are resampled, so the
-    replicate fan-out touches a fixed number of rows however large the table is.
+def _resampled(constants: list[tuple[int, int]], bounds: list[int]):
+    """h, v -> per replicate the weighted sum and the sum of weights over a task."""
+    a, b = (np.array(c, np.int64) for c in zip(*constants))
+    edges = np.array(bounds, np.int64)
+
+    def run(batches):
+        sums, weights = np.zeros(len(a)), np.zeros(len(a), np.int64)
+        for batch in batches:
+            h, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            step = max(1, 2_000_000 // max(len(h), 1))
+            for at in range(0, len(a), step):
+                u = (a[at : at + step, None] * h[None, :] + b[at : at + step, None]) % PRIME
+                u = (u * u + h[None, :]) % PRIME
+                w = np.searchsorted(edges, u, side="right")
+                sums[at : at + step] += w @ v
+                weights[at : at + step] += w.sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, len(a) + 1)), pa.array(sums), pa.array(weights)], names=["r", "s", "n"])
+
+    return run
+
+
+def bootstrap_ci(df: DataFrame, row_id: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Bootstrap interval of a mean: mean, low, high, replicates.
+
+    Every row gets a Poisson(1) weight in every replicate, drawn from the md5 of its id, so reruns and retries agree.
+    A task sums its rows into two numbers per replicate; only those are shuffled.  Null values take no part; rows
+    that repeat an id are weighted alike; an empty table gives nulls.
     """
-    blocks = df.where(F.col(value).isNotNull()).groupBy(row_hash_pieces([row_id], 4096).alias("b")).agg(
-        F.sum(value).alias("s"), F.count("*").alias("n")
-    )
-    u = F.pmod(F.xxhash64("b", "r", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    cdf = [0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917]
-    weight = F.lit(0)
-    for bound in cdf:
-        weight = weight + F.when(u >= bound, 1).otherwise(0)
-    drawn = blocks.select("b", "s", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("w", weight)
-    means = drawn.groupBy("r").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("m"))
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string"))), 1, 7), 16, 10).cast("long")
+    rows = df.where(F.col(value).isNotNull() & F.col(row_id).isNotNull()).select(h.alias("h"), F.col(value).cast("double").alias("v"))
+    drawn = rows.mapInArrow(_resampled(replicate_constants(replicates, seed), poisson_bounds()), "r long, s double, n long")
+    means = drawn.groupBy("r").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
     tail = (1 - level) / 2
     return means.agg(
         F.avg("m").alias("mean"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"),
-        F.count("*").alias("replicates"),
+        F.count("m").alias("replicates"),
     )
 
 

@@ -279,6 +279,52 @@ def feature_dimension(tfidf: Column | str, embedding: Column | str, grams: Colum
     )
 
 
+def ngram_map(tokens: Column | str, n: int = 2, max_features: int = 1000) -> Column:
+    """The most frequent n-grams of a row with their counts, as a map; ties by n-gram.  Needs no shuffle."""
+    top = T.top_counts(T.run_lengths(T.ngrams(tokens, n)), max_features)
+    return F.map_from_entries(F.transform(top, lambda g: F.struct(g["term"], (-g["neg"]).cast("int"))))
+
+
+def extract_features(
+    df: DataFrame, row_id: str, tokens: str = "filtered_tokens", tfidf: DataFrame | None = None, embeddings: DataFrame | None = None,
+    ngrams: int | None = 2, max_features: int = 1000,
+) -> DataFrame:
+    """Composite features of processed texts: tfidf_vector, word_vector and ngram_features beside the groups that ``df`` has.
+
+    ``tfidf``: long form (row id, term, tfidf) of the terms to keep; ``embeddings``: (row id, embedding); ``ngrams``: the
+    n of the n-grams.  A group that is not given is absent (null), as is one of a row without tokens; a row that failed
+    has none.  ``feature_summary`` holds the dimensions.  Row ids are unique.
+    """
+    some = F.coalesce(F.size(tokens) > 0, F.lit(False))
+    out = df
+    if tfidf is not None:
+        vectors = tfidf.groupBy(F.col(row_id).alias("__row")).agg(F.map_from_entries(F.collect_list(F.struct("term", "tfidf"))).alias("tfidf_vector"))
+        out = out.join(vectors, F.col(row_id) == F.col("__row"), "left").drop("__row")
+    else:
+        out = out.withColumn("tfidf_vector", F.lit(None).cast("map<string,double>"))
+    if embeddings is not None:
+        vectors = embeddings.select(F.col(row_id).alias("__row"), F.col("embedding").alias("word_vector"))
+        out = out.join(vectors, F.col(row_id) == F.col("__row"), "left").drop("__row")
+    else:
+        out = out.withColumn("word_vector", F.lit(None).cast("array<double>"))
+    grams = F.when(some, ngram_map(tokens, ngrams, max_features)) if ngrams else F.lit(None).cast("map<string,int>")
+    out = compute_once(out, "ngram_features", grams)
+    return out.withColumn("feature_summary", feature_summary("tfidf_vector", "word_vector", "ngram_features", *[c if c in df.columns else None for c in ("statistical", "sentiment", "language")]))
+
+
+def feature_summary(tfidf: str, embedding: str, grams: str, statistical: str | None, sentiment: str | None, language: str | None) -> Column:
+    """Which feature groups a row has, and their dimensions; the fixed groups count 14, 6 and 8 fields."""
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    has = lambda c: F.col(c).isNotNull() if c else F.lit(False)
+    fixed = sum((F.when(has(c), n).otherwise(0) for c, n in ((statistical, 14), (sentiment, 6), (language, 8))), F.lit(0))
+    return F.struct(
+        (size(tfidf) + size(embedding) + size(grams) + fixed).alias("total_dimension"),
+        (size(tfidf) > 0).alias("has_tfidf"), (size(embedding) > 0).alias("has_word_vector"), (size(grams) > 0).alias("has_ngram"),
+        has(sentiment).alias("has_sentiment"), has(language).alias("has_language"),
+        size(tfidf).alias("tfidf_dimension"), size(embedding).alias("word_vector_dimension"), size(grams).alias("ngram_dimension"),
+    )
+
+
 # --- the whole chain --------------------------------------------------------------------------
 def process_texts(
     df: DataFrame,

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 from modsift.operators.evaluation import classification_metrics
 from modsift.operators.relational import union_sources
 from modsift.operators.scale import stored
+from modsift.sources.sinks import error_rows
 
 SEED = 42
 FEATURES, LABEL = "features", "label"
+ROWS_PER_TASK = 50_000  # of a training set
 
 
 # --- estimators ------------------------------------------------------------------
@@ -100,13 +104,19 @@ def assemble_array(df: DataFrame, array: str) -> DataFrame:
 
 
 # --- training ---------------------------------------------------------------------------
+def by_size(rows: DataFrame) -> DataFrame:
+    """Rows stored in as few partitions as their number needs: iterative fits run a job per pass, small ones wait for tasks."""
+    rows = stored(rows)
+    return rows.coalesce(max(1, -(-rows.count() // ROWS_PER_TASK)))
+
+
 def train(algorithm: str, train_rows: DataFrame, **parameters) -> PipelineModel:
     makers = CLASSIFIERS | CLUSTERERS
     name = algorithm.upper()
     if name not in makers:
         raise ValueError(f"unknown algorithm {algorithm}; known: {sorted(makers)}")
     # Fitting passes over its input many times; keep just the two columns it reads, spilling to disk.
-    data = train_rows.select(*[c for c in (FEATURES, LABEL) if c in train_rows.columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    data = by_size(train_rows.select(*[c for c in (FEATURES, LABEL) if c in train_rows.columns])).persist(StorageLevel.MEMORY_AND_DISK)
     if name == "SVM":
         parameters.setdefault("rows", max(1, data.count()))
     try:
@@ -139,6 +149,23 @@ def predict(df: DataFrame, model: PipelineModel, keep: list[str]) -> DataFrame:
     return scored.select(*keep, "prediction", F.lit(None).cast("double").alias("confidence"))
 
 
+def predict_or_error(df: DataFrame, columns: list[str], model: PipelineModel, row_id: str, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Predictions of the rows that can be scored, and a dead-letter row for every other one.
+
+    A row cannot be scored if a feature is null, NaN or infinite; its error names the first such column.  Error rows have
+    raw_text_id, source, error and ts, as the processing chain's have.  Every row is in just one of the two tables.
+    """
+    value = lambda c: F.col(f"`{c}`").cast("double")
+    bad = [
+        F.when(value(c).isNull(), F.lit(f"feature {c} is missing")).when(F.isnan(value(c)) | (F.abs(value(c)) == float("inf")), F.lit(f"feature {c} is not a number"))
+        for c in columns
+    ]
+    judged = df.withColumn("__error", F.coalesce(*bad))
+    good = assemble(judged.where(F.col("__error").isNull()).drop("__error"), columns)
+    failed = error_rows(judged.withColumn("__source", F.lit("inference")), row_id, "__source", "__error")
+    return predict(good, model, [row_id, *(keep or [])]), failed
+
+
 def reconstruction_error(df: DataFrame, keep: list[str], k: int = 64) -> DataFrame:
     """Linear bottleneck of size k: squared distance of each centred row to its k-component projection.
 
@@ -170,10 +197,13 @@ def cross_validate(rows: DataFrame, row_id: str, algorithm: str, folds: int = 5,
     return union_sources(*results)
 
 
-def hyperparameter_grid(rows: DataFrame, row_id: str, estimator: Estimator, grid: dict[str, list], train_ratio: float = 0.8, metric: str = "f1") -> tuple[object, DataFrame]:
-    """Try every combination on one train/validation split; returns the best model and the scores.
+def hyperparameter_grid(
+    rows: DataFrame, row_id: str, estimator: Estimator, grid: dict[str, list], train_ratio: float = 0.8, metric: str = "f1", parallelism: int = 1
+) -> tuple[object, DataFrame]:
+    """Try every combination on one train/validation split; returns the best model and the scores in the grid's order.
 
     The split follows a hash of the id, so it never changes with partitioning; the first of equal scores wins.
+    ``parallelism`` fits run at a time, on one stored split; scores and order do not depend on it.
     """
     builder = ParamGridBuilder()
     for name, options in grid.items():
@@ -184,15 +214,19 @@ def hyperparameter_grid(rows: DataFrame, row_id: str, estimator: Estimator, grid
         else MulticlassClassificationEvaluator(labelCol=LABEL, metricName=metric)
     )
     part = F.pmod(F.xxhash64(F.col(row_id), F.lit(SEED)), F.lit(1_000_000)) < int(train_ratio * 1_000_000)
-    data = rows.select(FEATURES, LABEL, part.alias("__train")).persist(StorageLevel.MEMORY_AND_DISK)
-    best, scores = None, []
+    data = by_size(rows.select(FEATURES, LABEL, part.alias("__train"))).persist(StorageLevel.MEMORY_AND_DISK)
+    train_rows, held = data.where("__train"), data.where("NOT __train")
+
+    def tried(chosen) -> tuple[float, object]:
+        model = estimator.fit(train_rows, chosen)
+        return float(evaluator.evaluate(model.transform(held))), model
+
     try:
-        for chosen in maps:
-            model = estimator.fit(data.where("__train"), chosen)
-            score = float(evaluator.evaluate(model.transform(data.where("NOT __train"))))
-            if best is None or score > best[0]:
-                best = (score, model)
-            scores.append(({p.name: str(v) for p, v in chosen.items()}, score))
+        data.count()
+        with ThreadPool(max(1, min(parallelism, len(maps)))) as pool:  # threads only wait for Spark's jobs
+            results = pool.map(inheritable_thread_target(rows.sparkSession)(tried), maps, chunksize=1)
     finally:
         data.unpersist()
-    return best[1], rows.sparkSession.createDataFrame(scores, "parameters MAP<STRING,STRING>, score DOUBLE")
+    best = max(results, key=lambda r: r[0])[1]
+    scores = [({p.name: str(v) for p, v in chosen.items()}, score) for chosen, (score, _) in zip(maps, results)]
+    return best, rows.sparkSession.createDataFrame(scores, "parameters MAP<STRING,STRING>, score DOUBLE")

@@ -116,6 +116,21 @@ def _(t):
     return v.withColumn("variance", F.round("variance", 2))
 
 
+@query(
+    "d5_univariate_scores",
+    """WITH c AS (SELECT c_acctbal::DOUBLE AS x, c_mktsegment AS y, 'c_acctbal' AS col FROM customer UNION ALL SELECT c_custkey::DOUBLE, c_mktsegment, 'c_custkey' FROM customer),
+      g AS (SELECT col, y, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM c GROUP BY 1, 2), a AS (SELECT col, sum(n) AS n, sum(n * m) / sum(n) AS m, count(*) AS k FROM g GROUP BY 1),
+      f AS (SELECT g.col, any_value(a.n) AS n, any_value(a.k) AS k, sum(g.n * (g.m - a.m) * (g.m - a.m)) AS b, sum(g.n * g.v) AS w FROM g JOIN a USING (col) GROUP BY 1),
+      o AS (SELECT c_nationkey AS x, c_mktsegment AS y, count(*) AS o FROM customer GROUP BY 1, 2),
+      e AS (SELECT o, sum(o) OVER (PARTITION BY x) AS r, sum(o) OVER (PARTITION BY y) AS c, sum(o) OVER () AS n, x, y FROM o)
+      SELECT col AS "column", 'anova_f' AS test, round((b / (k - 1)) / (w / (n - k)), 4) AS score, CAST(k - 1 AS BIGINT) AS freedom FROM f
+      UNION ALL SELECT 'c_nationkey', 'chi_squared', round(any_value(n) * (sum(o * o / (r * c)::DOUBLE) - 1), 4), CAST((count(DISTINCT x) - 1) * (count(DISTINCT y) - 1) AS BIGINT) FROM e""",
+)
+def _(t):
+    s = D.univariate_scores(t.customer, "c_mktsegment", numeric=["c_acctbal", "c_custkey"], categorical=["c_nationkey"])
+    return s.select("column", "test", F.round("score", 4).alias("score"), "freedom")
+
+
 @query("d5_reduce_dimensions")
 def _(t):
     d = D.reduce_dimensions(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"),
@@ -237,10 +252,21 @@ def _(t):
     return m.select("n", F.col("k").cast("long").alias("k"), F.round("wcss", 4).alias("wcss"), F.round("calinski_harabasz", 4).alias("calinski_harabasz"), r6("davies_bouldin"))
 
 
-@query("e7_bootstrap_ci")
+_BOUNDS = ", ".join(f"{x}::BIGINT" for x in E.poisson_bounds())
+
+
+@query(
+    "e7_bootstrap_ci",
+    f"""WITH c AS (SELECT r, ('0x' || substr(md5('42:' || r), 1, 7))::BIGINT * 2 + 1 AS a, ('0x' || substr(md5('42:' || r), 8, 7))::BIGINT AS b FROM (SELECT unnest(range(1, 1001)) AS r)),
+      h AS (SELECT ('0x' || substr(md5('42|' || event_id), 1, 7))::BIGINT AS h, value AS v FROM events WHERE value IS NOT NULL),
+      u AS (SELECT r, v, h, (a * h + b) % {E.PRIME}::BIGINT AS u FROM h CROSS JOIN c),
+      w AS (SELECT r, v, len(list_filter([{_BOUNDS}], lambda x: x <= (u * u + h) % {E.PRIME}::BIGINT)) AS w FROM u),
+      m AS (SELECT r, sum(w * v) / sum(w) AS m FROM w GROUP BY 1)
+      SELECT count(*) AS replicates, round(avg(m), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m""",
+)
 def _(t):
-    r = E.block_bootstrap_ci(t.events, "event_id", "value")
-    return r.select("replicates", F.round("mean", 2).alias("mean"), F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
+    r = E.bootstrap_ci(t.events, "event_id", "value")
+    return r.select("replicates", F.round("mean", 4).alias("mean"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
 @query(

@@ -230,6 +230,37 @@ def _(t):
     )
 
 
+_GRAMS = "list_transform(range(1, len(k)), lambda i: k[i] || '_' || k[i + 1])"
+
+
+@query(
+    "x14_extract_features",
+    f"""WITH cleaned AS (SELECT doc_id, {fx.clean_sql('text')} AS text FROM documents),
+      g AS (SELECT doc_id, {fx.u16('text')} BETWEEN 10 AND 10000 AS ok, list_filter({fx.tok('text')}, lambda x: x NOT IN {STOP_SQL}) AS k0 FROM cleaned),
+      p AS (SELECT doc_id, ok, CASE WHEN ok THEN k0 ELSE [] END AS k FROM g),
+      w AS (SELECT doc_id, len(k) AS n, unnest(k) AS term FROM p), tf AS (SELECT doc_id, term, n, count(*) AS c FROM w GROUP BY ALL),
+      idf AS (SELECT term, ln((SELECT count(*) FROM p WHERE ok) / count(*)) AS idf FROM tf GROUP BY 1),
+      s AS (SELECT doc_id, term, c / n * idf AS v, row_number() OVER (PARTITION BY doc_id ORDER BY round(c / n * idf, 12) DESC, term) AS r FROM tf JOIN idf USING (term)),
+      v AS (SELECT doc_id, count(*) AS tfidf_dimension, max(v) AS top_tfidf FROM s WHERE r <= 20 GROUP BY 1),
+      q AS (SELECT doc_id, unnest(k) AS gram FROM p UNION ALL SELECT doc_id, unnest({_GRAMS}) FROM p WHERE len(k) > 1), b AS (SELECT doc_id, gram, count(*) AS c FROM q GROUP BY ALL),
+      m AS (SELECT doc_id, least(count(*), 50) AS ngram_dimension, max(c) AS top_ngram FROM b GROUP BY 1)
+      SELECT p.doc_id, coalesce(tfidf_dimension, 0)::INT AS tfidf_dimension, round(top_tfidf, 6) AS top_tfidf, coalesce(ngram_dimension, 0)::INT AS ngram_dimension,
+        top_ngram::INT AS top_ngram, (coalesce(tfidf_dimension, 0) + coalesce(ngram_dimension, 0) + CASE WHEN ok THEN 28 ELSE 0 END)::INT AS total_dimension, ok AS has_language
+      FROM p LEFT JOIN v USING (doc_id) LEFT JOIN m USING (doc_id)""",
+)
+def _(t):
+    d = X.process_texts(t.documents, "text", STOP, POS, NEG, SENSITIVE, lower=True)
+    done = d.where("success")
+    tfidf = C.tfidf(done, "doc_id", "filtered_tokens", C.idf_table(done, "filtered_tokens"), 20)
+    f = X.extract_features(d, "doc_id", tfidf=tfidf, max_features=50)
+    s = F.col("feature_summary")
+    return f.select(
+        "doc_id", s["tfidf_dimension"].alias("tfidf_dimension"), F.round(F.array_max(F.map_values("tfidf_vector")), 6).alias("top_tfidf"),
+        s["ngram_dimension"].alias("ngram_dimension"), F.array_max(F.map_values("ngram_features")).alias("top_ngram"),
+        s["total_dimension"].alias("total_dimension"), s["has_language"].alias("has_language"),
+    )
+
+
 @query(
     "x15_forum_features",
     f"""WITH {fx.FORUM_SQL} SELECT id, len(regexp_extract_all(content, '@[\\x{{4e00}}-\\x{{9fa5}}\\w]+')) AS n_mentions,

@@ -117,6 +117,23 @@ def _(t):
     return out.select("doc_id", "prediction", F.round("confidence", 4).alias("confidence"), F.size("scores").alias("n_scores"))
 
 
+@query(
+    "i1_error_rows",
+    """SELECT l.doc_id, CASE WHEN d.doc_id IS NULL OR l.doc_id % 5 = 0 THEN 'feature text_length is missing' WHEN l.doc_id % 7 = 0 THEN 'feature digit_count is not a number' ELSE 'scored' END AS outcome
+      FROM labels l LEFT JOIN documents d USING (doc_id)""",
+)
+def _(t):
+    """Labelled documents with some features spoilt: every one is either scored or a dead letter that names the feature."""
+    rows = labeled_features(t)
+    model = M.train("NAIVE_BAYES", M.assemble(rows, COLUMNS, "toxic").where("split = 'train'"))
+    spoilt = t.labels.select("doc_id").join(rows, "doc_id", "left").withColumns({
+        "text_length": F.when(F.col("doc_id") % 5 != 0, F.col("text_length")),
+        "digit_count": F.when((F.col("doc_id") % 7 == 0) & (F.col("doc_id") % 5 != 0), F.lit(float("nan"))).otherwise(F.col("digit_count").cast("double")),
+    })
+    good, failed = M.predict_or_error(spoilt, COLUMNS, model, "doc_id")
+    return good.select("doc_id", F.lit("scored").alias("outcome")).union(failed.select("raw_text_id", "error"))
+
+
 @query("e6_cross_validate")
 def _(t):
     rows = M.assemble(labeled_features(t), COLUMNS, "quality").select("doc_id", "features", "label")
@@ -127,7 +144,7 @@ def _(t):
 def _(t):
     rows = M.assemble(labeled_features(t), COLUMNS, "quality").select("doc_id", "features", "label")
     base = LogisticRegression()
-    _, scores = M.hyperparameter_grid(rows, "doc_id", base, {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5]})
+    _, scores = M.hyperparameter_grid(rows, "doc_id", base, {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5]}, parallelism=4)
     return scores.select(F.to_json("parameters").alias("parameters"), F.round("score", 4).alias("score"))
 
 

@@ -39,16 +39,32 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def write_processed(df: DataFrame, path: str, key: str = "raw_text_id") -> None:
+KEY_BUCKET = "key_bucket"
+
+
+def key_bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def processed_keys(spark: SparkSession, path: str, key: str, buckets: list[int]) -> DataFrame:
+    """The keys of a target in some of its buckets: other buckets' files are not listed or read, of these only the key column."""
+    return spark.read.parquet(path).where(F.col(KEY_BUCKET).isin(buckets)).select(key, KEY_BUCKET)
+
+
+def write_processed(df: DataFrame, path: str, key: str = "raw_text_id", buckets: int = 64) -> None:
     """Append only rows whose raw text is not in the target yet; copies inside the input are dropped.
 
-    Only the key column of the target is read back.
+    The target has a folder per bucket of the key's hash, so an append reads back only the keys that share a bucket with
+    its own.  ``buckets`` is fixed by the first append; a table of many rows wants more of them.  A null key is a key.
     """
-    fresh = df.dropDuplicates([key])
-    if path_exists(df.sparkSession, path):
-        done = df.sparkSession.read.parquet(path).select(key)
-        fresh = fresh.join(done, key, "left_anti")
-    fresh.write.mode("append").parquet(path)
+    spark = df.sparkSession
+    fresh = df.drop(KEY_BUCKET).dropDuplicates([key]).withColumn(KEY_BUCKET, key_bucket(key, buckets))
+    if path_exists(spark, path):
+        touched = sorted(r[0] for r in df.select(key_bucket(key, buckets)).distinct().collect())  # bucket numbers
+        done = processed_keys(spark, path, key, touched).select(F.col(key).alias("__done"), F.col(KEY_BUCKET).alias("__bucket"))
+        fresh = fresh.join(done, (F.col(KEY_BUCKET) == F.col("__bucket")) & F.col(key).eqNullSafe(F.col("__done")), "left_anti")
+    # Rows of a bucket meet in one task, so an append adds one file to each bucket that it touches.
+    fresh.repartition(KEY_BUCKET).write.mode("append").partitionBy(KEY_BUCKET).parquet(path)
 
 
 def error_rows(df: DataFrame, raw_id: str, source: str, error: str, now: Column | None = None) -> DataFrame:

@@ -58,6 +58,24 @@ def test_selection(rows):
     assert scores.count() == 2
 
 
+def test_grid_in_parallel_gives_the_same(rows):
+    data = M.assemble(rows, ["a", "b"], "y")
+    grid = {"regParam": [0.01, 0.3, 1.0], "elasticNetParam": [0.0, 0.5]}
+    (one, a), (many, b) = (M.hyperparameter_grid(data, "id", LogisticRegression(maxIter=10), grid, parallelism=n) for n in (1, 4))
+    assert [tuple(r) for r in a.collect()] == [tuple(r) for r in b.collect()] and a.count() == 6
+    assert one.coefficients == many.coefficients
+
+
+def test_rows_that_cannot_be_scored_are_dead_letters(rows):
+    data = M.assemble(rows, ["a", "b"], "y")
+    model = M.train("LOGISTIC_REGRESSION", data, iterations=5)
+    nan, inf = float("nan"), float("inf")
+    odd = rows.sparkSession.createDataFrame([(900, None, 1.0, 0), (901, nan, None, 0), (902, 1.0, -inf, 1), (903, 1.0, 2.0, None)], rows.schema)
+    good, failed = M.predict_or_error(rows.union(odd), ["a", "b"], model, "id")
+    assert good.count() == 241 and {"prediction", "confidence", "scores"} <= set(good.columns)
+    assert sorted((r.raw_text_id, r.error) for r in failed.collect()) == [(900, "feature a is missing"), (901, "feature a is not a number"), (902, "feature b is not a number")]
+
+
 def test_cooccurrence_counts_and_ppmi_against_plain_python(spark):
     import math
     from collections import Counter

@@ -7,7 +7,7 @@ from modsift.operators import augment as G
 from modsift.operators import datasets as D
 from modsift.operators import relational as R
 from modsift.operators import audit as A
-from modsift.operators.evaluation import block_bootstrap_ci, classification_metrics, latency_profile, silhouette
+from modsift.operators.evaluation import bootstrap_ci, classification_metrics, latency_profile, silhouette
 from modsift.operators.quality import source_target_rules
 
 
@@ -102,8 +102,64 @@ def test_silhouette_edge_cases(spark):
 
 def test_bootstrap_covers_mean(spark):
     df = spark.range(20000).withColumn("v", (F.col("id") % 100).cast("double"))
-    r = block_bootstrap_ci(df, "id", "v", replicates=100).first()
-    assert r.low < 49.5 < r.high and r.high - r.low < 3
+    r = bootstrap_ci(df, "id", "v", replicates=100).first()
+    assert r.low < 49.5 < r.high and r.high - r.low < 3 and r.replicates == 100
+    again = bootstrap_ci(df.repartition(3), "id", "v", replicates=100).first()
+    assert abs(again.low - r.low) < 1e-9 and abs(again.high - r.high) < 1e-9
+    empty = bootstrap_ci(df.limit(0), "id", "v", replicates=5).first()
+    assert empty.mean is None and empty.replicates == 0
+
+
+def test_poisson_weights_follow_their_distribution():
+    import math
+
+    from modsift.operators import evaluation as E
+
+    bounds = E.poisson_bounds()
+    shares = [b / E.PRIME for b in bounds]
+    total = 0.0
+    for k, share in enumerate(shares):
+        total += math.exp(-1) / math.factorial(k)
+        assert abs(share - total) < 1e-8
+    assert len(bounds) > 9 and bounds == sorted(bounds)
+
+
+def test_univariate_selection_against_formulas(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(300):
+        y = rng.choice(["a", "b", "c"])
+        rows.append((y, {"a": 0.0, "b": 1.0, "c": 3.0}[y] + rng.gauss(0, 1), rng.gauss(5, 2) if i % 9 else None, rng.choice("xy") if y != "c" else "z", rng.choice("xyz"), 1.0))
+    rows += [(None, 1.0, 1.0, "x", "x", 1.0)]
+    df = spark.createDataFrame(rows, "y STRING, good DOUBLE, noise DOUBLE, tied STRING, loose STRING, flat DOUBLE").repartition(3)
+    got = {r["column"]: (r.test, r.score, r.freedom) for r in D.univariate_scores(df, "y", ["good", "noise", "flat"], ["tied", "loose"]).collect()}
+
+    def anova(at):
+        groups = {}
+        for r in rows:
+            if r[0] is not None and r[at] is not None:
+                groups.setdefault(r[0], []).append(r[at])
+        n, k = sum(map(len, groups.values())), len(groups)
+        mean = sum(map(sum, groups.values())) / n
+        between = sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in groups.values())
+        within = sum((v - sum(g) / len(g)) ** 2 for g in groups.values() for v in g)
+        return (between / (k - 1)) / (within / (n - k))
+
+    def chi(at):
+        pairs = [(r[at], r[0]) for r in rows if r[0] is not None]
+        xs, ys, n = {x for x, _ in pairs}, {y for _, y in pairs}, len(pairs)
+        total = 0.0
+        for x in xs:
+            for y in ys:
+                e = sum(a == x for a, _ in pairs) * sum(b == y for _, b in pairs) / n
+                total += (pairs.count((x, y)) - e) ** 2 / e
+        return total, (len(xs) - 1) * (len(ys) - 1)
+
+    assert got["good"] == ("anova_f", pytest.approx(anova(1)), 2) and got["noise"][1] == pytest.approx(anova(2)) and got["flat"][1] is None
+    for c, at in (("tied", 3), ("loose", 4)):
+        score, freedom = chi(at)
+        assert got[c] == ("chi_squared", pytest.approx(score), freedom)
+    assert D.select_univariate(df, "y", 1, ["good", "noise", "flat"], ["tied", "loose"]).columns == ["y", "good", "tied"]
 
 
 def test_splits(spark):

@@ -213,3 +213,18 @@ def test_rewrite_removes_emptied_partitions(spark, tmp_path):
     kept = spark.read.parquet(path).where("v = 1")
     sinks.rewrite_keeping(kept, path, "p")
     assert [r.v for r in spark.read.parquet(path).collect()] == [1]
+
+
+def test_append_reads_only_touched_buckets(spark, tmp_path):
+    target = str(tmp_path / "done")
+    rows = spark.range(500).select(F.col("id").cast("string").alias("raw_text_id"), F.lit("x").alias("content"))
+    sinks.write_processed(rows, target, buckets=16)
+    few = spark.createDataFrame([("3", "x"), ("900", "y"), (None, "n"), (None, "n")], "raw_text_id STRING, content STRING")
+    for _ in range(2):
+        sinks.write_processed(few, target, buckets=16)
+    back = spark.read.parquet(target)
+    assert back.count() == 502 and back.where("raw_text_id = '3'").count() == 1 and back.where("raw_text_id IS NULL").count() == 1
+    plan = sinks.processed_keys(spark, target, "raw_text_id", [1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "key_bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] and "content" not in plan
+    assert len(sinks.processed_keys(spark, target, "raw_text_id", [1, 2]).inputFiles()) >= 1
+    assert sinks.processed_keys(spark, target, "raw_text_id", [1, 2]).count() == back.where("key_bucket IN (1, 2)").count()

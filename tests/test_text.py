@@ -167,3 +167,22 @@ def test_stop_words_table_matches_list(spark):
     assert by_list == by_table and by_table[1] == ["cat", "dog"] and by_table[2] == by_table[3] == []
     with pytest.raises(ValueError):
         X.remove_stop_words(df, "tk", stop)
+
+
+def test_composite_features_skip_absent_groups(spark):
+    from modsift.operators import corpus as C
+    from modsift.operators import features as X
+
+    df = spark.createDataFrame([(1, "the cat sat on the mat with another cat"), (2, "short"), (3, None)], "id INT, content STRING")
+    done = X.process_texts(df, "content", stop_words=["the", "on"], lower=True)
+    plain = {r.id: r for r in X.extract_features(done, "id", ngrams=None).collect()}
+    assert plain[1].tfidf_vector is None and plain[1].ngram_features is None and plain[1].feature_summary.total_dimension == 28
+    assert plain[2].feature_summary.total_dimension == 0 and not plain[3].feature_summary.has_language
+    good = done.where("success")
+    vectors = spark.createDataFrame([(1, [0.5, 0.25])], "id INT, embedding ARRAY<DOUBLE>")
+    tfidf = C.tfidf(good, "id", "filtered_tokens", C.idf_table(good, "filtered_tokens"), 3)
+    full = {r.id: r for r in X.extract_features(done, "id", tfidf=tfidf, embeddings=vectors, max_features=4).collect()}
+    s = full[1].feature_summary
+    assert (s.tfidf_dimension, s.word_vector_dimension, s.ngram_dimension, s.total_dimension) == (3, 2, 4, 37)
+    assert full[1].ngram_features["cat"] == 2 and s.has_tfidf and s.has_word_vector and s.has_ngram and s.has_sentiment
+    assert full[2].ngram_features is None and full[2].feature_summary.total_dimension == 0
