@@ -1,11 +1,14 @@
 """Seeded text augmentation: one row in, up to n copies out, all in built-in expressions.
 
-Every random choice is a hash of (row id, copy, seed, draw), so results do not
-depend on partitioning, retries or the order of rows.
+Every random choice comes from (row id, copy, seed, draw) by whole-number arithmetic that any engine
+can repeat, so results do not depend on partitioning, retries or the order of rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +20,36 @@ STRATEGIES = ("synonym_replace", "random_insert", "random_swap", "random_delete"
 MOST_COPIES = 5
 
 
-# --- hash draws ------------------------------------------------------------------
-def _draw(seed: Column, *parts) -> Column:
-    return F.xxhash64(seed, *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+# --- draws -----------------------------------------------------------------------
+PRIME = (1 << 31) - 1
+
+
+def draw_constants(tag: str) -> tuple[int, int, int]:
+    digest = hashlib.md5(tag.encode()).hexdigest()
+    a, b, c = (int(digest[k : k + 7], 16) for k in (0, 7, 14))
+    return a * 2 + 1, b * 2 + 1, c
+
 
+def copy_seed(row_id: Column, copy: Column, seed: int) -> Column:
+    key = F.concat(row_id.cast("string"), F.lit("|"), copy.cast("string"), F.lit(f"|{seed}"))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % PRIME
 
-def _below(n, seed: Column, *parts) -> Column:
+
+def _draw(seed: Column, tag: str, i: Column | None = None) -> Column:
+    """A whole number below PRIME for a seed, a tag and a place; no step leaves a long."""
+    a, b, c = draw_constants(tag)
+    at = (F.lit(0) if i is None else i).cast("long") + 1
+    u = (seed * a + at * b + c) % PRIME
+    return ((u * u + seed + at) % PRIME * a + c) % PRIME
+
+
+def _below(n, seed: Column, tag: str, i: Column | None = None) -> Column:
     """A draw from 0..n-1."""
-    return F.pmod(_draw(seed, *parts), n.cast("long") if isinstance(n, Column) else F.lit(n)).cast("int")
+    return (_draw(seed, tag, i) % (n.cast("long") if isinstance(n, Column) else F.lit(n))).cast("int")
 
 
-def _chance(p: float, seed: Column, *parts) -> Column:
-    return F.pmod(_draw(seed, *parts), F.lit(1_000_000)) < int(p * 1_000_000)
+def _chance(p: float, seed: Column, tag: str) -> Column:
+    return _draw(seed, tag) % 1_000_000 < int(p * 1_000_000)
 
 
 def _picks(tokens: Column, rate: float) -> Column:
@@ -142,9 +163,17 @@ def noise_injection(text: Column, seed: Column) -> Column:
 
 
 # --- operators -----------------------------------------------------------------------------
-def _copies(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
-    copies = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    return copies.withColumn("__seed", F.xxhash64(F.col(row_id), "copy", F.lit(seed)))
+def _copied(df: DataFrame, row_id: str, text: str, n: int, seed: int, make: Callable[[Column], Column]) -> DataFrame:
+    """Row id, copy and the fields of the struct that ``make`` gives for a seed, for copies 1..n whose ``augmented`` differs from the text.
+
+    The copies of a row are made inside it, so its text and tokens are not repeated.
+    """
+    def one(copy: Column) -> Column:
+        return F.struct(copy.alias("copy"), T.let(copy_seed(F.col(row_id), copy, seed), make).alias("made"))
+
+    rows = compute_once(df, "__copies", F.transform(F.sequence(F.lit(1), F.lit(n)), one))
+    each = rows.select(row_id, text, F.inline("__copies"))
+    return each.where(F.col("made.augmented") != F.col(text)).select(row_id, "copy", "made.*")
 
 
 def augment(
@@ -161,34 +190,40 @@ def augment(
     if n > most:
         raise ValueError(f"{n} copies asked for, at most {most} are configured")
     tokens = compute_once(df.select(row_id, text), "__tokens", T.simple_tokenize(text)).where(F.size("__tokens") > 0)
-    rows = _copies(tokens.select(row_id, text, "__tokens"), row_id, n, seed)
     names = F.array(*map(F.lit, strategies)) if strategies else F.array(F.lit("none"))
-    rows = rows.withColumn("strategy", F.element_at(names, _below(max(len(strategies), 1), F.col("__seed"), "strategy") + 1))
-    w, s = F.col("__tokens"), F.col("__seed")
-    made = {
-        "synonym_replace": synonym_replace(w, s, synonyms, rate),
-        "random_insert": random_insert(w, s, None, rate),
-        "random_swap": random_swap(w, s, rate),
-        "random_delete": random_delete(w, s, rate),
-    }
-    out = w
-    for name in strategies:
-        out = F.when(F.col("strategy") == name, made[name]).otherwise(out)
-    rows = compute_once(rows, "augmented", F.array_join(out, " "))
-    return rows.where(F.col("augmented") != F.col(text)).select(row_id, "copy", "strategy", "augmented")
+    w = F.col("__tokens")
+
+    def make(s: Column) -> Column:
+        made = {
+            "synonym_replace": lambda: synonym_replace(w, s, synonyms, rate),
+            "random_insert": lambda: random_insert(w, s, None, rate),
+            "random_swap": lambda: random_swap(w, s, rate),
+            "random_delete": lambda: random_delete(w, s, rate),
+        }
+
+        def chosen(strategy: Column) -> Column:
+            out = w
+            for name in strategies:
+                out = F.when(strategy == name, made[name]()).otherwise(out)
+            return F.struct(strategy.alias("strategy"), F.array_join(out, " ").alias("augmented"))
+
+        return T.let(F.element_at(names, _below(max(len(strategies), 1), s, "strategy") + 1), chosen)
+
+    return _copied(tokens, row_id, text, n, seed, make)
 
 
 def back_translation_augment(df: DataFrame, row_id: str, text: str, n: int = 1, seed: int = 42, synonyms=None) -> DataFrame:
-    rows = _copies(compute_once(df.select(row_id, text), "__tokens", T.simple_tokenize(text)), row_id, n, seed)
-    made = F.array_join(pseudo_back_translation(F.col("__tokens"), F.col("__seed"), synonyms), " ")
-    made = F.when(F.size("__tokens") < 2, F.col(text)).otherwise(made)
-    return compute_once(rows, "augmented", made).where(F.col("augmented") != F.col(text)).select(row_id, "copy", "augmented")
+    rows = compute_once(df.select(row_id, text), "__tokens", T.simple_tokenize(text))
+
+    def make(s: Column) -> Column:
+        made = F.array_join(pseudo_back_translation(F.col("__tokens"), s, synonyms), " ")
+        return F.struct(F.when(F.size("__tokens") < 2, F.col(text)).otherwise(made).alias("augmented"))
+
+    return _copied(rows, row_id, text, n, seed, make)
 
 
 def noise_augment(df: DataFrame, row_id: str, text: str, n: int = 1, seed: int = 42) -> DataFrame:
-    rows = _copies(df.select(row_id, text), row_id, n, seed)
-    rows = compute_once(rows, "augmented", noise_injection(F.col(text), F.col("__seed")))
-    return rows.where(F.col("augmented") != F.col(text)).select(row_id, "copy", "augmented")
+    return _copied(df.select(row_id, text), row_id, text, n, seed, lambda s: F.struct(noise_injection(F.col(text), s).alias("augmented")))
 
 
 def batch_augment(df: DataFrame, row_id: str, text: str, n: int = 3, seed: int = 42, **options) -> DataFrame:

@@ -14,6 +14,7 @@ from modsift.operators import word_vectors as WV
 from modsift.operators.density import dbscan
 from modsift.operators.density_vectors import dbscan_vectors
 from modsift.operators.scale import stored
+from modsift.plans import augment_sql as A
 from modsift.plans.registry import query
 
 COLUMNS = ["text_length", "word_count", "sentence_count", "avg_word_length", "punctuation_count", "digit_count", "lexical_density", "type_token_ratio"]
@@ -160,57 +161,45 @@ def _(t):
 
 
 # --- augmentation ------------------------------------------------------------------------
-@query("g1_augment")
+@query("g1_augment", f"WITH {A.augmented(SYNONYMS, 3)} SELECT doc_id, copy::INT AS copy, strategy, md5(augmented) AS digest FROM made WHERE {A.CHANGED}")
 def _(t):
     return G.augment(t.documents, "doc_id", "text", 3, synonyms=SYNONYMS).select("doc_id", "copy", "strategy", F.md5("augmented").alias("digest"))
 
 
+_ONE = {
+    "g2_synonym_replace": ("synonym_replace", A.single(A.synonym(SYNONYMS))),
+    "g3_random_insert": ("random_insert", A.single(A.insert())),
+    "g4_random_swap": ("random_swap", A.single(A.swap(), A.swap_columns())),
+    "g5_random_delete": ("random_delete", A.single(A.delete())),
+}
+
+
 def _one(t, strategy):
     out = G.augment(t.documents, "doc_id", "text", 1, (strategy,), synonyms=SYNONYMS)
     return out.select("doc_id", F.size(F.split("augmented", " ")).alias("n_words"), F.md5("augmented").alias("digest"))
 
 
-_N2 = "len(list_filter(regexp_split_to_array(text, '[\\s[:punct:]]+'), lambda x: x <> ''))"
-
-
-@query("g2_synonym_replace")
-def _(t):
-    return _one(t, "synonym_replace")
-
-
-@query(
-    "g3_random_insert",
-    f"SELECT doc_id, n + greatest(1, floor(n * 0.1::DOUBLE))::BIGINT AS n_words FROM (SELECT doc_id, {_N2} AS n FROM documents) WHERE n > 0",
-)
-def _(t):
-    return _one(t, "random_insert").select("doc_id", "n_words")
-
-
-@query("g4_random_swap")
-def _(t):
-    return _one(t, "random_swap")
-
-
-@query(
-    "g5_random_delete",
-    f"""SELECT doc_id, CASE WHEN n = 1 THEN 1 ELSE greatest(1, n - greatest(1, floor(n * 0.1::DOUBLE)))::BIGINT END AS n_words
-      FROM (SELECT doc_id, text, {_N2} AS n FROM documents) WHERE n > 1 OR (n = 1 AND text <> regexp_replace(text, '[\\s[:punct:]]+', '', 'g'))""",
-)
-def _(t):
-    return _one(t, "random_delete").select("doc_id", "n_words")
+for _name, (_strategy, _made) in _ONE.items():
+    query(_name, f"WITH {_made} SELECT doc_id, len(string_split(augmented, ' '))::INT AS n_words, md5(augmented) AS digest FROM made WHERE {A.CHANGED}")(
+        lambda t, strategy=_strategy: _one(t, strategy)
+    )
 
 
-@query("g6_back_translation")
+@query("g6_back_translation", f"WITH {A.back_translation(SYNONYMS, 2)} SELECT doc_id, copy::INT AS copy, md5(augmented) AS digest FROM made WHERE {A.CHANGED}")
 def _(t):
     return G.back_translation_augment(t.documents, "doc_id", "text", 2, synonyms=SYNONYMS).select("doc_id", "copy", F.md5("augmented").alias("digest"))
 
 
-@query("g7_noise_injection")
+@query("g7_noise_injection", f"WITH {A.noise(2)} SELECT doc_id, copy::INT AS copy, md5(augmented) AS digest FROM made WHERE {A.CHANGED}")
 def _(t):
     return G.noise_augment(t.documents, "doc_id", "text", 2).select("doc_id", "copy", F.md5("augmented").alias("digest"))
 
 
-@query("g8_batch_augment")
+@query(
+    "g8_batch_augment",
+    f"""WITH {A.augmented(SYNONYMS, 2)}, l AS (SELECT doc_id, count(*) AS n, string_agg(augmented, chr(10) ORDER BY copy) AS a FROM made WHERE {A.CHANGED} GROUP BY 1)
+      SELECT 'text_' || doc_id AS key, coalesce(n, 0)::INT AS n_copies, md5(coalesce(a, '')) AS digest FROM documents LEFT JOIN l USING (doc_id)""",
+)
 def _(t):
     out = G.batch_augment(t.documents, "doc_id", "text", 2, synonyms=SYNONYMS)
     return out.select("key", F.size("augmented").alias("n_copies"), F.md5(F.array_join("augmented", "\n")).alias("digest"))
