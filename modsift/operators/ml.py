@@ -22,7 +22,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.storagelevel import StorageLevel
 from pyspark.sql import functions as F
 
@@ -166,6 +166,26 @@ def predict_or_error(df: DataFrame, columns: list[str], model: PipelineModel, ro
     return predict(good, model, [row_id, *(keep or [])]), failed
 
 
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def _centred(df: DataFrame) -> DataFrame:
+    """``df`` with __c, the features less their mean."""
+    values = df.select(F.posexplode(vector_to_array(FEATURES)).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
+    mean = values.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("mean")).scalar()
+    return df.withColumn("__mean", mean).withColumn("__c", F.zip_with(vector_to_array(FEATURES), "__mean", lambda x, m: x - m))
+
+
+def _squared_norm(v: Column | str) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)
+
+
+def spread_around_mean(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Squared distance of each row to the mean: its reconstruction error without any component."""
+    return _centred(df).select(*keep, _squared_norm("__c").alias("spread"))
+
+
 def reconstruction_error(df: DataFrame, keep: list[str], k: int = 64) -> DataFrame:
     """Linear bottleneck of size k: squared distance of each centred row to its k-component projection.
 
@@ -173,21 +193,16 @@ def reconstruction_error(df: DataFrame, keep: list[str], k: int = 64) -> DataFra
     its projection, both around the mean.
     """
     model = PCA(k=k, inputCol=FEATURES, outputCol="__pc").fit(df)
-    values = df.select(F.posexplode(vector_to_array(FEATURES)).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
-    mean = values.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("mean")).scalar()
-    centred = df.withColumn("__mean", mean).withColumn(
-        "__c", F.zip_with(vector_to_array(FEATURES), "__mean", lambda x, m: x - m)
-    )
-    projected = model.transform(centred.withColumn(FEATURES, array_to_vector("__c")))
-    norm = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)
-    error = norm(F.col("__c")) - norm(vector_to_array("__pc"))
+    projected = model.transform(_centred(df).withColumn(FEATURES, array_to_vector("__c")))
+    error = _squared_norm("__c") - _squared_norm(vector_to_array("__pc"))
     return projected.select(*keep, F.greatest(F.lit(0.0), error).alias("reconstruction_error"))
 
 
 # --- selection ------------------------------------------------------------------------------
 def cross_validate(rows: DataFrame, row_id: str, algorithm: str, folds: int = 5, seed: int = SEED, **parameters) -> DataFrame:
     """One metric row per fold; folds come from a hash of the id, so they never change with partitioning."""
-    cut = rows.withColumn("fold", F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(folds)).cast("int"))
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string"))), 1, 7), 16, 10).cast("long")
+    cut = rows.withColumn("fold", (drawn % folds).cast("int"))
     cut = stored(cut.select(FEATURES, LABEL, "fold"))  # read by every fold
     results = []
     for fold in range(folds):
