@@ -149,6 +149,25 @@ def _(t):
     return pages.extract_paragraphs(t.pages, "html", ["page_id"]).select("page_id", "content")
 
 
+def _closed(tag: str, opened: str) -> str:
+    """Texts of closed elements in a page, one list: tags out, entities decoded."""
+    text = f"regexp_extract_all(html, '(?is)<{opened}>(.*?)</{tag}>', 1)"
+    plain = "replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), '&amp;', '&')"
+    return f"list_transform({text}, lambda x: {plain})"
+
+
+@query(
+    "s7_selected_elements",
+    "WITH x AS (" + " UNION ALL ".join(
+        f"SELECT page_id, url, '{css}' AS selector, '{tag}' AS tag, unnest({_closed(tag, opened)}) AS t FROM pages"
+        for css, tag, opened in (("h1", "h1", "h1"), (".ad", "div", 'div class="ad"'), ("footer", "footer", "footer"), ("li", "li", "li"), ("li a", "a", 'a href="[^"]*"'))
+    ) + """) SELECT page_id, selector, tag, trim(t) AS content, 'web:' || regexp_extract(url, '^https?://([^/?#]*)', 1) AS source FROM x""",
+)
+def _(t):
+    rows = pages.extract_page_texts(t.pages, "url", "html", ["h1", ".ad", "footer", "li", "li a"], keep=["page_id"])
+    return rows.select("page_id", F.col("metadata")["selector"].alias("selector"), F.col("metadata")["tag"].alias("tag"), "content", "source")
+
+
 @query(
     "s8_links",
     """WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\b[^>]*?\\bhref=["'']([^"'']*)["'']', 1)) AS link FROM pages)
@@ -174,6 +193,35 @@ def _(t):
     return pages.extract_forum_records(p, "url", "page", "questions", keep=["page_id"]).select("page_id", "content", "source")
 
 
+# Elements of the pages at hand in the places of the forum's.
+_PLACES = {
+    "question_title": "h1", "question_detail": ".ad", "answer": ".ad", "author": "h1", "votes": "footer", "search_card": "article",
+    "search_title": "h1", "search_excerpt": "h1", "topic_item": "body", "topic_title": "h1",
+}
+_FRAGMENT = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+
+
+@query(
+    "s9_forum_pages",
+    f"""WITH x AS (SELECT page_id, {_closed('h1', 'h1')}[1] AS h, {_closed('div', 'div class="ad"')}[1] AS a FROM pages),
+      r AS (SELECT page_id, 'questions' AS kind, '问题: ' || trim(h) || chr(10) || '详情: ' || trim(a) AS content, 'question' AS label, trim(h) AS title FROM x
+        UNION ALL SELECT page_id, 'questions', trim(a), 'answer', NULL FROM x WHERE strlen(trim(a)) >= 50
+        UNION ALL SELECT page_id, 'answers', {_FRAGMENT.format('a')}, 'answer', NULL FROM x WHERE strlen({_FRAGMENT.format('a')}) >= 100
+        UNION ALL SELECT page_id, 'search', {_FRAGMENT.format("h || ' ' || h")}, 'search', trim(h) FROM x
+        UNION ALL SELECT page_id, 'topic', {_FRAGMENT.format('a')}, 'topic', trim(h) FROM x WHERE strlen({_FRAGMENT.format('a')}) > 0
+        UNION ALL SELECT page_id, 'general', c, 'general', NULL FROM (SELECT page_id, {_FRAGMENT.format("unnest([a, h, h, h])")} AS c FROM x) WHERE strlen(c) >= 20)
+      SELECT page_id, kind, content, 'zhihu:' || label AS source, title FROM r""",
+)
+def _(t):
+    """All five kinds of records from the pages."""
+    kinds = ["questions", "answers", "search", "topic", "general"]
+    found = [
+        pages.extract_forum_records(t.pages, "url", "html", kind, "k", ["page_id"], _PLACES).select("page_id", F.lit(kind).alias("kind"), "content", "source", F.col("metadata")["title"].alias("title"))
+        for kind in kinds
+    ]
+    return R.union_sources(*found)
+
+
 @query(
     "s10_labeled_table",
     "SELECT count(DISTINCT c_mktsegment) AS class_count, count(*) AS rows FROM customer",

@@ -9,54 +9,57 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modsift import values as V
 from modsift.functions import text as T
 from modsift.operators.scale import compute_once
 
-ELEMENT_SCHEMA = "ARRAY<STRUCT<kind: STRING, selector: STRING, tag: STRING, text: STRING, children: ARRAY<STRING>, page: ARRAY<ARRAY<STRING>>>>"
+ELEMENT = "STRUCT<spec: INT, kind: STRING, selector: STRING, tag: STRING, text: STRING, children: ARRAY<STRING>>"
+FOUND_SCHEMA = f"STRUCT<elements: ARRAY<{ELEMENT}>, page: ARRAY<ARRAY<STRING>>>"
 
 
-def select_elements(pages: DataFrame, html: str, specs: list[tuple[str, str, list[str], list[str]]], keep: list[str]) -> DataFrame:
+def select_elements(pages: DataFrame, html: str, specs: list[tuple[str, str, list[str], str | None]], keep: list[str], of_page=None) -> DataFrame:
     """One row per matching element.
 
-    A spec is (kind, selector, child selectors, page selectors): children are looked
-    up inside the element, page selectors in the whole page.
+    A spec is (kind, selector, child selectors, page selector): children are looked up inside the element, the page
+    selector in the whole page.  Its texts stay one list per page and spec; ``of_page`` reduces it to column ``page``
+    before elements become rows.
     """
 
-    @F.pandas_udf(ELEMENT_SCHEMA)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(FOUND_SCHEMA)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from modsift.sources.htmltext import Page, inside
 
         for batch in batches:
-            out = []
+            elements, wide_texts = [], []
             for html_text in batch:
                 page = Page(html_text or "")
-                found = []
-                for kind, selector, children, wide in specs:
+                found, wide_of = [], []
+                for n, (kind, selector, children, wide) in enumerate(specs):
                     nodes = page.select(selector)
-                    if not nodes:
-                        continue
-                    wide_texts = [[page.text_of(n) for n in page.select(s)] for s in wide]
-                    inner = [page.select(s) for s in children]
+                    wide_of.append([page.text_of(x) for x in page.select(wide)] if nodes and wide else [])
+                    inner = [page.select(s) for s in children] if nodes else []
                     for node in nodes:
-                        texts = ["".join(page.text_of(n) for n in group if inside(n, node)) for group in inner]
-                        found.append(
-                            {"kind": kind, "selector": selector, "tag": node.tag, "text": page.text_of(node), "children": texts, "page": wide_texts}
-                        )
-                out.append(found)
-            yield pd.Series(out)
+                        texts = ["".join(page.text_of(x) for x in group if inside(x, node)) for group in inner]
+                        found.append({"spec": n, "kind": kind, "selector": selector, "tag": node.tag, "text": page.text_of(node), "children": texts})
+                elements.append(found)
+                wide_texts.append(wide_of)
+            yield pd.DataFrame({"elements": elements, "page": wide_texts})
 
-    return pages.select(*keep, F.posexplode(find(F.col(html))).alias("ordinal", "e")).select(*keep, "ordinal", "e.*")
+    found = compute_once(pages.select(*keep, html), "__found", find(F.col(html))).drop(html) if html not in keep else compute_once(pages.select(*keep), "__found", find(F.col(html)))
+    reduced = F.transform("__found.page", of_page) if of_page else F.array().cast("array<string>")
+    found = compute_once(found.withColumn("__page", reduced), "__elements", F.col("__found.elements")).drop("__found")
+    rows = found.select(*keep, "__page", F.posexplode("__elements").alias("ordinal", "e"))
+    return rows.select(*keep, "ordinal", "e.kind", "e.selector", "e.tag", "e.text", "e.children", F.get("__page", F.col("e.spec")).alias("page"))
 
 
 def extract_page_texts(pages: DataFrame, url: str, html: str, selectors: list[str] | None = None, rules: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Text of every element per selector; an element matching two selectors gives two rows."""
     selectors = V.DEFAULT_SELECTORS if selectors is None else selectors
     keep = keep or []
-    found = select_elements(pages, html, [("web", s, [], []) for s in selectors], [*keep, url])
+    found = select_elements(pages, html, [("web", s, [], None) for s in selectors], [*keep, url])
     rows = found.select(
         *keep,
         "ordinal",
@@ -86,32 +89,43 @@ def extract_links(pages: DataFrame, url: str, html: str, keep: list[str]) -> Dat
 
 
 # --- forum pages ----------------------------------------------------------------------
-def _spec(kind: str) -> list[tuple[str, str, list[str], list[str]]]:
-    s = V.FORUM_SELECTORS
+def _spec(kind: str, s: dict[str, str]) -> list[tuple[str, str, list[str], str | None]]:
     return {
         "questions": [
-            ("question", s["question_title"], [], [s["question_detail"]]),
-            ("answer", s["answer"], [], [s["author"]]),
+            ("question", s["question_title"], [], s["question_detail"]),
+            ("answer", s["answer"], [], s["author"]),
         ],
-        "answers": [("answers", s["answer"], [], [s["votes"]])],
-        "search": [("search", s["search_card"], [s["search_title"], s["search_excerpt"]], [])],
-        "topic": [("topic", s["topic_item"], [s["topic_title"], s["answer"]], [])],
-        "general": [("general", x, [], []) for x in (s["answer"], s["question_title"], s["search_excerpt"], s["topic_title"])],
+        "answers": [("answers", s["answer"], [], s["votes"])],
+        "search": [("search", s["search_card"], [s["search_title"], s["search_excerpt"]], None)],
+        "topic": [("topic", s["topic_item"], [s["topic_title"], s["answer"]], None)],
+        "general": [("general", x, [], None) for x in (s["answer"], s["question_title"], s["search_excerpt"], s["topic_title"])],
     }[kind]
 
 
-def extract_forum_records(pages: DataFrame, url: str, html: str, kind: str = "general", keyword: str = "", keep: list[str] | None = None) -> DataFrame:
-    """Forum records of one page kind: questions, answers, search, topic or general."""
+def _of_page(texts: Column) -> Column:
+    """The last text, and the last one that is a number."""
+    trimmed = F.transform(texts, lambda x: T.trim_wide(x))
+    numbers = F.filter(trimmed, lambda x: x.rlike(r"^[+-]?\d+\z"))
+    return F.struct(
+        F.coalesce(F.try_element_at(trimmed, F.lit(-1)), F.lit("")).alias("last"),
+        F.coalesce(F.try_element_at(numbers, F.lit(-1)).try_cast("int"), F.lit(0)).alias("number"),
+    )
+
+
+def extract_forum_records(
+    pages: DataFrame, url: str, html: str, kind: str = "general", keyword: str = "", keep: list[str] | None = None, selectors: dict[str, str] | None = None
+) -> DataFrame:
+    """Forum records of one page kind: questions, answers, search, topic or general.
+
+    ``selectors`` replaces the forum's own ones for pages of another make (same keys).
+    """
     keep = keep or []
-    found = select_elements(pages, html, _spec(kind), [*keep, url])
+    found = select_elements(pages, html, _spec(kind, V.FORUM_SELECTORS | (selectors or {})), [*keep, url], _of_page)
     k = F.col("kind")
     trimmed = T.trim_wide("text")
     fragment = T.clean_fragment("text")
     child = lambda i: T.trim_wide(F.coalesce(F.get("children", F.lit(i)), F.lit("")))
-    page_texts = F.transform(F.coalesce(F.get("page", F.lit(0)), F.array().cast("array<string>")), lambda x: T.trim_wide(x))
-    last_text = F.coalesce(F.try_element_at(page_texts, F.lit(-1)), F.lit(""))
-    votes = F.filter(page_texts, lambda x: x.rlike(r"^[+-]?\d+\z"))
-    vote_count = F.coalesce(F.try_element_at(votes, F.lit(-1)).try_cast("int"), F.lit(0))
+    last_text, vote_count = F.coalesce(F.col("page.last"), F.lit("")), F.coalesce(F.col("page.number"), F.lit(0))
     content = (
         F.when(k == "question", F.concat(F.lit("问题: "), trimmed, F.lit("\n详情: "), last_text))
         .when(k == "answer", trimmed)
