@@ -300,9 +300,27 @@ def extract_site_urls(c: Column | str, pattern: str = V.SITE_URL) -> Column:
     return extract_all(c, pattern)
 
 
+ASTRAL = r"[\x{10000}-\x{10FFFF}]"  # characters of two UTF-16 units
+
+
+def utf16_prefix(c: Column | str, n: int) -> Column:
+    """The longest prefix of at most ``n`` UTF-16 units; a character of two units is not cut in half."""
+    c = as_col(c)
+    start = F.struct(F.lit(0).alias("units"), F.lit(0).alias("kept"), F.lit(True).alias("open"))
+
+    def add(state: Column, ch: Column) -> Column:
+        units = state["units"] + F.when(ch.rlike(ASTRAL), 2).otherwise(1)
+        fits = state["open"] & (units <= n)
+        return F.struct(units.alias("units"), (state["kept"] + F.when(fits, 1).otherwise(0)).alias("kept"), fits.alias("open"))
+
+    wide = F.substring(c, F.lit(1), F.aggregate(F.regexp_extract_all(F.substring(c, 1, n), F.lit("(?s)."), F.lit(0)), start, add)["kept"])
+    return F.when(c.rlike(ASTRAL), wide).otherwise(F.substring(c, 1, n))
+
+
 def ellipsis(c: Column | str, n: int) -> Column:
+    """Texts of more than ``n`` UTF-16 units are cut there."""
     c = as_col(c)
-    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
+    return F.when(utf16_length(c) > n, F.concat(utf16_prefix(c, n), F.lit("..."))).otherwise(c)
 
 
 def display_title(title: Column | str, question_title: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modsift import values as V
 from modsift.functions import text as T
-from modsift.operators.scale import join_salted, order_statistics
+from modsift.operators.scale import join_few, order_statistics
 
 
 def rule_score(tokens: Column | str, words: list[str], weight: float = 10.0) -> Column:
@@ -78,7 +78,7 @@ def detect_anomaly(df: DataFrame, by: list[str], value: str, factor: float = 1.5
     """Flag values outside the IQR fences of their group; score is the distance in IQRs."""
     q = order_statistics(df, by, value, {"q25": 0.25, "q75": 0.75}, "linear")
     if by:
-        joined = join_salted(df, q, by)
+        joined = join_few(df, q, by)
     else:
         joined = df.withColumn("__q", q.select(F.struct("*")).scalar()).select("*", "__q.*").drop("__q")
     iqr = F.col("q75") - F.col("q25")

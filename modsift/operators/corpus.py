@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modsift.functions import text as T
-from modsift.operators.scale import compute_once, join_counted_keys, top_n_per_key, with_position
+from modsift.operators.scale import compute_once, join_counted_keys, join_few, top_n_per_key, with_position
 
 
 def term_counts(docs: DataFrame, row_id: str, tokens: str, *keep: str) -> DataFrame:
@@ -77,7 +77,7 @@ def vocabulary_build(docs: DataFrame, row_id: str, tokens: str, language: str) -
     words = per_doc.groupBy(F.col("term").alias("word"), "language").agg(
         F.sum("tf").alias("frequency"), F.count("*").alias("doc_count")
     )
-    return words.join(n_docs, "language").select(
+    return join_few(words, n_docs, ["language"]).select(
         "word",
         "language",
         "frequency",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modsift.operators.relational import union_sources
-from modsift.operators.scale import hash_rank, order_statistics, top_n_per_key
+from modsift.operators.scale import counted_order_statistics, hash_rank, stored, top_n_per_key
 
 
 def _check_ratios(val: float, test: float) -> None:
@@ -57,8 +57,8 @@ def feature_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
         F.skewness("value").alias("skewness"),
         F.kurtosis("value").alias("kurtosis"),
     )
-    counted = cells.where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("c"))
-    quartiles = order_statistics(cells, ["column"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, "linear")
+    counted = stored(cells.where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("c")))
+    quartiles = counted_order_statistics(counted, ["column"], "value", "c", {"q25": 0.25, "median": 0.5, "q75": 0.75}, "linear")
     iqr = F.col("q75") - F.col("q25")
     outside = (F.col("value") < F.col("q25") - 1.5 * iqr) | (F.col("value") > F.col("q75") + 1.5 * iqr)
     spread = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modsift import values as V
@@ -11,17 +11,22 @@ from modsift.functions.text import as_col
 from modsift.operators.scale import hash_rank
 
 
-def conversation_pairs(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """Each user turn with the assistant turn right after it.
+def conversation_pairs(df: DataFrame, conv: str, turn: str, role: str, text: str, chunk: int = 1000) -> DataFrame:
+    """Each user turn with the next turn that is there, if that is the assistant's.
 
-    Turn numbers are dense, so the neighbour is found by an equi join on
-    (conversation, turn): long conversations spread over tasks like any other rows.
+    Turn numbers may have gaps.  A conversation is cut into chunks of turn numbers: the next turn is looked up inside a
+    chunk, and for its last turn it is the first one of the next chunk that has any, so a long conversation is many
+    small windows.  Of rows that share a turn number one is taken, by role and text.
     """
-    users = df.where(F.col(role) == "user").select(conv, turn, F.col(text).alias("question"))
-    replies = df.where(F.col(role) == "assistant").select(
-        conv, (F.col(turn) - 1).alias(turn), F.col(text).alias("answer")
-    )
-    return users.join(replies, [conv, turn])
+    rows = df.where(F.col(turn).isNotNull()).groupBy(conv, turn).agg(F.min(F.struct(F.col(role).alias("role"), F.col(text).alias("text"))).alias("__said"))
+    rows = rows.withColumn("__chunk", F.floor(F.col(turn) / chunk))
+    inside = Window.partitionBy(conv, "__chunk").orderBy(turn)
+    firsts = rows.groupBy(conv, "__chunk").agg(F.min_by("__said", turn).alias("__first"))
+    after = firsts.select(conv, "__chunk", F.lead("__first").over(Window.partitionBy(conv).orderBy("__chunk")).alias("__after"))
+    found = rows.withColumn("__next", F.lead("__said").over(inside)).join(after, [conv, "__chunk"])
+    reply = F.coalesce("__next", "__after")
+    pairs = found.where((F.col("__said.role") == "user") & (reply["role"] == "assistant"))
+    return pairs.select(conv, turn, F.col("__said.text").alias("question"), reply["text"].alias("answer"))
 
 
 def conversation_records(pairs: DataFrame) -> DataFrame:

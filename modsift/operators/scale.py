@@ -16,6 +16,7 @@ PIECES = 64
 RANGES = 1024
 PIECE_ROWS = 1_000_000
 HOT_KEYS = 2000
+FEW_ROWS = 100_000  # of a table that is broadcast after counting it
 
 
 def row_hash_pieces(columns: list[str], pieces: int = PIECES) -> Column:
@@ -60,17 +61,21 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 # --- top n rows per key ----------------------------------------------------------------
 def top_n_per_key(
-    df: DataFrame, keys: list[str], order: list[Column], n: int, rank_name: str = "rank", pieces: int = PIECES
+    df: DataFrame, keys: list[str], order: list[Column], n: int, rank_name: str = "rank", piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """Rows 1..n of every key under a total order.
 
     Small n: Spark trims each task to n rows per key before the shuffle
-    (window group limit).  Larger n: a first ranking runs inside hash pieces of
-    each key, so the final ranking sees at most ``pieces * n`` rows per key.
+    (window group limit).  Larger n: rows are counted per key, and a first ranking runs inside as many hash pieces
+    of each key as its rows need, so no window sees more than ``piece_rows`` rows or n rows of each piece.
     """
     final = Window.partitionBy(*keys).orderBy(*order)
     if n <= 1000:
         return df.withColumn(rank_name, F.row_number().over(final)).where(F.col(rank_name) <= n)
+    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    pieces = max(1, -(-largest // max(piece_rows, 4 * n)))
+    if pieces == 1:
+        return df.withColumn(rank_name, F.row_number().over(final)).where(F.col(rank_name) <= n)
     others = [c for c, t in df.dtypes if c not in keys and not t.startswith("map")]
     cut = df.withColumn("__piece", row_hash_pieces(others, pieces))
     inner = Window.partitionBy(*keys, "__piece").orderBy(*order)
@@ -205,6 +210,14 @@ def order_statistics(
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(
         F.count("*").alias("__n")
     )
+    return counted_order_statistics(counted, by, "__v", "__n", fractions, method)
+
+
+def counted_order_statistics(
+    counted: DataFrame, by: list[str], value: str, times: str, fractions: dict[str, float], method: str = "floor"
+) -> DataFrame:
+    """``order_statistics`` of a table that has one row per group and distinct value, with its number."""
+    counted = counted.select(*by, F.col(value).alias("__v"), F.col(times).alias("__n"))
     ran = cumulative(counted, by, "__v", {"__below": "__n"})
     n = F.col("__below_all")
     low, high = F.col("__below"), F.col("__below") + F.col("__n")
@@ -280,3 +293,11 @@ def join_salted(facts: DataFrame, keyed: DataFrame, keys: list[str], salts: int
     spread = F.pmod(F.xxhash64(*[c for c, t in facts.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int")
     copies = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return null_safe_join(facts.withColumn("__salt", spread), copies, [*keys, "__salt"], "left").drop("__salt")
+
+
+def join_few(facts: DataFrame, few: DataFrame, keys: list[str], most: int = FEW_ROWS) -> DataFrame:
+    """Left join, nulls matching, to a table of one narrow row per key: broadcast if it has at most ``most`` rows, else salted."""
+    few = stored(few)
+    if few.count() <= most:
+        return null_safe_join(facts, F.broadcast(few), keys, "left")
+    return join_salted(facts, few, keys)

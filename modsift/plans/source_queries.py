@@ -231,6 +231,19 @@ def _(t):
     return files.class_count(d, d.columns[-1])
 
 
+@query(
+    "s10_labeled_csv",
+    "SELECT count(DISTINCT c_mktsegment) AS class_count, count(*) AS rows, round(sum(c_acctbal::DOUBLE), 2) AS balance, 'c_mktsegment' AS target FROM customer",
+)
+def _(t):
+    """A table written as CSV and loaded with inferred types; the last column is the target."""
+    folder = _scratch(t, "s10")
+    t.customer.select("c_acctbal", "c_nationkey", "c_mktsegment").write.option("header", True).csv(folder)
+    df, target = files.load_labeled_csv(t.spark, folder)
+    balance = df.agg(F.round(F.sum(F.col("c_acctbal").cast("double")), 2)).scalar()
+    return files.class_count(df, target).select("class_count", "rows", balance.alias("balance"), F.lit(target).alias("target"))
+
+
 @query("s13_table_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000")
 def _(t):
     o = files.scan_table(t.spark, "parquet", path=f"{t.folder}/orders.parquet")
@@ -373,3 +386,28 @@ def _(t):
     found = _streamed(t, "w7", events, alerts)
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return found.select(stamp("breach_start"), stamp("alert_at"))
+
+
+@query("w2_micro_batches", "SELECT doc_id, sha256(text) AS digest, 1::BIGINT AS copies FROM documents")
+def _(t):
+    """Every micro-batch is handed to a function of DataFrames; none is lost or doubled."""
+    out = _streamed(t, "w2", t.documents.select("doc_id", "text"), lambda s: s)
+    return out.groupBy("doc_id").agg(F.sha2(F.first("text"), 256).alias("digest"), F.count("*").alias("copies"))
+
+
+@query("w3_retries", "SELECT doc_id, 1::BIGINT AS copies, 3 AS attempts FROM documents")
+def _(t):
+    """A sink that fails twice in the middle of its work, then succeeds: its rows are there once."""
+    folder, tries = _scratch(t, "w3"), []
+    t.documents.select("doc_id").write.parquet(f"{folder}/in")
+
+    def sink(batch, batch_id):
+        tries.append(batch_id)
+        ingest.write_batch_folder(batch, f"{folder}/out", "r", batch_id)
+        if len(tries) < 3:
+            raise RuntimeError("the sink fails after writing")
+
+    stream = t.spark.readStream.schema("doc_id LONG").parquet(f"{folder}/in")
+    ingest.micro_batches(stream, sink, f"{folder}/checkpoint").awaitTermination()
+    back = t.spark.read.schema("doc_id LONG").parquet(f"{folder}/out/run=r")
+    return back.groupBy("doc_id").agg(F.count("*").alias("copies")).withColumn("attempts", F.lit(len(tries)))

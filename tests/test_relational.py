@@ -320,3 +320,34 @@ def test_similar_to_targets_against_all_pairs(spark):
                 want += [(t, i, -s, r) for r, (s, i) in enumerate(sorted(scored)[:7], 1)]
         assert got == sorted(want)
     assert R.similar_to_targets(df.limit(0), "id", "x", targets, 0.1, 3).count() == 0
+
+
+def test_pairs_over_gaps_and_chunks(spark):
+    from modsift.operators.instruct import conversation_pairs
+
+    turns = {
+        1: [(0, "user"), (1, "assistant"), (2, "user"), (5, "assistant"), (6, "assistant"), (7, "user")],
+        2: [(3, "user"), (4, "user"), (9, "assistant"), (2500, "user"), (7000, "assistant")],
+        3: [(999, "user"), (1000, "assistant"), (1999, "user"), (2000, "user"), (4001, "assistant")],
+    }
+    rows = [(c, t, r, f"{r}{c}-{t}") for c, said in turns.items() for t, r in said] + [(4, 1, "user", "q"), (4, 1, "user", "q"), (4, 2, "assistant", "b"), (4, 2, "assistant", "a"), (4, None, "user", "x")]
+    df = spark.createDataFrame(rows, "conv INT, turn INT, role STRING, text STRING").repartition(4)
+    want = [(4, 1, "q", "a")]
+    for c, said in turns.items():
+        for (t, r), (u, q) in zip(said, said[1:]):
+            if (r, q) == ("user", "assistant"):
+                want.append((c, t, f"user{c}-{t}", f"assistant{c}-{u}"))
+    for chunk in (1, 1000, 10**6):
+        assert sorted(tuple(r) for r in conversation_pairs(df, "conv", "turn", "role", "text", chunk).collect()) == sorted(want)
+
+
+def test_large_top_n_is_cut_by_counted_rows(spark):
+    from modsift.operators.scale import top_n_per_key
+
+    df = spark.range(30_000).select((F.col("id") % 3 * F.col("id") % 2).alias("k"), F.xxhash64("id").alias("v"), "id")
+    for n in (1500, 5000):
+        got = top_n_per_key(df, ["k"], [F.asc("v"), F.asc("id")], n, piece_rows=1000)
+        rows = df.collect()
+        for k in {r.k for r in rows}:
+            best = sorted((r.v, r.id) for r in rows if r.k == k)[:n]
+            assert [(r.v, r.id) for r in got.where(F.col("k") == k).orderBy("rank").collect()] == best

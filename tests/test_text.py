@@ -186,3 +186,19 @@ def test_composite_features_skip_absent_groups(spark):
     assert (s.tfidf_dimension, s.word_vector_dimension, s.ngram_dimension, s.total_dimension) == (3, 2, 4, 37)
     assert full[1].ngram_features["cat"] == 2 and s.has_tfidf and s.has_word_vector and s.has_ngram and s.has_sentiment
     assert full[2].ngram_features is None and full[2].feature_summary.total_dimension == 0
+
+
+def test_cuts_by_utf16_units(spark):
+    from modsift.functions import text as T
+
+    texts = ["", "plain text", "a" * 12, "😀" * 4, "😀" * 5, "😀" * 6, "ab😀cd😀ef😀gh", "a😀😀😀😀😀", "line\nbreak\n😀 12345", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    for n in (1, 9, 10):
+        got = {r.i: r.x for r in df.select("i", T.ellipsis("t", n).alias("x")).collect()}
+        for i, t in enumerate(texts):
+            if t is None:
+                assert got[i] is None
+                continue
+            units = t.encode("utf-16-le")
+            want = t if len(units) <= 2 * n else units[: 2 * n].decode("utf-16-le", "ignore") + "..."
+            assert got[i] == want, (t, n)
