@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modsift.operators.scale import cumulative, null_safe_join, order_statistics
+from modsift.operators.scale import cumulative, join_few, join_salted, null_safe_join, order_statistics, stored
 
 
 # --- latency ---------------------------------------------------------------------
@@ -135,93 +135,81 @@ def _sq_distance(a, b) -> Column:
     )
 
 
-def silhouette(df: DataFrame, row_id: str, features: str, label: str) -> DataFrame:
+CLUSTERS = 256  # of a block of cluster summaries that a row is compared with at once
+
+
+def _blocks(parts: DataFrame, clusters: int) -> tuple[DataFrame, int]:
+    """Cluster summaries in blocks of about ``clusters`` of them: (block, others), and the number of blocks."""
+    blocks = max(1, -(-parts.count() // clusters))
+    packed = F.collect_list(F.struct(*parts.columns)).alias("others")
+    return parts.groupBy(F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int").alias("block")).agg(packed), blocks
+
+
+def _against_blocks(rows: DataFrame, parts: DataFrame, clusters: int) -> DataFrame:
+    """``rows`` once per block of summaries, with ``others``: no task holds more than some blocks, however many clusters."""
+    packed, blocks = _blocks(parts, clusters)
+    each = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    joined = each.join(F.broadcast(packed), "block") if blocks == 1 else join_salted(each, packed, ["block"])
+    return joined.withColumn("others", F.coalesce("others", F.array().cast(dict(packed.dtypes)["others"]))).drop("block")
+
+
+def silhouette(df: DataFrame, row_id: str, features: str, label: str, clusters: int = CLUSTERS) -> DataFrame:
     """Silhouette of each row with squared Euclidean distance, without forming pairs.
 
     The mean squared distance from x to a cluster is |x - centroid|^2 plus the
-    cluster's variance, so one row per cluster is all each point needs.  A row alone
-    in its cluster scores 0; with a single cluster the score is null.
+    cluster's variance, so one row per cluster is all each point needs; a point meets the clusters block by block.
+    A row alone in its cluster scores 0; with a single cluster the score is null.  Row ids are unique.
     """
     parts = _cluster_parts(df, features, label).withColumn(
         "spread", F.col("sq_norms") / F.col("size") - _sq_norm(F.col("centroid"))
     )
-    table = parts.agg(F.collect_list(F.struct("cluster", "size", "centroid", "spread")).alias("clusters")).scalar()
-    points = df.withColumn("__clusters", table)
-    means = F.transform(
-        "__clusters",
-        lambda c: F.struct(
-            (c["cluster"] == F.col(label)).alias("own"),
-            c["size"].alias("size"),
-            (_sq_distance(F.col(features), c["centroid"]) + c["spread"]).alias("d"),
-        ),
-    )
-    own = F.filter("__m", lambda m: m["own"])[0]
-    a = F.when(own["size"] > 1, own["d"] * own["size"] / (own["size"] - 1))
-    b = F.array_min(F.transform(F.filter("__m", lambda m: ~m["own"]), lambda m: m["d"]))
-    score = F.when(b.isNull(), F.lit(None).cast("double")).when(own["size"] == 1, 0.0).otherwise(
-        F.when(F.greatest("__a", "__b") > 0, (F.col("__b") - F.col("__a")) / F.greatest("__a", "__b")).otherwise(0.0)
-    )
-    return (
-        points.withColumn("__m", means)
-        .withColumn("__a", a)
-        .withColumn("__b", b)
-        .select(row_id, F.col(label).alias("cluster"), score.alias("silhouette"))
+    parts = stored(parts.select("cluster", "size", "centroid", "spread"))
+    points = df.select(F.col(row_id).alias("__row"), F.col(features).alias("__x"), F.col(label).alias("cluster"))
+    d = lambda c: _sq_distance(F.col("__x"), c["centroid"]) + c["spread"]
+    met = _against_blocks(points, parts, clusters)
+    own = F.filter("others", lambda c: c["cluster"].eqNullSafe(F.col("cluster")))
+    away = F.array_min(F.transform(F.filter("others", lambda c: ~c["cluster"].eqNullSafe(F.col("cluster"))), d))
+    judged = met.select("__row", "cluster", F.get(F.transform(own, lambda c: F.struct(c["size"].alias("size"), d(c).alias("d"))), F.lit(0)).alias("own"), away.alias("b"))
+    if parts.count() > clusters:
+        judged = judged.groupBy("__row", "cluster").agg(F.max("own").alias("own"), F.min("b").alias("b"))
+    a = F.when(F.col("own.size") > 1, F.col("own.d") * F.col("own.size") / (F.col("own.size") - 1))
+    judged = judged.withColumn("a", a)
+    score = F.when(F.col("b").isNull(), F.lit(None).cast("double")).when(F.col("own.size") == 1, 0.0).otherwise(
+        F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
     )
+    return judged.select(F.col("__row").alias(row_id), "cluster", score.alias("silhouette"))
 
 
-def cluster_indices(df: DataFrame, features: str, label: str) -> DataFrame:
+def cluster_indices(df: DataFrame, features: str, label: str, clusters: int = CLUSTERS) -> DataFrame:
     """Within-cluster sum of squares, Calinski-Harabasz and Davies-Bouldin from cluster summaries.
 
-    Davies-Bouldin needs the mean distance to the own centroid: one more narrow pass
-    over the points; cluster pairs are formed from the k-row summary only.
+    Davies-Bouldin needs the mean distance to the own centroid: one more narrow pass over the points.  Every cluster then
+    meets the summaries block by block, and keeps its worst ratio.
     """
-    parts = _cluster_parts(df, features, label)
-    summary = parts.agg(F.collect_list(F.struct("cluster", "size", "centroid", "sq_norms")).alias("c"))
-    keyed = df.withColumn("__c", summary.scalar())
-    own = F.filter("__c", lambda c: c["cluster"] == F.col(label))[0]["centroid"]
-    spread = keyed.groupBy(F.col(label).alias("cluster")).agg(
-        F.avg(F.sqrt(_sq_distance(F.col(features), own))).alias("scatter")
-    )
-    whole = (
-        parts.join(spread, "cluster")
-        .agg(F.sort_array(F.collect_list(F.struct("cluster", "size", "centroid", "sq_norms", "scatter"))).alias("c"))
-        .withColumn("n", F.aggregate("c", F.lit(0).cast("long"), lambda acc, x: acc + x["size"]))
-        .withColumn("k", F.size("c"))
-        .withColumn(
-            "wcss",
-            F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x["sq_norms"] - x["size"] * _sq_norm(x["centroid"])),
-        )
-        .withColumn(
-            "grand",
-            F.transform(
-                F.sequence(F.lit(0), F.size(F.col("c")[0]["centroid"]) - 1),
-                lambda i: F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x["size"] * x["centroid"][i]) / F.col("n"),
-            ),
-        )
-        .withColumn(
-            "between",
-            F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x["size"] * _sq_distance(x["centroid"], F.col("grand"))),
-        )
-        .withColumn(
-            "worst",
-            F.transform(
-                "c",
-                lambda x: F.array_max(
-                    F.transform(
-                        F.filter("c", lambda y: y["cluster"] != x["cluster"]),
-                        lambda y: F.try_divide(x["scatter"] + y["scatter"], F.sqrt(_sq_distance(x["centroid"], y["centroid"]))),
-                    )
-                ),
-            ),
-        )
+    parts = stored(_cluster_parts(df, features, label))
+    points = df.select(F.col(label).alias("cluster"), F.col(features).alias("__x"))
+    centred = join_few(points, parts.select("cluster", "centroid"), ["cluster"], most=10 * clusters)
+    spread = centred.groupBy("cluster").agg(F.avg(F.sqrt(_sq_distance(F.col("__x"), F.col("centroid")))).alias("scatter"))
+    whole = stored(null_safe_join(parts, spread, ["cluster"]))
+    means = whole.select("size", F.posexplode("centroid").alias("i", "m")).groupBy("i").agg((F.sum(F.col("size") * F.col("m")) / F.sum("size")).alias("m"))
+    grand = means.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda e: e["m"])).scalar()  # one number per dimension
+    totals = whole.withColumn("grand", grand).agg(
+        F.sum("size").alias("n"), F.count("*").cast("int").alias("k"),
+        F.sum(F.col("sq_norms") - F.col("size") * _sq_norm(F.col("centroid"))).alias("wcss"),
+        F.sum(F.col("size") * _sq_distance(F.col("centroid"), F.col("grand"))).alias("between"),
     )
-    k, n = F.col("k"), F.col("n")
-    return whole.select(
+    mine = whole.select(F.col("cluster").alias("of"), F.col("centroid").alias("at"), F.col("scatter").alias("own"))
+    ratio = lambda c: F.try_divide(F.col("own") + c["scatter"], F.sqrt(_sq_distance(F.col("at"), c["centroid"])))
+    worst = F.array_max(F.transform(F.filter("others", lambda c: ~c["cluster"].eqNullSafe(F.col("of"))), ratio))
+    met = _against_blocks(mine, whole.select("cluster", "centroid", "scatter"), clusters).select("of", worst.alias("worst"))
+    bouldin = met.groupBy("of").agg(F.max("worst").alias("worst")).agg(F.sum("worst").alias("worst"))
+    n, k = F.col("n"), F.col("k")
+    return totals.withColumn("worst", bouldin.scalar()).select(
         "n",
         "k",
         "wcss",
         F.try_divide(F.col("between") * (n - k), F.col("wcss") * (k - 1)).alias("calinski_harabasz"),
-        (F.aggregate("worst", F.lit(0.0), lambda acc, x: acc + x) / k).alias("davies_bouldin"),
+        (F.coalesce("worst", F.lit(0.0)) / k).alias("davies_bouldin"),
     )
 
 

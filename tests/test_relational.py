@@ -100,6 +100,19 @@ def test_silhouette_edge_cases(spark):
     assert silhouette(df.withColumn("c", F.lit(0)), "id", "f", "c").first().silhouette is None
 
 
+def test_cluster_scores_by_blocks(spark):
+    from modsift.operators.evaluation import cluster_indices
+
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(i % 12, 0.4), rng.gauss(-(i % 5), 0.4)], i % 12) for i in range(300)]
+    df = spark.createDataFrame(rows, "id INT, f ARRAY<DOUBLE>, c INT").repartition(3)
+    one, many = ({r.id: r.silhouette for r in silhouette(df, "id", "f", "c", n).collect()} for n in (256, 3))
+    assert len(one) == 300 and all(abs(v - many[k]) < 1e-9 for k, v in one.items())
+    a, b = (cluster_indices(df, "f", "c", n).first() for n in (256, 3))
+    assert a.n == b.n == 300 and a.k == b.k == 12
+    assert all(a[c] == pytest.approx(b[c]) for c in ("wcss", "calinski_harabasz", "davies_bouldin"))
+
+
 def test_bootstrap_covers_mean(spark):
     df = spark.range(20000).withColumn("v", (F.col("id") % 100).cast("double"))
     r = bootstrap_ci(df, "id", "v", replicates=100).first()
