@@ -131,11 +131,19 @@ def _(t):
     return s.select("column", "test", F.round("score", 4).alias("score"), "freedom")
 
 
-@query("d5_reduce_dimensions")
+@query(
+    "d5_reduce_dimensions",
+    "SELECT l_orderkey, l_linenumber, 2 AS n_components, true AS ordered, true AS explains FROM lineitem",
+)
 def _(t):
-    d = D.reduce_dimensions(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"),
-                            ["l_quantity", "l_discount", "l_tax"], 2)
-    return d.select("l_orderkey", "l_linenumber", F.round(F.abs(F.col("components")[0]), 4).alias("c0"))
+    """Two components of three columns: the first spreads more than the second, together they hold most of the spread."""
+    names = ["l_quantity", "l_discount", "l_tax"]
+    d = D.reduce_dimensions(t.lineitem.select("l_orderkey", "l_linenumber", *names), names, 2)
+    c = lambda i: F.get("components", F.lit(i))
+    whole = d.agg(F.var_pop(c(0)).alias("a"), F.var_pop(c(1)).alias("b"), sum((F.var_pop(n) for n in names), F.lit(0.0)).alias("all"))
+    ordered = whole.select((F.col("a") >= F.col("b")) & (F.col("b") > 0)).scalar()
+    explains = whole.select((F.col("a") + F.col("b")).between(F.col("all") * 2 / 3, F.col("all") * (1 + 1e-9))).scalar()
+    return d.select("l_orderkey", "l_linenumber", F.size("components").alias("n_components"), ordered.alias("ordered"), explains.alias("explains"))
 
 
 @query("d6_sample_dataset", "SELECT c_custkey FROM customer ORDER BY sha256('42|' || c_custkey) LIMIT 100")

@@ -223,14 +223,22 @@ def _(t):
     return scores.select(F.to_json(F.struct(p["regParam"].alias("regParam"), p["elasticNetParam"].alias("elasticNetParam"))).alias("parameters"), F.col("score").between(FLOOR, 1).alias("learns"))
 
 
-@query("x12_doc_embedding")
+@query(
+    "x12_doc_embedding",
+    """SELECT a.doc_id, a.text = b.text AS copy, true AS unit_length, true AS bounded, true AS copies_agree FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""",
+)
 def _(t):
-    """Cosine of every document to the one with the next id."""
-    d = t.documents.select("doc_id", T.tokenize("text", lower=True).alias("tk"))
-    e = stored(WV.doc_embedding(d, "doc_id", "tk", dim=32, iterations=5).select("doc_id", "embedding"))
-    after = e.select((F.col("doc_id") - 1).alias("doc_id"), F.col("embedding").alias("other"))
+    """Every document's vector against that of the next id: 32 numbers of unit length (or none, without frequent words); copies have the same."""
+    d = t.documents.select("doc_id", "text", T.tokenize("text", lower=True).alias("tk"))
+    e = stored(WV.doc_embedding(d, "doc_id", "tk", dim=32, iterations=5).select("doc_id", F.sha2("text", 256).alias("h"), "embedding"))
+    after = e.select((F.col("doc_id") - 1).alias("doc_id"), F.col("h").alias("other_h"), F.col("embedding").alias("other"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    cosine = WV.cosine(F.col("embedding"), F.col("other"))
+    none = F.col("embedding").isNull()
+    copy = F.col("h") == F.col("other_h")
     return e.join(after, "doc_id").select(
-        "doc_id", F.size("embedding").alias("dim"), F.round(WV.cosine(F.col("embedding"), F.col("other")), 4).alias("cosine_to_next")
+        "doc_id", copy.alias("copy"), (none | ((F.size("embedding") == 32) & (F.abs(norm - 1) < 1e-9))).alias("unit_length"),
+        F.coalesce(cosine.between(-1 - 1e-9, 1 + 1e-9), F.lit(True)).alias("bounded"), (~copy | none | (cosine > 1 - 1e-9)).alias("copies_agree"),
     )
 
 

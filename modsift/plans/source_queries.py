@@ -110,6 +110,41 @@ def _(t):
     return both.select("doc_id", "source", F.octet_length("content").alias("bytes"))
 
 
+def _files(t, lines, folder: str, extension: str, *by: str) -> None:
+    """Rows of text as files of an extension that Spark has no writer for: written as text (a file per ``by``), then renamed."""
+    written = f"{folder}-{extension}"
+    (lines.repartition(*by).write.partitionBy(*by) if by else lines.write).text(written)
+    path = t.spark._jvm.org.apache.hadoop.fs.Path
+    system = path(written).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(folder))
+    for status in system.globStatus(path(f"{written}/{'*/' if by else ''}part-*")):  # file names
+        source = status.getPath()
+        group = source.getParent().getName().replace("=", "") if "=" in source.getParent().getName() else ""
+        system.rename(source, path(f"{folder}/{source.getName().split('.')[0]}{group}.{extension}"))
+
+
+@query(
+    "s5_four_formats",
+    """WITH f AS (SELECT doc_id, trim(replace(replace(text, chr(10), ' '), chr(13), ' ')) AS c FROM documents)
+      SELECT CASE doc_id % 4 WHEN 0 THEN 'file' WHEN 1 THEN 'csv' WHEN 2 THEN 'item' ELSE 'jsonl' END AS kind, sha256(c) AS digest FROM f""",
+)
+def _(t):
+    """Documents written as text, CSV, JSON arrays and JSON lines into one folder, and read by their extensions."""
+    folder = _scratch(t, "s5")
+    flat = F.trim(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" ")))
+    d = t.documents.select("doc_id", flat.alias("content"))
+    part = lambda k: d.where(F.col("doc_id") % 4 == k)
+    _files(t, part(0).select("content"), folder, "txt")
+    table = part(1).select("doc_id", F.col("content").alias("Text"))
+    table.write.mode("append").option("header", True).option("escape", '"').option("quoteAll", True).csv(folder)
+    item = F.struct("content", F.lit("item:a").alias("source"))
+    arrays = part(2).groupBy(F.floor(F.col("doc_id") / 100).alias("grp")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    _files(t, arrays, folder, "json", "grp")
+    _files(t, part(3).select(F.to_json(F.struct("content")).alias("value")), folder, "jsonl")
+    texts = files.read_texts_by_extension(t.spark, folder)
+    return texts.select(F.substring_index("source", ":", 1).alias("kind"), F.sha2("content", 256).alias("digest"))
+
+
 @query(
     "s6_api_payloads",
     """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'd' || doc_id ELSE 'api_0' END AS item_id, text AS content,

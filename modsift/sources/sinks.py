@@ -87,7 +87,8 @@ def rewrite_keeping(df: DataFrame, path: str, partition: str) -> None:
     """Replace the table by ``df``, partition by partition; partitions that ``df`` no longer has are removed.
 
     ``df`` may be read from ``path`` itself: partitions are overwritten one by one (dynamic overwrite), and the
-    emptied ones are deleted last.
+    emptied ones are deleted last.  If a run fails between the two, the emptied partitions are still there beside the new
+    rows; running it again finishes the work.
     """
     spark = df.sparkSession
     named = lambda d: d.select(F.col(partition).cast("string").alias("p")).distinct()
