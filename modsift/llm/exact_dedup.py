@@ -58,6 +58,9 @@ def _combine(schema: pa.Schema, keep: str, budget: int, final: bool):
     return run
 
 
+PART_BYTES = 128 << 20  # of strings per partition, before equal ones become one
+
+
 def owner_table(texts: DataFrame, keep: str = "smallest", budget: int = TRIE_BYTES) -> DataFrame:
     """One row per distinct string of ``texts`` (text binary, id long, rest binary).
 
@@ -72,7 +75,9 @@ def owner_table(texts: DataFrame, keep: str = "smallest", budget: int = TRIE_BYT
     schema = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in names])
     arrow = pa.schema([(n, {"long": pa.int64(), "binary": pa.binary()}[t]) for n, t in names])
     first = texts.select("text", "id", "rest", F.lit(1).cast("long").alias("n")).mapInArrow(_combine(arrow, keep, budget, False), schema)
-    dealt = first.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "n_bytes", "sha256")
+    size = texts.agg(F.sum(F.octet_length("text") + F.octet_length("rest"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    dealt = first.repartition(parts, "n_bytes", "sha256")
     return dealt.select("text", "id", "rest", "n").mapInArrow(_combine(arrow, keep, budget, True), schema)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import pickle
 import tempfile
 from collections.abc import Iterator
@@ -141,7 +140,7 @@ class PatriciaTrie:
             todo.extend(x.children.values())
         self.root, self.size = Node(b""), 0
         for file in files:
-            below = PatriciaTrie(self.better, max(self.budget, os.fstat(file.fileno()).st_size // 8), self.folder)
+            below = PatriciaTrie(self.better, self.budget, self.folder)  # cuts deeper, whatever the file's size
             for item in self._read(file):
                 below.insert(*item)
             yield from below.items()
