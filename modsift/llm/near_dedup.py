@@ -30,7 +30,8 @@ from modsift.operators.density import connected_components
 
 BANDS, ROWS = 40, 8  # at a similarity of 0.8 a pair meets in some band with probability 0.9993
 SIMILARITY = 0.8
-BLOCK = 4096
+BLOCK = 4096  # members of a family that are verified at once, if they have at most SHINGLES each on average
+SHINGLES = 1000
 PIVOTS = 32
 
 
@@ -240,8 +241,11 @@ def _links(docs: DataFrame, reps: DataFrame, edges: DataFrame, degrees: DataFram
     """Verified links (a, b) that join what is similar inside the families of candidate edges."""
     ends = edges.select(F.col("a").alias("rep")).union(edges.select("b"))
     families = checkpointed(connected_components(edges, ends, "rep").withColumnRenamed("component", "fam"))
-    sizes = families.groupBy("fam").agg(F.count("*").alias("size"))
-    members = families.join(sizes, "fam").join(reps, "rep").select("doc_id", "h", "rep", "fam", "size")
+    known = checkpointed(families.join(reps, "rep"))
+    # Long texts count for as many members as their shingles fill, so a block is bounded by both.
+    weight = F.greatest(F.count("*"), F.ceil(F.sum("n_shingles") / SHINGLES))
+    sizes = known.groupBy("fam").agg(weight.cast("long").alias("size"))
+    members = known.join(sizes, "fam").select("doc_id", "h", "rep", "fam", "size")
     parts = F.ceil(F.col("size") / block)
     place = F.pmod(F.xxhash64("rep"), parts).cast("long")
     sets = _shingles_of(docs, members.withColumn("part", place), words)
@@ -281,8 +285,8 @@ def _classified(docs: DataFrame, threshold: float, words: int, bands: int, rows:
     types = "doc_id long, h long, key_a long, key_b long, n_shingles long, bands array<long>"
     sketch = written(_texts(docs).mapInArrow(_sketch(words, bands, rows), types), "sketches")
     known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    same = sketch.where(known).groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("copies"))
-    same = checkpointed(same.select("key_a", "key_b", "first.doc_id", "first.h", "copies", F.monotonically_increasing_id().alias("rep")))
+    same = sketch.where(known).groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
+    same = checkpointed(same.select("key_a", "key_b", "first.doc_id", "first.h", "copies", "n_shingles", F.monotonically_increasing_id().alias("rep")))
     # A representative's own row has its bands; rows that repeat id and text give equal ones.
     first = same.select(*[F.col(c).alias(f"{c}_") for c in ("key_a", "key_b", "doc_id", "h")], "rep")
     own = sketch.where(known).join(first, [F.col(c) == F.col(f"{c}_") for c in ("key_a", "key_b", "doc_id", "h")])
@@ -291,7 +295,7 @@ def _classified(docs: DataFrame, threshold: float, words: int, bands: int, rows:
     met = checkpointed(banded.join(buckets.where(F.col("low") < F.col("high")), ["band", "hash"]).select("rep", "low", "n"))
     edges = met.where(F.col("rep") != F.col("low")).select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     degrees = met.groupBy("rep").agg(F.sum("n").alias("degree"))
-    reps = same.select("rep", "doc_id", "h")
+    reps = same.select("rep", "doc_id", "h", "n_shingles")
     links = checkpointed(_links(docs, reps, checkpointed(edges), degrees, threshold, words, block))
     nodes = links.select(F.col("a").alias("rep")).union(links.select("b"))
     classes = connected_components(links, nodes, "rep").withColumnRenamed("component", "class")
