@@ -23,7 +23,7 @@ HEADLINE = [
     "j1_dedup_exact", "j2_dedup_cleaned_report", "j7_similarity_of_pairs", "j9_similar_by_feature_overlap",
     "a9_request_statistics", "a12_latency_profile", "a18_metric_summary", "l5_retain_latest", "u2_apply_status_events",
     "d1_split_dataset_exact", "d2_feature_statistics", "e2_auc_roc", "e4_silhouette", "e10_best_epoch",
-    "q9_collection_rules", "m8_dbscan", "i1_predict", "j8_near_duplicate_clusters", "i4_detect_anomaly", "i5_audit_texts", "w5_windowed_error_rate", "w6_windowed_p95", "s7_page_texts", "g1_augment",
+    "q9_collection_rules", "m8_dbscan", "i1_predict", "j8_near_duplicate_clusters", "j7_similarity_join", "j9_similar_to_targets", "m8_dbscan_vectors", "e7_bootstrap_ci", "i4_detect_anomaly", "i5_audit_texts", "w5_windowed_error_rate", "w6_windowed_p95", "s7_page_texts", "g1_augment",
 ]
 
 

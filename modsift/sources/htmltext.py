@@ -29,6 +29,7 @@ class Page(HTMLParser):
         self.open: list[Node] = []
         self.pieces: list[str] = []
         self.size = 0
+        self.by: dict[tuple[str, str], list[Node]] | None = None
         self.feed(html)
         self.close()
         self._close_to(0)
@@ -66,9 +67,28 @@ class Page(HTMLParser):
         self.pieces.append(data)
         self.size += len(data)
 
+    def _index(self) -> dict[tuple[str, str], list[Node]]:
+        """Elements by tag, class, id and attribute name, each in document order."""
+        found: dict[tuple[str, str], list[Node]] = {}
+        for node in self.nodes:
+            keys = {("", node.tag)} | {("[", name) for name in node.attrs}
+            keys |= {(".", name) for name in (node.attrs.get("class") or "").split()}
+            if node.attrs.get("id") is not None:
+                keys.add(("#", node.attrs["id"]))
+            for key in keys:
+                found.setdefault(key, []).append(node)
+        return found
+
     def select(self, selector: str) -> list[Node]:
+        """Elements that match; only those with the tag, class, id or attribute of the last step are looked at."""
         steps = [list(_PART.finditer(step)) for step in selector.split()]
-        return [n for n in self.nodes if _matches(n, steps)]
+        if not steps or not steps[-1]:
+            return [n for n in self.nodes if _matches(n, steps)] if steps else []
+        if self.by is None:
+            self.by = self._index()
+        kind, name, attr = steps[-1][0].group(1, 2, 3)
+        key = ("[", attr) if attr else (kind, name) if kind else ("", name.lower())
+        return [n for n in self.by.get(key, ()) if _matches(n, steps)]
 
     def text_of(self, node: Node) -> str:
         return self.text[node.start : node.end]
@@ -81,7 +101,8 @@ def _matches_step(node: Node, step) -> bool:
             have = node.attrs.get(attr)
             if have is None:
                 return False
-            ok = {None: True, "": have == value, "*": value in have, "^": have.startswith(value or ""), "$": have.endswith(value or "")}
+            value = value or ""
+            ok = {None: True, "": have == value, "*": value in have, "^": have.startswith(value), "$": have.endswith(value)}
             if not ok[op]:
                 return False
         elif kind == ".":

@@ -228,3 +228,14 @@ def test_append_reads_only_touched_buckets(spark, tmp_path):
     assert "PartitionFilters" in plan and "key_bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] and "content" not in plan
     assert len(sinks.processed_keys(spark, target, "raw_text_id", [1, 2]).inputFiles()) >= 1
     assert sinks.processed_keys(spark, target, "raw_text_id", [1, 2]).count() == back.where("key_bucket IN (1, 2)").count()
+
+
+def test_selected_elements_are_those_that_match():
+    from modsift.sources import htmltext as H
+
+    page = H.Page(PAGE + '<DIV id="x" class="a b">one<span class="b" data-k="v">two</span></DIV><p class="">three<p id="y">four')
+    selectors = ["p", "P", "div", ".b", "#x", "#y", "div .b", ".a span", "[data-k]", "[class*='b']", "span[data-k='v']", "ul li", ".none", "li.comment-item", "[class='']", "#none", "div[id]"]
+    for selector in selectors:
+        steps = [list(H._PART.finditer(step)) for step in selector.split()]
+        assert page.select(selector) == [n for n in page.nodes if H._matches(n, steps)], selector
+    assert page.select("") == [] and len(page.select("p")) >= 4
