@@ -106,6 +106,18 @@ def test_mixing_of_odd_tables(odd):
     assert mixing.mixing_plan(df.where("text IS NULL")).first().copies == 0
 
 
+def test_mixing_beside_rare_sources(spark):
+    source = F.when(F.col("id") == 7, F.lit("b")).when(F.col("id") > 7, F.when(F.col("id") % 3 > 0, F.lit("a")))
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), source.alias("source"), F.expr("repeat('word ', int(id % 5))").alias("text"))
+    plan = mixing.mixing_plan(docs).collect()
+    sizes = Counter()
+    for r in plan:
+        sizes[r.source] += r.doc_id % 5
+    want = water_fill(sizes)
+    assert len(plan) == 6000 and sizes.keys() == {"a", "b", None}
+    assert all(r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) for r in plan)
+
+
 def test_word_cache_gives_the_tokenizers_ids(documents, odd):
     words = WordTokenizer(PATH, entries=50)
     texts = [r.text for r in documents.limit(60).collect()] + [t or "" for _, t in odd[1]] + ["it's 12½ ⅓ _a_b á İ don'T", "x y z"]
