@@ -11,9 +11,10 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modsift.operators.scale import join_counted_keys, stored, with_position
+from modsift.operators.scale import join_counted_keys, join_few, stored, with_position
 
 SEED = 42
+HOT_WORDS = 20_000
 
 
 def vocabulary(df: DataFrame, tokens: str, min_count: int = 5) -> DataFrame:
@@ -29,32 +30,48 @@ def token_ids(df: DataFrame, row_id: str, tokens: str, words: DataFrame) -> Data
     return join_counted_keys(placed, words, "word", "n").select("__row", "position", "word_id")
 
 
+def row_places(ids: DataFrame) -> DataFrame:
+    """(row id, places): a row's positions and word ids as whole numbers, ascending."""
+    place = F.shiftleft(F.col("position").cast("long"), 32).bitwiseOR(F.col("word_id").cast("long"))
+    return ids.groupBy("__row").agg(F.sort_array(F.collect_list(place)).alias("places"))
+
+
+def _word(place: Column) -> Column:
+    return place.bitwiseAND(F.lit((1 << 32) - 1))
+
+
 def cooccurrences(ids: DataFrame, window: int = 5) -> DataFrame:
-    """(a, b, n) with a <= b: how often two words stand at most ``window`` places apart in a row.
+    """(a, b, n) with a <= b: how often two words stand at most ``window`` places apart in a row."""
+    return places_cooccurrences(row_places(ids), window)
 
-    A row is cut into stretches of ``window`` places; a stretch also gets the places that begin the next one, so
-    stretches are judged alone and a text of any length is many of them.
+
+def places_cooccurrences(rows: DataFrame, window: int = 5) -> DataFrame:
+    """``cooccurrences`` of ``row_places``.
+
+    The pairs of a row are made inside it, as whole numbers, and counted in its task before any is moved.
     """
-    stretch = F.floor(F.col("position") / window)
-    both = F.explode(F.array(stretch, stretch - 1))
-    spread = ids.select("__row", both.alias("stretch"), "position", "word_id").where("stretch >= 0")
-    held = spread.groupBy("__row", "stretch").agg(F.collect_list(F.struct("position", "word_id")).alias("places"))
-    own = lambda p: F.floor(p["position"] / window) == F.col("stretch")
-    ahead = lambda p, q: (q["position"] > p["position"]) & (q["position"] - p["position"] <= window)
-    pair = lambda p, q: F.struct(F.least(p["word_id"], q["word_id"]).alias("a"), F.greatest(p["word_id"], q["word_id"]).alias("b"))
-    pairs = F.flatten(F.transform(F.filter("places", own), lambda p: F.transform(F.filter("places", lambda q: ahead(p, q)), lambda q: pair(p, q))))
-    return held.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("n"))
+    def pair(x: Column, y: Column) -> Column:
+        near = F.shiftright(y, 32) - F.shiftright(x, 32) <= window
+        return F.when(near, F.shiftleft(F.least(_word(x), _word(y)), 32).bitwiseOR(F.greatest(_word(x), _word(y))))
+
+    ahead = lambda x, i: F.array(*[pair(x, F.get("places", i + d)) for d in range(1, window + 1)])
+    pairs = rows.select(F.explode(F.flatten(F.transform("places", ahead))).alias("pair")).where("pair IS NOT NULL")
+    counts = pairs.groupBy("pair").agg(F.count("*").alias("n"))
+    return counts.select(F.shiftright("pair", 32).cast("int").alias("a"), _word(F.col("pair")).cast("int").alias("b"), "n")
 
 
 def positive_pmi(counts: DataFrame) -> DataFrame:
     """(a, b, ppmi) of all ordered pairs whose pointwise mutual information is positive."""
-    both = stored(counts.unionByName(counts.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n")))
-    margins = both.groupBy("a").agg(F.sum("n").alias("m"))
+    counts = stored(counts)
+    ends = F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b")))
+    margins = stored(counts.select(ends.alias("a"), "n").groupBy("a").agg(F.sum("n").alias("m")))
     total = margins.agg(F.sum("m")).scalar()
     left, right = margins.withColumnRenamed("m", "ma"), margins.select(F.col("a").alias("b"), F.col("m").alias("mb"))
-    joined = both.join(left, "a").join(right, "b").withColumn("total", total)
+    joined = join_few(join_few(counts, left, ["a"]), right, ["b"]).withColumn("total", total)
     ppmi = F.log(F.col("n") * F.col("total") / (F.col("ma").cast("double") * F.col("mb")))
-    return joined.select("a", "b", ppmi.alias("ppmi")).where("ppmi > 0")
+    found = joined.select("a", "b", ppmi.alias("ppmi")).where("ppmi > 0")
+    one, other = F.struct("a", "b", "ppmi"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "ppmi")
+    return found.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(one)).otherwise(F.array(one, other))))
 
 
 def factorised(ppmi: DataFrame, dim: int, iterations: int, blocks: int | None = None) -> DataFrame:
@@ -70,22 +87,28 @@ def _normed(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(vector)
 
 
-def document_vectors(ids: DataFrame, vectors: DataFrame, words: DataFrame, dim: int) -> DataFrame:
+def document_vectors(rows: DataFrame, vectors: DataFrame, words: DataFrame, dim: int, hot_words: int = HOT_WORDS) -> DataFrame:
     """(row, embedding): mean of the unit vectors of a row's words, rarer words weighing more, at unit length.
 
-    A word of relative frequency f weighs 0.001 / (0.001 + f).  Per row and word the occurrences are counted first.
+    A word of relative frequency f weighs 0.001 / (0.001 + f).  Words above total / ``hot_words`` are at most
+    ``hot_words`` in number by counting; their vectors are broadcast and added up where the row lies.  Only the
+    rows of rarer words are moved to them.
     """
     total = words.agg(F.sum("n")).scalar()
     unit = F.transform("vector", lambda x: x.cast("double"))
     known = words.join(vectors, "word_id").withColumn("total", total)
     weight = F.lit(0.001) / (0.001 + F.col("n") / F.col("total"))
-    known = known.select("word_id", "n", F.transform(_normed(unit), lambda x: x * weight).alias("unit"))
-    counted = ids.groupBy("__row", "word_id").agg(F.count("*").alias("times"))
-    # Rows that hold a word are at most its occurrences, so n bounds the matches of a word.
-    met = join_counted_keys(counted, known, "word_id", "n")
-    sums = [F.sum(F.col("times") * F.get("unit", F.lit(i))).alias(f"s{i}") for i in range(dim)]
-    added = met.groupBy("__row").agg(*sums)
-    return added.select("__row", _normed(F.array(*[f"s{i}" for i in range(dim)])).alias("embedding"))
+    known = stored(known.select("word_id", "n", F.transform(_normed(unit), lambda x: x * weight).alias("unit")))
+    often = F.col("n") * hot_words > total
+    each = rows.select("__row", F.explode("places").alias("place")).select("__row", _word(F.col("place")).cast("int").alias("word_id"))
+    added = lambda df, value: df.groupBy("__row").agg(*[F.sum(value(i)).alias(f"s{i}") for i in range(dim)])
+    near = added(each.join(F.broadcast(known.where(often)), "word_id"), lambda i: F.get("unit", F.lit(i)))
+    rare = known.where(~often)
+    if not rare.isEmpty():
+        counted = each.join(F.broadcast(known.where(often).select("word_id")), "word_id", "left_anti").groupBy("word_id", "__row").agg(F.count("*").alias("times"))
+        far = added(counted.join(rare, "word_id"), lambda i: F.col("times") * F.get("unit", F.lit(i)))
+        near = added(near.union(far), lambda i: F.col(f"s{i}"))
+    return near.select("__row", _normed(F.array(*[f"s{i}" for i in range(dim)])).alias("embedding"))
 
 
 def doc_embedding(df: DataFrame, row_id: str, tokens: str, dim: int = 100, window: int = 5, min_count: int = 5, iterations: int = 10) -> DataFrame:
@@ -95,11 +118,11 @@ def doc_embedding(df: DataFrame, row_id: str, tokens: str, dim: int = 100, windo
     with equal tokens get equal vectors.  Row ids are unique.
     """
     words = vocabulary(df, tokens, min_count)
-    ids = stored(token_ids(df, row_id, tokens, words))
-    ppmi = stored(positive_pmi(cooccurrences(ids, window)))
+    rows = stored(row_places(token_ids(df, row_id, tokens, words)))
+    ppmi = stored(positive_pmi(places_cooccurrences(rows, window)))
     if ppmi.isEmpty():
         return df.withColumn("embedding", F.lit(None).cast("array<double>"))
-    found = document_vectors(ids, factorised(ppmi, dim, iterations), words, dim)
+    found = document_vectors(rows, factorised(ppmi, dim, iterations), words, dim)
     return df.join(found, F.col(row_id) == F.col("__row"), "left").drop("__row")
 
 
