@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from modsift import values as V
 from modsift.functions import text as T
 from modsift.functions.text import as_col
-from modsift.operators.scale import first_per_key, last_per_key, top_n_per_key
+from modsift.operators.scale import first_per_key, last_per_key, stored, top_n_per_key
 
 RUNNING_STATES = ("TRAINING", "PREPARING", "EVALUATING")
 FINISHED_STATES = ("COMPLETED", "FAILED", "CANCELLED")
@@ -367,32 +371,99 @@ def similar_by_feature_overlap(df: DataFrame, row_id: str, features: str, target
     )
 
 
-def similar_to_targets(df: DataFrame, row_id: str, features: str, is_target: Column, threshold: float, k: int) -> DataFrame:
+TARGET_BLOCK = 2048
+
+
+def _pooled(batch) -> tuple[np.ndarray, np.ndarray]:
+    """Finite values of a column of number lists, ascending, with the place of the row that each comes from."""
+    column = batch.combine_chunks() if isinstance(batch, pa.ChunkedArray) else batch
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)  # nulls become NaN
+    owner = np.repeat(np.arange(len(column)), np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64))
+    finite = np.isfinite(values)
+    values, owner = values[finite], owner[finite]
+    order = np.argsort(values, kind="stable")
+    return values[order], owner[order]
+
+
+def _first_where(holds, n: int, size: int) -> np.ndarray:
+    """Per element the first place in 0..n at which ``holds(places)``, which stays true once it is, is true (n: nowhere)."""
+    low, high = np.zeros(size, np.int64), np.full(size, n, np.int64)
+    while (low < high).any():
+        middle = (low + high) // 2
+        open_ = low < high
+        yes = open_ & holds(np.minimum(middle, n - 1))
+        high, low = np.where(yes, middle, high), np.where(open_ & ~yes, middle + 1, low)
+    return low
+
+
+def _best_of_blocks(threshold: float, k: int, kind: pa.DataType):
+    """A block of rows and one of targets -> the k best rows of the block for each target.
+
+    The rows' values are sorted once; a target's value meets a range of them, found by the exact test, and the ranges of
+    all its values add up to how often each value counts.
+    """
+
+    def run(key, rows: pa.Table, targets: pa.Table) -> pa.Table:
+        found = {"target": [], "row": [], "overlap": []}
+        if len(rows) and len(targets):
+            rows = rows.sort_by("row")
+            ids = rows.column("row").combine_chunks()
+            values, owner = _pooled(rows.column("v"))
+            sought, of = _pooled(targets.column("w"))
+            n, place = len(values), {x: i for i, x in enumerate(ids.to_pylist())}
+            if n and len(sought):
+                start = _first_where(lambda at: values[at] - sought > -threshold, n, len(sought))
+                end = _first_where(lambda at: ~(values[at] - sought < threshold), n, len(sought))
+            else:
+                start = end = np.zeros(len(sought), np.int64)
+            by_target = np.argsort(of, kind="stable")
+            bounds = np.searchsorted(of[by_target], np.arange(len(targets) + 1))
+            for i, target in enumerate(targets.column("target").to_pylist()):
+                mine = by_target[bounds[i] : bounds[i + 1]]
+                steps = np.bincount(start[mine], minlength=n + 1) - np.bincount(end[mine], minlength=n + 1)
+                counts = np.bincount(owner, weights=np.cumsum(steps[:n]), minlength=len(ids)).astype(np.int64)
+                rank = counts * len(ids) + np.arange(len(ids))[::-1]  # more pairs first, then smaller ids
+                if target in place:
+                    rank[place[target]] = -1
+                best = np.argpartition(rank, -k)[-k:] if len(rank) > k else np.arange(len(rank))
+                best = best[rank[best] >= 0]
+                found["target"] += [target] * len(best)
+                found["row"].append(ids.take(pa.array(best)))
+                found["overlap"].append(counts[best])
+        rows = pa.chunked_array(found["row"], kind)
+        overlap = np.concatenate(found["overlap"]) if found["overlap"] else np.empty(0, np.int64)
+        return pa.table({"target": pa.array(found["target"], kind), "row": rows, "overlap": pa.array(overlap, pa.int64())})
+
+    return run
+
+
+def similar_to_targets(df: DataFrame, row_id: str, features: str, is_target: Column, threshold: float, k: int, block: int = TARGET_BLOCK) -> DataFrame:
     """(target, row id, overlap, rank): for every target row the k other rows with the most value pairs (i, j) closer than ``threshold``.
 
-    A range join on numbers: a value lies in a cell as wide as the threshold, so values closer than the threshold lie in one
-    cell or in neighbours.  Entries of targets go to their cell and both neighbours, entries of rows to their own;
-    an equality join on cells and an exact check give the pairs, which are counted per target and row.  Null
-    and non-finite values meet nothing.  Ties go to the smaller id; rows without a pair rank last, with overlap 0.
-    Ids are unique and not null.
+    Every block of targets meets every block of rows in a task of its own, which returns k rows per target, so pairs of
+    values and of rows never become rows of a table.  Null and non-finite values meet nothing.  Ties go to the
+    smaller id; rows without a pair rank last, with overlap 0.  Rows under one id count as one, null ids are left out.
     """
-    value = lambda: F.explode(F.transform(features, lambda x: x.cast("double")))
-    finite = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))
-    cell = F.floor(F.col("v") / (threshold * (1 + 1e-6)))  # a little wider, so that rounding skips no neighbour
-    known = df.where(F.col(row_id).isNotNull())
-    rows = known.select(F.col(row_id).alias("__row"), value().alias("v")).where(finite).select("__row", "v", cell.alias("cell"))
-    near = F.explode(F.array(cell - 1, cell, cell + 1))
-    sought = known.where(is_target).select(F.col(row_id).alias("__target"), value().alias("v")).where(finite).select("__target", F.col("v").alias("b"), near.alias("cell"))
-    met = rows.join(sought, "cell").where((F.abs(F.col("v") - F.col("b")) < threshold) & (F.col("__row") != F.col("__target")))
-    counted = met.groupBy("__target", "__row").agg(F.count("*").alias("overlap"))
-    # Rows without a pair: at most k of the smallest ids that are not the target and have none; 2 * k + 1 ids are enough.
-    smallest = [r[0] for r in known.select(row_id).orderBy(row_id).limit(2 * k + 1).collect()]
-    fill = F.explode(F.array(*[F.lit(i).cast(df.schema[row_id].dataType) for i in smallest])) if smallest else None
-    if fill is not None:
-        alone = known.where(is_target).select(F.col(row_id).alias("__target"), fill.alias("__row"), F.lit(0).cast("long").alias("overlap"))
-        counted = counted.union(alone.where(F.col("__row") != F.col("__target"))).groupBy("__target", "__row").agg(F.max("overlap").alias("overlap"))
-    best = top_n_per_key(counted, ["__target"], [F.desc("overlap"), F.asc("__row")], k)
-    return best.select(F.col("__target").alias("target"), F.col("__row").alias(row_id), "overlap", "rank")
+    kind = df.schema[row_id].dataType
+    id_type = kind.simpleString()
+    values = F.transform(F.coalesce(features, F.array().cast(df.schema[features].dataType)), lambda x: x.cast("double"))
+    known = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("row"), values.alias("v"), F.coalesce(is_target, F.lit(False)).alias("t"))
+    pooled = known.groupBy("row").agg(
+        F.flatten(F.collect_list("v")).alias("v"), F.flatten(F.collect_list(F.when(F.col("t"), F.col("v")))).alias("w"), F.max("t").alias("t")
+    )
+    pooled = stored(pooled)
+    n_rows, n_targets = pooled.agg(F.count("*"), F.count_if("t")).first()
+    parts = lambda n: max(1, -(-n // block))
+    part = lambda n: F.pmod(F.xxhash64("row"), F.lit(parts(n))).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(parts(n) - 1)))
+    rows = pooled.select(part(n_rows).alias("i"), copies(n_targets).alias("j"), "row", "v")
+    targets = pooled.where("t").select(copies(n_rows).alias("i"), part(n_targets).alias("j"), F.col("row").alias("target"), "w")
+    arrow = to_arrow_type(kind)
+    best = rows.groupBy("i", "j").cogroup(targets.groupBy("i", "j")).applyInArrow(
+        _best_of_blocks(threshold, k, arrow), f"target {id_type}, row {id_type}, overlap long"
+    )
+    ranked = top_n_per_key(best, ["target"], [F.desc("overlap"), F.asc("row")], k)
+    return ranked.select("target", F.col("row").alias(row_id), "overlap", "rank")
 
 
 def anti_join_processed(raw: DataFrame, processed: DataFrame, raw_id: str, processed_raw_id: str) -> DataFrame:

@@ -35,3 +35,11 @@ def test_vectors_of_rare_words_come_from_a_join(spark):
     rows = WV.row_places(ids)
     near, far = ({r["__row"]: r.embedding for r in WV.document_vectors(rows, vectors, words, 3, hot).collect()} for hot in (10_000, 2))
     assert near.keys() == far.keys() == set(range(12)) and all(np.allclose(near[r], far[r]) for r in near)
+
+
+def test_similar_to_targets_pools_rows_of_one_id(spark):
+    rows = [(1, [0.0, 0.1]), (1, [0.2]), (2, [0.05, 0.15]), (2, [0.15]), (3, None), (None, [0.0]), (4, [0.11])]
+    df = spark.createDataFrame(rows, "id LONG, x ARRAY<DOUBLE>")
+    out = R.similar_to_targets(df, "id", "x", F.col("id") <= 1, 0.06, 3, block=1)
+    assert sorted(map(tuple, out.collect())) == [(1, 2, 6, 1), (1, 3, 0, 3), (1, 4, 1, 2)]
+    assert "FlatMapCoGroupsInArrow" in plan_of(out)
