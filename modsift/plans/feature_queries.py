@@ -9,7 +9,7 @@ from modsift.functions import text as T
 from modsift.operators import corpus as C
 from modsift.operators import features as X
 from modsift.operators import relational as R
-from modsift.operators.scale import compute_once, top_n_per_key
+from modsift.operators.scale import compute_once, stored, top_n_per_key
 from modsift.plans import fixtures as fx
 from modsift.plans.registry import query
 from modsift.plans.text_queries import NEG, POS, SENSITIVE, STOP, STOP_SQL
@@ -162,7 +162,7 @@ scored AS (SELECT doc_id, term, tf / n::DOUBLE * idf AS tfidf FROM tf JOIN idf U
       row_number() OVER (PARTITION BY doc_id ORDER BY round(tfidf, 12) DESC, term) AS rank FROM scored) WHERE rank <= 20""",
 )
 def _(t):
-    d = kept_tokens(t)
+    d = stored(kept_tokens(t).select("doc_id", "k"))
     return C.tfidf(d, "doc_id", "k", C.idf_table(d, "k"), 20).select("doc_id", "term", F.round("tfidf", 6).alias("tfidf"), "rank")
 
 
@@ -250,6 +250,8 @@ _GRAMS = "list_transform(range(1, len(k)), lambda i: k[i] || '_' || k[i + 1])"
 )
 def _(t):
     d = X.process_texts(t.documents, "text", STOP, POS, NEG, SENSITIVE, lower=True)
+    # Stored: the corpus counts, the weights and the features each read it, and the chain is most of the work.
+    d = stored(d.select("doc_id", "success", "filtered_tokens", "statistical", "sentiment", "language"))
     done = d.where("success")
     tfidf = C.tfidf(done, "doc_id", "filtered_tokens", C.idf_table(done, "filtered_tokens"), 20)
     f = X.extract_features(d, "doc_id", tfidf=tfidf, max_features=50)
@@ -385,7 +387,7 @@ def _(t):
     SELECT count(*) AS n_docs, round(avg(d), 6) AS avg_dimension, round(avg(nz), 6) AS avg_non_zero, round(avg(m), 6) AS avg_max FROM r""",
 )
 def _(t):
-    d = kept_tokens(t)
+    d = stored(kept_tokens(t).select("doc_id", "k"))
     report = C.tfidf_vector_report(C.tfidf(d, "doc_id", "k", C.idf_table(d, "k"), 100), "doc_id")
     return report.agg(
         F.count("*").alias("n_docs"), F.round(F.avg("dimension"), 6).alias("avg_dimension"),
