@@ -62,10 +62,13 @@ def widest_directions(points: DataFrame, dims: int, k: int) -> np.ndarray:
 def close_pairs(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     """Matrix of whether the Euclidean distance is at most eps; distances near eps are taken again term by term."""
     limit = eps * eps
-    squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+    of_a, of_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    squares = (-2 * a) @ b.T
+    squares += of_a[:, None]
+    squares += of_b[None, :]
+    scale = 1e-9 * (limit + float(of_a.max(initial=0)) + float(of_b.max(initial=0)))
     out = squares <= limit
-    scale = 1e-9 * (limit + float((a * a).sum(axis=1).max(initial=0)) + float((b * b).sum(axis=1).max(initial=0)))
-    for i, j in zip(*np.nonzero(np.abs(squares - limit) <= scale)):
+    for i, j in zip(*np.nonzero((squares <= limit + scale) & (squares >= limit - scale))):
         out[i, j] = ((a[i] - b[j]) ** 2).sum() <= limit
     return out
 

@@ -43,3 +43,20 @@ def test_similar_to_targets_pools_rows_of_one_id(spark):
     out = R.similar_to_targets(df, "id", "x", F.col("id") <= 1, 0.06, 3, block=1)
     assert sorted(map(tuple, out.collect())) == [(1, 2, 6, 1), (1, 3, 0, 3), (1, 4, 1, 2)]
     assert "FlatMapCoGroupsInArrow" in plan_of(out)
+
+
+def test_component_labels_take_no_wide_copies_of_the_matrix():
+    n, rng = 1200, np.random.default_rng(3)
+    linked = rng.random((n, n)) < 0.0006
+    linked |= linked.T
+    label = np.arange(n)  # by repeated smallest neighbours
+    while True:
+        new = np.array([min(label[i], label[linked[i]].min(initial=n)) for i in range(n)])
+        if (new == label).all():
+            break
+        label = new
+    tracemalloc.start()
+    got = S.component_labels(linked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == label).all() and peak < n * n * 2
