@@ -62,6 +62,11 @@ def _shuffled(tokens: Column, seed: Column, tag: str) -> Column:
     return F.sort_array(keyed)
 
 
+def _ordered(tokens: Column, seed: Column, tag: str) -> Column:
+    """Per token a whole number, its draw and then its place: the order of ``_shuffled`` without moving words."""
+    return F.transform(tokens, lambda w, i: F.shiftleft(_draw(seed, tag, i), 32).bitwiseOR(i.cast("long")))
+
+
 def _words_in_place(structs: Column) -> Column:
     return F.transform(F.sort_array(structs), lambda s: s["w"])
 
@@ -78,14 +83,14 @@ def synonym_replace(tokens: Column, seed: Column, synonyms: dict[str, list[str]]
         return F.when(options.isNotNull(), pick).otherwise(word)
 
     def body(bound: Column) -> Column:
-        k = bound["k"]
-        marked = F.transform(
-            bound["s"],
-            lambda s, r: F.struct(s["i"].alias("i"), F.when(r < k, replace(s["w"], s["i"])).otherwise(s["w"]).alias("w")),
-        )
-        return _words_in_place(marked)
+        return F.transform(tokens, lambda w, i: F.when(F.get(bound["at"], i) <= bound["last"], replace(w, i)).otherwise(w))
+
+    # The picked words are those up to the k-th in the random order.
+    def picked(at: Column) -> Column:
+        return F.struct(at.alias("at"), F.element_at(F.sort_array(at), F.least(_picks(tokens, rate), F.size(tokens))).alias("last"))
 
-    return T.let(F.struct(_shuffled(tokens, seed, "syn").alias("s"), _picks(tokens, rate).alias("k")), body)
+    some = T.let(T.let(_ordered(tokens, seed, "syn"), picked), body)
+    return F.when(F.size(tokens) == 0, tokens).otherwise(some)
 
 
 def random_insert(tokens: Column, seed: Column, words: list[str] | None = None, rate: float = 0.1) -> Column:
@@ -129,9 +134,14 @@ def random_swap(tokens: Column, seed: Column, rate: float = 0.1) -> Column:
 def random_delete(tokens: Column, seed: Column, rate: float = 0.1) -> Column:
     """Drop max(1, n * rate) random words, always keeping at least one."""
     n = F.size(tokens)
-    kept = F.slice(_shuffled(tokens, seed, "del"), F.lit(1), F.greatest(F.lit(1), n - _picks(tokens, rate)))
-    in_place = F.transform(kept, lambda s: F.struct(s["i"].alias("i"), s["w"].alias("w")))
-    return F.when(n <= 1, tokens).otherwise(_words_in_place(in_place))
+
+    def kept(at: Column) -> Column:
+        last = F.element_at(F.sort_array(at), F.greatest(F.lit(1), n - _picks(tokens, rate)))
+        return T.let(
+            F.struct(at.alias("at"), last.alias("last")), lambda b: F.filter(tokens, lambda w, i: F.get(b["at"], i) <= b["last"])
+        )
+
+    return F.when(n <= 1, tokens).otherwise(T.let(_ordered(tokens, seed, "del"), kept))
 
 
 def pseudo_back_translation(tokens: Column, seed: Column, synonyms: dict[str, list[str]] | None = None) -> Column:

@@ -60,3 +60,13 @@ def test_component_labels_take_no_wide_copies_of_the_matrix():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (got == label).all() and peak < n * n * 2
+
+
+def test_words_are_chosen_without_moving_them(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p q r s t u v".split())], "id LONG, w ARRAY<STRING>")
+    seed = G.copy_seed(F.col("id"), F.lit(1), 42)
+    for made, k in ((G.synonym_replace(F.col("w"), seed, {x: [x.upper()] for x in "abcdefghijklmnopqrstuv"}), 22), (G.random_delete(F.col("w"), seed), 20)):
+        out = df.select(made.alias("m"))
+        words = out.first().m
+        assert len(words) == k and [x.lower() for x in words] == sorted(x.lower() for x in words)
+        assert plan_of(out).count("sort_array(") <= 1
