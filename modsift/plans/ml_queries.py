@@ -31,7 +31,8 @@ FLOOR = 0.65  # share of right predictions on held-out documents that a classifi
 def labeled_features(t):
     d = t.documents.select("doc_id", "text", T.tokenize("text", lower=True).alias("tk"))
     d = X.statistical_features(d, "text", "tk").select("doc_id", "statistical.*")
-    return D.split_dataset(d.join(t.labels, "doc_id"), "doc_id", 0.1, 0.2, exact=True)
+    # Stored: the split, the fit and the prediction each read them, and a feature costs several passes over the text.
+    return D.split_dataset(stored(d.join(t.labels, "doc_id")), "doc_id", 0.1, 0.2, exact=True)
 
 
 # The exact split of the labelled documents; models are judged on the test part.
@@ -229,8 +230,8 @@ def _(t):
 )
 def _(t):
     """Every document's vector against that of the next id: 32 numbers of unit length (or none, without frequent words); copies have the same."""
-    d = t.documents.select("doc_id", "text", T.tokenize("text", lower=True).alias("tk"))
-    e = stored(WV.doc_embedding(d, "doc_id", "tk", dim=32, iterations=5).select("doc_id", F.sha2("text", 256).alias("h"), "embedding"))
+    d = t.documents.select("doc_id", F.sha2("text", 256).alias("h"), T.tokenize("text", lower=True).alias("tk"))
+    e = stored(WV.doc_embedding(d, "doc_id", "tk", dim=32, iterations=5).select("doc_id", "h", "embedding"))
     after = e.select((F.col("doc_id") - 1).alias("doc_id"), F.col("h").alias("other_h"), F.col("embedding").alias("other"))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     cosine = WV.cosine(F.col("embedding"), F.col("other"))

@@ -70,3 +70,12 @@ def test_words_are_chosen_without_moving_them(spark):
         words = out.first().m
         assert len(words) == k and [x.lower() for x in words] == sorted(x.lower() for x in words)
         assert plan_of(out).count("sort_array(") <= 1
+
+
+def test_features_are_computed_once_for_split_fit_and_prediction(spark):
+    class t:
+        documents = spark.createDataFrame([(i, f"Some text {i}.") for i in range(20)], "doc_id LONG, text STRING")
+        labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id LONG, quality INT, toxic INT")
+
+    rows = labeled_features(t)
+    assert rows.count() == 20 and "regexp" not in plan_of(rows)
