@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from modsift import values as V
 from modsift.functions import text as T
-from modsift.operators.scale import compute_once
+from modsift.operators.scale import bounded_batches, compute_once
 
 ELEMENT = "STRUCT<spec: INT, kind: STRING, selector: STRING, tag: STRING, text: STRING, children: ARRAY<STRING>>"
+CHUNK_CHARS = 1 << 20  # of pages whose elements are held at once
 FOUND_SCHEMA = f"STRUCT<elements: ARRAY<{ELEMENT}>, page: ARRAY<ARRAY<STRING>>>"
 
 
@@ -28,13 +29,19 @@ def select_elements(pages: DataFrame, html: str, specs: list[tuple[str, str, lis
     before elements become rows.
     """
 
+    bounded_batches(pages.sparkSession)
+
     @F.pandas_udf(FOUND_SCHEMA)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from modsift.sources.htmltext import Page, inside
 
         for batch in batches:
-            elements, wide_texts = [], []
+            elements, wide_texts, held = [], [], 0
             for html_text in batch:
+                if held > CHUNK_CHARS:
+                    yield pd.DataFrame({"elements": elements, "page": wide_texts})
+                    elements, wide_texts, held = [], [], 0
+                held += len(html_text or "")
                 page = Page(html_text or "")
                 found, wide_of = [], []
                 for n, (kind, selector, children, wide) in enumerate(specs):

@@ -79,3 +79,12 @@ def test_features_are_computed_once_for_split_fit_and_prediction(spark):
 
     rows = labeled_features(t)
     assert rows.count() == 20 and "regexp" not in plan_of(rows)
+
+
+def test_page_elements_leave_a_task_in_small_batches(spark, monkeypatch):
+    html = [(i, "<p>one</p><p>two</p>" * (i % 3)) for i in range(50)]
+    df = spark.createDataFrame(html, "id LONG, html STRING").repartition(2)
+    find = lambda: sorted((r.id, r.ordinal, r.text) for r in P.select_elements(df, "html", [("x", "p", [], None)], ["id"]).collect())
+    whole = find()
+    monkeypatch.setattr(P, "CHUNK_CHARS", 30)
+    assert find() == whole and len(whole) == sum(4 if i % 3 == 2 else 2 * (i % 3) for i in range(50))
