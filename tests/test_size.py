@@ -19,6 +19,12 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_ngrams_do_not_copy_the_row_for_each_gram(spark):
+    df = spark.createDataFrame([(["a", "b", "c"],), ([],), (None,)], "t ARRAY<STRING>").select("t", T.ngrams("t", 3).alias("g"))
+    assert [r.g for r in df.collect()] == [["a", "b", "c", "a_b", "b_c", "a_b_c"], [], []]
+    assert "slice(" not in plan_of(df)
+
+
 def test_few_keys_move_no_fact(spark):
     facts = spark.range(1000).select("id", F.concat(F.lit("k"), F.col("id") % 7).alias("k"))
     keyed = facts.where("k <> 'k3'").groupBy("k").agg(F.count("*").alias("n"))
