@@ -9,7 +9,8 @@ find candidates, families of candidates are verified exactly, and links become c
 
 * Equal shingle sets are one representative first, so copies never meet pairwise.  A representative is a set, not an
   id: ids that stand on several texts are as many members.
-* Members of a bucket are linked to its smallest id only; families are the components of these links.
+* Members of a bucket meet through its smallest id; families are the components of these links.  A member is linked
+  to the smallest of its buckets' ids only, and that one to the others, which members alike share.
 * A family is verified in one task if it has at most ``block`` members; larger ones are cut into blocks
   that also hold the family's most central members, and what these leave apart is compared in blocks.
   Pairs already joined through others are skipped; no pair list is ever emitted, only links that join.
@@ -237,6 +238,13 @@ def _sorted_groups(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys).sortWithinPartitions(*keys)
 
 
+def _candidate_edges(met: DataFrame) -> DataFrame:
+    """Distinct edges (a, b), a < b, with the components of the stars of all buckets; ``met`` has a row (rep, low) per member and bucket."""
+    own = met.groupBy("rep").agg(F.min("low").alias("a"), F.collect_set("low").alias("lows"))  # one low a band at most
+    ends = own.select("a", F.explode(F.array_union("lows", F.array("rep"))).alias("b"))
+    return ends.where(F.col("a") != F.col("b")).distinct()
+
+
 def _links(docs: DataFrame, reps: DataFrame, edges: DataFrame, degrees: DataFrame, threshold: float, words: int, block: int) -> DataFrame:
     """Verified links (a, b) that join what is similar inside the families of candidate edges."""
     ends = edges.select(F.col("a").alias("rep")).union(edges.select("b"))
@@ -293,8 +301,7 @@ def _classified(docs: DataFrame, threshold: float, words: int, bands: int, rows:
     banded = own.select("rep", F.posexplode("bands").alias("band", "hash"))
     buckets = banded.groupBy("band", "hash").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n"))
     met = checkpointed(banded.join(buckets.where(F.col("low") < F.col("high")), ["band", "hash"]).select("rep", "low", "n"))
-    edges = met.where(F.col("rep") != F.col("low")).select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    degrees = met.groupBy("rep").agg(F.sum("n").alias("degree"))
+    edges, degrees = _candidate_edges(met), met.groupBy("rep").agg(F.sum("n").alias("degree"))
     reps = same.select("rep", "doc_id", "h", "n_shingles")
     links = checkpointed(_links(docs, reps, checkpointed(edges), degrees, threshold, words, block))
     nodes = links.select(F.col("a").alias("rep")).union(links.select("b"))

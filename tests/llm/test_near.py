@@ -104,6 +104,35 @@ def test_uneven_repetition_does_not_part_a_class(docs_of):
     assert got == sets and len({c for _, c in got}) == 12
 
 
+def test_a_large_family_meets_through_few_edges(docs_of, monkeypatch):
+    """Each member has one edge to its family, not one for every bucket that it shares with others."""
+    edges, links = [], near_dedup._links
+    monkeypatch.setattr(near_dedup, "_links", lambda docs, reps, found, *rest: edges.append(found.count()) or links(docs, reps, found, *rest))
+    rows = list(enumerate(family(random.Random(2), 400, edits=7)))
+    got = sorted((r.doc_id, r.class_id) for r in near_dedup.near_classes(docs_of(rows)).collect())
+    assert got == brute_classes(rows) and len(rows) - 1 <= edges[0] < 3 * len(rows)
+
+
+def test_candidate_edges_keep_the_components(spark):
+    rng = random.Random(4)
+    buckets = [rng.sample(range(300), rng.randrange(2, 6)) for _ in range(120)]
+    met = spark.createDataFrame([(r, min(b), len(b)) for b in buckets for r in b], "rep LONG, low LONG, n LONG")
+    found = [tuple(r) for r in near_dedup._candidate_edges(met).collect()]
+
+    def parts(edges):
+        label = list(range(300))
+        for a, b in edges:
+            old, new = label[a], label[b]
+            label = [new if x == old else x for x in label]
+        least = {}
+        for i, x in enumerate(label):
+            least.setdefault(x, i)
+        return [least[x] for x in label]
+
+    assert all(a < b for a, b in found) and len(found) == len(set(found))
+    assert parts(found) == parts((min(b), r) for b in buckets for r in b)
+
+
 def test_keep_one_and_empty(docs_of, odd):
     df = docs_of([(3, "a b c d e f"), (1, "a b c d e f"), (2, "x y"), (4, None), (5, "")])
     kept = near_dedup.keep_one(df)
