@@ -1,6 +1,6 @@
 """Document quality by Bradley-Terry pairwise ranking.
 
-Labelled documents give preference pairs (good over bad).  Scores are linear in features of the whole
+Every labelled document gives preference pairs (good over bad).  Scores are linear in features of the whole
 text and are learnt by the logistic loss on the feature differences of the pairs.  The threshold is the
 quantile of the scores at the share of bad labels, and a calibrated slope around it gives numbers
 between 0 and 1.
@@ -8,7 +8,7 @@ between 0 and 1.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -16,11 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from modsift.llm.common import bounded_batches, crc_mod5, whole_text
+from modsift.llm.common import bounded_batches, checkpointed, crc_mod5, whole_text, with_ordinal
+from modsift.operators.scale import FEW_ROWS, RANGES, cumulative
 
-SAMPLE = 3000  # labelled documents per class that the model is fitted on
-PAIRS = 40_000
+PAIRS = 40_000  # of fewer labelled documents as many pairs as there are
+TURNS = 4  # pairs of each document of the larger class, at least
+PIECE = 50_000  # labelled documents of a task of the fit
 CUT = 0.3  # the score at the threshold
 FEATURES = ["upper", "digits", "symbols", "bars", "exclamations", "stops", "spaces", "words", "distinct", "distinct_share", "repeats", "word_length", "line_share"]
 
@@ -66,24 +69,56 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_ranking(good: np.ndarray, bad: np.ndarray, bad_share: float, pairs: int = PAIRS, l2: float = 1.0) -> Ranking:
-    """Bradley-Terry weights by Newton's method on pairs drawn with a fixed seed; constant score without both classes."""
+def _turns(n_large: int, n_small: int, pairs: int = PAIRS) -> int:
+    """Partners of each document of the larger class; the i-th one meets the numbers i, i + 1, ... modulo n_small."""
+    return min(n_small, max(TURNS, -(-pairs // n_large)))
+
+
+def _constant(any_good: bool) -> Ranking:
+    width = len(FEATURES)
+    return Ranking(np.zeros(width), np.zeros(width), 0.0 if any_good else 1.0, 4.0)
+
+
+def _newton_sums(d: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the loss of feature differences, in one vector."""
+    p = 1 / (1 + np.exp(-np.clip(d @ w, -40, 40)))
+    return np.concatenate([d.T @ (1 - p), ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+
+
+def _newton(sums: Callable[[np.ndarray], np.ndarray], l2: float) -> np.ndarray:
+    """Weights by Newton's method; ``sums`` adds up ``_newton_sums`` over all pairs.  Rounded, so that its order does not show."""
     width = len(FEATURES)
-    if not len(good) or not len(bad):
-        return Ranking(np.zeros(width), np.zeros(width), 0.0 if len(good) else 1.0, 4.0)
-    x = np.concatenate([good, bad])
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
-    rng = np.random.default_rng(1)
-    n = min(pairs, len(good) * len(bad))
-    d = (good[rng.integers(len(good), size=n)] - bad[rng.integers(len(bad), size=n)]) / spread
     w = np.zeros(width)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -40, 40)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + l2 * np.eye(width), d.T @ (1 - p) - l2 * w)
+        s = sums(w)
+        step = np.linalg.solve(s[width:].reshape(width, width) + l2 * np.eye(width), s[:width] - l2 * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    weights = w / spread
+    return np.round(w, 9)
+
+
+_SLOPES = np.geomspace(0.05, 20, 25)
+
+
+def _slope_sums(raw: np.ndarray, is_good: np.ndarray, weight: np.ndarray, threshold: float) -> np.ndarray:
+    """Weighted log likelihood of the labels at each slope."""
+    z = _SLOPES[:, None] * (raw - threshold) + np.log(CUT / (1 - CUT))
+    return -np.logaddexp(0, np.where(is_good, -1, 1) * z) @ weight
+
+
+def fit_ranking(good: np.ndarray, bad: np.ndarray, bad_share: float, pairs: int = PAIRS, l2: float = 1.0) -> Ranking:
+    """The fit of ``train_ranking`` on arrays; constant score without both classes."""
+    if not len(good) or not len(bad):
+        return _constant(len(good) > 0)
+    x = np.concatenate([good, bad])
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
+    small, large = sorted([good, bad], key=len)
+    turns = _turns(len(large), len(small), pairs)
+    at = (np.arange(len(large))[:, None] + np.arange(turns)).ravel() % len(small)
+    d = np.repeat(large, turns, axis=0) - small[at]
+    d = (d if large is good else -d) / spread
+    weights = _newton(lambda w: _newton_sums(d, w), l2) / spread
     raw = (x - mean) @ weights
     is_good = np.arange(len(x)) < len(good)
     weight = np.where(is_good, (1 - bad_share) / len(good), bad_share / len(bad))
@@ -91,47 +126,104 @@ def fit_ranking(good: np.ndarray, bad: np.ndarray, bad_share: float, pairs: int
     below = int(np.searchsorted(np.cumsum(weight[order]), bad_share - 1e-9)) + 1
     below = min(below, len(x) - 1)
     threshold = (raw[order[below - 1]] + raw[order[below]]) / 2
-    best = max(
-        np.geomspace(0.05, 20, 25),
-        key=lambda s: float((weight * -np.logaddexp(0, np.where(is_good, -1, 1) * (s * (raw - threshold) + np.log(CUT / (1 - CUT))))).sum()),
-    )
-    return Ranking(mean, weights, float(threshold), float(best))
+    return Ranking(mean, weights, float(threshold), float(_SLOPES[_slope_sums(raw, is_good, weight, threshold).argmax()]))
 
 
 def _with_features(rows: DataFrame) -> DataFrame:
-    """rows (label, text) with the feature vector of the text."""
+    """rows (doc_id, text) with the feature vector of the text in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(bytes(t.as_buffer())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    return rows.mapInArrow(run, rows.select("doc_id").schema.add("x", ArrayType(DoubleType())))
 
-    return rows.mapInArrow(run, "label long, x array<double>")
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(FEATURES))
 
-def train_ranking(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
-    """Fit on at most ``sample`` labelled documents per class, those of the smallest hash of the id.
 
-    ``labels`` has doc_id and label (1 good, 0 bad); rows without either are left out.  The share of bad
-    labels is counted over all of them.
+def _summed(rows: DataFrame, part: Callable[..., np.ndarray]) -> np.ndarray:
+    """``part`` of the columns of each batch, added up over the table; a task sends one vector of a few hundred numbers at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            sums = part(*batch.columns)
+            total = sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    return np.sum([r.v for r in rows.mapInArrow(run, "v array<double>").collect()], axis=0)
+
+
+def _differences(placed: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """x: features of a good document less those of a bad one, for all pairs; bad ones are numbered from 0, good ones follow."""
+    large, small = (1, 0) if counts[1] >= counts[0] else (0, 1)
+    number = F.col("ordinal") - F.when(F.col("label") == 1, counts[0]).otherwise(0)
+    partner = F.transform(F.sequence(F.lit(0), F.lit(_turns(counts[large], counts[small]) - 1)), lambda j: (number + j) % counts[small])
+    rows = placed.where(F.col("label") == large).select("x", F.explode(partner).alias("partner"))
+    others = placed.where(F.col("label") == small).select(number.alias("partner"), F.col("x").alias("y"))
+    sign = 1 if large == 1 else -1
+    pairs = rows.join(F.broadcast(others) if counts[small] <= FEW_ROWS else others, "partner")
+    return pairs.select(F.zip_with("x", "y", lambda a, b: (a - b) * sign).alias("x"))
+
+
+def _quantile_cut(scored: DataFrame, n: int, weights: dict[int, float], share: float) -> float:
+    """Between the neighbouring values of ``raw`` where the rows from below reach the share by weight."""
+    weight = F.count_if(F.col("label") == 0) * weights[0] + F.count_if(F.col("label") == 1) * weights[1]
+    ran = cumulative(scored.groupBy("raw").agg(weight.alias("weight")), [], "raw", {"below": "weight"}, min(RANGES, 1 + n // 10_000))
+    before, after = F.col("below") >= share - 1e-9, F.col("below") + F.col("weight") >= share - 1e-9
+    low, high, second, top = ran.agg(
+        F.min(F.when(after, F.col("raw"))), F.min(F.when(before & (F.col("below") > 0), F.col("raw"))), F.max(F.when(~after, F.col("raw"))), F.max("raw")
+    ).first()
+    low = top if low is None else low
+    return (low + (high if high is not None else low if second is None else second)) / 2
+
+
+def train_ranking(docs: DataFrame, labels: DataFrame, l2: float = 1.0) -> Ranking:
+    """Fit on all labelled documents.
+
+    ``labels`` has doc_id and label (1 good, 0 bad); rows without either are left out, and of repeated ids the
+    smallest label counts.  Documents of a class are numbered in the order of a hash; each of the larger class
+    makes ``_turns`` pairs, with consecutive ones of the smaller class, so every document is in a pair.  The
+    share of bad labels is counted over all labels.  Only narrow rows (id, features) are moved.
     """
     bounded_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").cast("long").alias("label"))
-    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    total = sum(counts.values())
-    hashed = known.withColumn("h", F.xxhash64("doc_id"))
-    chosen = []
-    for label, n in counts.items():
-        # A filter to about twice the sample first, so that little is sorted.
-        near = hashed.where((F.col("label") == label) & (F.pmod("h", F.lit(1 << 20)) <= min(1 << 20, (1 << 21) * sample // n + 64)))
-        chosen.append(near.orderBy(F.pmod("h", F.lit(1 << 20)), "doc_id").limit(sample).select("doc_id", "label"))
-    if not chosen:
-        return fit_ranking(np.empty((0, len(FEATURES))), np.empty((0, len(FEATURES))), 0.0)
-    few = chosen[0] if len(chosen) == 1 else chosen[0].union(chosen[1])
-    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(few), "doc_id")  # 2 * sample rows at most
-    rows = _with_features(texts.select("label", "text")).collect()
-    x = {k: np.array([r.x for r in rows if r.label == k]).reshape(-1, len(FEATURES)) for k in (0, 1)}
-    return fit_ranking(x[1], x[0], counts.get(0, 0) / total)
+    told = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    if not told:
+        return _constant(False)
+    bad_share = told.get(0, 0) / sum(told.values())
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text"))
+    rows = checkpointed(_with_features(texts).join(known, "doc_id").select("doc_id", "label", "x"))
+    order = [F.col("label"), F.xxhash64("doc_id"), F.col("doc_id"), F.col("x")]
+    placed = checkpointed(with_ordinal(rows, order, rows_per_piece=PIECE).select("label", "x", "ordinal"))
+    counts = {r[0]: r[1] for r in placed.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        return _constant(1 in counts)
+    n, width = sum(counts.values()), len(FEATURES)
+    mean = _summed(placed.select("x"), lambda x: _matrix(x).sum(axis=0)) / n
+    spread = np.sqrt(_summed(placed.select("x"), lambda x: ((_matrix(x) - mean) ** 2).sum(axis=0)) / n) + 1e-3
+    mean, spread = np.round(mean, 12), np.round(spread, 12)
+    pairs = checkpointed(_differences(placed, counts))
+    weights = _newton(lambda w: _summed(pairs, lambda d: _newton_sums(_matrix(d) / spread, w)), l2) / spread
+
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.round((_matrix(batch.column(1)) - mean) @ weights, 12)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["label", "raw"])
+
+    scored = checkpointed(placed.select("label", "x").mapInArrow(raw, "label long, raw double"))
+    each = {0: bad_share / counts[0], 1: (1 - bad_share) / counts[1]}
+    threshold = _quantile_cut(scored, n, each, bad_share)
+
+    def likelihood(label: pa.Array, found: pa.Array) -> np.ndarray:
+        is_good = label.to_numpy() == 1
+        return _slope_sums(found.to_numpy(), is_good, np.where(is_good, each[1], each[0]), threshold)
+
+    return Ranking(mean, weights, threshold, float(_SLOPES[_summed(scored, likelihood).argmax()]))
 
 
 def with_quality(docs: DataFrame, model: Ranking, score: str = "score") -> DataFrame:

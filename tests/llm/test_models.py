@@ -16,6 +16,38 @@ def test_ranking_orders_pairs_and_cuts_at_the_quantile():
     assert abs(model.score(np.array([model.mean + model.weights * model.threshold / (model.weights @ model.weights)]))[0] - quality.CUT) < 1e-9
 
 
+def judged_texts(rng, n_good, n_bad):
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+    good = [" ".join(word() for _ in range(rng.integers(5, 30))) + "." for _ in range(n_good)]
+    bad = [" ".join(word() + rng.choice(["", "", "!", "|", " 77 "]) for _ in range(rng.integers(3, 25))) for _ in range(n_bad)]
+    return [*enumerate(good), *enumerate(bad, n_good)]
+
+
+def test_training_equals_the_fit_of_arrays(spark, docs_of):
+    """All pairs of few labels; a label without a document counts in the share, a repeated document twice, one without an id not at all."""
+    texts = judged_texts(np.random.default_rng(7), 40, 15)
+    for flip in (False, True):  # which class is the larger one
+        labels = [(i, int((i < 40) != flip)) for i, _ in texts] + [(900, 0), (3, 1), (None, 0), (5, None)]
+        model = quality.train_ranking(docs_of([*texts, texts[4], (None, "no id"), (77, "no label")]), spark.createDataFrame(labels, "doc_id LONG, label INT"))
+        label = {i: min(v for k, v in labels if k == i and v is not None) for i, _ in texts}
+        x = {k: np.array([quality.features(t.encode()) for i, t in [*texts, texts[4]] if label[i] == k]) for k in (0, 1)}
+        known = [*label.values(), 0]
+        plain = quality.fit_ranking(x[1], x[0], known.count(0) / len(known))
+        for name in ("mean", "weights", "threshold", "slope"):
+            assert np.allclose(getattr(model, name), getattr(plain, name), rtol=1e-6, atol=1e-7), name
+
+
+def test_training_uses_every_labelled_document(spark, docs_of):
+    texts = judged_texts(np.random.default_rng(8), 3300, 60)
+    labels = spark.createDataFrame([(i, int(i < 3300)) for i, _ in texts], "doc_id LONG, label INT")
+    model = quality.train_ranking(docs_of(texts), labels)
+    x = np.array([quality.features(t.encode()) for _, t in texts])
+    assert np.allclose(model.mean, x.mean(axis=0), rtol=0, atol=1e-9)
+    assert (model.raw(x) < model.threshold).sum() == 60
+    again = quality.train_ranking(docs_of(texts[::-1]), labels)
+    assert (model.weights == again.weights).all() and model.threshold == again.threshold
+
+
 def test_quality_on_held_out_labels(spark):
     folder = FOLDER.replace("0.001", "0.01")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
