@@ -9,7 +9,7 @@ from modsift import values as V
 from modsift.functions import scores as S
 from modsift.functions import text as T
 from modsift.functions.text import as_col
-from modsift.operators.scale import compute_once, join_counted_keys
+from modsift.operators.scale import FEW_ROWS, compute_once, join_counted_keys, stored
 
 
 # --- cleaning ----------------------------------------------------------------------
@@ -44,12 +44,23 @@ def processed_length_gate(df: DataFrame, cleaned: str, low: int = 10, high: int
 def _lexicon_hits(df: DataFrame, row_id: str, tokens: str, lexicon: DataFrame) -> DataFrame:
     """(row id, word, columns of the lexicon) for the distinct lower-case tokens of each row that are in the lexicon.
 
-    The words' row counts tell which of them most rows have; those are joined without a shuffle of
-    their rows to one task.
+    See ``_join_lexicon``.
     """
     words = df.select(F.col(row_id).alias("__row"), F.explode(F.array_distinct(F.transform(tokens, F.lower))).alias("__w"))
+    return _join_lexicon(words, lexicon, "inner")
+
+
+def _join_lexicon(words: DataFrame, lexicon: DataFrame, how: str) -> DataFrame:
+    """Words (column ``__w``) with the columns of the lexicon, which has one narrow row per word.
+
+    A lexicon of at most FEW_ROWS words is broadcast.  Else the words' numbers tell which of them most rows have;
+    those are joined without a shuffle of their rows to one task.
+    """
+    lexicon = stored(lexicon)
+    if lexicon.count() <= FEW_ROWS:
+        return words.join(F.broadcast(lexicon), "__w", how)
     counted = words.groupBy("__w").agg(F.count("*").alias("__rows")).join(lexicon, "__w")
-    return join_counted_keys(words, counted, "__w", "__rows").drop("__rows")
+    return join_counted_keys(words, counted, "__w", "__rows", how).drop("__rows")
 
 
 def remove_stop_words(
@@ -198,16 +209,22 @@ def sentiment_features(
 
 
 def sentiment_by_join(df: DataFrame, row_id: str, tokens: str, lexicon: DataFrame) -> DataFrame:
-    """Sentiment with a lexicon of any size, joined to the distinct tokens of each row; ``row_id`` is unique."""
+    """Sentiment with a lexicon of any size, joined to the tokens of each row.
+
+    The hits are counted per id and hash of the tokens and divided by the rows that have both, so ids may repeat.  The
+    tokens themselves are not moved unless the result is asked for them.
+    """
     keyed = lexicon.groupBy(F.lower("word").alias("__w")).agg(F.max("polarity").alias("__pol"))
-    hits = _lexicon_hits(df, row_id, tokens, keyed).groupBy("__row").agg(
-        F.collect_set(F.when(F.col("__pol") > 0, F.col("__w"))).alias("__up"),
-        F.collect_set(F.when(F.col("__pol") < 0, F.col("__w"))).alias("__down"),
+    mark = F.xxhash64(F.col(tokens))
+    marked = compute_once(df.select(F.col(row_id).alias("__row"), tokens), "__mark", mark)  # before the explode, that rows are not copied
+    words = marked.select("__row", "__mark", F.posexplode(tokens).alias("__at", "__w"))
+    hits = _join_lexicon(words.withColumn("__w", F.lower("__w")), keyed, "left").groupBy("__row", "__mark").agg(
+        *[(F.count_if(c) / F.count_if(F.col("__at") == 0)).cast("int").alias(n) for n, c in (("__up", F.col("__pol") > 0), ("__down", F.col("__pol") < 0))]
     )
-    none = F.array().cast("array<string>")
-    joined = df.join(hits, df[row_id] == F.col("__row"), "left").withColumns({c: F.coalesce(c, none) for c in ("__up", "__down")})
-    count = lambda words: F.size(F.filter(tokens, lambda t: F.array_contains(words, F.lower(t))))
-    return joined.withColumn("sentiment", _sentiment_from_counts(count("__up"), count("__down"), F.size(tokens))).drop("__row", "__up", "__down")
+    own = df.withColumns({"__n": F.size(tokens), "__own": mark})
+    joined = own.join(hits, (own[row_id] == hits["__row"]) & (own["__own"] == hits["__mark"]), "left")
+    up, down = (F.when(F.col("__n").isNotNull(), F.coalesce(c, F.lit(0))) for c in ("__up", "__down"))
+    return joined.withColumn("sentiment", _sentiment_from_counts(up, down, F.col("__n"))).drop("__row", "__mark", "__own", "__up", "__down", "__n")
 
 
 def complexity_score(filtered: Column | str) -> Column:

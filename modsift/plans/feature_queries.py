@@ -98,9 +98,11 @@ def _(t):
     f"""WITH {MIXED_TOKENS}, {_SENT} SELECT doc_id, round(pol, 6) AS polarity, p AS positive_words, q AS negative_words FROM s""",
 )
 def _(t):
-    lexicon = mixed_tokens(t).select(F.explode("tk").alias("word")).where(F.col("word").isin(POS + NEG)).distinct()
+    tokens = compute_once(fx.mixed_docs(t).select("doc_id", "text"), "tk", T.tokenize("text", lower=True)).drop("text")
+    known = F.array(*map(F.lit, POS + NEG))
+    lexicon = tokens.select(F.explode(F.array_intersect("tk", known)).alias("word")).distinct()
     lexicon = lexicon.withColumn("polarity", F.when(F.col("word").isin(POS), 1).otherwise(-1))
-    d = X.sentiment_by_join(mixed_tokens(t).select("doc_id", "tk"), "doc_id", "tk", lexicon).select("doc_id", "sentiment.*")
+    d = X.sentiment_by_join(tokens, "doc_id", "tk", lexicon).select("doc_id", "sentiment.*")
     return d.select("doc_id", F.round("polarity", 6).alias("polarity"), "positive_words", "negative_words")
 
 

@@ -202,3 +202,17 @@ def test_cuts_by_utf16_units(spark):
             units = t.encode("utf-16-le")
             want = t if len(units) <= 2 * n else units[: 2 * n].decode("utf-16-le", "ignore") + "..."
             assert got[i] == want, (t, n)
+
+
+def test_sentiment_by_join_of_few_words_counts_no_words(spark, monkeypatch):
+    """A small lexicon is broadcast at once; repeated ids, repeated rows and rows without tokens keep their own counts."""
+    from modsift.operators import features
+
+    monkeypatch.setattr(features, "join_counted_keys", None)
+    rows = [(1, ["Good", "bad", "good", "x"]), (1, ["Good", "bad", "good", "x"]), (1, ["bad"]), (2, ["x", "y"]), (3, []), (4, None)]
+    lexicon = spark.createDataFrame([("good", 1), ("GOOD", 1), ("bad", -1), ("x", 0)], "word STRING, polarity INT")
+    d = spark.createDataFrame(rows, "id INT, tk ARRAY<STRING>")
+    out = features.sentiment_by_join(d, "id", "tk", lexicon)
+    assert out.columns == ["id", "tk", "sentiment"]
+    got = sorted((r.id, r.positive_words, r.negative_words) for r in out.where("tk IS NOT NULL").select("id", "sentiment.*").collect())
+    assert got == [(1, 0, 1), (1, 2, 1), (1, 2, 1), (2, 0, 0), (3, 0, 0)] and out.count() == len(rows)
