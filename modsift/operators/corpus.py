@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modsift.functions import text as T
-from modsift.operators.scale import compute_once, join_counted_keys, join_few, top_n_per_key, with_position
+from modsift.operators.scale import compute_once, join_counted_keys, join_few, stored, top_n_per_key, with_position
 
 
 def term_counts(docs: DataFrame, row_id: str, tokens: str, *keep: str) -> DataFrame:
@@ -136,9 +136,13 @@ def first_seen_words(docs: DataFrame, row_id: str, text: str) -> DataFrame:
 
 
 def extract_tags(tagged: DataFrame, row_id: str, tag: str, max_tags: int = 10, min_freq: int = 3) -> DataFrame:
-    """Tags seen at least ``min_freq`` times overall, the ``max_tags`` most frequent per row."""
-    pairs = tagged.select(row_id, F.col(tag).alias("tag")).distinct()
-    frequent = tagged.groupBy(F.col(tag).alias("tag")).agg(F.count("*").alias("freq")).where(F.col("freq") >= min_freq)
-    return top_n_per_key(
-        join_counted_keys(pairs, frequent, "tag", "freq"), [row_id], [F.desc("freq"), F.asc("tag")], max_tags
-    )
+    """Tags seen at least ``min_freq`` times overall, the ``max_tags`` most frequent per row.
+
+    Tags are numbered by falling frequency first, so repeats are dropped and rows ranked by whole numbers; only the
+    tags that stay get their names back.
+    """
+    counted = tagged.groupBy(F.col(tag).alias("tag")).agg(F.count("*").alias("freq")).where(F.col("freq") >= min_freq)
+    frequent = stored(with_position(stored(counted), [F.desc("freq"), F.asc("tag")], "__place"))
+    placed = join_counted_keys(tagged.select(row_id, F.col(tag).alias("tag")), frequent, "tag", "freq")
+    top = top_n_per_key(placed.select(row_id, "__place").distinct(), [row_id], [F.asc("__place")], max_tags)
+    return join_counted_keys(top, frequent, "__place", "freq").select(row_id, "tag", "freq", "rank")
