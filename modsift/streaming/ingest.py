@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from modsift.functions import scores as S
 from modsift.operators.features import forum_features, process_texts
+from modsift.operators.scale import compute_once
 from modsift.sources.sinks import error_rows, path_exists
 from modsift.streaming.windows import LATENESS
 
@@ -40,7 +41,7 @@ def read_raw_text_stream(spark: SparkSession, path: str | None = None, kafka: di
 
 def parse_messages(lines: DataFrame, value: str, schema: str = RAW_MESSAGE) -> DataFrame:
     """Parsed message fields; ``parse_error`` is set where the JSON or its id or content is missing."""
-    parsed = lines.withColumn("m", F.from_json(value, schema)).select(F.col(value).alias("raw_message"), "m.*")
+    parsed = compute_once(lines.select(F.col(value).alias("raw_message")), "m", F.from_json("raw_message", schema)).select("raw_message", "m.*")
     bad = F.col("id").isNull() | F.col("content").isNull()
     return parsed.withColumn("parse_error", F.when(bad, F.lit("unreadable message")))
 
@@ -88,17 +89,18 @@ def write_batch_folder(df: DataFrame, path: str, run: str, batch_id: int) -> Non
     df.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
 
-def skip_processed(batch: DataFrame, path: str, run: str, batch_id: int, key: str = "id", target_key: str = "raw_text_id") -> DataFrame:
-    """The rows of a micro-batch whose id is not in the target yet, each id once.
+def skip_processed(batch: DataFrame, path: str | list[str], run: str, batch_id: int, key: str = "id", target_key: str = "raw_text_id") -> DataFrame:
+    """The rows of a micro-batch whose id is not in the target (or any of several) yet, each id once.
 
     The batch's own folder does not count, so that a replayed batch writes the same rows again.  Only the key
     column of the target is read; Spark joins it to the small batch without moving it where it can.
     """
-    fresh = batch.dropDuplicates([key])
-    if not path_exists(batch.sparkSession, path):
-        return fresh
-    done = batch.sparkSession.read.parquet(path).where((F.col("run") != run) | (F.col("batch_id") != batch_id))
-    return fresh.join(done.select(F.col(target_key).alias(key)), key, "left_anti")
+    spark, other = batch.sparkSession, (F.col("run") != run) | (F.col("batch_id") != batch_id)
+    for target in [path] if isinstance(path, str) else path:
+        if path_exists(spark, target):
+            done = spark.read.parquet(target).where(other)
+            batch = batch.join(done.select(F.col(target_key).alias(key)), key, "left_anti")
+    return batch.dropDuplicates([key])  # last, so that known ids are not sorted with their contents
 
 
 def processed_columns(df: DataFrame) -> DataFrame:
@@ -129,8 +131,7 @@ def process_stream(
     readable = messages.where(F.col("parse_error").isNull())
 
     def sink(arrived: DataFrame, batch_id: int) -> None:
-        fresh = skip_processed(arrived, f"{out}/processed", run, batch_id)
-        fresh = skip_processed(fresh, f"{out}/errors", run, batch_id)
+        fresh = skip_processed(arrived, [f"{out}/processed", f"{out}/errors"], run, batch_id)
         batch = process_messages(fresh, stop_words).persist()
         try:
             good = batch.where("success")

@@ -207,3 +207,16 @@ def test_progress_is_flushed_at_every_tenth_text(spark, tmp_path):
     run()
     got = sorted(tuple(r) for r in spark.read.parquet(out).select("task", "collected", "progress").collect())
     assert got == [("a", 10, 5), ("a", 20, 10), ("b", 10, 5), ("b", 20, 10), ("b", 30, 15), ("b", 40, 20)]
+
+
+def test_known_ids_go_before_repeats_are_looked_for(spark, tmp_path):
+    """Ids of either target are skipped, and only what is left is grouped."""
+    from modsift.streaming import ingest
+
+    for name, ids in (("a", [(1,)]), ("b", [(2,)])):
+        ingest.write_batch_folder(spark.createDataFrame(ids, "raw_text_id INT"), str(tmp_path / name), "first", 0)
+    batch = spark.createDataFrame([(i % 4, "x") for i in range(8)], "id INT, content STRING")
+    fresh = ingest.skip_processed(batch, [str(tmp_path / n) for n in ("a", "b", "none")], "second", 0)
+    assert sorted(r.id for r in fresh.collect()) == [0, 3]
+    plan = fresh._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join")
