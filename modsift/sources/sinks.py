@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,11 +69,11 @@ def write_processed(df: DataFrame, path: str, key: str = "raw_text_id", buckets:
     fresh.repartition(KEY_BUCKET).write.mode("append").partitionBy(KEY_BUCKET).parquet(path)
 
 
-def error_rows(df: DataFrame, raw_id: str, source: str, error: str, now: Column | None = None) -> DataFrame:
-    """Dead-letter rows of the failed records."""
+def error_rows(df: DataFrame, raw_id: str, source: str, error: str, now: Column | None = None, kept: Sequence[str] = ()) -> DataFrame:
+    """Dead-letter rows of the failed records, with the columns ``kept`` as they are."""
     return df.where(F.col(error).isNotNull()).select(
         F.col(raw_id).alias("raw_text_id"), F.col(source).alias("source"), F.col(error).alias("error"),
-        (F.current_timestamp() if now is None else now).alias("ts"),
+        (F.current_timestamp() if now is None else now).alias("ts"), *kept,
     )
 
 

@@ -89,8 +89,8 @@ def write_batch_folder(df: DataFrame, path: str, run: str, batch_id: int) -> Non
     df.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
 
-def skip_processed(batch: DataFrame, path: str | list[str], run: str, batch_id: int, key: str = "id", target_key: str = "raw_text_id") -> DataFrame:
-    """The rows of a micro-batch whose id is not in the target (or any of several) yet, each id once.
+def unseen(batch: DataFrame, path: str | list[str], run: str, batch_id: int, key: str = "id", target_key: str = "raw_text_id") -> DataFrame:
+    """The rows of a micro-batch whose id is not in the target (or any of several) yet.
 
     The batch's own folder does not count, so that a replayed batch writes the same rows again.  Only the key
     column of the target is read; Spark joins it to the small batch without moving it where it can.
@@ -100,7 +100,19 @@ def skip_processed(batch: DataFrame, path: str | list[str], run: str, batch_id:
         if path_exists(spark, target):
             done = spark.read.parquet(target).where(other)
             batch = batch.join(done.select(F.col(target_key).alias(key)), key, "left_anti")
-    return batch.dropDuplicates([key])  # last, so that known ids are not sorted with their contents
+    return batch
+
+
+def skip_processed(batch: DataFrame, path: str | list[str], run: str, batch_id: int, key: str = "id", target_key: str = "raw_text_id") -> DataFrame:
+    """``unseen``, each id once."""
+    return unseen(batch, path, run, batch_id, key, target_key).dropDuplicates([key])  # last, so that known ids are not sorted with their contents
+
+
+def named_failures(messages: DataFrame) -> DataFrame:
+    """Unreadable messages get the digest of the message as id, so that they never stand for the id of a readable one; only they keep the message."""
+    unreadable = F.col("parse_error").isNotNull()
+    digest = F.sha2(F.coalesce("raw_message", F.lit("")), 256)
+    return messages.withColumn("id", F.when(unreadable, digest).otherwise(F.col("id"))).withColumn("raw_message", F.when(unreadable, F.col("raw_message")))
 
 
 def processed_columns(df: DataFrame) -> DataFrame:
@@ -123,27 +135,29 @@ def process_stream(
 ) -> StreamingQuery:
     """Failures to ``errors``, the rest to ``processed`` and ``features``; ids that are in either already are skipped.
 
-    Offsets are committed after the sinks return (checkpoint) and every sink folder is keyed by checkpoint
-    and batch id, so neither a lost executor nor a restart, also with a fresh checkpoint, doubles a row.
+    Unreadable messages are failures too: their ``errors`` row holds the message, and its SHA-256 as id.  Offsets are
+    committed after the sinks return (checkpoint) and every sink folder is keyed by checkpoint and batch id, so
+    neither a lost executor nor a restart, also with a fresh checkpoint, doubles a row.  ``processed`` is written last:
+    an id in it has its features, so a batch that failed between the sinks is taken up again, not skipped as done.
     Equal contents with different ids are different texts.
     """
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
-    readable = messages.where(F.col("parse_error").isNull())
 
     def sink(arrived: DataFrame, batch_id: int) -> None:
-        fresh = skip_processed(arrived, [f"{out}/processed", f"{out}/errors"], run, batch_id)
+        fresh = skip_processed(named_failures(arrived), [f"{out}/processed", f"{out}/errors"], run, batch_id)
         batch = process_messages(fresh, stop_words).persist()
         try:
             good = batch.where("success")
-            with_retries(lambda: write_batch_folder(processed_columns(good), f"{out}/processed", run, batch_id), attempts)
-            with_retries(lambda: write_batch_folder(feature_messages(good), f"{out}/features", run, batch_id), attempts)
-            bad = error_rows(batch.where("NOT success"), "id", "dataSource", "error")
+            features = unseen(feature_messages(good), f"{out}/features", run, batch_id, "key", "key")
+            with_retries(lambda: write_batch_folder(features, f"{out}/features", run, batch_id), attempts)
+            bad = error_rows(batch.where("NOT success"), "id", "dataSource", "error", kept=["raw_message"])
             with_retries(lambda: write_batch_folder(bad, f"{out}/errors", run, batch_id), attempts)
+            with_retries(lambda: write_batch_folder(processed_columns(good), f"{out}/processed", run, batch_id), attempts)
         finally:
             batch.unpersist()
 
     return (
-        readable.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+        messages.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 

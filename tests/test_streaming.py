@@ -1,5 +1,7 @@
 import json
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from modsift.streaming import ingest, state
@@ -51,6 +53,43 @@ def test_errors_are_not_doubled_by_a_fresh_checkpoint(spark, tmp_path):
         assert spark.read.parquet(f"{out}/processed").count() == 4
 
 
+def test_unreadable_messages_are_failures(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    text = "a text that is long enough"
+    bodies = [json.dumps({"id": "1", "content": text}), json.dumps({"id": "1"}), json.dumps({"content": text}), "not json", "not json", "[]"]
+    (src / "a.txt").write_text("\n".join(bodies))
+    for checkpoint in ("first", "second"):
+        ingest.process_stream(ingest.read_raw_text_stream(spark, str(src)), out, str(tmp_path / checkpoint)).awaitTermination(120)
+        failed = spark.read.parquet(f"{out}/errors").collect()
+        assert sorted(r.raw_message for r in failed) == sorted(set(bodies[1:])), "each message once"
+        assert {r.error for r in failed} == {"unreadable message"} and len({r.raw_text_id for r in failed}) == 4
+        assert [r.raw_text_id for r in spark.read.parquet(f"{out}/processed").collect()] == ["1"]
+
+
+@pytest.mark.parametrize("broken", ["features", "errors", "processed"])
+def test_a_batch_that_failed_between_its_sinks_is_not_done(spark, tmp_path, monkeypatch, broken):
+    src, out, write = tmp_path / "in", str(tmp_path / "out"), ingest.write_batch_folder
+    src.mkdir()
+    bodies = [{"id": str(i), "content": "short" if i % 3 else "a text that is long enough"} for i in range(12)]
+    (src / "a.txt").write_text("\n".join(map(json.dumps, bodies)))
+
+    def fails(df, path, run, batch_id):
+        if path.endswith(broken):
+            raise RuntimeError("the sink is away")
+        write(df, path, run, batch_id)
+
+    monkeypatch.setattr(ingest, "write_batch_folder", fails)
+    with pytest.raises(StreamingQueryException):
+        ingest.process_stream(ingest.read_raw_text_stream(spark, str(src)), out, str(tmp_path / "first"), attempts=1).awaitTermination(120)
+    monkeypatch.setattr(ingest, "write_batch_folder", write)
+    ingest.process_stream(ingest.read_raw_text_stream(spark, str(src)), out, str(tmp_path / "fresh")).awaitTermination(120)
+    ids = lambda sink, key: sorted(r[0] for r in spark.read.parquet(f"{out}/{sink}").select(key).collect())
+    good = sorted(str(i) for i in range(0, 12, 3))
+    assert (ids("processed", "raw_text_id"), ids("features", "key")) == (good, good)
+    assert ids("errors", "raw_text_id") == sorted(str(i) for i in range(12) if i % 3)
+
+
 def test_parse_errors_go_to_dead_letters(spark, tmp_path):
     src = tmp_path / "in"
     messages(src, 0, 30, "a.txt")
