@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from modsift.operators import scale as Z
 from modsift.operators.density import connected_components, dbscan
 from modsift.operators.evaluation import auc_roc, best_epoch
+from modsift.operators.similarity import component_labels
 
 
 @pytest.fixture(scope="module")
@@ -194,3 +195,44 @@ def test_dbscan_of_vectors_matches_brute_force(spark, dims, block):
     got = {r.id: (r.is_core, r.cluster) for r in dbscan_vectors(df, "id", "x", eps, need, block).collect()}
     assert got == want | {i: (False, None) for i, _ in odd} and len(set(want.values())) > 3
     assert dbscan_vectors(df.limit(0), "id", "x", eps, need).count() == 0
+
+
+def test_vectors_are_not_moved_for_the_pairs_of_blocks(spark, monkeypatch):
+    from modsift.operators import density_vectors as V
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 0.02, (150, 4)) + rng.normal(0, 1, 4) for _ in range(3)] + [rng.normal(0, 1, (60, 4))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<float>").repartition(5)
+    plans = []
+
+    def stored(frame, keep=V.stored):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return keep(frame)
+
+    monkeypatch.setattr(V, "stored", stored)
+    got = {r.id: (r.is_core, r.cluster) for r in V.dbscan_vectors(df, "id", "x", 0.1, 5, block=16, partition_bytes=1024).collect()}
+    links = [p for p in plans if "CartesianProduct" in p and "weak" in p]
+    assert links and not any(f"Exchange {kind}partitioning" in p for p in links for kind in ("hash", "range"))
+    near = ((x[:, None, :].astype(float) - x[None].astype(float)) ** 2).sum(axis=2) <= 0.1 * 0.1
+    core = near.sum(axis=1) >= 5
+    label = component_labels(near & core[:, None] & core[None])
+    touched = [[int(label[j]) for j in np.flatnonzero(near[i] & core)] for i in range(len(x))]
+    assert got == {i: (bool(core[i]), int(label[i]) if core[i] else min(touched[i], default=None)) for i in range(len(x))}
+
+
+def test_rows_with_one_id_count_together(spark):
+    from modsift.operators.density_vectors import dbscan_vectors
+
+    df = spark.createDataFrame([(i, [float(i)]) for i in (1, 1, 2, 2, 9, 9)] + [(20, [20.0])], "id long, x array<double>")
+    got = sorted((r.id, r.is_core, r.cluster) for r in dbscan_vectors(df, "id", "x", 1.5, 5).collect())
+    assert got == [(1, True, 1)] * 2 + [(2, True, 1)] * 2 + [(9, False, None)] * 2 + [(20, False, None)]
+
+
+def test_joined_rows_and_columns(spark):
+    from modsift.operators.density_vectors import joined, merged
+
+    linked = np.zeros((4, 3), bool)
+    linked[0, 1] = linked[2, 1] = linked[2, 2] = linked[3, 0] = True
+    rows, cols = joined(linked)
+    assert (rows.tolist(), cols.tolist()) == ([0, -1, 0, 3], [3, 0, 0])
+    assert merged([[5, 3], [9], [3, 8, 5], [8, 1], [7, 9]]) == {3: 1, 5: 1, 8: 1, 9: 7}
