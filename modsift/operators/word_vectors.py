@@ -11,6 +11,7 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modsift.operators import word_blocks as B
 from modsift.operators.scale import join_counted_keys, join_few, stored, with_position
 
 SEED = 42
@@ -19,8 +20,11 @@ HOT_WORDS = 20_000
 
 def vocabulary(df: DataFrame, tokens: str, min_count: int = 5) -> DataFrame:
     """(word, n, word_id) of the words with at least ``min_count`` occurrences, ids from 0 in the words' order."""
-    words = df.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    numbered = with_position(words.where(F.col("n") >= min_count), [F.col("word")], "word_id")
+    return _numbered(df.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count("*").alias("n")), min_count)
+
+
+def _numbered(words: DataFrame, min_count: int) -> DataFrame:
+    numbered = with_position(words.where(F.col("word").isNotNull() & (F.col("n") >= min_count)), [F.col("word")], "word_id")
     return stored(numbered.withColumn("word_id", F.col("word_id").cast("int")))
 
 
@@ -117,12 +121,22 @@ def doc_embedding(df: DataFrame, row_id: str, tokens: str, dim: int = 100, windo
     Rows without a word that occurs ``min_count`` times (null and empty token lists too) have a null embedding.  Rows
     with equal tokens get equal vectors.  Row ids are unique.
     """
-    words = vocabulary(df, tokens, min_count)
-    rows = stored(row_places(token_ids(df, row_id, tokens, words)))
-    ppmi = stored(positive_pmi(places_cooccurrences(rows, window)))
-    if ppmi.isEmpty():
-        return df.withColumn("embedding", F.lit(None).cast("array<double>"))
-    found = document_vectors(rows, factorised(ppmi, dim, iterations), words, dim)
+    spark = df.sparkSession
+    blocks = B.row_blocks(df, row_id, tokens)
+    words = _numbered(B.word_counts(blocks), min_count)
+    size, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    nothing = df.withColumn("embedding", F.lit(None).cast("array<double>"))
+    if not size:
+        return nothing
+    blocks = B.numbered_blocks(blocks, words)
+    B.release(spark)
+    parts = B.matrix(blocks, window, total, size)
+    B.release(spark)
+    factors = B.factorised(parts, dim, iterations, SEED)
+    if factors is None:
+        return nothing
+    found = B.row_vectors(blocks, factors, words, dim).groupBy("__row").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(dim)])
+    found = found.select("__row", _normed(F.array(*[f"s{i}" for i in range(dim)])).alias("embedding"))
     return df.join(found, F.col(row_id) == F.col("__row"), "left").drop("__row")
 
 

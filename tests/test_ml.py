@@ -108,6 +108,82 @@ def test_cooccurrence_counts_and_ppmi_against_plain_python(spark):
     assert found.keys() == {k for k, v in ppmi.items() if v > 0} and all(abs(v - ppmi[k]) < 1e-9 for k, v in found.items())
 
 
+def test_packed_blocks_give_the_counts_and_factors_of_the_tables(spark, monkeypatch):
+    import numpy as np
+
+    from modsift.operators import word_blocks as B
+
+    rng = random.Random(9)
+    texts = [(i, [f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(0, 80))]) for i in range(60)] + [(90, None), (91, []), (92, ["w1", None, "w2"])]
+    df = spark.createDataFrame(texts, "id INT, tk ARRAY<STRING>").repartition(6)
+    words = WV.vocabulary(df, "tk", 2)
+    blocks = B.row_blocks(df, "id", "tk", 300)
+    assert blocks.count() > 3
+    assert {tuple(r) for r in B.word_counts(blocks).where("n >= 2").collect()} == {(r.word, r.n) for r in words.where("word IS NOT NULL").collect()}
+    blocks = B.numbered_blocks(blocks, words.select("word", "word_id"))
+    monkeypatch.setattr(B, "PART_WORDS", 3)
+    parts = B.matrix(blocks, 5, 100, words.count(), chunk=8).collect()
+    got = {}
+    for r in parts:
+        first, size, second, n = B._entries(r.asDict())
+        got |= {(a, b): x for a, b, x in zip(np.repeat(first, size).tolist(), second.tolist(), n.tolist())}
+    want = {(r.a, r.b): r.n for r in WV.cooccurrences(WV.token_ids(df, "id", "tk", words), 5).collect()}
+    assert got == want | {(b, a): n for (a, b), n in want.items()} and len({r.chunk for r in parts}) > 2
+    ppmi = np.zeros((words.count(),) * 2)
+    for r in WV.positive_pmi(WV.cooccurrences(WV.token_ids(df, "id", "tk", words), 5)).collect():
+        ppmi[r.a, r.b] = r.ppmi
+    seen = (ppmi > 0).any(axis=1)
+    x = np.where(seen[:, None], B._start(np.arange(len(ppmi)), 4, 42), 0).astype(float)
+    for _ in range(4):  # two iterations
+        gram, y = x.T @ x, np.zeros_like(x)
+        for i in np.flatnonzero(seen):
+            w, of = ppmi[i][ppmi[i] > 0], x[ppmi[i] > 0]
+            y[i] = np.linalg.solve(gram + (of.T * w) @ of + 0.05 * len(w) * np.eye(4), (1 + w) @ of)
+        x = y
+    found = B.factorised(spark.createDataFrame(parts, "part int, chunk int, sums binary, " + B.PACKED).coalesce(1), 4, 2, 42, chunk=8).collect()
+    dense = np.concatenate([np.frombuffer(r.x, "<f4").reshape(8, 4) for r in sorted(found)])[: len(x)]
+    assert np.abs(dense - x).max() < 1e-3
+
+
+def test_document_vectors_of_packed_blocks_are_those_of_the_table(spark):
+    import numpy as np
+
+    from modsift.operators import word_blocks as B
+
+    rng, r = random.Random(10), np.random.default_rng(1)
+    texts = [(f"d{i}", [f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(0, 50))]) for i in range(50)] + [("none", None)]
+    df = spark.createDataFrame(texts, "id STRING, tk ARRAY<STRING>").repartition(3)
+    words = WV.vocabulary(df, "tk", 2)
+    x = r.normal(size=(-(-words.count() // 8) * 8, 3)).astype(np.float32)
+    x[3] = 0
+    table = spark.createDataFrame([(i, x[i].tolist()) for i in range(words.count()) if i != 3], "word_id int, vector array<float>")
+    chunks = spark.createDataFrame([(c, x[c * 8 : c * 8 + 8].tobytes()) for c in range(len(x) // 8)], "chunk int, x binary")
+    rows = WV.row_places(WV.token_ids(df, "id", "tk", words))
+    want = {r["__row"]: r.embedding for r in WV.document_vectors(rows, table, words, 3).collect()}
+    sums = {}
+    for row in B.row_vectors(B.numbered_blocks(B.row_blocks(df, "id", "tk", 200), words), chunks, words, 3, chunk=8).collect():
+        sums[row["__row"]] = sums.get(row["__row"], 0) + np.array(row.sums)
+    assert sums.keys() == want.keys()
+    assert all(np.abs(v / np.linalg.norm(v) - want[k]).max() < 1e-9 for k, v in sums.items())
+
+
+def test_doc_embedding_moves_no_row_per_token(spark, monkeypatch):
+    from modsift.operators import word_blocks as B
+
+    plans = []
+
+    def stored(frame, keep=B.stored):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return keep(frame)
+
+    for module in (WV, B):
+        monkeypatch.setattr(module, "stored", stored)
+    df = spark.createDataFrame([(i, ["a", "b", "c", f"w{i % 5}"] * 5) for i in range(40)], "id INT, tk ARRAY<STRING>")
+    assert all(r.embedding for r in WV.doc_embedding(df, "id", "tk", dim=4, iterations=2).collect())
+    assert not any("Generate explode" in p or "Generate posexplode" in p for p in plans)
+    assert sum("CartesianProduct" in p for p in plans) == 5, "five half steps, no entry is shuffled for them"
+
+
 def test_doc_embedding_groups_topics(spark):
     rng = random.Random(5)
     topics = [[f"t{k}w{i}" for i in range(40)] for k in range(3)]
